@@ -159,3 +159,156 @@ def q_featured_events(spark, sf_dir):
 def q_event_categories(spark, sf_dir):
     from eventide.plans.catalog import event_categories
     return event_categories(domain(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- leaders / users
+
+def cats_text(col: str = "categories") -> F.Column:
+    """Sorted category objects as ``name:id`` text, comma separated."""
+    return F.array_join(F.transform(col, lambda c: F.concat(c["name"], F.lit(":"),
+                                                             c["id"].cast("string"))), ",")
+
+
+def fmt2_duck(a4: str) -> str:
+    """DuckDB: number_format(x, 2) of a 4-place average held as integer
+    ten-thousandths ``a4`` (half up)."""
+    h = f"(({a4}) + 50) // 100"
+    return f"cast(({h}) // 100 AS varchar) || '.' || lpad(cast(({h}) % 100 AS varchar), 2, '0')"
+
+
+_A4 = "((20000 * sum(score) + count(*)) // (2 * count(*)))"
+
+_LEADER_CATS_SQL = """
+lc_ids AS (SELECT l.id AS leader_id, try_cast(x AS bigint) AS category_id
+           FROM d_leaders l, unnest(from_json(l.categories_id, '["VARCHAR"]')) t(x)),
+lc_pairs AS (SELECT DISTINCT i.leader_id, c.name, c.id FROM lc_ids i
+             JOIN d_event_categories c ON i.category_id = c.id),
+lc AS (SELECT l.id AS leader_id,
+              coalesce(string_agg(p.name || ':' || cast(p.id AS varchar), ',' ORDER BY p.name, p.id), '')
+                AS categories
+       FROM d_leaders l LEFT JOIN lc_pairs p ON l.id = p.leader_id GROUP BY l.id)"""
+
+_RS4 = f"""
+rs AS (SELECT to_user_id, {_A4} AS a4, count(*) AS rating_count FROM d_ratings GROUP BY to_user_id)"""
+
+
+@register("leader_categories", ["d_leaders", "d_event_categories"], f"""
+, {_LEADER_CATS_SQL.strip()}
+SELECT leader_id, categories FROM lc""")
+def q_leader_categories(spark, sf_dir):
+    from eventide.plans.people import leader_categories
+    df = leader_categories(domain(spark, sf_dir))
+    return df.select("leader_id", cats_text().alias("categories"))
+
+
+@register("leader_board", ["d_leaders", "d_users", "d_events", "d_leader_followers", "d_ratings",
+                           "d_event_categories"], f"""
+, {_LEADER_CATS_SQL.strip()}, {_RS4.strip()},
+ev AS (SELECT leader_id, count(*) AS n FROM d_events GROUP BY leader_id),
+fo AS (SELECT leader_id, count(*) AS n FROM d_leader_followers GROUP BY leader_id)
+SELECT l.id, l.user_id, l.bio, l.categories_id, l.registered_at,
+       u.first_name || ' ' || u.last_name AS name, u.avatar,
+       coalesce(ev.n, 0) AS events_hosted, coalesce(fo.n, 0) AS followers_count,
+       coalesce(rs.a4, 0) / 10000 AS rating_avg,
+       {fmt2_duck('coalesce(rs.a4, 0)')} AS rating_avg_text,
+       coalesce(rs.rating_count, 0) AS rating_count, lc.categories
+FROM d_leaders l LEFT JOIN d_users u ON l.user_id = u.id
+LEFT JOIN rs ON u.id = rs.to_user_id
+LEFT JOIN ev ON l.id = ev.leader_id LEFT JOIN fo ON l.id = fo.leader_id
+LEFT JOIN lc ON l.id = lc.leader_id""")
+def q_leader_board(spark, sf_dir):
+    from eventide.plans.people import leader_board
+    df = leader_board(domain(spark, sf_dir))
+    return flat(df.withColumn("categories", F.coalesce(cats_text(), F.lit(""))))
+
+
+@register("leader_profile", ["d_leaders", "d_users", "d_events", "d_leader_followers", "d_ratings",
+                             "d_event_categories", "d_transactions", "d_reservations"], f"""
+, {_LEADER_CATS_SQL.strip()}, {_RS4.strip()},
+ev AS (SELECT leader_id, count(*) AS n FROM d_events WHERE start_time < {NOW} GROUP BY leader_id),
+fo AS (SELECT leader_id, count(*) AS n FROM d_leader_followers GROUP BY leader_id),
+earn AS (SELECT e.creator_id, sum(t.amount) AS total FROM d_transactions t
+         JOIN d_reservations r ON t.reservation_id = r.id JOIN d_events e ON r.event_id = e.id
+         WHERE t.status = 'paid' GROUP BY e.creator_id)
+SELECT l.id AS leader_id, l.user_id, l.bio,
+       coalesce(rs.a4, 0) / 10000 AS rating_avg,
+       {fmt2_duck('coalesce(rs.a4, 0)')} AS rating_avg_text,
+       coalesce(rs.rating_count, 0) AS rating_count,
+       coalesce(ev.n, 0) AS events_hosted, coalesce(fo.n, 0) AS followers_count,
+       cast(coalesce(earn.total, 0) AS bigint) AS total_earnings, l.categories_id, lc.categories
+FROM d_leaders l JOIN d_users u ON l.user_id = u.id
+LEFT JOIN rs ON u.id = rs.to_user_id
+LEFT JOIN ev ON l.id = ev.leader_id LEFT JOIN fo ON l.id = fo.leader_id
+LEFT JOIN earn ON u.id = earn.creator_id
+LEFT JOIN lc ON l.id = lc.leader_id""")
+def q_leader_profile(spark, sf_dir):
+    from eventide.plans.people import leader_profile
+    df = leader_profile(domain(spark, sf_dir), AS_OF)
+    return flat(df.withColumn("categories", F.coalesce(cats_text(), F.lit(""))))
+
+
+JCAL_DUCK = """
+jyears AS (SELECT range AS jy, CASE WHEN ((range + 12) % 33) % 4 = 1 THEN 366 ELSE 365 END AS ylen
+           FROM range(1270, 1490)),
+jys AS (SELECT jy, ylen, coalesce(sum(ylen) OVER (ORDER BY jy ROWS BETWEEN UNBOUNDED PRECEDING
+                                                   AND 1 PRECEDING), 0) AS so FROM jyears),
+janc AS (SELECT so AS aso FROM jys WHERE jy = 1403),
+jcal AS (SELECT cast(DATE '2024-03-20' + cast(so + d - aso AS integer) AS date) AS date, jy,
+                CASE WHEN d < 186 THEN d // 31 + 1 ELSE (d - 186) // 30 + 7 END AS jm,
+                CASE WHEN d < 186 THEN d % 31 + 1 ELSE (d - 186) % 30 + 1 END AS jd
+         FROM jys, janc, range(0, 366) r(d) WHERE d < ylen)"""
+
+
+@register("user_profile", ["d_users", "d_ratings", "d_reservations", "d_events"], f"""
+, {_RS4.strip()}, {JCAL_DUCK.strip()},
+pj AS (SELECT r.user_id, count(*) AS n FROM d_reservations r JOIN d_events e ON r.event_id = e.id
+       WHERE e.start_time < {NOW} GROUP BY r.user_id)
+SELECT u.id, u.username, u.first_name, u.last_name, u.gender, u.phone, u.national_id,
+       cast(u.birth_date AS varchar) AS birth_date,
+       cast(j.jy AS varchar) || '/' || cast(j.jm AS varchar) || '/' || cast(j.jd AS varchar)
+         AS birth_date_jalali,
+       u.role, u.avatar, u.is_active, u.registered_at,
+       coalesce(rs.a4, 0) / 10000 AS rating_avg,
+       {fmt2_duck('coalesce(rs.a4, 0)')} AS rating_avg_text,
+       coalesce(rs.rating_count, 0) AS rating_count, coalesce(pj.n, 0) AS events_joined
+FROM d_users u LEFT JOIN rs ON u.id = rs.to_user_id LEFT JOIN pj ON u.id = pj.user_id
+LEFT JOIN jcal j ON u.birth_date = j.date""")
+def q_user_profile(spark, sf_dir):
+    from eventide.functions.calendar import jalali_calendar
+    from eventide.plans.people import user_profile
+    df = flat(user_profile(domain(spark, sf_dir), AS_OF, jalali_calendar(spark)))
+    return df.withColumn("birth_date", F.col("birth_date").cast("string"))
+
+
+@register("user_reservations", ["d_reservations", "d_events", "d_users"], """
+SELECT r.id, r.user_id, e.title AS event_title, e.slug AS event_slug,
+       strftime(e.start_time, '%Y/%m/%d %H:%M') AS event_start_time, e.price AS event_price,
+       u.first_name || ' ' || u.last_name AS user_name, r.code, r.price, r.status,
+       strftime(r.created_at, '%Y/%m/%d %H:%M') AS created_at
+FROM d_reservations r JOIN d_events e ON r.event_id = e.id JOIN d_users u ON r.user_id = u.id""")
+def q_user_reservations(spark, sf_dir):
+    from eventide.plans.people import user_reservations
+    return flat(user_reservations(domain(spark, sf_dir)))
+
+
+@register("user_transactions", ["d_transactions", "d_reservations", "d_events"], """
+SELECT r.user_id, e.title AS event_title, e.slug AS event_slug, e.start_time AS event_start_time,
+       t.type, t.amount, t.status, t.authority, t.card_hash, t.card_pan, t.ref_id, t.paid_at,
+       t.created_at, t.updated_at
+FROM d_transactions t LEFT JOIN d_reservations r ON t.reservation_id = r.id
+LEFT JOIN d_events e ON r.event_id = e.id
+WHERE r.user_id IS NOT NULL""")
+def q_user_transactions(spark, sf_dir):
+    from eventide.plans.people import user_transactions
+    return flat(user_transactions(domain(spark, sf_dir)))
+
+
+@register("payment_detail", ["d_transactions", "d_reservations", "d_events", "d_event_medias"], f"""
+SELECT t.id, t.authority, t.amount, t.reservation_id, t.status, e.title AS event_title,
+       strftime(e.start_time, '%Y/%m/%d %H:%M') AS event_start_time, e.location AS event_location,
+       {MEDIA} || coalesce(em.url, '') AS event_image
+FROM d_transactions t LEFT JOIN d_reservations r ON t.reservation_id = r.id
+LEFT JOIN d_events e ON r.event_id = e.id LEFT JOIN d_event_medias em ON e.thumbnail_id = em.id""")
+def q_payment_detail(spark, sf_dir):
+    from eventide.plans.people import payment_detail
+    return flat(payment_detail(domain(spark, sf_dir)))
