@@ -312,3 +312,129 @@ LEFT JOIN d_events e ON r.event_id = e.id LEFT JOIN d_event_medias em ON e.thumb
 def q_payment_detail(spark, sf_dir):
     from eventide.plans.people import payment_detail
     return flat(payment_detail(domain(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- chat / social
+
+VIEWER = 1
+
+
+@register("inbox", ["d_conversations", "d_participants", "d_users", "d_events", "d_messages"], f"""
+SELECT cp.user_id, c.id,
+       CASE WHEN c.is_group THEN c.name ELSE (
+         SELECT u2.first_name || ' ' || u2.last_name FROM d_participants cp2
+         JOIN d_users u2 ON cp2.user_id = u2.id
+         WHERE cp2.conversation_id = c.id AND cp2.user_id <> cp.user_id ORDER BY cp2.id LIMIT 1)
+       END AS name,
+       CASE WHEN c.is_group THEN (SELECT cast(e.thumbnail_id AS varchar) FROM d_events e
+                                  WHERE e.id = c.event_id) ELSE (
+         SELECT u2.avatar FROM d_participants cp2 JOIN d_users u2 ON cp2.user_id = u2.id
+         WHERE cp2.conversation_id = c.id AND cp2.user_id <> cp.user_id ORDER BY cp2.id LIMIT 1)
+       END AS avatar,
+       c.is_group, c.expires_on, m.text AS last_message_text, m.created_at AS last_message_time,
+       u.first_name || ' ' || u.last_name AS last_sender_name,
+       CASE WHEN c.expires_on >= {NOW} THEN 0 ELSE 1 END AS live_rank
+FROM d_participants cp JOIN d_conversations c ON cp.conversation_id = c.id
+LEFT JOIN d_messages m ON m.id = (SELECT m2.id FROM d_messages m2 WHERE m2.conversation_id = c.id
+                                  ORDER BY m2.created_at DESC, m2.id DESC LIMIT 1)
+LEFT JOIN d_users u ON m.sender_id = u.id
+WHERE c.status = 'completed'""")
+def q_inbox(spark, sf_dir):
+    from eventide.plans.social import inbox
+    return flat(inbox(domain(spark, sf_dir), AS_OF))
+
+
+@register("thread", ["d_messages", "d_conversations", "d_users"], f"""
+SELECT m.id, m.conversation_id, c.expires_on, m.text,
+       strftime(m.created_at, '%Y/%m/%d %H:%M') AS time, m.sender_id = {VIEWER} AS is_self,
+       us.first_name || ' ' || us.last_name AS sender_name,
+       CASE WHEN c.is_group THEN us.avatar END AS sender_avatar,
+       CASE WHEN m.reply_to IS NOT NULL THEN r.id END AS reply_to_id,
+       CASE WHEN m.reply_to IS NOT NULL THEN ur.first_name || ' ' || ur.last_name END AS reply_to_sender,
+       CASE WHEN m.reply_to IS NOT NULL THEN r.text END AS reply_to_text
+FROM d_messages m LEFT JOIN d_messages r ON m.reply_to = r.id
+LEFT JOIN d_conversations c ON m.conversation_id = c.id
+LEFT JOIN d_users ur ON r.sender_id = ur.id
+LEFT JOIN d_users us ON m.sender_id = us.id""")
+def q_thread(spark, sf_dir):
+    from eventide.plans.social import thread
+    return flat(thread(domain(spark, sf_dir), VIEWER))
+
+
+@register("memories_feed", ["d_memories", "d_users", "d_events", "d_memory_medias",
+                            "d_memory_hashtags", "d_memory_likes", "d_memory_comments",
+                            "d_memories_saved", "d_leader_followers"], f"""
+SELECT m.id, m.uuid,
+       coalesce(e.title, '') AS event_name, coalesce(e.slug, '') AS event_slug,
+       coalesce(e.location, '') AS event_location,
+       coalesce(strftime(e.start_time, '%Y/%m/%d %H:%M'), '') AS event_start_time,
+       u.id AS user_id, u.first_name || ' ' || u.last_name AS user_name,
+       coalesce(u.avatar, '') AS user_avatar, m.caption,
+       {MEDIA} || coalesce(mm.url, '') AS thumbnail,
+       strftime(m.created_at, '%Y/%m/%d %H:%M') AS created_at,
+       (SELECT count(*) FROM d_memory_likes ml WHERE ml.memory_id = m.id) AS like_count,
+       (SELECT count(*) FROM d_memory_comments mc WHERE mc.memory_id = m.id) AS comment_count,
+       coalesce((SELECT string_agg(DISTINCT hashtag, ',' ORDER BY hashtag) FROM d_memory_hashtags mh
+                 WHERE mh.memory_id = m.id), '') AS hashtags,
+       (SELECT count(*) FROM d_memory_likes ml WHERE ml.memory_id = m.id AND ml.user_id = {VIEWER}) > 0
+         AS is_liked,
+       (SELECT count(*) FROM d_memories_saved ms WHERE ms.memory_id = m.id AND ms.user_id = {VIEWER}) > 0
+         AS is_saved,
+       (SELECT count(*) FROM d_leader_followers lf WHERE lf.leader_id = u.id
+          AND lf.follower_id = {VIEWER}) > 0 AS is_following,
+       m.created_at AS created_ts
+FROM d_memories m JOIN d_users u ON m.user_id = u.id
+LEFT JOIN d_events e ON m.event_id = e.id
+LEFT JOIN d_memory_medias mm ON mm.id = m.thumbnail_id
+WHERE m.status = 'published'""")
+def q_memories_feed(spark, sf_dir):
+    from eventide.plans.social import memories_feed
+    df = memories_feed(domain(spark, sf_dir), VIEWER)
+    return flat(df.withColumn("hashtags", F.array_join("hashtags", ",")))
+
+
+@register("memory_medias", ["d_memories", "d_memory_medias"], f"""
+SELECT m.id AS memory_id, m.uuid, mm.id AS media_id, mm.type, {MEDIA} || mm.url AS url
+FROM d_memories m JOIN d_memory_medias mm ON m.id = mm.memory_id WHERE m.status = 'published'""")
+def q_memory_medias(spark, sf_dir):
+    from eventide.plans.social import memory_medias
+    return memory_medias(domain(spark, sf_dir))
+
+
+@register("stories", ["d_memories", "d_events", "d_event_categories", "d_users"], """
+SELECT m.id, m.caption, m.created_at, e.category_id, ec.name AS category, u.id AS user_id,
+       u.first_name || ' ' || u.last_name AS user_name, u.avatar AS user_avatar
+FROM d_memories m LEFT JOIN d_events e ON m.event_id = e.id
+LEFT JOIN d_event_categories ec ON e.category_id = ec.id LEFT JOIN d_users u ON m.user_id = u.id
+WHERE m.status = 'published'""")
+def q_stories(spark, sf_dir):
+    from eventide.plans.social import stories
+    return flat(stories(domain(spark, sf_dir)))
+
+
+@register("temp_medias", ["d_event_medias"], """
+SELECT uploader_id, uuid AS id, url, type FROM d_event_medias WHERE event_id IS NULL""")
+def q_temp_medias(spark, sf_dir):
+    from eventide.plans.social import temp_medias
+    return temp_medias(domain(spark, sf_dir))
+
+
+@register("user_notifications", ["d_notifications"], "SELECT * FROM d_notifications")
+def q_user_notifications(spark, sf_dir):
+    from eventide.plans.social import user_notifications
+    return user_notifications(domain(spark, sf_dir))
+
+
+@register("user_tickets", ["d_support_tickets"], "SELECT * FROM d_support_tickets")
+def q_user_tickets(spark, sf_dir):
+    from eventide.plans.social import user_tickets
+    return user_tickets(domain(spark, sf_dir))
+
+
+@register("report_targets", ["d_reports"], "\n UNION ALL ".join(
+    f"SELECT id, reporter_id, reason, created_at, '{k}' AS target_kind, reported_{k}_id AS target_id "
+    f"FROM d_reports WHERE reported_{k}_id IS NOT NULL"
+    for k in ["user", "conversation", "message", "event", "leader", "memory"]))
+def q_report_targets(spark, sf_dir):
+    from eventide.plans.social import report_targets
+    return report_targets(domain(spark, sf_dir))[0]
