@@ -438,3 +438,91 @@ def q_user_tickets(spark, sf_dir):
 def q_report_targets(spark, sf_dir):
     from eventide.plans.social import report_targets
     return report_targets(domain(spark, sf_dir))[0]
+
+
+# ---------------------------------------------------------------- pricing / settlement / codes
+
+@register("discount_quotes", ["d_code_requests", "d_discount_codes", "d_reservations", "d_events"], f"""
+, c1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY id) AS rn
+                        FROM d_discount_codes) WHERE rn = 1),
+used AS (SELECT discount_code_id, sum(group_members) AS filled FROM d_reservations
+         WHERE status <> 'canceled' AND discount_code_id IS NOT NULL AND discount_code_id <> 0
+         GROUP BY discount_code_id),
+q AS (SELECT r.request_id, r.code, r.event_id, c.id AS code_id, e.price,
+             CASE WHEN c.id IS NULL THEN 'not-found'
+                  WHEN c.expires_on < {NOW} THEN 'expired'
+                  WHEN (c.event_id IS NOT NULL AND c.event_id <> r.event_id)
+                    OR (c.category_id IS NOT NULL AND c.category_id IS DISTINCT FROM e.category_id)
+                    OR (c.leader_id IS NOT NULL AND c.leader_id IS DISTINCT FROM e.leader_id) THEN 'out-of-scope'
+                  WHEN c.capacity > 0 AND coalesce(u.filled, 0) >= c.capacity THEN 'used-up'
+                  ELSE 'ok' END AS verdict,
+             CASE WHEN coalesce(c.discount_percent, 0) <> 0 THEN
+                    CASE WHEN c.discount_max IS NOT NULL AND c.discount_max <> 0
+                         THEN least(round(cast(e.price AS decimal(18,2)) * c.discount_percent / 100, 2),
+                                    cast(c.discount_max AS decimal(18,2)))
+                         ELSE round(cast(e.price AS decimal(18,2)) * c.discount_percent / 100, 2) END
+                  ELSE cast(coalesce(c.discount_constant, 0) AS decimal(18,2)) END AS amt
+      FROM d_code_requests r LEFT JOIN c1 c ON r.code = c.code
+      LEFT JOIN used u ON c.id = u.discount_code_id LEFT JOIN d_events e ON r.event_id = e.id)
+SELECT request_id, code, event_id, code_id, verdict,
+       CASE WHEN verdict = 'ok' THEN cast(amt AS double) END AS amount,
+       CASE WHEN verdict = 'ok' THEN cast(greatest(0, cast(price AS decimal(18,2)) - amt) AS double) END
+         AS final_price
+FROM q""")
+def q_discount_quotes(spark, sf_dir):
+    from eventide.plans.commerce import discount_quotes
+    t = domain(spark, sf_dir)
+    return flat(discount_quotes(t, t.code_requests, AS_OF))
+
+
+@register("settle_batch", ["d_confirmations", "d_transactions", "d_reservations", "d_events"], """
+, tx1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY authority ORDER BY id) AS rn
+                         FROM d_transactions) WHERE rn = 1),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY authority ORDER BY confirmed_at, conf_id) AS rn
+       FROM d_confirmations),
+v AS (SELECT c.conf_id, c.authority, c.confirmed_at,
+             CASE WHEN c.rn > 1 THEN 'duplicate' WHEN t.id IS NULL THEN 'not-found'
+                  WHEN t.status = 'paid' THEN 'already-paid' ELSE 'settled' END AS verdict,
+             t.id AS transaction_id, t.reservation_id, e.is_approval
+      FROM c1 c LEFT JOIN tx1 t ON c.authority = t.authority
+      LEFT JOIN d_reservations r ON t.reservation_id = r.id LEFT JOIN d_events e ON r.event_id = e.id)
+SELECT conf_id, authority, confirmed_at, verdict, transaction_id, reservation_id,
+       CASE WHEN verdict = 'settled' THEN CASE WHEN is_approval THEN 'need-approval' ELSE 'paid' END END
+         AS reservation_status,
+       CASE WHEN verdict = 'settled' THEN 100000000000 + transaction_id END AS ref_id
+FROM v""")
+def q_settle_batch(spark, sf_dir):
+    from eventide.plans.commerce import settle_batch
+    t = domain(spark, sf_dir)
+    return settle_batch(t, t.confirmations)[0]
+
+
+@register("otp_audit", ["d_otp_issued", "d_otp_attempt"], """
+, cand AS (SELECT a.id AS attempt_id, a.phone, a.attempted_at, i.id AS otp_id, i.expires_at
+           FROM d_otp_attempt a LEFT JOIN d_otp_issued i
+             ON a.phone = i.phone AND a.code = i.code AND a.user_ip = i.user_ip
+            AND i.created_at <= a.attempted_at),
+best AS (SELECT attempt_id, phone, attempted_at, arg_max(otp_id, (expires_at, otp_id)) AS otp_id,
+                max(expires_at) AS expires_at
+         FROM cand GROUP BY attempt_id, phone, attempted_at),
+st AS (SELECT *, CASE WHEN otp_id IS NULL THEN 'wrong'
+                      WHEN floor(epoch(attempted_at)) < expires_at THEN 'ok' ELSE 'expired' END AS s
+       FROM best),
+st2 AS (SELECT *, CASE WHEN s = 'ok' AND row_number() OVER (PARTITION BY otp_id, s
+                         ORDER BY attempted_at, attempt_id) > 1 THEN 'reused' ELSE s END AS status
+        FROM st),
+req AS (SELECT phone, count(*) AS requests FROM d_otp_issued GROUP BY phone),
+att AS (SELECT phone, count(*) AS attempts, sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) AS matched,
+               sum(CASE WHEN status = 'expired' THEN 1 ELSE 0 END) AS expired,
+               sum(CASE WHEN status = 'wrong' THEN 1 ELSE 0 END) AS wrong,
+               sum(CASE WHEN status = 'reused' THEN 1 ELSE 0 END) AS reused
+        FROM st2 GROUP BY phone)
+SELECT coalesce(req.phone, att.phone) AS phone,
+       cast(coalesce(requests, 0) AS bigint) AS requests, cast(coalesce(attempts, 0) AS bigint) AS attempts,
+       cast(coalesce(matched, 0) AS bigint) AS matched, cast(coalesce(expired, 0) AS bigint) AS expired,
+       cast(coalesce(wrong, 0) AS bigint) AS wrong, cast(coalesce(reused, 0) AS bigint) AS reused
+FROM req FULL JOIN att ON req.phone = att.phone""")
+def q_otp_audit(spark, sf_dir):
+    from eventide.plans.commerce import otp_audit
+    t = domain(spark, sf_dir)
+    return otp_audit(t.otp_issued, t.otp_attempt)
