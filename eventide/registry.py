@@ -30,11 +30,12 @@ def flat(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
-def register(name: str, views: list[str] | None = None, sql: str | None = None):
+def register(name: str, views: list[str] | None = None, sql: str | None = None,
+             recursive: bool = False):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = (duckdb_ctes(views) if views else "") + sql
+            ORACLES[name] = (duckdb_ctes(views, recursive) if views else "") + sql
         return fn
     return deco
 
@@ -526,3 +527,46 @@ def q_otp_audit(spark, sf_dir):
     from eventide.plans.commerce import otp_audit
     t = domain(spark, sf_dir)
     return otp_audit(t.otp_issued, t.otp_attempt)
+
+
+# ---------------------------------------------------------------- admission / matching
+
+@register("admit_bookings", ["d_booking_requests", "d_events", "d_reservations"], """
+, base AS (SELECT event_id, sum(group_members) AS filled FROM d_reservations
+           WHERE status <> 'canceled' GROUP BY event_id),
+r AS (SELECT q.*, e.id IS NOT NULL AS ex, e.capacity, e.grouping,
+             e.capacity - coalesce(b.filled, 0) AS left0,
+             coalesce(e.grouping > 2 AND q.size > e.grouping, false) AS gviol,
+             coalesce(q.requested_at > e.start_time, false) AS closed,
+             row_number() OVER (PARTITION BY q.event_id ORDER BY q.requested_at, q.request_id) AS rn
+      FROM d_booking_requests q LEFT JOIN d_events e ON q.event_id = e.id
+      LEFT JOIN base b ON q.event_id = b.event_id),
+rec(event_id, rn, lft) AS (
+  SELECT DISTINCT event_id, 0 AS rn, left0 AS lft FROM r WHERE ex
+  UNION ALL
+  SELECT r.event_id, r.rn,
+         CASE WHEN NOT r.gviol AND NOT r.closed AND r.size <= rec.lft THEN rec.lft - r.size ELSE rec.lft END
+  FROM rec JOIN r ON r.event_id = rec.event_id AND r.rn = rec.rn + 1),
+d AS (SELECT r.*, p.lft AS left_before, c.lft AS left_after FROM r
+      LEFT JOIN rec p ON p.event_id = r.event_id AND p.rn = r.rn - 1
+      LEFT JOIN rec c ON c.event_id = r.event_id AND c.rn = r.rn)
+SELECT request_id, event_id, user_id, requested_at, size,
+       find_buddy AND coalesce(grouping, 0) < 2 AS find_buddy,
+       cast(capacity AS bigint) AS capacity, cast(grouping AS bigint) AS grouping,
+       cast(left0 AS bigint) AS left0, cast(left_before AS bigint) AS left_before,
+       ex AND left_after < left_before AS admitted,
+       CASE WHEN NOT ex THEN 'no-event' WHEN left_before <= 0 THEN 'full'
+            WHEN size > left_before OR gviol THEN 'too-many' WHEN closed THEN 'closed'
+            ELSE 'admitted' END AS reason,
+       cast(left_after AS bigint) AS left_after
+FROM d""", recursive=True)
+def q_admit_bookings(spark, sf_dir):
+    from eventide.operators.folds import admit_bookings
+    t = domain(spark, sf_dir)
+    return admit_bookings(t, t.booking_requests)
+
+
+@register("match_groups")
+def q_match_groups(spark, sf_dir):
+    from eventide.operators.folds import match_groups
+    return match_groups(domain(spark, sf_dir))

@@ -284,6 +284,15 @@ UNION ALL
 SELECT o_orderkey * 2 + 1 AS conf_id, 'A' || lpad(cast(o_orderkey AS string), 35, '0') AS authority,
        cast(o_orderdate AS {TS}) + interval '3' hour AS confirmed_at
 FROM {orders} WHERE o_orderkey % 10 = 1""",
+    "d_booking_requests": """
+SELECT event_id AS request_id,
+       (user_id * 7 + event_id) % 200 AS event_id,
+       user_id,
+       cast('1997-01-01 00:00:00' as {TS})
+         + interval '1' second * cast(cast(floor({EPOCH}(ts)) AS bigint) - 1704067200 AS int) AS requested_at,
+       cast(cast(floor(value) AS bigint) % 4 + 1 AS bigint) AS size,
+       event_id % 3 = 0 AS find_buddy
+FROM {events} WHERE event_type IN ('click', 'purchase')""",
 }
 
 _PLACEHOLDER = re.compile(r"\{([a-z_]+)\}")
@@ -298,14 +307,14 @@ def _dialect(text: str, engine: str) -> str:
     return text.replace("{TS}", ts).replace("{EPOCH}", epoch)
 
 
-def duckdb_ctes(names: list[str]) -> str:
+def duckdb_ctes(names: list[str], recursive: bool = False) -> str:
     """``WITH`` clause defining the given views for the DuckDB oracle."""
     parts = []
     for n in names:
         body = _dialect(VIEWS[n], "duckdb")
         body = _PLACEHOLDER.sub(lambda m: m.group(1), body)
         parts.append(f"{n} AS ({body.strip()})")
-    return "WITH " + ",\n".join(parts) + "\n"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
 
 
 @dataclass
