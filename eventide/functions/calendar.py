@@ -102,9 +102,8 @@ def persian_digits(c: Column) -> Column:
 
 
 def latin_digits(c: Column) -> Column:
-    """SC-7: Persian (and Arabic-Indic) digits to Latin; the Persian decimal
-    separator to a dot."""
-    return F.translate(c, PERSIAN_DIGITS + "٠١٢٣٤٥٦٧٨٩" + "٫", "0123456789" * 2 + ".")
+    """SC-7: Persian digits to Latin; the Persian decimal separator to a dot."""
+    return F.translate(c, PERSIAN_DIGITS + "٫", "0123456789.")
 
 
 def jalali_text(cal: DataFrame) -> Column:

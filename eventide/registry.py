@@ -570,3 +570,190 @@ def q_admit_bookings(spark, sf_dir):
 def q_match_groups(spark, sf_dir):
     from eventide.operators.folds import match_groups
     return match_groups(domain(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- quality / text / calendar
+
+_AUDIT_TABLES = ["users", "events", "leaders", "reservations", "transactions", "ratings",
+                 "leader_followers", "memory_likes", "messages", "support_tickets",
+                 "event_categories", "event_medias", "conversations"]
+
+
+def _audit_sql() -> str:
+    from eventide.operators.quality import marketplace_rules
+    sel = []
+    for r in marketplace_rules():
+        t, cols = f"d_{r.table}", ",".join(r.cols)
+        head = f"SELECT '{r.table}' AS table_name, '{r.kind}' AS rule, '{cols}' AS columns"
+        c = r.cols[0]
+        pk = "id"
+        if r.kind in ("not_null", "enum", "range"):
+            if r.kind == "not_null":
+                bad = f"{c} IS NULL"
+            elif r.kind == "enum":
+                vals = ", ".join("'" + v + "'" for v in r.values)
+                bad = f"{c} IS NOT NULL AND {c} NOT IN ({vals})"
+            else:
+                bad = f"{c} IS NOT NULL AND ({c} < {r.values[0]} OR {c} > {r.values[1]})"
+            sel.append(f"{head}, cast(coalesce(sum(CASE WHEN {bad} THEN 1 ELSE 0 END), 0) AS bigint)"
+                       f" AS violations, min(CASE WHEN {bad} THEN cast({pk} AS varchar) END)"
+                       f" AS sample_key FROM {t}")
+        elif r.kind in ("pk", "unique"):
+            key = " || '|' || ".join(f"cast({x} AS varchar)" for x in r.cols)
+            nn = " OR ".join(f"{x} IS NOT NULL" for x in r.cols)
+            sel.append(f"{head}, cast(count(*) AS bigint) AS violations, min(k) AS sample_key FROM "
+                       f"(SELECT {key} AS k FROM {t} WHERE {nn} GROUP BY {cols} HAVING count(*) > 1)")
+        else:
+            rt, rc = r.ref
+            sel.append(f"{head}, cast(count(*) AS bigint) AS violations, "
+                       f"min(cast({c} AS varchar)) AS sample_key FROM {t} "
+                       f"WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {rc} FROM d_{rt} "
+                       f"WHERE {rc} IS NOT NULL)")
+    return "\nUNION ALL\n".join(sel)
+
+
+@register("constraint_audit", ["d_" + x for x in _AUDIT_TABLES], _audit_sql())
+def q_constraint_audit(spark, sf_dir):
+    from eventide.operators.quality import audit, marketplace_rules
+    t = domain(spark, sf_dir)
+    return audit({n: getattr(t, n) for n in _AUDIT_TABLES}, marketplace_rules())
+
+
+_NID_OK = """(regexp_full_match(regexp_replace({c}, '[\\s\\-]', '', 'g'), '\\d{{10}}')
+  AND regexp_replace({c}, '[\\s\\-]', '', 'g') <> repeat(substr(regexp_replace({c}, '[\\s\\-]', '', 'g'), 1, 1), 10)
+  AND (CASE WHEN list_sum([cast(substr(regexp_replace({c}, '[\\s\\-]', '', 'g'), i, 1) AS int) * (11 - i)
+                           for i in range(1, 10)]) % 11 < 2
+            THEN cast(substr(regexp_replace({c}, '[\\s\\-]', '', 'g'), 10, 1) AS int)
+                 = list_sum([cast(substr(regexp_replace({c}, '[\\s\\-]', '', 'g'), i, 1) AS int) * (11 - i)
+                             for i in range(1, 10)]) % 11
+            ELSE cast(substr(regexp_replace({c}, '[\\s\\-]', '', 'g'), 10, 1) AS int)
+                 = 11 - list_sum([cast(substr(regexp_replace({c}, '[\\s\\-]', '', 'g'), i, 1) AS int) * (11 - i)
+                                  for i in range(1, 10)]) % 11 END))"""
+
+_FA = "'[\\x{0622}-\\x{06CC}\\s]{2,25}'"
+
+
+@register("validate_users", ["d_registrations", "d_users"], f"""
+, fp AS (SELECT phone, min(row_id) AS f FROM d_registrations GROUP BY phone),
+fn AS (SELECT national_id, min(row_id) AS f FROM d_registrations GROUP BY national_id),
+x AS (SELECT r.*, fp.f AS fpr, fn.f AS fnr,
+             r.phone IN (SELECT phone FROM d_users) AS ptaken,
+             r.national_id IN (SELECT national_id FROM d_users) AS ntaken
+      FROM d_registrations r LEFT JOIN fp ON r.phone = fp.phone
+      LEFT JOIN fn ON r.national_id = fn.national_id),
+y AS (SELECT *, concat_ws(',',
+        CASE WHEN NOT coalesce(regexp_full_match(first_name, {_FA}), false) THEN 'first_name' END,
+        CASE WHEN NOT coalesce(regexp_full_match(last_name, {_FA}), false) THEN 'last_name' END,
+        CASE WHEN NOT coalesce(regexp_full_match(phone, '09\\d{{9}}'), false) THEN 'phone' END,
+        CASE WHEN NOT coalesce({_NID_OK.format(c='national_id')}, false) THEN 'national_id' END,
+        CASE WHEN ptaken THEN 'phone_taken' END,
+        CASE WHEN ntaken THEN 'national_id_taken' END,
+        CASE WHEN row_id <> fpr THEN 'phone_repeated' END,
+        CASE WHEN row_id <> fnr THEN 'national_id_repeated' END) AS reasons FROM x)
+SELECT row_id, first_name, last_name, phone, sha256(national_id) AS national_id, reasons,
+       reasons = '' AS accepted
+FROM y""")
+def q_validate_users(spark, sf_dir):
+    from eventide.operators.quality import validate_users
+    t = domain(spark, sf_dir)
+    ok, bad = validate_users(t.registrations, t.users)
+    return ok.unionByName(bad).select(
+        "row_id", "first_name", "last_name", "phone", "national_id",
+        F.array_join("reasons", ",").alias("reasons"), (F.size("reasons") == 0).alias("accepted"))
+
+
+def _norm_phone_sql(c: str) -> str:
+    d = f"regexp_replace(translate({c}, '۰۱۲۳۴۵۶۷۸۹٫', '0123456789.'), '[^0-9]', '', 'g')"
+    return (f"CASE WHEN regexp_full_match({d}, '09\\d{{9}}') THEN {d} "
+            f"WHEN regexp_full_match({d}, '9\\d{{9}}') THEN '0' || {d} "
+            f"WHEN regexp_full_match({d}, '98\\d{{9,10}}') THEN '0' || substr({d}, 3) ELSE {d} END")
+
+
+@register("contact_duplicates", ["d_users", "d_registrations"], f"""
+, c AS (SELECT 'u' || cast(id AS varchar) AS id, phone FROM d_users
+        UNION ALL SELECT 'r' || cast(row_id AS varchar) AS id, phone FROM d_registrations)
+SELECT {_norm_phone_sql('phone')} AS phone_norm, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+FROM c GROUP BY 1 HAVING count(*) > 1""")
+def q_contact_duplicates(spark, sf_dir):
+    from eventide.functions.text import standardise_contacts
+    t = domain(spark, sf_dir)
+    c = (t.users.select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("id"), "phone")
+         .unionByName(t.registrations.select(
+             F.concat(F.lit("r"), F.col("row_id").cast("string")).alias("id"), "phone")))
+    return standardise_contacts(c).withColumn("ids", F.array_join("ids", ","))
+
+
+_ESC = "replace(replace(replace(replace(replace({c}, '&', '&amp;'), '\"', '&quot;'), '''', '&#039;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@register("clean_captions", ["d_memories"], f"""
+SELECT id, {_ESC.format(c="trim(uuid, ' ' || chr(9) || chr(10) || chr(13) || chr(0) || chr(11))")} AS uuid,
+       {_ESC.format(c="trim(caption, ' ' || chr(9) || chr(10) || chr(13) || chr(0) || chr(11))")} AS caption
+FROM d_memories""")
+def q_clean_captions(spark, sf_dir):
+    from eventide.functions.text import clean_text
+    return clean_text(domain(spark, sf_dir).memories.select("id", "uuid", "caption"))
+
+
+_MONTHS_DUCK = "[" + ", ".join("'" + m + "'" for m in __import__(
+    "eventide.functions.calendar", fromlist=["MONTH_NAMES"]).MONTH_NAMES) + "]"
+
+
+@register("event_slugs", ["d_events"], f"""
+, {JCAL_DUCK.strip()}
+SELECT e.id, trim(lower(regexp_replace(
+         regexp_replace(e.title, '[^a-zA-Z0-9\\s\\-_\\x{{0600}}-\\x{{06FF}}]', '', 'g')
+         || coalesce(' ' || lpad(cast(j.jd AS varchar), 2, '0') || ' ' || {_MONTHS_DUCK}[j.jm]
+                     || ' ' || cast(j.jy AS varchar), ''),
+         '\\s+', '-', 'g')), '-') AS slug
+FROM d_events e LEFT JOIN jcal j ON cast(e.start_time AS date) = j.date""")
+def q_event_slugs(spark, sf_dir):
+    from eventide.functions.calendar import jalali_calendar
+    from eventide.functions.text import slug
+    t = domain(spark, sf_dir)
+    return slug(t.events.select("id", "title", "start_time"), "title", "start_time",
+                jalali_calendar(spark)).select("id", "slug")
+
+
+@register("calendar_rollup", ["d_reservations"], f"""
+, {JCAL_DUCK.strip()}
+SELECT j.jy, j.jm, {_MONTHS_DUCK}[j.jm] AS month_name, count(*) AS bookings,
+       sum(r.group_members) AS seats
+FROM d_reservations r JOIN jcal j ON cast(r.created_at AS date) = j.date
+GROUP BY j.jy, j.jm""")
+def q_calendar_rollup(spark, sf_dir):
+    from eventide.functions.calendar import jalali_calendar, rollup_calendar
+    t = domain(spark, sf_dir)
+    return rollup_calendar(t.reservations, "created_at", jalali_calendar(spark), "month",
+                           [F.count(F.lit(1)).alias("bookings"),
+                            F.sum("group_members").alias("seats")])
+
+
+@register("validate_members", ["d_group_members"], f"""
+, {JCAL_DUCK.strip()},
+m AS (SELECT *, translate(trim(birth_date), '۰۱۲۳۴۵۶۷۸۹٫', '0123456789.') AS bt FROM d_group_members),
+p AS (SELECT *, CASE WHEN len(string_split(bt, '/')) = 3 THEN string_split(bt, '/')
+                     WHEN len(string_split(bt, '-')) = 3 THEN string_split(bt, '-') END AS parts FROM m),
+q AS (SELECT *, try_cast(parts[1] AS int) AS y, try_cast(parts[2] AS int) AS mo,
+             try_cast(parts[3] AS int) AS d FROM p),
+g AS (SELECT q.*, CASE WHEN y < 1600 THEN j.date
+                        ELSE try_strptime(lpad(cast(y AS varchar), 4, '0') || '-' || lpad(cast(mo AS varchar), 2, '0')
+                                          || '-' || lpad(cast(d AS varchar), 2, '0'), '%Y-%m-%d')::date END AS bd
+      FROM q LEFT JOIN jcal j ON q.y = j.jy AND q.mo = j.jm AND q.d = j.jd)
+SELECT member_id, reservation_id, cast(bd AS varchar) AS birth_date_g,
+       concat_ws(',',
+         CASE WHEN first_name IS NULL OR (trim(first_name) = '' AND first_name <> '0') THEN 'first_name' END,
+         CASE WHEN last_name IS NULL OR (trim(last_name) = '' AND last_name <> '0') THEN 'last_name' END,
+         CASE WHEN birth_date IS NULL OR (trim(birth_date) = '' AND birth_date <> '0') THEN 'birth_date' END,
+         CASE WHEN national_id IS NULL OR (trim(national_id) = '' AND national_id <> '0') THEN 'national_id' END,
+         CASE WHEN bd IS NULL AND NOT (birth_date IS NULL OR trim(birth_date) = '') THEN 'birth_date_format' END)
+         AS missing
+FROM g""")
+def q_validate_members(spark, sf_dir):
+    from eventide.functions.calendar import jalali_calendar
+    from eventide.operators.quality import validate_members
+    t = domain(spark, sf_dir)
+    ok, bad = validate_members(t.group_members, jalali_calendar(spark))
+    return ok.unionByName(bad).select("member_id", "reservation_id",
+                                      F.col("birth_date_g").cast("string").alias("birth_date_g"),
+                                      F.array_join("missing", ",").alias("missing"))

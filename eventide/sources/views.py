@@ -293,6 +293,39 @@ SELECT event_id AS request_id,
        cast(cast(floor(value) AS bigint) % 4 + 1 AS bigint) AS size,
        event_id % 3 = 0 AS find_buddy
 FROM {events} WHERE event_type IN ('click', 'purchase')""",
+    "d_registrations": """
+SELECT c_custkey AS row_id,
+       CASE c_custkey % 4 WHEN 0 THEN 'علی' WHEN 1 THEN 'مریم' WHEN 2 THEN split_part(c_name, '#', 1)
+            ELSE 'ر' END AS first_name,
+       CASE c_custkey % 5 WHEN 0 THEN 'احمدی' WHEN 1 THEN 'کریمی' WHEN 2 THEN 'رضایی'
+            WHEN 3 THEN 'Smith' ELSE 'محمدی نژاد' END AS last_name,
+       CASE c_custkey % 6 WHEN 0 THEN '09' || lpad(cast(c_custkey % 50 AS string), 9, '0')
+            WHEN 1 THEN '091' || lpad(cast(c_custkey + 500000 AS string), 8, '0')
+            WHEN 2 THEN '9' || lpad(cast(c_custkey AS string), 9, '0')
+            ELSE '092' || lpad(cast(c_custkey AS string), 8, '0') END AS phone,
+       CASE c_custkey % 7 WHEN 0 THEN '1111111111'
+            WHEN 1 THEN lpad(cast(c_custkey * 7 + 1 AS string), 10, '0')
+            ELSE lpad(cast(c_custkey * 7919 % 1000000000 AS string), 9, '0')
+                 || cast(c_custkey % 10 AS string) END AS national_id
+FROM {customer}""",
+    "d_group_members": """
+SELECT l_orderkey * 10 + l_linenumber AS member_id,
+       l_orderkey AS reservation_id,
+       CASE WHEN l_linenumber = 7 THEN NULL ELSE 'عضو' END AS first_name,
+       CASE WHEN l_linenumber = 6 THEN '' ELSE 'گروه ' || cast(l_linenumber AS string) END AS last_name,
+       CASE l_partkey % 4
+            WHEN 0 THEN '13' || cast(60 + l_suppkey % 20 AS string) || '/'
+                        || lpad(cast(l_partkey % 13 + 1 AS string), 2, '0') || '/'
+                        || lpad(cast(l_suppkey % 31 + 1 AS string), 2, '0')
+            WHEN 1 THEN cast(1970 + l_suppkey % 30 AS string) || '-'
+                        || lpad(cast(l_partkey % 12 + 1 AS string), 2, '0') || '-'
+                        || lpad(cast(l_orderkey % 28 + 1 AS string), 2, '0')
+            WHEN 2 THEN translate('13' || cast(50 + l_orderkey % 40 AS string) || '/0'
+                        || cast(l_linenumber AS string) || '/1' || cast(l_suppkey % 9 AS string),
+                        '0123456789', '۰۱۲۳۴۵۶۷۸۹')
+            ELSE '' END AS birth_date,
+       lpad(cast(l_orderkey * 31 + l_linenumber AS string), 10, '0') AS national_id
+FROM {lineitem}""",
 }
 
 _PLACEHOLDER = re.compile(r"\{([a-z_]+)\}")
