@@ -757,3 +757,127 @@ def q_validate_members(spark, sf_dir):
     return ok.unionByName(bad).select("member_id", "reservation_id",
                                       F.col("birth_date_g").cast("string").alias("birth_date_g"),
                                       F.array_join("missing", ",").alias("missing"))
+
+
+# ---------------------------------------------------------------- streaming (run with availableNow)
+
+@register("stream_live_fill", ["d_reservations"], """
+SELECT event_id, sum(CASE WHEN status = 'canceled' THEN 0 ELSE group_members END) AS filled
+FROM d_reservations GROUP BY event_id""")
+def q_stream_live_fill(spark, sf_dir):
+    from eventide.streaming.jobs import file_stream, live_fill, run_update_snapshot
+    r = domain(spark, sf_dir).reservations
+    changes = (r.select(F.col("id").alias("reservation_id"), "event_id", "group_members",
+                        F.lit("pending-pay").alias("status"),
+                        F.col("created_at").alias("version_ts"))
+               .unionByName(r.filter(F.col("status") == "canceled").select(
+                   F.col("id").alias("reservation_id"), "event_id", "group_members", "status",
+                   F.col("updated_at").alias("version_ts"))))
+    s = file_stream(changes, "bookings", "version_ts")
+    return run_update_snapshot(live_fill(s), "live_fill", "event_id")
+
+
+@register("stream_accept_messages", ["d_messages", "d_conversations"], """
+SELECT m.id, m.conversation_id, m.sender_id, m.created_at, m.created_at <= c.expires_on AS accepted
+FROM d_messages m JOIN d_conversations c ON m.conversation_id = c.id""")
+def q_stream_accept_messages(spark, sf_dir):
+    from eventide.streaming.jobs import accept_messages, file_stream, run_to_table
+    t = domain(spark, sf_dir)
+    s = file_stream(t.messages.select("id", "conversation_id", "sender_id", "created_at"),
+                    "messages", "created_at")
+    out = run_to_table(accept_messages(s, t.conversations), "accept_messages")
+    return out.select("id", "conversation_id", "sender_id",
+                      F.col("created_at").cast("timestamp_ntz").alias("created_at"), "accepted")
+
+
+@register("stream_settle", ["d_confirmations", "d_transactions", "d_reservations", "d_events"], """
+, tx1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY authority ORDER BY id) AS rn
+                         FROM d_transactions) WHERE rn = 1),
+c1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY authority ORDER BY confirmed_at, conf_id)
+                      AS rn FROM d_confirmations) WHERE rn = 1)
+SELECT c.authority, c.confirmed_at, t.id AS transaction_id, t.reservation_id,
+       CASE WHEN e.is_approval THEN 'need-approval' ELSE 'paid' END AS reservation_status,
+       100000000000 + t.id AS ref_id
+FROM c1 c JOIN tx1 t ON c.authority = t.authority
+LEFT JOIN d_reservations r ON t.reservation_id = r.id LEFT JOIN d_events e ON r.event_id = e.id
+WHERE t.status <> 'paid'""")
+def q_stream_settle(spark, sf_dir):
+    from eventide.streaming.jobs import file_stream, scratch_dir, settle_stream
+    t = domain(spark, sf_dir)
+    s = file_stream(t.confirmations, "confirmations", "confirmed_at")
+    out = scratch_dir(spark, "settled")
+    settle_stream(s, t.transactions, t.reservations, t.events, out)
+    return spark.read.parquet(out).select(
+        "authority", F.col("confirmed_at").cast("timestamp_ntz").alias("confirmed_at"),
+        "transaction_id", "reservation_id", "reservation_status", "ref_id")
+
+
+@register("stream_otp_match", ["d_otp_issued", "d_otp_attempt"], """
+SELECT a.id AS attempt_id, i.id AS otp_id
+FROM d_otp_attempt a JOIN d_otp_issued i
+  ON a.phone = i.phone AND a.code = i.code AND a.user_ip = i.user_ip
+ AND a.attempted_at >= i.created_at AND a.attempted_at < i.created_at + INTERVAL 120 SECOND""")
+def q_stream_otp_match(spark, sf_dir):
+    from eventide.streaming.jobs import file_stream, otp_match, run_to_table
+    t = domain(spark, sf_dir)
+    i = file_stream(t.otp_issued, "otp_issued", "created_at")
+    a = file_stream(t.otp_attempt, "otp_attempt", "attempted_at")
+    return run_to_table(otp_match(i, a), "otp_match").select("attempt_id", "otp_id")
+
+
+@register("stream_otp_throttle", ["d_otp_issued"], """
+, r AS (SELECT id, phone, page, created_at, floor(epoch(created_at)) AS s,
+               row_number() OVER (PARTITION BY phone, page ORDER BY created_at, id) AS rn
+        FROM d_otp_issued),
+rec(phone, page, rn, live_until, accepted) AS (
+  SELECT phone, page, rn, s + 120, true FROM r WHERE rn = 1
+  UNION ALL
+  SELECT r.phone, r.page, r.rn,
+         CASE WHEN r.s < rec.live_until THEN rec.live_until ELSE r.s + 120 END,
+         NOT (r.s < rec.live_until)
+  FROM rec JOIN r ON r.phone = rec.phone AND r.page = rec.page AND r.rn = rec.rn + 1)
+SELECT r.id, r.phone, r.page, rec.accepted,
+       CASE WHEN rec.accepted THEN cast(rec.live_until AS bigint) END AS expires_at
+FROM r JOIN rec ON r.phone = rec.phone AND r.page = rec.page AND r.rn = rec.rn""", recursive=True)
+def q_stream_otp_throttle(spark, sf_dir):
+    from eventide.streaming.jobs import file_stream, otp_throttle, run_to_table
+    t = domain(spark, sf_dir)
+    s = file_stream(t.otp_issued.select("id", "phone", "page", "created_at"), "otp_req",
+                    "created_at")
+    return run_to_table(otp_throttle(s), "otp_throttle").select(
+        "id", "phone", "page", "accepted", "expires_at")
+
+
+@register("stream_admit", ["d_booking_requests", "d_events", "d_reservations"], """
+, base AS (SELECT event_id, sum(group_members) AS filled FROM d_reservations
+           WHERE status <> 'canceled' GROUP BY event_id),
+r AS (SELECT q.*, e.id IS NOT NULL AS ex, e.grouping,
+             e.capacity - coalesce(b.filled, 0) AS left0,
+             coalesce(e.grouping > 2 AND q.size > e.grouping, false) AS gviol,
+             coalesce(q.requested_at > e.start_time, false) AS closed,
+             row_number() OVER (PARTITION BY q.event_id ORDER BY q.requested_at, q.request_id) AS rn
+      FROM d_booking_requests q LEFT JOIN d_events e ON q.event_id = e.id
+      LEFT JOIN base b ON q.event_id = b.event_id),
+rec(event_id, rn, lft) AS (
+  SELECT DISTINCT event_id, 0 AS rn, left0 AS lft FROM r WHERE ex
+  UNION ALL
+  SELECT r.event_id, r.rn,
+         CASE WHEN NOT r.gviol AND NOT r.closed AND r.size <= rec.lft THEN rec.lft - r.size ELSE rec.lft END
+  FROM rec JOIN r ON r.event_id = rec.event_id AND r.rn = rec.rn + 1),
+d AS (SELECT r.*, p.lft AS left_before, c.lft AS left_after FROM r
+      LEFT JOIN rec p ON p.event_id = r.event_id AND p.rn = r.rn - 1
+      LEFT JOIN rec c ON c.event_id = r.event_id AND c.rn = r.rn)
+SELECT request_id, event_id, size, cast(left_before AS bigint) AS left_before,
+       ex AND left_after < left_before AS admitted,
+       CASE WHEN NOT ex THEN 'no-event' WHEN left_before <= 0 THEN 'full'
+            WHEN size > left_before OR gviol THEN 'too-many' WHEN closed THEN 'closed'
+            ELSE 'admitted' END AS reason
+FROM d""", recursive=True)
+def q_stream_admit(spark, sf_dir):
+    from eventide.operators.stats import seats_filled
+    from eventide.streaming.jobs import admit_stream, file_stream, run_to_table
+    t = domain(spark, sf_dir)
+    s = file_stream(t.booking_requests.select("request_id", "event_id", "requested_at", "size"),
+                    "booking_requests", "requested_at", n_files=6)
+    out = run_to_table(admit_stream(s, t.events, seats_filled(t.reservations)), "admit_stream")
+    return out.select("request_id", "event_id", "size", "left_before", "admitted", "reason")

@@ -261,12 +261,19 @@ SELECT event_id AS id,
        ts AS created_at
 FROM {events} WHERE event_type = 'signup'""",
     "d_otp_attempt": """
-SELECT event_id AS id,
+SELECT event_id * 10 + 1 AS id,
        '09' || lpad(cast(user_id AS string), 9, '0') AS phone,
        CASE WHEN event_id % 5 = 0 THEN '99999'
             ELSE lpad(cast((user_id * 7919 + cast(floor({EPOCH}(ts) / 3600) AS bigint)) % 100000 AS string), 5, '0')
        END AS code,
        CASE WHEN event_id % 7 = 0 THEN '10.9.9.9' ELSE '10.0.0.' || cast(user_id % 4 AS string) END AS user_ip,
+       ts + interval '1' second * cast(event_id % 200 AS int) AS attempted_at
+FROM {events} WHERE event_type = 'signup'
+UNION ALL
+SELECT event_id * 10 + 2 AS id,
+       '09' || lpad(cast(user_id AS string), 9, '0') AS phone,
+       lpad(cast((user_id * 7919 + cast(floor({EPOCH}(ts) / 3600) AS bigint)) % 100000 AS string), 5, '0') AS code,
+       '10.0.0.' || cast(user_id % 4 AS string) AS user_ip,
        ts AS attempted_at
 FROM {events} WHERE event_type = 'view'""",
     "d_code_requests": """
