@@ -77,28 +77,38 @@ def cascade_delete(messages: DataFrame, removed_conversations: DataFrame | None
 
 
 def assign_codes(df: DataFrame, key: str, existing: DataFrame | None = None,
-                 prefix: str = "RES_", digits: int = 6, out: str = "code") -> DataFrame:
+                 prefix: str = "RES_", digits: int = 6, out: str = "code",
+                 max_rounds: int = 200) -> DataFrame:
     """SNK-6: deterministic unique codes ``prefix`` + ``digits`` digits.
 
-    The code comes from a hash of the row key; rows whose code collides with
-    another row or with ``existing`` codes move to the next salt, for a few
-    rounds. Same input, same codes (a retried task writes the same values).
+    Round r hashes each still-unassigned key with salt r into the code space;
+    a code already taken (by ``existing`` or an earlier round) is refused,
+    and among keys landing on the same free code the smallest key wins. The
+    rest go to the next round until every key has a code; each round is
+    checkpointed so lineage stays short. Same input, same codes. Raises when
+    the code space is too full to finish (no key is left without a code).
     """
     space = 10 ** digits
-    pending = df.select(key).distinct()
-    taken = existing.select(F.col(existing.columns[0]).alias(out)) if existing is not None else None
+    pending = df.select(key).distinct().checkpoint()
+    taken = (existing.select(F.col(existing.columns[0]).alias(out)).distinct()
+             if existing is not None else None)
     assigned = None
-    for salt in range(8):
+    for salt in range(max_rounds):
+        if pending.isEmpty():
+            break
         cand = pending.withColumn(out, F.concat(F.lit(prefix), F.lpad(
-            (F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(space))).cast("string"),
+            F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(space)).cast("string"),
             digits, "0")))
         if taken is not None:
             cand = cand.join(taken, out, "left_anti")
-        # one winner per code: the smallest key
-        win = cand.groupBy(out).agg(F.min(key).alias(key))
-        assigned = win if assigned is None else assigned.unionByName(win)
+        win = cand.groupBy(out).agg(F.min(key).alias(key)).checkpoint()
+        assigned = win if assigned is None else assigned.unionByName(win).checkpoint()
         taken = win.select(out) if taken is None else taken.unionByName(win.select(out))
-        pending = pending.join(win.select(key), key, "left_anti")
+        taken = taken.checkpoint()
+        pending = pending.join(win.select(key), key, "left_anti").checkpoint()
+    else:
+        if not pending.isEmpty():
+            raise RuntimeError("code space too full to assign unique codes")
     return df.join(assigned, key, "left")
 
 
