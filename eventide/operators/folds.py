@@ -277,47 +277,74 @@ _MATCH_SCHEMA = ("reservation_id long, event_id long, user_id long, kind string,
                  "placed boolean, chat_fill int, chat_size int, chat_status string")
 
 
-def _match_event(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["paid_at", "reservation_id"])
-    grouping = int(pdf["grouping"].iloc[0] or 0)
-    out = []
-    for kind in ("buddy", "group"):
-        if kind == "buddy":
-            sub = pdf[pdf["find_buddy"].fillna(False).astype(bool)]
-            size_cap, weight = 2, np.ones(len(sub), dtype=np.int64)
+class _EventChats:
+    """First-fit chat state of one event: open buddy and group chats."""
+
+    def __init__(self, grouping: int):
+        self.grouping = grouping
+        self.chats = {"buddy": [], "group": []}  # each chat: [fill, users, status]
+
+    def place(self, kind: str, user, weight: int, size_cap: int):
+        chats = self.chats[kind]
+        for i, c in enumerate(chats):
+            if c[2] == "pending" and c[0] + weight <= size_cap and user not in c[1]:
+                break
         else:
-            if grouping < 2:
-                continue
-            sub = pdf
-            size_cap, weight = grouping, sub["group_members"].to_numpy(np.int64)
-        chats: list[list] = []  # [fill, members(set), status]
-        for (_, r), w in zip(sub.iterrows(), weight):
-            placed_at = None
-            for i, c in enumerate(chats):
-                if c[2] == "pending" and c[0] + w <= size_cap and r["user_id"] not in c[1]:
-                    placed_at = i
-                    break
-            if placed_at is None:
-                if w > size_cap:
-                    out.append((r["reservation_id"], r["event_id"], r["user_id"], kind, None,
-                                False, None, size_cap, None))
-                    continue
-                chats.append([0, set(), "pending"])
-                placed_at = len(chats) - 1
-            c = chats[placed_at]
-            c[0] += int(w)
-            c[1].add(r["user_id"])
-            if c[0] == size_cap:
-                c[2] = "completed"
-            out.append((r["reservation_id"], r["event_id"], r["user_id"], kind, placed_at + 1,
-                        True, c[0], size_cap, None))
-        # final fill / status of each chat
-        fills = {i + 1: (c[0], c[2]) for i, c in enumerate(chats)}
-        out = [o if o[3] != kind or o[4] is None else
-               (o[0], o[1], o[2], o[3], o[4], o[5], fills[o[4]][0], o[7], fills[o[4]][1])
-               for o in out]
-    return pd.DataFrame(out, columns=["reservation_id", "event_id", "user_id", "kind", "chat_no",
-                                      "placed", "chat_fill", "chat_size", "chat_status"])
+            if weight > size_cap:
+                return None
+            chats.append([0, set(), "pending"])
+            i = len(chats) - 1
+        c = chats[i]
+        c[0] += weight
+        c[1].add(user)
+        if c[0] == size_cap:
+            c[2] = "completed"
+        return i + 1
+
+
+def _match_partition(it):
+    """Rows arrive sorted by (event, paid time, id); one event's state is
+    kept until the next event starts, across Arrow batches."""
+    cur, st, pending = None, None, []
+
+    def flush():
+        # final fill / status of each chat for the rows of the finished event
+        out = []
+        for row in pending:
+            rid, ev, user, kind, no, size_cap = row
+            if no is None:
+                out.append((rid, ev, user, kind, None, False, None, size_cap, None))
+            else:
+                c = st.chats[kind][no - 1]
+                out.append((rid, ev, user, kind, no, True, c[0], size_cap, c[2]))
+        return out
+
+    for pdf in it:
+        rows_out = []
+        cols = [pdf[c].to_numpy() for c in
+                ("reservation_id", "event_id", "user_id", "group_members", "find_buddy",
+                 "grouping")]
+        for rid, ev, user, members, buddy, grouping in zip(*cols):
+            if ev != cur:
+                if cur is not None:
+                    rows_out += flush()
+                cur, pending = ev, []
+                st = _EventChats(int(grouping) if grouping == grouping else 0)
+            if buddy:
+                pending.append((rid, ev, user, "buddy", st.place("buddy", user, 1, 2), 2))
+            if st.grouping >= 2:
+                pending.append((rid, ev, user, "group",
+                                st.place("group", user, int(members), st.grouping), st.grouping))
+        if rows_out:
+            yield pd.DataFrame(rows_out, columns=_MATCH_COLS)
+    if cur is not None:
+        rest = flush()
+        if rest:
+            yield pd.DataFrame(rest, columns=_MATCH_COLS)
+
+
+_MATCH_COLS = ["reservation_id", "event_id", "user_id", "kind", "chat_no", "placed",
+               "chat_fill", "chat_size", "chat_status"]
 
 
 def match_groups(t, paid: DataFrame | None = None) -> DataFrame:
@@ -342,8 +369,10 @@ def match_groups(t, paid: DataFrame | None = None) -> DataFrame:
                        F.col("updated_at").alias("paid_at"))
             .join(ev.select("event_id", "grouping"), "event_id"))
     # Only bookings that can be placed enter the per-event state.
-    rows = rows.filter(F.col("find_buddy") | (F.col("grouping") >= 2))
-    matched = rows.groupBy("event_id").applyInPandas(_match_event, _MATCH_SCHEMA)
+    rows = (rows.filter(F.col("find_buddy") | (F.col("grouping") >= 2))
+            .repartition("event_id")
+            .sortWithinPartitions("event_id", "paid_at", "reservation_id"))
+    matched = rows.mapInPandas(_match_partition, _MATCH_SCHEMA)
     expiry = ev.select("event_id", (F.coalesce("end_time", "start_time")
                                     + F.expr("INTERVAL 7 DAYS")).alias("chat_expires_on"))
     return matched.join(expiry, "event_id", "left")

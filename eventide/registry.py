@@ -881,3 +881,59 @@ def q_stream_admit(spark, sf_dir):
                     "booking_requests", "requested_at", n_files=6)
     out = run_to_table(admit_stream(s, t.events, seats_filled(t.reservations)), "admit_stream")
     return out.select("request_id", "event_id", "size", "left_before", "admitted", "reason")
+
+
+# ---------------------------------------------------------------- event intake and sinks
+
+@register("validate_events")
+def q_validate_events(spark, sf_dir):
+    from eventide.functions.calendar import jalali_calendar
+    from eventide.operators.quality import validate_events
+    t = domain(spark, sf_dir)
+    ok, bad = validate_events(t.event_submissions, t.event_categories, t.event_medias, t.leaders,
+                              t.users, jalali_calendar(spark), AS_OF)
+    return (ok.select("sub_id", F.lit("").alias("reasons"), "thumbnail_id", "status", "leader_id",
+                      "grouping", "start_time")
+            .unionByName(bad.select("sub_id", F.array_join("reasons", ",").alias("reasons"))
+                         , allowMissingColumns=True))
+
+
+@register("ingest_events")
+def q_ingest_events(spark, sf_dir):
+    from eventide.functions.calendar import jalali_calendar
+    from eventide.operators.quality import ingest_events, validate_events
+    t = domain(spark, sf_dir)
+    ok, _ = validate_events(t.event_submissions, t.event_categories, t.event_medias, t.leaders,
+                            t.users, jalali_calendar(spark), AS_OF)
+    new_events, _ = ingest_events(ok, t.events, t.event_medias, AS_OF)
+    return flat(new_events)
+
+
+@register("delete_medias", ["d_event_medias", "d_part_keys"], """
+SELECT m.* FROM d_event_medias m
+WHERE NOT EXISTS (SELECT 1 FROM d_part_keys k WHERE k.uuid = m.uuid AND k.uploader_id = m.uploader_id)""")
+def q_delete_medias(spark, sf_dir):
+    from eventide.sources.sinks import delete_keys
+    t = domain(spark, sf_dir)
+    return delete_keys(t.event_medias, t.part_keys)
+
+
+@register("cascade_messages", ["d_messages"], """
+, gone0 AS (SELECT id FROM d_messages WHERE conversation_id % 7 = 0 OR sender_id % 11 = 0),
+gone(id) AS (SELECT id FROM gone0
+             UNION SELECT m.id FROM d_messages m JOIN gone g ON m.reply_to = g.id)
+SELECT * FROM d_messages WHERE id NOT IN (SELECT id FROM gone)""", recursive=True)
+def q_cascade_messages(spark, sf_dir):
+    from eventide.sources.sinks import cascade_delete
+    t = domain(spark, sf_dir)
+    convs = t.conversations.filter(F.col("id") % 7 == 0).select("id")
+    users = t.users.filter(F.col("id") % 11 == 0).select("id")
+    return cascade_delete(t.messages, removed_conversations=convs, removed_users=users)
+
+
+@register("reservation_codes")
+def q_reservation_codes(spark, sf_dir):
+    from eventide.sources.sinks import assign_codes, authority_code
+    r = domain(spark, sf_dir).reservations.select("id", "price")
+    return (assign_codes(r, "id", digits=6)
+            .withColumn("authority", authority_code(F.col("price"), F.col("id"))))

@@ -333,6 +333,44 @@ SELECT l_orderkey * 10 + l_linenumber AS member_id,
             ELSE '' END AS birth_date,
        lpad(cast(l_orderkey * 31 + l_linenumber AS string), 10, '0') AS national_id
 FROM {lineitem}""",
+    "d_event_submissions": """
+SELECT p_partkey AS sub_id,
+       CASE WHEN p_partkey % 17 = 0 THEN 0 WHEN p_partkey % 23 = 0 THEN 100 ELSE p_partkey % 10 + 7 END
+         AS creator_id,
+       CASE WHEN p_partkey % 31 = 0 THEN 'abc' ELSE p_name END AS title,
+       cast(p_partkey % 6 AS string) AS category,
+       CASE WHEN p_partkey % 5 = 0
+            THEN '13' || cast(78 + p_partkey % 2 AS string) || '/' || lpad(cast(p_partkey % 12 + 1 AS string), 2, '0')
+                 || '/' || lpad(cast(p_partkey % 29 + 1 AS string), 2, '0')
+            ELSE cast(1999 + p_partkey % 3 AS string) || '/' || lpad(cast(p_partkey % 12 + 1 AS string), 2, '0')
+                 || '/' || lpad(cast(p_partkey % 28 + 1 AS string), 2, '0') END AS start_date,
+       lpad(cast(p_size % 24 AS string), 2, '0') || ':30' AS start_time,
+       CASE WHEN p_partkey % 5 = 0
+            THEN '13' || cast(78 + p_partkey % 2 AS string) || '/' || lpad(cast(p_partkey % 12 + 1 AS string), 2, '0')
+                 || '/' || lpad(cast(p_partkey % 29 + 1 AS string), 2, '0')
+            ELSE cast(1999 + p_partkey % 3 AS string) || '/' || lpad(cast(p_partkey % 12 + 1 AS string), 2, '0')
+                 || '/' || lpad(cast(p_partkey % 28 + 1 AS string), 2, '0') END AS end_date,
+       cast(p_size % 24 + 2 AS string) || ':00' AS end_time,
+       'سالن ' || cast(p_size AS string) AS location_name,
+       'خیابان آزادی پلاک ' || cast(p_partkey AS string) AS address,
+       CASE WHEN p_partkey % 19 = 0 THEN '95.5' ELSE cast(35 + p_partkey % 50 AS string) || '.123' END
+         AS coordinate_lat,
+       CASE WHEN p_partkey % 2 = 0 THEN '120.5' ELSE '51.4' END AS coordinate_lng,
+       'خیابان آزادی پلاک ' || cast(p_partkey AS string) AS coordinate_address,
+       p_name || ' ' || lower(p_type) || ' ' || p_brand AS description,
+       CASE WHEN p_partkey % 9 = 0 THEN 'media-' || cast(p_partkey * 2 + 1 AS string)
+            ELSE 'media-' || cast(p_partkey * 2 + 1 AS string) || ',media-' || cast(p_partkey * 2 AS string)
+       END AS media_ids,
+       cast(p_size % 30 + 5 AS string) AS capacity,
+       cast(p_partkey % 4 AS string) AS grouping,
+       cast(cast(round(p_retailprice) AS bigint) AS string) || ',000' AS price,
+       p_partkey % 7 = 0 AS private,
+       p_partkey % 3 = 0 AS approval,
+       CASE WHEN p_partkey % 17 = 0 THEN cast(p_partkey % 10 AS string) END AS leader
+FROM {part}""",
+    "d_part_keys": """
+SELECT 'media-' || cast(p_partkey * 2 + 1 AS string) AS uuid, p_partkey % 10 + 7 AS uploader_id
+FROM {part} WHERE p_partkey % 5 = 0""",
 }
 
 _PLACEHOLDER = re.compile(r"\{([a-z_]+)\}")
