@@ -46,7 +46,11 @@ def _arr(values: list[str]) -> Column:
 
 def jalali_calendar(spark: SparkSession, start: str = "1900-01-01",
                     end: str = "2100-12-31") -> DataFrame:
-    """CAL-1: one row per Gregorian day in [start, end] with its Jalali parts."""
+    """CAL-1: one row per Gregorian day in [start, end] with its Jalali parts:
+    year, month, day, month name and short name, season (number and name),
+    weekday (Saturday = 0) and its name, leap flag, month length, day of year
+    (0-based), days left, percent of the year passed, week and week-year,
+    zodiac month name, year animal, and the date text in Persian digits."""
     g0, g1 = _dt.date.fromisoformat(start), _dt.date.fromisoformat(end)
     y0, y1 = g0.year - 622, g1.year - 620  # covers every Jalali year touching the range
     years = (spark.range(y0, y1 + 1).select(F.col("id").alias("jy"))
@@ -70,6 +74,13 @@ def jalali_calendar(spark: SparkSession, start: str = "1900-01-01",
                        (F.col("start_ord") + F.col("doy") - F.col("anchor_ord")).cast("int"))
     cal = days.select(gdate.alias("date"), F.col("jy").cast("int").alias("jy"), jm.alias("jm"),
                       jd.alias("jd"), "doy", "leap")
+    # Week numbering: weeks run Saturday..Friday; a week belongs to the year
+    # that holds its Tuesday, and its number is that Tuesday's day of year
+    # // 7 + 1 (so week 1 is the first week with at least 4 days in the year).
+    tue = cal.select(F.col("date").alias("_tue"), F.col("jy").alias("week_year"),
+                     (F.floor(F.col("doy") / 7) + 1).cast("int").alias("week"))
+    cal = (cal.withColumn("_tue", F.date_add("date", (3 - F.dayofweek("date") % 7).cast("int")))
+           .join(tue, "_tue", "left").drop("_tue"))
     cal = cal.filter((F.col("date") >= F.lit(start).cast("date"))
                      & (F.col("date") <= F.lit(end).cast("date")))
     leap_i = F.col("leap").cast("int")
@@ -90,6 +101,7 @@ def jalali_calendar(spark: SparkSession, start: str = "1900-01-01",
         F.col("doy").cast("int").alias("day_of_year"),
         (leap_i + 364 - F.col("doy")).cast("int").alias("days_left"),
         (F.floor(F.col("doy") / (leap_i + 365.24) * 1000) / 10).alias("percent_passed"),
+        F.col("week"), F.col("week_year"),
         F.element_at(_arr(ZODIAC_NAMES), F.col("jm")).alias("zodiac"),
         F.element_at(_arr(YEAR_ANIMALS), (F.col("jy") % 12).cast("int") + 1).alias("year_animal"),
         persian_digits(F.concat_ws("/", "jy", "jm", "jd")).alias("text_fa"),

@@ -256,7 +256,8 @@ jys AS (SELECT jy, ylen, coalesce(sum(ylen) OVER (ORDER BY jy ROWS BETWEEN UNBOU
 janc AS (SELECT so AS aso FROM jys WHERE jy = 1403),
 jcal AS (SELECT cast(DATE '2024-03-20' + cast(so + d - aso AS integer) AS date) AS date, jy,
                 CASE WHEN d < 186 THEN d // 31 + 1 ELSE (d - 186) // 30 + 7 END AS jm,
-                CASE WHEN d < 186 THEN d % 31 + 1 ELSE (d - 186) % 30 + 1 END AS jd
+                CASE WHEN d < 186 THEN d % 31 + 1 ELSE (d - 186) % 30 + 1 END AS jd,
+                d AS doy, ylen = 366 AS leap
          FROM jys, janc, range(0, 366) r(d) WHERE d < ylen)"""
 
 
@@ -937,3 +938,25 @@ def q_reservation_codes(spark, sf_dir):
     r = domain(spark, sf_dir).reservations.select("id", "price")
     return (assign_codes(r, "id", digits=6)
             .withColumn("authority", authority_code(F.col("price"), F.col("id"))))
+
+
+@register("calendar_days", ["d_reservations"], f"""
+, {JCAL_DUCK.strip()},
+days AS (SELECT DISTINCT cast(created_at AS date) AS date FROM d_reservations),
+c AS (SELECT j.*, (dayofweek(j.date) + 1) % 7 AS weekday FROM jcal j JOIN days USING (date))
+SELECT cast(c.date AS varchar) AS date, c.jy, c.jm, c.jd, {_MONTHS_DUCK}[c.jm] AS month_name,
+       cast(floor(c.jm / 3.1) + 1 AS int) AS season, c.weekday, c.leap,
+       CASE WHEN c.jm = 12 THEN 29 + cast(c.leap AS int) ELSE 31 - cast(floor(c.jm / 6.5) AS int) END
+         AS month_len,
+       c.doy AS day_of_year, cast(c.leap AS int) + 364 - c.doy AS days_left,
+       t.doy // 7 + 1 AS week, t.jy AS week_year
+FROM c LEFT JOIN jcal t ON t.date = c.date + cast(3 - c.weekday AS integer)""")
+def q_calendar_days(spark, sf_dir):
+    from eventide.functions.calendar import jalali_calendar
+    t = domain(spark, sf_dir)
+    days = t.reservations.select(F.col("created_at").cast("date").alias("date")).distinct()
+    cal = jalali_calendar(spark)
+    return (days.join(F.broadcast(cal), "date")
+            .select(F.col("date").cast("string").alias("date"), "jy", "jm", "jd", "month_name",
+                    "season", "weekday", "leap", "month_len", "day_of_year", "days_left", "week",
+                    "week_year"))

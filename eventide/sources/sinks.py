@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventide.session import ensure_checkpoint_dir
+
 
 def apply_updates(base: DataFrame, updates: DataFrame, key: str, order: str) -> DataFrame:
     """SNK-3: keyed update as a snapshot merge.
@@ -52,6 +54,7 @@ def cascade_delete(messages: DataFrame, removed_conversations: DataFrame | None
     round removes nothing. ``max_depth`` only guards against a cycle in bad
     data; reply chains deeper than it raise instead of being cut.
     """
+    ensure_checkpoint_dir(messages.sparkSession)
     keep = messages
     if removed_conversations is not None:
         keep = keep.join(removed_conversations.select(F.col(removed_conversations.columns[0])
@@ -88,6 +91,7 @@ def assign_codes(df: DataFrame, key: str, existing: DataFrame | None = None,
     checkpointed so lineage stays short. Same input, same codes. Raises when
     the code space is too full to finish (no key is left without a code).
     """
+    ensure_checkpoint_dir(df.sparkSession)
     space = 10 ** digits
     pending = df.select(key).distinct().checkpoint()
     taken = (existing.select(F.col(existing.columns[0]).alias(out)).distinct()

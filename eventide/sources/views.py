@@ -425,4 +425,12 @@ class Domain:
 
 
 def domain(spark: SparkSession, sf_dir: str) -> Domain:
+    """Domain tables for one input folder. Pins the session time zone to UTC
+    (the wall-clock times of the data are zone-less) and makes sure a reliable
+    checkpoint folder exists for the jobs that cut lineage."""
+    from eventide.session import ensure_checkpoint_dir, ship_package
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return Domain(spark, sf_dir)

@@ -97,3 +97,20 @@ def test_require_groups(spark):
                                "a string, b string, c string, f boolean")
     got = [r.missing for r in require(df, ["a", "f"], [["b", "c"]]).collect()]
     assert got == [["one_of:b|c"], ["a"]]
+
+
+@pytest.mark.parametrize("day,week,week_year", [("2024-03-20", 53, 1402), ("2024-03-22", 53, 1402),
+                                                ("2024-03-23", 1, 1403), ("2024-03-29", 1, 1403),
+                                                ("2024-03-30", 2, 1403)])
+def test_week_numbers(spark, cal, day, week, week_year):
+    r = cal.filter(F.col("date") == day).first()
+    assert (r.week, r.week_year) == (week, week_year)
+
+
+def test_week_numbers_are_contiguous(spark, cal):
+    # within a week-year, weeks run 1..52 or 53 without gaps, 7 days each
+    # (the edges of the generated range are partial and left out)
+    wk = (cal.filter(F.col("week_year").between(1350, 1408)).groupBy("week_year", "week").count())
+    assert wk.filter("count <> 7").count() == 0
+    per_year = wk.groupBy("week_year").agg(F.max("week").alias("m"), F.count("*").alias("n"))
+    assert per_year.filter("m <> n OR m < 52 OR m > 53").count() == 0
