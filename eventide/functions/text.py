@@ -64,12 +64,13 @@ def norm_phone(c: Column) -> Column:
 
 
 def standardise_contacts(df: DataFrame, phone_col: str = "phone", key: str = "id") -> DataFrame:
-    """TXT-2: normalised phone per row plus a duplicate report: every
-    normalised phone held by more than one row, with the count and ids."""
+    """TXT-2: normalised phone per row and a duplicate report in long form:
+    one row per (normalised phone, row key) for every phone held by more than
+    one row, with the size of that group. No group is collected into one
+    row, so a phone shared by a huge number of rows stays distributed."""
     norm = df.withColumn("phone_norm", norm_phone(F.col(phone_col)))
-    return (norm.groupBy("phone_norm")
-            .agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(key)).alias("ids"))
-            .filter(F.col("n") > 1))
+    counts = norm.groupBy("phone_norm").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return norm.join(counts, "phone_norm").select("phone_norm", F.col(key).alias("id"), "n")
 
 
 # SC-6: characters a slug keeps (ASCII letters, digits, whitespace, '-', '_',

@@ -59,3 +59,9 @@ def first_image(media_lists: DataFrame, medias: DataFrame, list_col: str = "medi
     images = medias.filter(F.col("type") == "image").select(F.col("id").alias("media_id"))
     return (pos.join(images, "media_id", "left_semi")
             .groupBy(key).agg(F.min_by("media_id", "pos").alias("thumbnail_id")))
+
+
+def top_by(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """ORD-2 / ORD-3: the first ``n`` rows of the whole table in ``order``
+    (planned as TakeOrderedAndProject: each task keeps n rows)."""
+    return df.orderBy(*order).limit(n)

@@ -16,7 +16,7 @@ from eventide.functions.exprs import (full_name, full_url, grouping_filter, hour
                                       in_categories, location_like, of_leader, on_day, ts_lit,
                                       visible)
 from eventide.operators.stats import capacity_struct, rating_columns, rating_stats, seats_filled
-from eventide.operators.windows import top_n_per
+from eventide.operators.windows import top_by, top_n_per
 
 
 def leader_dim(t) -> DataFrame:
@@ -103,27 +103,43 @@ def event_catalog(t, as_of: str, location: str | None = None, day: str | None =
 
 
 def event_detail(t, slugs=None) -> DataFrame:
-    """Q02: one event by slug (every slug when ``slugs`` is None): verified
-    only, private allowed; plus address, coordinates and the media list."""
+    """Q02: events by slug (every slug when ``slugs`` is None): verified
+    only, private allowed; plus address, coordinates and the number of
+    attached media. The media themselves are ``event_detail_medias`` rows
+    (one per media, in id order), so an event with a huge media list never
+    becomes one oversized row."""
     ev = visible(t.events, "slug")
     if slugs is not None:
         ev = ev.filter(F.col("slug").isin(list(slugs)))
-    medias = (t.event_medias.filter(F.col("event_id").isNotNull())
-              .groupBy(F.col("event_id").alias("id"))
-              .agg(F.array_sort(F.collect_list(
-                  F.struct("id", "type", full_url("url").alias("url")))).alias("_m")))
-    out = (decorated_events(t, ev, with_thumbnail_url=False)
-           .join(medias, "id", "left")
-           .select("id", "title", "description", "slug", "start_time", "end_time", "location",
-                   "address",
-                   F.struct("lat", "lng", F.col("address").alias("address")).alias("coordinates"),
-                   "category", "thumbnail_id", "price", "grouping",
-                   F.col("capacity_obj").alias("capacity"), "leader",
-                   F.coalesce(F.transform("_m", lambda m: F.struct(m["type"].alias("type"),
-                                                                   m["url"].alias("url"))),
-                              F.array().cast("array<struct<type:string,url:string>>"))
-                   .alias("medias")))
-    return out
+    counts = (t.event_medias.filter(F.col("event_id").isNotNull())
+              .groupBy(F.col("event_id").alias("id")).agg(F.count(F.lit(1)).alias("media_count")))
+    return (decorated_events(t, ev, with_thumbnail_url=False)
+            .join(counts, "id", "left")
+            .select("id", "title", "description", "slug", "start_time", "end_time", "location",
+                    "address",
+                    F.struct("lat", "lng", F.col("address").alias("address")).alias("coordinates"),
+                    "category", "thumbnail_id", "price", "grouping",
+                    F.col("capacity_obj").alias("capacity"), "leader",
+                    F.coalesce("media_count", F.lit(0)).alias("media_count")))
+
+
+def event_detail_medias(t, slugs=None, sort: bool = True) -> DataFrame:
+    """Q02 media list: (event id, media id, type, full url) of verified
+    events, ordered by event then media id."""
+    ev = visible(t.events, "slug")
+    if slugs is not None:
+        ev = ev.filter(F.col("slug").isin(list(slugs)))
+    out = (t.event_medias.filter(F.col("event_id").isNotNull())
+           .join(ev.select(F.col("id").alias("event_id")), "event_id", "left_semi")
+           .select("event_id", F.col("id").alias("media_id"), "type", full_url("url").alias("url")))
+    return out.orderBy("event_id", "media_id") if sort else out
+
+
+def medias_array(detail_medias: DataFrame) -> DataFrame:
+    """The nested form of Q02's media list, for callers that want it (one
+    array per event; use only where the per-event list is known small)."""
+    return (detail_medias.groupBy("event_id")
+            .agg(F.array_sort(F.collect_list(F.struct("media_id", "type", "url"))).alias("medias")))
 
 
 def similar_events(t, as_of: str, only_visible: bool = False, n: int = 3) -> DataFrame:
@@ -158,7 +174,7 @@ def similar_events(t, as_of: str, only_visible: bool = False, n: int = 3) -> Dat
     # SET-1: sources without any primary row get the global list.
     cats = t.event_categories.select(F.col("id").alias("category_id"),
                                      F.col("name").alias("category"))
-    pool = (cand.orderBy(*order).limit(n + 1)
+    pool = (top_by(cand, order, n + 1)
             .join(cats, "category_id", "left")
             .select("sim_id", "slug", "title", "start_time", "price", "category", "thumbnail",
                     "created_at"))
@@ -175,7 +191,7 @@ def featured_events(t, as_of: str, n: int = 3) -> DataFrame:
     """Q04: the n future visible events with most views (then earliest start,
     then lowest id)."""
     ev = visible(t.events, "public").filter(F.col("start_time") > ts_lit(as_of))
-    top = ev.orderBy(F.col("views").desc(), F.col("start_time").asc(), F.col("id").asc()).limit(n)
+    top = top_by(ev, [F.col("views").desc(), F.col("start_time").asc(), F.col("id").asc()], n)
     # The window runs over the n rows left after the limit.
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(
         F.col("views").desc(), F.col("start_time").asc(), F.col("id").asc())))

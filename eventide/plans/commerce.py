@@ -163,12 +163,3 @@ def otp_audit(issued: DataFrame, attempts: DataFrame) -> DataFrame:
     return out.select("phone", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
                                  for c in ["requests", "attempts", "matched", "expired", "wrong",
                                            "reused"]])
-
-
-def verified_phones(issued: DataFrame, used_otp_ids: DataFrame, as_of_epoch: int) -> DataFrame:
-    """ST-3 batch: phones whose latest *used* code expired less than 60 s
-    before as-of (the freshness test behind password reset)."""
-    used = issued.join(used_otp_ids.select(F.col("otp_id").alias("id")), "id", "left_semi")
-    latest = first_per(used.withColumn("neg", -F.col("expires_at")), "phone", ["neg", "id"],
-                       ["id", "expires_at"], prefix="last_")
-    return latest.filter(F.lit(as_of_epoch) - F.col("last_expires_at") < 60)

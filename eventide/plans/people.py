@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.calendar import to_jalali
 from eventide.functions.exprs import full_name, full_url, json_ids, minute_text, nested, ts_lit
+from eventide.operators.joins import members_of
 from eventide.operators.stats import (count_per, earnings_by_creator, past_events_per_user,
                                       rating_columns, rating_stats)
 
@@ -27,10 +28,12 @@ def leader_categories(t) -> DataFrame:
     The id list is JSON text; ids are matched as numbers (quoted ids too), ids
     with no category are dropped, and a leader without any keeps an empty list.
     """
-    ids = t.leaders.select(F.col("id").alias("leader_id"),
-                           F.explode_outer(json_ids("categories_id")).alias("category_id"))
-    cats = t.event_categories.select(F.col("id").alias("category_id"), "name")
-    pairs = ids.join(cats, "category_id", "left")
+    # FLT-12: the id list is exploded once and joined to the categories;
+    # leaders without a valid id keep an empty list through the outer join.
+    pairs = members_of(t.leaders.withColumnRenamed("id", "leader_id"), json_ids("categories_id"),
+                       "leader_id", t.event_categories, "id", "category_id")
+    pairs = t.leaders.select(F.col("id").alias("leader_id")).join(
+        pairs.select("leader_id", "category_id", "name"), "leader_id", "left")
     return (pairs.groupBy("leader_id")
             .agg(F.sort_array(F.collect_set(
                 F.when(F.col("name").isNotNull(),

@@ -37,7 +37,7 @@ def other_member(participants: DataFrame) -> DataFrame:
                     .otherwise(F.col("second_user_id")).alias("other_user_id")))
 
 
-def inbox(t, as_of: str, users=None) -> DataFrame:
+def inbox(t, as_of: str, users=None, sort: bool = False) -> DataFrame:
     """Q13: completed chats of each user with display name / avatar, the last
     message and its sender; live chats (expires_on >= as-of) rank first.
 
@@ -61,7 +61,7 @@ def inbox(t, as_of: str, users=None) -> DataFrame:
     senders = t.users.select(F.col("id").alias("last_sender_id"),
                              full_name("first_name", "last_name").alias("last_sender_name"))
     now = ts_lit(as_of)
-    return (mine.join(others, ["conversation_id", "user_id"], "left")
+    out = (mine.join(others, ["conversation_id", "user_id"], "left")
             .join(u, "other_user_id", "left")
             .join(thumbs, "event_id", "left")
             .join(last, "conversation_id", "left")
@@ -76,9 +76,16 @@ def inbox(t, as_of: str, users=None) -> DataFrame:
                     .alias("last_message"),
                     "last_sender_name",
                     F.when(F.col("expires_on") >= now, 0).otherwise(1).alias("live_rank")))
+    return inbox_rank(out) if sort else out
 
 
-def thread(t, viewer: int, conversations=None) -> DataFrame:
+def inbox_rank(df: DataFrame) -> DataFrame:
+    """ORD-4: per user, live chats first, then newest last message (chats
+    without messages last), then chat id."""
+    return df.orderBy("user_id", "live_rank", F.col("last_message.time").desc_nulls_last(), "id")
+
+
+def thread(t, viewer: int, conversations=None, sort: bool = False) -> DataFrame:
     """Q14: the messages of each chat as seen by ``viewer``: is_self, sender
     object (avatar only in group chats), and the replied message or NULL."""
     m = t.messages
@@ -94,7 +101,7 @@ def thread(t, viewer: int, conversations=None) -> DataFrame:
                         F.col("avatar").alias("s_avatar"))
     out = (m.join(r, "reply_to", "left").join(c, "conversation_id", "left")
            .join(ur, "r_sender_id", "left").join(us, "sender_id", "left"))
-    return out.select(
+    out = out.select(
         "id", "conversation_id", "expires_on", "text", minute_text("created_at").alias("time"),
         (F.col("sender_id") == F.lit(viewer)).alias("is_self"),
         nested(name=F.col("s_name"),
@@ -102,9 +109,11 @@ def thread(t, viewer: int, conversations=None) -> DataFrame:
         F.when(F.col("reply_to").isNotNull(),
                nested(id=F.col("r_id"), sender=F.col("r_sender"), text=F.col("r_text")))
         .alias("reply_to"))
+    # ORD-5: messages in id order within each chat
+    return out.orderBy("conversation_id", "id") if sort else out
 
 
-def memories_feed(t, viewer: int, uuids=None) -> DataFrame:
+def memories_feed(t, viewer: int, uuids=None, sort: bool = False) -> DataFrame:
     """Q15: published memories with event and user objects, like / comment
     counts, distinct hashtags and the viewer's liked / saved / following flags.
 
@@ -136,7 +145,7 @@ def memories_feed(t, viewer: int, uuids=None) -> DataFrame:
            .join(likes, "id", "left").join(comments, "id", "left").join(tags, "id", "left")
            .join(liked, "id", "left").join(saved, "id", "left").join(follows, "user_id", "left"))
     blank = F.lit("")
-    return out.select(
+    out = out.select(
         "id", "uuid",
         nested(name=F.coalesce("e_title", blank), slug=F.coalesce("e_slug", blank),
                location=F.coalesce("e_location", blank),
@@ -151,31 +160,37 @@ def memories_feed(t, viewer: int, uuids=None) -> DataFrame:
         F.coalesce("is_saved", F.lit(False)).alias("is_saved"),
         F.coalesce("is_following", F.lit(False)).alias("is_following"),
         F.col("created_at").alias("created_ts"))
+    # ORD-5: newest first
+    return out.orderBy(F.col("created_ts").desc(), F.col("id").desc()) if sort else out
 
 
-def memory_medias(t, uuids=None) -> DataFrame:
-    """Q16: media of published memories, in media id order (rank kept)."""
+def memory_medias(t, uuids=None, sort: bool = False) -> DataFrame:
+    """Q16: media of published memories (ORD-5: in media id order when
+    ``sort``)."""
     mem = t.memories.filter(F.col("status") == "published")
     if uuids is not None:
         mem = mem.filter(F.col("uuid").isin(list(uuids)))
-    return (mem.select(F.col("id").alias("memory_id"), "uuid")
-            .join(t.memory_medias.select(F.col("id").alias("media_id"), "memory_id", "type",
+    out = (mem.select(F.col("id").alias("memory_id"), "uuid")
+           .join(t.memory_medias.select(F.col("id").alias("media_id"), "memory_id", "type",
                                          "url"), "memory_id")
             .select("memory_id", "uuid", "media_id", "type", full_url("url").alias("url")))
+    return out.orderBy("memory_id", "media_id") if sort else out
 
 
-def stories(t) -> DataFrame:
-    """Q17: published memories with category and user object."""
+def stories(t, sort: bool = False) -> DataFrame:
+    """Q17: published memories with category and user object (newest first
+    when ``sort``)."""
     mem = t.memories.filter(F.col("status") == "published")
     ev = t.events.select(F.col("id").alias("event_id"), "category_id")
     cats = t.event_categories.select(F.col("id").alias("category_id"),
                                      F.col("name").alias("category"))
     u = t.users.select(F.col("id").alias("user_id"), "first_name", "last_name", "avatar")
-    return (mem.join(ev, "event_id", "left").join(cats, "category_id", "left")
-            .join(u, "user_id", "left")
-            .select("id", "caption", "created_at", "category_id", "category",
-                    nested(id=F.col("user_id"), name=full_name("first_name", "last_name"),
-                           avatar=F.col("avatar")).alias("user")))
+    out = (mem.join(ev, "event_id", "left").join(cats, "category_id", "left")
+           .join(u, "user_id", "left")
+           .select("id", "caption", "created_at", "category_id", "category",
+                   nested(id=F.col("user_id"), name=full_name("first_name", "last_name"),
+                          avatar=F.col("avatar")).alias("user")))
+    return out.orderBy(F.col("created_at").desc(), F.col("id").desc()) if sort else out
 
 
 def temp_medias(t, uploaders=None) -> DataFrame:

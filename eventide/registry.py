@@ -97,23 +97,25 @@ def q_event_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("event_detail", _CATALOG_VIEWS, f"""
 , {_LEADER_SQL.strip()},
-m AS (SELECT event_id, count(*) AS n,
-             string_agg(type || ' ' || {MEDIA} || url, ',' ORDER BY id) AS medias
-      FROM d_event_medias WHERE event_id IS NOT NULL GROUP BY event_id)
+m AS (SELECT event_id, count(*) AS n FROM d_event_medias WHERE event_id IS NOT NULL GROUP BY event_id)
 SELECT e.id, e.title, e.description, e.slug, e.start_time, e.end_time, e.location, e.address,
        e.lat AS coordinates_lat, e.lng AS coordinates_lng, e.address AS coordinates_address,
        ec.name AS category, e.thumbnail_id, e.price, e.grouping, {_CAP_COLS}, {_LEADER_COLS},
-       coalesce(m.n, 0) AS media_count, coalesce(m.medias, '') AS medias
+       coalesce(m.n, 0) AS media_count
 FROM d_events e {_DECOR_JOINS}
 LEFT JOIN m ON e.id = m.event_id
 WHERE e.status = 'verified'""")
 def q_event_detail(spark, sf_dir):
     from eventide.plans.catalog import event_detail
-    df = event_detail(domain(spark, sf_dir))
-    df = df.withColumn("media_count", F.size("medias")).withColumn(
-        "medias", F.array_join(F.transform("medias", lambda m: F.concat_ws(" ", m["type"],
-                                                                          m["url"])), ","))
-    return flat(df)
+    return flat(event_detail(domain(spark, sf_dir)))
+
+
+@register("event_detail_medias", ["d_events", "d_event_medias"], f"""
+SELECT m.event_id, m.id AS media_id, m.type, {MEDIA} || m.url AS url
+FROM d_event_medias m JOIN d_events e ON m.event_id = e.id WHERE e.status = 'verified'""")
+def q_event_detail_medias(spark, sf_dir):
+    from eventide.plans.catalog import event_detail_medias
+    return event_detail_medias(domain(spark, sf_dir))
 
 
 @register("similar_events", ["d_events", "d_event_medias", "d_event_categories"], f"""
@@ -343,7 +345,7 @@ LEFT JOIN d_users u ON m.sender_id = u.id
 WHERE c.status = 'completed'""")
 def q_inbox(spark, sf_dir):
     from eventide.plans.social import inbox
-    return flat(inbox(domain(spark, sf_dir), AS_OF))
+    return flat(inbox(domain(spark, sf_dir), AS_OF, sort=True))
 
 
 @register("thread", ["d_messages", "d_conversations", "d_users"], f"""
@@ -360,7 +362,7 @@ LEFT JOIN d_users ur ON r.sender_id = ur.id
 LEFT JOIN d_users us ON m.sender_id = us.id""")
 def q_thread(spark, sf_dir):
     from eventide.plans.social import thread
-    return flat(thread(domain(spark, sf_dir), VIEWER))
+    return flat(thread(domain(spark, sf_dir), VIEWER, sort=True))
 
 
 @register("memories_feed", ["d_memories", "d_users", "d_events", "d_memory_medias",
@@ -391,7 +393,7 @@ LEFT JOIN d_memory_medias mm ON mm.id = m.thumbnail_id
 WHERE m.status = 'published'""")
 def q_memories_feed(spark, sf_dir):
     from eventide.plans.social import memories_feed
-    df = memories_feed(domain(spark, sf_dir), VIEWER)
+    df = memories_feed(domain(spark, sf_dir), VIEWER, sort=True)
     return flat(df.withColumn("hashtags", F.array_join("hashtags", ",")))
 
 
@@ -400,7 +402,7 @@ SELECT m.id AS memory_id, m.uuid, mm.id AS media_id, mm.type, {MEDIA} || mm.url
 FROM d_memories m JOIN d_memory_medias mm ON m.id = mm.memory_id WHERE m.status = 'published'""")
 def q_memory_medias(spark, sf_dir):
     from eventide.plans.social import memory_medias
-    return memory_medias(domain(spark, sf_dir))
+    return memory_medias(domain(spark, sf_dir), sort=True)
 
 
 @register("stories", ["d_memories", "d_events", "d_event_categories", "d_users"], """
@@ -411,7 +413,7 @@ LEFT JOIN d_event_categories ec ON e.category_id = ec.id LEFT JOIN d_users u ON
 WHERE m.status = 'published'""")
 def q_stories(spark, sf_dir):
     from eventide.plans.social import stories
-    return flat(stories(domain(spark, sf_dir)))
+    return flat(stories(domain(spark, sf_dir), sort=True))
 
 
 @register("temp_medias", ["d_event_medias"], """
@@ -673,15 +675,17 @@ def _norm_phone_sql(c: str) -> str:
 @register("contact_duplicates", ["d_users", "d_registrations"], f"""
 , c AS (SELECT 'u' || cast(id AS varchar) AS id, phone FROM d_users
         UNION ALL SELECT 'r' || cast(row_id AS varchar) AS id, phone FROM d_registrations)
-SELECT {_norm_phone_sql('phone')} AS phone_norm, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
-FROM c GROUP BY 1 HAVING count(*) > 1""")
+SELECT phone_norm, id, n FROM (
+  SELECT {_norm_phone_sql('phone')} AS phone_norm, id,
+         count(*) OVER (PARTITION BY {_norm_phone_sql('phone')}) AS n FROM c)
+WHERE n > 1""")
 def q_contact_duplicates(spark, sf_dir):
     from eventide.functions.text import standardise_contacts
     t = domain(spark, sf_dir)
     c = (t.users.select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("id"), "phone")
          .unionByName(t.registrations.select(
              F.concat(F.lit("r"), F.col("row_id").cast("string")).alias("id"), "phone")))
-    return standardise_contacts(c).withColumn("ids", F.array_join("ids", ","))
+    return standardise_contacts(c)
 
 
 _ESC = "replace(replace(replace(replace(replace({c}, '&', '&amp;'), '\"', '&quot;'), '''', '&#039;'), '<', '&lt;'), '>', '&gt;')"
@@ -960,3 +964,28 @@ def q_calendar_days(spark, sf_dir):
             .select(F.col("date").cast("string").alias("date"), "jy", "jm", "jd", "month_name",
                     "season", "weekday", "leap", "month_len", "day_of_year", "days_left", "week",
                     "week_year"))
+
+
+OTP_AS_OF_EPOCH = 1705320000  # 2024-01-15 12:00:00 UTC, inside the code data's month
+
+
+@register("verified_phones", ["d_otp_issued", "d_otp_attempt"], f"""
+, cand AS (SELECT a.id AS attempt_id, a.phone, a.attempted_at, i.id AS otp_id, i.expires_at
+           FROM d_otp_attempt a JOIN d_otp_issued i
+             ON a.phone = i.phone AND a.code = i.code AND a.user_ip = i.user_ip
+            AND i.created_at <= a.attempted_at),
+best AS (SELECT attempt_id, phone, attempted_at, arg_max(otp_id, (expires_at, otp_id)) AS otp_id,
+                max(expires_at) AS expires_at FROM cand GROUP BY attempt_id, phone, attempted_at),
+used AS (SELECT DISTINCT otp_id, phone, expires_at FROM best
+         WHERE floor(epoch(attempted_at)) < expires_at),
+latest AS (SELECT phone, arg_max(otp_id, (expires_at, otp_id)) AS otp_id, max(expires_at) AS expires_at
+           FROM used GROUP BY phone)
+SELECT phone, otp_id, expires_at, {OTP_AS_OF_EPOCH} - expires_at < 60 AS verified FROM latest""")
+def q_verified_phones(spark, sf_dir):
+    from eventide.plans.commerce import otp_match
+    from eventide.streaming.jobs import verified_phones
+    t = domain(spark, sf_dir)
+    m = otp_match(t.otp_issued, t.otp_attempt)
+    used = (m.filter(F.col("status").isin("ok", "reused"))
+            .select("otp_id", "phone", "expires_at").distinct())
+    return verified_phones(used, OTP_AS_OF_EPOCH)

@@ -173,13 +173,15 @@ def otp_match(issued: DataFrame, attempts: DataFrame, watermark: str = "5 minute
 
 
 def verified_phones(used_codes: DataFrame, as_of_epoch: int) -> DataFrame:
-    """ST-3: phones whose latest used code (by expires_at) expired less than
-    60 s before ``as_of_epoch``. Input ``(otp_id, phone, expires_at)``."""
+    """ST-3: per phone, the latest used code (by expires_at, then id) and
+    whether it still verifies the phone at ``as_of_epoch``: the code expired
+    less than 60 s before. Input ``(otp_id, phone, expires_at)``; the latest
+    code per phone is a ``max`` of a struct (partial aggregation)."""
     latest = (used_codes.groupBy("phone")
               .agg(F.max(F.struct("expires_at", "otp_id")).alias("l")))
     return (latest.select("phone", F.col("l.otp_id").alias("otp_id"),
                           F.col("l.expires_at").alias("expires_at"))
-            .filter(F.lit(as_of_epoch) - F.col("expires_at") < FRESH_AFTER_USE_S))
+            .withColumn("verified", F.lit(as_of_epoch) - F.col("expires_at") < FRESH_AFTER_USE_S))
 
 
 # ------------------------------------------------------------------ ST-4
