@@ -64,3 +64,34 @@ def test_never_over_capacity(spark):
             assert base.get(r.event_id, 0) + r.s <= cap[r.event_id]
         else:
             assert r.s == 0
+
+
+def _naive(left, sizes, ok):
+    before, adm = [], []
+    for s, k in zip(sizes, ok):
+        before.append(left)
+        if k and s <= left:
+            adm.append(True)
+            left -= s
+        else:
+            adm.append(False)
+    return before, adm, left
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=300, deadline=None)
+@given(left=st.integers(-5, 40),
+       rows=st.lists(st.tuples(st.integers(1, 9), st.booleans()), max_size=60))
+def test_vectorised_replay_equals_naive(left, rows):
+    import numpy as np
+    from eventide.operators.folds import _decide, _transfer_from
+    sizes = np.array([r[0] for r in rows], dtype=np.int64)
+    ok = np.array([r[1] for r in rows], dtype=bool)
+    b, a, lo = _decide(left, sizes, ok)
+    nb, na, nlo = _naive(left, list(sizes), list(ok))
+    assert list(b) == nb and list(a) == na and lo == nlo
+    vec = _transfer_from(np.arange(10), sizes, ok)
+    assert list(vec) == [_naive(v, list(sizes), list(ok))[2] for v in range(10)]
