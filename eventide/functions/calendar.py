@@ -44,8 +44,21 @@ def _arr(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+_CACHE: dict = {}
+
+
 def jalali_calendar(spark: SparkSession, start: str = "1900-01-01",
                     end: str = "2100-12-31") -> DataFrame:
+    """CAL-1 dimension, built once per session and range and cached (about
+    366 rows per year, so its memory is fixed by the range)."""
+    key = (spark.sparkContext.applicationId, id(spark), start, end)
+    if key not in _CACHE:
+        _CACHE[key] = build_jalali_calendar(spark, start, end).cache()
+    return _CACHE[key]
+
+
+def build_jalali_calendar(spark: SparkSession, start: str = "1900-01-01",
+                          end: str = "2100-12-31") -> DataFrame:
     """CAL-1: one row per Gregorian day in [start, end] with its Jalali parts:
     year, month, day, month name and short name, season (number and name),
     weekday (Saturday = 0) and its name, leap flag, month length, day of year
@@ -145,8 +158,14 @@ def normalise_dates(df: DataFrame, col: str, cal: DataFrame, out: str | None = N
     """
     out = out or f"{col}_date"
     txt = latin_digits(F.trim(F.col(col)))
-    sep = F.when(F.size(F.split(txt, "/")) == 3, "/").when(F.size(F.split(txt, "-")) == 3, "-")
-    parts = F.when(sep == "/", F.split(txt, "/")).when(sep == "-", F.split(txt, "-"))
+
+    def count(ch):
+        return F.length(txt) - F.length(F.replace(txt, F.lit(ch), F.lit("")))
+
+    # exactly two separators of one kind; '-' becomes '/' so there is one split
+    norm = (F.when(count("/") == 2, txt)
+            .when(count("-") == 2, F.translate(txt, "-", "/")))
+    parts = F.split(norm, "/")
     y = F.element_at(parts, 1).try_cast("int")
     m = F.element_at(parts, 2).try_cast("int")
     d = F.element_at(parts, 3).try_cast("int")
@@ -155,8 +174,11 @@ def normalise_dates(df: DataFrame, col: str, cal: DataFrame, out: str | None = N
     c = cal.select(F.col("jy").alias("_y"), F.col("jm").alias("_m"), F.col("jd").alias("_d2"),
                    F.col("date").alias("_jdate"))
     tmp = tmp.join(F.broadcast(c), ["_y", "_m", "_d2"], "left")
-    greg = F.try_to_date(F.format_string("%04d-%02d-%02d", F.col("_y"), F.col("_m"),
-                                         F.col("_d2")), "yyyy-MM-dd")
+    # Gregorian: make_date only after the month length check (no format parsing)
+    yy, mm, dd = F.col("_y"), F.col("_m"), F.col("_d2")
+    valid = (yy.between(1, 9999) & mm.between(1, 12) & (dd >= 1)
+             & (dd <= F.dayofmonth(F.last_day(F.make_date(yy, mm, F.lit(1))))))
+    greg = F.when(valid, F.make_date(yy, mm, dd))
     res = F.when(F.col("_jal"), F.col("_jdate")).otherwise(greg)
     tmp = tmp.withColumn(out, res)
     if reason:

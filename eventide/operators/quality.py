@@ -153,7 +153,13 @@ def _reasons(*pairs: tuple[Column, str]) -> Column:
 
 
 def validate_users(raw: DataFrame, users: DataFrame, key: str = "row_id"):
-    """DQ-2: registration rows to (accepted, quarantine).
+    """DQ-2: registration rows to (accepted, quarantine); see ``check_users``."""
+    out = check_users(raw, users, key)
+    return out.filter(F.size("reasons") == 0), out.filter(F.size("reasons") > 0)
+
+
+def check_users(raw: DataFrame, users: DataFrame, key: str = "row_id") -> DataFrame:
+    """DQ-2: every registration row with its array of failed rules (one pass).
 
     Rules: first and last name of 2-25 Persian letters or spaces; phone of 11
     digits starting 09; national id valid (see ``national_id_ok``); phone and
@@ -177,10 +183,9 @@ def validate_users(raw: DataFrame, users: DataFrame, key: str = "row_id"):
         (F.coalesce(F.col("_n_taken"), F.lit(False)), "national_id_taken"),
         (F.col(key) != F.col("_fp"), "phone_repeated"),
         (F.col(key) != F.col("_fn"), "national_id_repeated"))
-    out = (r.withColumn("reasons", reasons)
-           .withColumn("national_id", F.sha2(F.col("national_id"), 256))
-           .drop("_p", "_n", "_p_taken", "_n_taken", "_fp", "_fn"))
-    return out.filter(F.size("reasons") == 0), out.filter(F.size("reasons") > 0)
+    return (r.withColumn("reasons", reasons)
+            .withColumn("national_id", F.sha2(F.col("national_id"), 256))
+            .drop("_p", "_n", "_p_taken", "_n_taken", "_fp", "_fn"))
 
 
 def missing(c: Column, is_bool: bool = False) -> Column:
@@ -206,8 +211,15 @@ def require(df: DataFrame, cols: list[str], groups: list[list[str]] | None = Non
 
 
 def validate_members(df: DataFrame, cal: DataFrame):
-    """DQ-5: group-member rows: four required fields, birth date (Jalali or
-    Gregorian text) converted to a date; bad rows are quarantined."""
+    """DQ-5: group-member rows to (accepted, quarantine); see ``check_members``."""
+    r = check_members(df, cal)
+    return r.filter(F.size("missing") == 0), r.filter(F.size("missing") > 0)
+
+
+def check_members(df: DataFrame, cal: DataFrame) -> DataFrame:
+    """DQ-5: group-member rows with the list of problems (one pass): four
+    required fields, and the birth date (Jalali or Gregorian text) converted
+    to a date (``birth_date_format`` when it does not convert)."""
     from eventide.functions.calendar import normalise_dates
     r = require(df, ["first_name", "last_name", "birth_date", "national_id"])
     r = normalise_dates(r, "birth_date", cal, out="birth_date_g")
@@ -215,11 +227,12 @@ def validate_members(df: DataFrame, cal: DataFrame):
                                        & ~F.array_contains("missing", "birth_date"),
                                        F.array_append("missing", F.lit("birth_date_format")))
                      .otherwise(F.col("missing")))
-    return r.filter(F.size("missing") == 0), r.filter(F.size("missing") > 0)
+    return r
 
 
 def validate_events(raw: DataFrame, categories: DataFrame, medias: DataFrame,
-                    leaders: DataFrame, users: DataFrame, cal: DataFrame, as_of: str):
+                    leaders: DataFrame, users: DataFrame, cal: DataFrame, as_of: str,
+                    checked: bool = False):
     """DQ-3: event submissions to (accepted rows shaped as events, quarantine).
 
     Input columns: sub_id, creator_id, title, category, start_date (Jalali or
@@ -228,6 +241,9 @@ def validate_events(raw: DataFrame, categories: DataFrame, medias: DataFrame,
     media_ids (comma list of media uuids), capacity, grouping, price,
     private, approval, leader (admin only).
 
+    With ``checked=True`` returns one frame of every submission with its
+    reasons instead of the split.
+
     Rules as the reference: title 5-150 chars, description 20-2000, category
     exists, date / time formats, start >= as-of, end > start, place and
     address patterns, coordinates (longitude limit 180, the reference's 90 is
@@ -311,6 +327,12 @@ def validate_events(raw: DataFrame, categories: DataFrame, medias: DataFrame,
         (leader_id.isNull(), "leader"),
     )
     r = r.withColumn("reasons", reasons)
+    if checked:  # every submission with its reasons, in one pass
+        return r.select("sub_id", "reasons", "thumbnail_id",
+                        F.when(is_admin, "verified").otherwise("pending").alias("status"),
+                        leader_id.alias("leader_id"),
+                        F.when(grp == cap_i, 0).otherwise(grp).cast("int").alias("grouping"),
+                        F.col("_start").alias("start_time"))
     accepted = r.filter(F.size("reasons") == 0).select(
         "sub_id", F.col("title"), "description", F.col("_cat").alias("category_id"),
         F.col("_start").alias("start_time"), F.col("_end").alias("end_time"),

@@ -657,10 +657,9 @@ SELECT row_id, first_name, last_name, phone, sha256(national_id) AS national_id,
        reasons = '' AS accepted
 FROM y""")
 def q_validate_users(spark, sf_dir):
-    from eventide.operators.quality import validate_users
+    from eventide.operators.quality import check_users
     t = domain(spark, sf_dir)
-    ok, bad = validate_users(t.registrations, t.users)
-    return ok.unionByName(bad).select(
+    return check_users(t.registrations, t.users).select(
         "row_id", "first_name", "last_name", "phone", "national_id",
         F.array_join("reasons", ",").alias("reasons"), (F.size("reasons") == 0).alias("accepted"))
 
@@ -756,10 +755,9 @@ SELECT member_id, reservation_id, cast(bd AS varchar) AS birth_date_g,
 FROM g""")
 def q_validate_members(spark, sf_dir):
     from eventide.functions.calendar import jalali_calendar
-    from eventide.operators.quality import validate_members
+    from eventide.operators.quality import check_members
     t = domain(spark, sf_dir)
-    ok, bad = validate_members(t.group_members, jalali_calendar(spark))
-    return ok.unionByName(bad).select("member_id", "reservation_id",
+    return check_members(t.group_members, jalali_calendar(spark)).select("member_id", "reservation_id",
                                       F.col("birth_date_g").cast("string").alias("birth_date_g"),
                                       F.array_join("missing", ",").alias("missing"))
 
@@ -895,12 +893,12 @@ def q_validate_events(spark, sf_dir):
     from eventide.functions.calendar import jalali_calendar
     from eventide.operators.quality import validate_events
     t = domain(spark, sf_dir)
-    ok, bad = validate_events(t.event_submissions, t.event_categories, t.event_medias, t.leaders,
-                              t.users, jalali_calendar(spark), AS_OF)
-    return (ok.select("sub_id", F.lit("").alias("reasons"), "thumbnail_id", "status", "leader_id",
-                      "grouping", "start_time")
-            .unionByName(bad.select("sub_id", F.array_join("reasons", ",").alias("reasons"))
-                         , allowMissingColumns=True))
+    r = validate_events(t.event_submissions, t.event_categories, t.event_medias, t.leaders,
+                        t.users, jalali_calendar(spark), AS_OF, checked=True)
+    ok = F.size("reasons") == 0
+    return r.select("sub_id", F.array_join("reasons", ",").alias("reasons"),
+                    *[F.when(ok, F.col(c)).alias(c) for c in
+                      ("thumbnail_id", "status", "leader_id", "grouping", "start_time")])
 
 
 @register("ingest_events")

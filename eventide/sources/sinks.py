@@ -94,8 +94,8 @@ def assign_codes(df: DataFrame, key: str, existing: DataFrame | None = None,
     ensure_checkpoint_dir(df.sparkSession)
     space = 10 ** digits
     pending = df.select(key).distinct().checkpoint()
-    taken = (existing.select(F.col(existing.columns[0]).alias(out)).distinct()
-             if existing is not None else None)
+    existing_codes = (existing.select(F.col(existing.columns[0]).alias(out)).distinct()
+                      if existing is not None else None)
     assigned = None
     for salt in range(max_rounds):
         if pending.isEmpty():
@@ -103,13 +103,12 @@ def assign_codes(df: DataFrame, key: str, existing: DataFrame | None = None,
         cand = pending.withColumn(out, F.concat(F.lit(prefix), F.lpad(
             F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(space)).cast("string"),
             digits, "0")))
-        if taken is not None:
-            cand = cand.join(taken, out, "left_anti")
-        win = cand.groupBy(out).agg(F.min(key).alias(key)).checkpoint()
-        assigned = win if assigned is None else assigned.unionByName(win).checkpoint()
-        taken = win.select(out) if taken is None else taken.unionByName(win.select(out))
-        taken = taken.checkpoint()
-        pending = pending.join(win.select(key), key, "left_anti").checkpoint()
+        taken = [d.select(out) for d in (existing_codes, assigned) if d is not None]
+        for tk in taken:
+            cand = cand.join(tk, out, "left_anti")
+        win = cand.groupBy(out).agg(F.min(key).alias(key))
+        assigned = (win if assigned is None else assigned.unionByName(win)).checkpoint()
+        pending = pending.join(assigned.select(key), key, "left_anti").checkpoint()
     else:
         if not pending.isEmpty():
             raise RuntimeError("code space too full to assign unique codes")

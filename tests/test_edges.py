@@ -41,12 +41,14 @@ def test_calendar_round_trip_and_lengths(spark, cal):
 
 def test_normalise_dates(spark, cal):
     df = spark.createDataFrame([("1403/01/01",), ("۱۴۰۳/۰۱/۰۱",), ("2024-03-20",), ("1403/12/30",),
-                                ("1402/12/30",), ("1403/13/01",), ("bad",), (None,)], "t string")
+                                ("1402/12/30",), ("1403/13/01",), ("bad",), (None,),
+                                ("2023-02-30",), ("2024-13-01",), ("2024/02/29",), ("1/2/3/4",)],
+                               "t string")
     got = [r.t_date for r in normalise_dates(df, "t", cal).orderBy(F.monotonically_increasing_id())
            .collect()]
     d = dt.date(2024, 3, 20)
     assert got[:4] == [d, d, d, dt.date(2025, 3, 20)]
-    assert got[4:] == [None, None, None, None]
+    assert got[4:] == [None, None, None, None, None, None, dt.date(2024, 2, 29), None]
 
 
 @pytest.mark.parametrize("nid,ok", [("0012345679", True), ("1234567891", True),
