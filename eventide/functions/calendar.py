@@ -121,6 +121,17 @@ def build_jalali_calendar(spark: SparkSession, start: str = "1900-01-01",
     )
 
 
+def jalali_text_to_gregorian(spark: SparkSession, text: str) -> str | None:
+    """A single date parameter (e.g. the catalog's day filter) as
+    ``YYYY-MM-DD``: Jalali when the year is below 1600 (looked up in the
+    calendar dimension), else read as Gregorian; Persian digits allowed,
+    ``/`` or ``-`` separators. None when it is not a valid date."""
+    df = spark.createDataFrame([(text,)], "t string")
+    cal = jalali_calendar(spark)
+    row = normalise_dates(df, "t", cal, out="d").select(F.col("d").cast("string")).first()
+    return row[0] if row else None
+
+
 def persian_digits(c: Column) -> Column:
     """Latin digits to Persian digits."""
     return F.translate(c, "0123456789", PERSIAN_DIGITS)

@@ -122,8 +122,8 @@ def location_like(text: str, col: str = "location") -> Column:
 def on_day(day: str, col: str = "start_time") -> Column:
     """FLT-4: calendar-day equality written as a half-open range (prunable).
 
-    ``day`` is ``YYYY-MM-DD`` (Gregorian); Jalali text is converted by
-    ``eventide.functions.calendar.jalali_text_to_gregorian`` first.
+    ``day`` is ``YYYY-MM-DD`` (Gregorian); ``event_catalog`` converts Jalali
+    text with ``eventide.functions.calendar.jalali_text_to_gregorian`` first.
     """
     start = F.lit(day).cast("date").cast("timestamp_ntz")
     return (F.col(col) >= start) & (F.col(col) < start + F.expr("INTERVAL 1 DAY"))
@@ -201,6 +201,12 @@ def live_codes(otps: DataFrame, as_of_epoch: int | Column) -> DataFrame:
 
 # --- SC -------------------------------------------------------------------
 
+def coalesce_text(c: str | Column, default: str = "") -> Column:
+    """SC-1: IFNULL(text, default)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(c, F.lit(default))
+
+
 def minute_text(ts: str | Column) -> Column:
     """SC-2: DATE_FORMAT(ts, '%Y/%m/%d %H:%i')."""
     return F.date_format(F.col(ts) if isinstance(ts, str) else ts, "yyyy/MM/dd HH:mm")

@@ -43,6 +43,9 @@ def decorated_events(t, events: DataFrame, with_thumbnail_url: bool = True) -> D
                                      F.col("name").alias("category"))
     thumbs = t.event_medias.select(F.col("id").alias("thumbnail_id"),
                                    F.col("url").alias("thumbnail_path"))
+    # JN-3: the reference's "r.status != 'canceled'" inside the ON clause is
+    # applied before the (pre-aggregated) left join, so events without
+    # bookings keep a row.
     filled = seats_filled(t.reservations).withColumnRenamed("event_id", "id")
     out = (events
            .join(cats, "category_id", "left")
@@ -84,7 +87,9 @@ def event_catalog(t, as_of: str, location: str | None = None, day: str | None =
     if location:
         ev = ev.filter(location_like(location))
     if day:
-        ev = ev.filter(on_day(day))
+        from eventide.functions.calendar import jalali_text_to_gregorian
+        greg = jalali_text_to_gregorian(ev.sparkSession, day)
+        ev = ev.filter(on_day(greg) if greg else F.lit(False))
     if categories:
         ev = ev.filter(in_categories(categories))
     if leader_id is not None:
@@ -166,6 +171,7 @@ def similar_events(t, as_of: str, only_visible: bool = False, n: int = 3) -> Dat
     order = [F.col("created_at").desc(), F.col("sim_id").desc()]
     per_cat = top_n_per(cand, "category_id", order, n + 1, "_r").drop("_r")
     src = ev.select(F.col("id").alias("source_id"), "category_id")
+    # JN-7: same-category self join with inequality, on the cut candidate set
     paired = (src.join(per_cat, "category_id")
               .filter(F.col("source_id") != F.col("sim_id")))
     primary = top_n_per(paired, "source_id", order, n).select(
@@ -202,5 +208,5 @@ def featured_events(t, as_of: str, n: int = 3) -> DataFrame:
 
 
 def event_categories(t) -> DataFrame:
-    """Q05: all categories."""
+    """Q05: all categories (SRC-2: every column, named)."""
     return t.event_categories.select("id", "name")

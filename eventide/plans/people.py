@@ -102,7 +102,7 @@ def user_profile(t, as_of: str, cal: DataFrame) -> DataFrame:
 
 def user_reservations(t, users=None, sort: bool = True) -> DataFrame:
     """Q10: every reservation with its event and user objects, newest first
-    per user (inner joins: rows whose event or user is missing drop)."""
+    per user (JN-2 inner joins: rows whose event or user is missing drop)."""
     res = t.reservations
     if users is not None:
         res = res.filter(F.col("user_id").isin(list(users)))
@@ -124,8 +124,9 @@ def user_reservations(t, users=None, sort: bool = True) -> DataFrame:
 
 def user_transactions(t, users=None) -> DataFrame:
     """Q11: transactions with their event object, owner through the
-    reservation; transactions without a reservation drop (the reference's
-    WHERE on the outer-joined user id)."""
+    reservation (JN-5 chain transaction -> reservation -> event);
+    transactions without a reservation drop (the reference's WHERE on the
+    outer-joined user id)."""
     res = t.reservations.select(F.col("id").alias("reservation_id"), "user_id", "event_id")
     if users is not None:
         res = res.filter(F.col("user_id").isin(list(users)))
@@ -141,7 +142,8 @@ def user_transactions(t, users=None) -> DataFrame:
 
 def payment_detail(t, authorities=None) -> DataFrame:
     """Q12: payment rows by authority with event title, start, location and
-    image url (left joins: a transaction without reservation keeps NULLs)."""
+    image url (JN-5 left-join chain: a transaction without reservation keeps
+    NULLs)."""
     tx = t.transactions
     if authorities is not None:
         tx = tx.filter(F.col("authority").isin(list(authorities)))

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.functions.exprs import full_name, full_url, minute_text, nested, ts_lit
+from eventide.functions.exprs import (coalesce_text, full_name, full_url, minute_text, nested,
+                                      ts_lit)
 from eventide.operators.stats import count_per, hashtags_per_memory
 from eventide.operators.windows import first_per, latest_message
 
@@ -61,6 +62,8 @@ def inbox(t, as_of: str, users=None, sort: bool = False) -> DataFrame:
     senders = t.users.select(F.col("id").alias("last_sender_id"),
                              full_name("first_name", "last_name").alias("last_sender_name"))
     now = ts_lit(as_of)
+    # JN-10 (correlated "other member" / thumbnail lookups, decorrelated) and
+    # JN-9 (join on the latest message of the chat, from WIN-1)
     out = (mine.join(others, ["conversation_id", "user_id"], "left")
             .join(u, "other_user_id", "left")
             .join(thumbs, "event_id", "left")
@@ -99,6 +102,7 @@ def thread(t, viewer: int, conversations=None, sort: bool = False) -> DataFrame:
     us = t.users.select(F.col("id").alias("sender_id"),
                         full_name("first_name", "last_name").alias("s_name"),
                         F.col("avatar").alias("s_avatar"))
+    # JN-8: aliased self left join of a message to the message it replies to
     out = (m.join(r, "reply_to", "left").join(c, "conversation_id", "left")
            .join(ur, "r_sender_id", "left").join(us, "sender_id", "left"))
     out = out.select(
@@ -131,9 +135,11 @@ def memories_feed(t, viewer: int, uuids=None, sort: bool = False) -> DataFrame:
                          F.col("slug").alias("e_slug"), F.col("location").alias("e_location"),
                          F.col("start_time").alias("e_start"))
     mm = t.memory_medias.select(F.col("id").alias("thumbnail_id"), F.col("url").alias("thumb"))
+    # JN-11: correlated count subqueries as per-memory counts joined once
     likes = count_per(t.memory_likes, "memory_id", "like_count", "id")
     comments = count_per(t.memory_comments, "memory_id", "comment_count", "id")
     tags = hashtags_per_memory(t.memory_hashtags).withColumnRenamed("memory_id", "id")
+    # JN-12: existence flags from the viewer's distinct keys + left join
     liked = (t.memory_likes.filter(F.col("user_id") == viewer)
              .select(F.col("memory_id").alias("id")).distinct().withColumn("is_liked", F.lit(True)))
     saved = (t.memories_saved.filter(F.col("user_id") == viewer)
@@ -144,12 +150,12 @@ def memories_feed(t, viewer: int, uuids=None, sort: bool = False) -> DataFrame:
     out = (mem.join(u, "user_id").join(ev, "event_id", "left").join(mm, "thumbnail_id", "left")
            .join(likes, "id", "left").join(comments, "id", "left").join(tags, "id", "left")
            .join(liked, "id", "left").join(saved, "id", "left").join(follows, "user_id", "left"))
-    blank = F.lit("")
+    blank = F.lit("")  # SC-1: IFNULL(x, '') of the reference
     out = out.select(
         "id", "uuid",
-        nested(name=F.coalesce("e_title", blank), slug=F.coalesce("e_slug", blank),
-               location=F.coalesce("e_location", blank),
-               start_time=F.coalesce(minute_text("e_start"), blank)).alias("event"),
+        nested(name=coalesce_text("e_title"), slug=coalesce_text("e_slug"),
+               location=coalesce_text("e_location"),
+               start_time=coalesce_text(minute_text("e_start"))).alias("event"),
         nested(id=F.col("user_id"), name=F.col("u_name"), avatar=F.col("u_avatar")).alias("user"),
         "caption", full_url("thumb").alias("thumbnail"),
         minute_text("created_at").alias("created_at"),
@@ -202,13 +208,13 @@ def temp_medias(t, uploaders=None) -> DataFrame:
 
 
 def user_notifications(t, users=None) -> DataFrame:
-    """Q19: notification rows per user."""
+    """Q19: notification rows per user (SRC-2 full-row scan)."""
     n = t.notifications
     return n if users is None else n.filter(F.col("user_id").isin(list(users)))
 
 
 def user_tickets(t, users=None) -> DataFrame:
-    """Q20: support ticket rows per user."""
+    """Q20: support ticket rows per user (SRC-2 full-row scan)."""
     s = t.support_tickets
     return s if users is None else s.filter(F.col("user_id").isin(list(users)))
 

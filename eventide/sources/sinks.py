@@ -84,7 +84,8 @@ def assign_codes(df: DataFrame, key: str, existing: DataFrame | None = None,
                  max_rounds: int = 200) -> DataFrame:
     """SNK-6: deterministic unique codes ``prefix`` + ``digits`` digits.
 
-    Round r hashes each still-unassigned key with salt r into the code space;
+    Round r hashes each still-unassigned key with salt r into the code space
+    (AGG-11's "count rows with this code" becomes an anti join on taken codes);
     a code already taken (by ``existing`` or an earlier round) is refused,
     and among keys landing on the same free code the smallest key wins. The
     rest go to the next round until every key has a code; each round is
