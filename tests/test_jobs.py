@@ -98,3 +98,109 @@ def test_match_groups_properties(t_small):
     dup = placed.groupBy("event_id", "kind", "chat_no", "user_id").count().filter("count > 1")
     assert dup.count() == 0
     assert placed.filter("kind = 'buddy'").count() > 0 and placed.filter("kind = 'group'").count() > 0
+
+
+def _first_fit_brute(rows, grouping):
+    """Independent statement of MAT-1 for one event: returns
+    {(reservation_id, kind): (chat_no, fill_after_all, status)}."""
+    out = {}
+    for kind in ("buddy", "group"):
+        if kind == "group" and grouping < 2:
+            continue
+        cap = 2 if kind == "buddy" else grouping
+        chats = []  # dicts with fill, users
+        placed = []
+        for r in rows:
+            if kind == "buddy" and not r["find_buddy"]:
+                continue
+            w = 1 if kind == "buddy" else r["group_members"]
+            target = next((i for i, c in enumerate(chats)
+                           if c["fill"] < cap and c["fill"] + w <= cap and r["user_id"] not in c["users"]),
+                          None)
+            if target is None:
+                if w > cap:
+                    out[(r["reservation_id"], kind)] = (None, None, None)
+                    continue
+                chats.append({"fill": 0, "users": set()})
+                target = len(chats) - 1
+            chats[target]["fill"] += w
+            chats[target]["users"].add(r["user_id"])
+            placed.append((r["reservation_id"], target))
+        for rid, i in placed:
+            c = chats[i]
+            out[(rid, kind)] = (i + 1, c["fill"], "completed" if c["fill"] == cap else "pending")
+    return out
+
+
+def test_match_groups_equals_brute_force(t_small):
+    res = (t_small.reservations.filter(F.col("status").isin("paid", "need-approval"))
+           .join(t_small.events.select(F.col("id").alias("event_id"), "grouping"), "event_id")
+           .select(F.col("id").alias("reservation_id"), "event_id", "user_id", "group_members",
+                   "find_buddy", "grouping", F.col("updated_at").alias("paid_at")).collect())
+    by_event = {}
+    for r in sorted(res, key=lambda r: (r.event_id, r.paid_at, r.reservation_id)):
+        by_event.setdefault(r.event_id, []).append(r.asDict())
+    want = {}
+    for ev, rows in by_event.items():
+        want.update(_first_fit_brute(rows, rows[0]["grouping"]))
+    got = {(r.reservation_id, r.kind): (r.chat_no, r.chat_fill, r.chat_status)
+           for r in match_groups(t_small).collect()}
+    assert got == want
+
+
+def test_explode_group_members(spark):
+    from eventide.sources.sinks import explode_group_members
+    df = spark.createDataFrame(
+        [(1, [("a", "b", "1370/01/01", "0012345679"), ("c", "d", "1990-01-01", "1234567891")]),
+         (2, [])],
+        "reservation_id long, group_members_list array<struct<first_name:string, last_name:string,"
+        " birth_date:string, national_id:string>>")
+    got = sorted((r.reservation_id, r.first_name) for r in explode_group_members(df).collect())
+    assert got == [(1, "a"), (1, "c")]
+
+
+def test_validate_events_rules(spark, t_small):
+    from eventide.functions.calendar import jalali_calendar
+    from eventide.operators.quality import validate_events
+    base = dict(creator_id=7, title="Night hike", category="1", start_date="1378/05/10",
+                start_time="18:30", end_date="1378/05/10", end_time="21:00",
+                location_name="کوه دماوند", address="جاده هراز کیلومتر ۵۰",
+                coordinate_lat="35.95", coordinate_lng="52.11",
+                coordinate_address="جاده هراز کیلومتر ۵۰", description="x" * 25,
+                media_ids="media-3,media-2", capacity="12", grouping="4", price="150,000",
+                private=False, approval=True, leader=None)
+    cases = {
+        1: ({}, []),
+        2: ({"title": "abc"}, ["title_length"]),
+        3: ({"grouping": "5"}, ["grouping"]),                 # does not divide 12
+        4: ({"grouping": "12"}, []),                           # equal to capacity -> 0
+        5: ({"coordinate_lng": "120.5"}, []),                  # we allow up to 180
+        6: ({"media_ids": "media-1"}, ["no_image"]),           # part 0's extra media is a video
+        7: ({"end_time": "17:00"}, ["end_before_start"]),
+        8: ({"start_date": "1376/01/10", "end_date": "1376/01/10"}, ["start_in_past"]),
+        9: ({"category": "9"}, ["category"]),
+        10: ({"creator_id": 0, "leader": "3"}, []),            # admin names a leader
+    }
+    rows = []
+    for sid, (over, _) in cases.items():
+        r = dict(base, **over)
+        r["sub_id"] = sid
+        rows.append(r)
+    schema = ("sub_id long, creator_id long, title string, category string, start_date string, "
+              "start_time string, end_date string, end_time string, location_name string, "
+              "address string, coordinate_lat string, coordinate_lng string, "
+              "coordinate_address string, description string, media_ids string, capacity string, "
+              "grouping string, price string, private boolean, approval boolean, leader string")
+    raw = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", "))
+                                 for r in rows], schema)
+    ok, bad = validate_events(raw, t_small.event_categories, t_small.event_medias,
+                              t_small.leaders, t_small.users, jalali_calendar(spark),
+                              "1998-06-01 00:00:00")
+    reasons = {r.sub_id: sorted(r.reasons) for r in bad.collect()}
+    for sid, (_, want) in cases.items():
+        assert reasons.get(sid, []) == sorted(want), sid
+    acc = {r.sub_id: r for r in ok.collect()}
+    assert acc[4].grouping == 0 and acc[1].grouping == 4
+    assert acc[1].price == 150000 and acc[1].status == "pending" and acc[1].leader_id == 0
+    assert acc[10].status == "verified" and acc[10].leader_id == 3
+    assert acc[1].thumbnail_id == 3  # first image in list order (media-3 is an image)
