@@ -123,7 +123,9 @@ def memories_feed(t, viewer: int, uuids=None, sort: bool = False) -> DataFrame:
 
     Counts are aggregated per memory before the join; viewer flags are
     semi-filtered scans of the viewer's own rows. ``is_following`` tests the
-    memory author's *user* id as leader id, as the reference does.
+    memory author's *user* id as leader id, as the reference does. A user
+    with a NULL last name keeps the user object with a NULL name (the
+    reference builds the object by text concatenation, which loses it whole).
     """
     mem = t.memories.filter(F.col("status") == "published")
     if uuids is not None:
