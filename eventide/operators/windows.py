@@ -14,22 +14,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_per(df: DataFrame, key: str, order: list[str], keep: list[str] | None = None,
-               prefix: str = "") -> DataFrame:
+def _keys(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def latest_per(df: DataFrame, key: str | list[str], order: list[str],
+               keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """One row per key with the greatest ``order`` tuple (ties end on ``id``)."""
-    keep = keep or [c for c in df.columns if c != key]
+    keys = _keys(key)
+    keep = keep or [c for c in df.columns if c not in keys]
     packed = F.struct(*[F.col(c) for c in order], F.struct(*[F.col(c) for c in keep]).alias("v"))
-    best = df.groupBy(key).agg(F.max(packed).alias("_best"))
-    return best.select(key, *[F.col(f"_best.v.{c}").alias(prefix + c) for c in keep])
+    best = df.groupBy(*keys).agg(F.max(packed).alias("_best"))
+    return best.select(*keys, *[F.col(f"_best.v.{c}").alias(prefix + c) for c in keep])
 
 
-def first_per(df: DataFrame, key: str, order: list[str], keep: list[str] | None = None,
-              prefix: str = "") -> DataFrame:
+def first_per(df: DataFrame, key: str | list[str], order: list[str],
+              keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """WIN-5: one row per key with the smallest ``order`` tuple."""
-    keep = keep or [c for c in df.columns if c != key]
+    keys = _keys(key)
+    keep = keep or [c for c in df.columns if c not in keys]
     packed = F.struct(*[F.col(c) for c in order], F.struct(*[F.col(c) for c in keep]).alias("v"))
-    best = df.groupBy(key).agg(F.min(packed).alias("_best"))
-    return best.select(key, *[F.col(f"_best.v.{c}").alias(prefix + c) for c in keep])
+    best = df.groupBy(*keys).agg(F.min(packed).alias("_best"))
+    return best.select(*keys, *[F.col(f"_best.v.{c}").alias(prefix + c) for c in keep])
 
 
 def latest_message(messages: DataFrame) -> DataFrame:
@@ -47,9 +53,9 @@ def top_n_per(df: DataFrame, key: str | list[str], order: list[Column], n: int,
 
 
 def latest_code(otps: DataFrame, keys: list[str]) -> DataFrame:
-    """WIN-4: newest code per key by expires_at (ties: higher id)."""
-    w = Window.partitionBy(*keys).orderBy(F.col("expires_at").desc(), F.col("id").desc())
-    return otps.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """WIN-4: newest code per key by expires_at (ties: higher id), as a
+    partial aggregation (a phone with a huge number of codes stays spread)."""
+    return latest_per(otps, keys, ["expires_at", "id"])
 
 
 def first_image(media_lists: DataFrame, medias: DataFrame, list_col: str = "media_ids",

@@ -116,3 +116,12 @@ def test_week_numbers_are_contiguous(spark, cal):
     assert wk.filter("count <> 7").count() == 0
     per_year = wk.groupBy("week_year").agg(F.max("week").alias("m"), F.count("*").alias("n"))
     assert per_year.filter("m <> n OR m < 52 OR m > 53").count() == 0
+
+
+def test_latest_code_per_phone(spark):
+    from eventide.operators.windows import latest_code
+    df = spark.createDataFrame([(1, "a", "login", 100), (2, "a", "login", 300), (3, "a", "reg", 50),
+                                (4, "b", "login", 300), (5, "b", "login", 300)],
+                               "id long, phone string, page string, expires_at long")
+    got = {(r.phone, r.page): r.id for r in latest_code(df, ["phone", "page"]).collect()}
+    assert got == {("a", "login"): 2, ("a", "reg"): 3, ("b", "login"): 5}
