@@ -35,7 +35,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventide.functions.exprs import not_canceled
 from eventide.operators.stats import seats_filled
 from eventide.session import ensure_checkpoint_dir
 

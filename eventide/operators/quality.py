@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.functions.calendar import latin_digits
 
 # ------------------------------------------------------------------ DQ-1
 
