@@ -74,8 +74,9 @@ def audit(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
     sample_key) where sample_key is the smallest offending key as text.
 
     Column rules of one table (NOT NULL, ENUM, range) are evaluated in one
-    aggregation pass over that table; key rules are a grouped count (> 1) or
-    an anti join for foreign keys.
+    aggregation pass over that table; its key rules (PK / UNIQUE) in one
+    GROUPING SETS aggregation (count > 1 per set); foreign keys are anti
+    joins.
     """
     parts = []
     col_rules: dict[str, list[Rule]] = {}
@@ -102,20 +103,38 @@ def audit(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
                                     F.lit(",".join(r.cols)).alias("columns"),
                                     F.coalesce(F.col(f"n{i}"), F.lit(0)).alias("violations"),
                                     F.col(f"s{i}").alias("sample_key")))
+    # Key rules (PK / UNIQUE) of one table share one scan and one shuffle:
+    # a GROUPING SETS aggregation with one set per rule.
+    key_rules: dict[str, list[Rule]] = {}
     for r in rules:
-        df = tables[r.table]
         if r.kind in ("pk", "unique"):
-            dup = (df.filter(F.coalesce(*[F.col(c).isNotNull() for c in r.cols]))
-                   .groupBy(*r.cols).count().filter("count > 1"))
+            key_rules.setdefault(r.table, []).append(r)
+    for table, rs in key_rules.items():
+        df = tables[table]
+        cols = sorted({c for r in rs for c in r.cols})
+        sets = [[F.col(c) for c in r.cols] for r in rs]
+        g = (df.groupingSets(sets, *[F.col(c) for c in cols])
+             .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid")))
+        for r in rs:
+            # grouping_id sets bit (len(cols)-1-i) for every column i not in the set
+            gid = sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in r.cols)
+            some_key = F.lit(False)
+            for c in r.cols:
+                some_key = some_key | F.col(c).isNotNull()
+            dup = g.filter((F.col("gid") == gid) & some_key & (F.col("n") > 1))
             out = dup.agg(F.count(F.lit(1)).alias("violations"),
                           F.min(_key_text(r.cols)).alias("sample_key"))
-        elif r.kind == "fk":
-            target = tables[r.ref[0]].select(F.col(r.ref[1]).alias(r.cols[0])).distinct()
-            orphans = df.filter(F.col(r.cols[0]).isNotNull()).join(target, r.cols[0], "left_anti")
-            out = orphans.agg(F.count(F.lit(1)).alias("violations"),
-                              F.min(_key_text(r.cols)).alias("sample_key"))
-        else:
+            parts.append(out.select(F.lit(table).alias("table_name"), F.lit(r.kind).alias("rule"),
+                                    F.lit(",".join(r.cols)).alias("columns"), "violations",
+                                    "sample_key"))
+    for r in rules:
+        if r.kind != "fk":
             continue
+        df = tables[r.table]
+        target = tables[r.ref[0]].select(F.col(r.ref[1]).alias(r.cols[0])).distinct()
+        orphans = df.filter(F.col(r.cols[0]).isNotNull()).join(target, r.cols[0], "left_anti")
+        out = orphans.agg(F.count(F.lit(1)).alias("violations"),
+                          F.min(_key_text(r.cols)).alias("sample_key"))
         parts.append(out.select(F.lit(r.table).alias("table_name"), F.lit(r.kind).alias("rule"),
                                 F.lit(",".join(r.cols)).alias("columns"), "violations",
                                 "sample_key"))
