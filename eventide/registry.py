@@ -770,13 +770,15 @@ FROM d_reservations GROUP BY event_id""")
 def q_stream_live_fill(spark, sf_dir):
     from eventide.streaming.jobs import file_stream, live_fill, run_update_snapshot
     r = domain(spark, sf_dir).reservations
-    changes = (r.select(F.col("id").alias("reservation_id"), "event_id", "group_members",
-                        F.lit("pending-pay").alias("status"),
-                        F.col("created_at").alias("version_ts"))
+    # change feed: creation (+members), later cancellation (-members)
+    changes = (r.select(F.col("id").alias("reservation_id"), "event_id",
+                        F.col("group_members").cast("long").alias("seats_delta"),
+                        F.col("created_at").alias("change_ts"))
                .unionByName(r.filter(F.col("status") == "canceled").select(
-                   F.col("id").alias("reservation_id"), "event_id", "group_members", "status",
-                   F.col("updated_at").alias("version_ts"))))
-    s = file_stream(changes, "bookings", "version_ts")
+                   F.col("id").alias("reservation_id"), "event_id",
+                   (-F.col("group_members")).cast("long").alias("seats_delta"),
+                   F.col("updated_at").alias("change_ts"))))
+    s = file_stream(changes, "seat_changes", "change_ts")
     return run_update_snapshot(live_fill(s), "live_fill", "event_id")
 
 

@@ -240,15 +240,14 @@ def settle_stream(confirmations: DataFrame, transactions: DataFrame, reservation
 
 # ------------------------------------------------------------------ ST-6
 
-def live_fill(booking_changes: DataFrame) -> DataFrame:
-    """ST-6: running seats per event. Input rows are booking versions
-    ``(reservation_id, event_id, group_members, status, version_ts)``; a
-    booking counts while its status is not canceled, as a signed delta of
-    +members when it enters and -members when it is canceled."""
-    delta = F.when(F.col("status") == "canceled", -F.col("group_members")).otherwise(
-        F.col("group_members"))
-    return (booking_changes.withColumn("delta", delta)
-            .groupBy("event_id").agg(F.sum("delta").alias("filled")))
+def live_fill(seat_changes: DataFrame) -> DataFrame:
+    """ST-6: running seats per event from a change feed of bookings
+    ``(reservation_id, event_id, seats_delta, change_ts)``: each change
+    carries its signed seat change (+members when a booking is created,
+    -members when a live booking is canceled, 0 for status changes between
+    live states). Streaming ``groupBy().sum()`` in update mode; the state
+    is one number per event."""
+    return seat_changes.groupBy("event_id").agg(F.sum("seats_delta").alias("filled"))
 
 
 # ------------------------------------------------------------------ ST-7
