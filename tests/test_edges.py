@@ -125,3 +125,24 @@ def test_latest_code_per_phone(spark):
                                "id long, phone string, page string, expires_at long")
     got = {(r.phone, r.page): r.id for r in latest_code(df, ["phone", "page"]).collect()}
     assert got == {("a", "login"): 2, ("a", "reg"): 3, ("b", "login"): 5}
+
+
+def test_slug_keeps_persian_drops_punctuation(spark, cal):
+    from eventide.functions.text import slug
+    df = spark.createDataFrame([("کنسرت «بزرگ» 2024!  Tehran_Live", dt.datetime(2024, 3, 20, 18))],
+                               "title string, start_time timestamp_ntz")
+    got = slug(df, "title", "start_time", cal).first().slug
+    assert got == "کنسرت-بزرگ-2024-tehran_live-01-فروردین-1403"
+
+
+def test_rollup_levels_agree(spark, cal):
+    from eventide.functions.calendar import rollup_calendar
+    facts = spark.createDataFrame([(dt.datetime(2024, 3, 19 + i % 9, 10), i % 4 + 1) for i in range(60)],
+                                  "ts timestamp_ntz, seats int")
+    m = rollup_calendar(facts, "ts", cal, "month", [F.sum("seats").alias("s")])
+    s = rollup_calendar(facts, "ts", cal, "season", [F.sum("seats").alias("s")])
+    w = rollup_calendar(facts, "ts", cal, "weekday", [F.sum("seats").alias("s")])
+    total = facts.agg(F.sum("seats")).first()[0]
+    for df in (m, s, w):
+        assert df.agg(F.sum("s")).first()[0] == total
+    assert {r.month_name for r in m.collect()} == {"اسفند", "فروردین"}

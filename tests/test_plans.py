@@ -32,3 +32,21 @@ def test_filter_and_pruning_reach_scan(spark, t_small):
     # orders scan reads only the columns the query needs
     scan = [ln for ln in plan.splitlines() if "orders.parquet" in ln or "ReadSchema" in ln]
     assert not any("o_orderpriority" in ln for ln in scan)
+
+
+def test_admission_range_partitions_requests(spark, t_small):
+    """ADM-1 must not hash one event into one task: its sorted input is range
+    partitioned on (event, time, id) before the checkpoint."""
+    from eventide.operators.folds import admit_bookings
+    import io
+    import contextlib
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        admit_bookings(t_small, t_small.booking_requests).explain("extended")
+    # the checkpointed input shows up as an existing RDD; the range exchange is
+    # in the plan that produced it, so check the operator source instead
+    import inspect
+    src = inspect.getsource(admit_bookings)
+    assert 'repartitionByRange(P, "event_id", "requested_at", "request_id")' in src
+    assert "checkpoint(eager=True)" in src
+    assert "ExistingRDD" in buf.getvalue() or "LogicalRDD" in buf.getvalue()
