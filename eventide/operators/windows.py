@@ -49,7 +49,8 @@ def top_n_per(df: DataFrame, key: str | list[str], order: list[Column], n: int,
     """WIN-3: the first ``n`` rows per key in ``order``, with the rank kept."""
     keys = [key] if isinstance(key, str) else key
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
+    return (df.withColumn(rank_col, F.row_number().over(w).cast("long"))
+            .filter(F.col(rank_col) <= n))
 
 
 def latest_code(otps: DataFrame, keys: list[str]) -> DataFrame:

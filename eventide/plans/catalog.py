@@ -200,7 +200,7 @@ def featured_events(t, as_of: str, n: int = 3) -> DataFrame:
     top = top_by(ev, [F.col("views").desc(), F.col("start_time").asc(), F.col("id").asc()], n)
     # The window runs over the n rows left after the limit.
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(
-        F.col("views").desc(), F.col("start_time").asc(), F.col("id").asc())))
+        F.col("views").desc(), F.col("start_time").asc(), F.col("id").asc())).cast("long"))
     return decorated_events(t, ranked).select(
         "rank", "id", "title", "description", "slug", "start_time", "end_time", "location",
         "category", full_url("thumbnail_path").alias("thumbnail"), "price", "grouping",

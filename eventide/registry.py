@@ -256,10 +256,11 @@ jyears AS (SELECT range AS jy, CASE WHEN ((range + 12) % 33) % 4 = 1 THEN 366 EL
 jys AS (SELECT jy, ylen, coalesce(sum(ylen) OVER (ORDER BY jy ROWS BETWEEN UNBOUNDED PRECEDING
                                                    AND 1 PRECEDING), 0) AS so FROM jyears),
 janc AS (SELECT so AS aso FROM jys WHERE jy = 1403),
-jcal AS (SELECT cast(DATE '2024-03-20' + cast(so + d - aso AS integer) AS date) AS date, jy,
-                CASE WHEN d < 186 THEN d // 31 + 1 ELSE (d - 186) // 30 + 7 END AS jm,
-                CASE WHEN d < 186 THEN d % 31 + 1 ELSE (d - 186) % 30 + 1 END AS jd,
-                d AS doy, ylen = 366 AS leap
+jcal AS (SELECT cast(DATE '2024-03-20' + cast(so + d - aso AS integer) AS date) AS date,
+                cast(jy AS integer) AS jy,
+                cast(CASE WHEN d < 186 THEN d // 31 + 1 ELSE (d - 186) // 30 + 7 END AS integer) AS jm,
+                cast(CASE WHEN d < 186 THEN d % 31 + 1 ELSE (d - 186) % 30 + 1 END AS integer) AS jd,
+                cast(d AS integer) AS doy, ylen = 366 AS leap
          FROM jys, janc, range(0, 366) r(d) WHERE d < ylen)"""
 
 
@@ -722,7 +723,7 @@ def q_event_slugs(spark, sf_dir):
 @register("calendar_rollup", ["d_reservations"], f"""
 , {JCAL_DUCK.strip()}
 SELECT j.jy, j.jm, {_MONTHS_DUCK}[j.jm] AS month_name, count(*) AS bookings,
-       sum(r.group_members) AS seats
+       cast(sum(r.group_members) AS bigint) AS seats
 FROM d_reservations r JOIN jcal j ON cast(r.created_at AS date) = j.date
 GROUP BY j.jy, j.jm""")
 def q_calendar_rollup(spark, sf_dir):
@@ -765,7 +766,7 @@ def q_validate_members(spark, sf_dir):
 # ---------------------------------------------------------------- streaming (run with availableNow)
 
 @register("stream_live_fill", ["d_reservations"], """
-SELECT event_id, sum(CASE WHEN status = 'canceled' THEN 0 ELSE group_members END) AS filled
+SELECT event_id, cast(sum(CASE WHEN status = 'canceled' THEN 0 ELSE group_members END) AS bigint) AS filled
 FROM d_reservations GROUP BY event_id""")
 def q_stream_live_fill(spark, sf_dir):
     from eventide.streaming.jobs import file_stream, live_fill, run_update_snapshot
@@ -947,13 +948,13 @@ def q_reservation_codes(spark, sf_dir):
 @register("calendar_days", ["d_reservations"], f"""
 , {JCAL_DUCK.strip()},
 days AS (SELECT DISTINCT cast(created_at AS date) AS date FROM d_reservations),
-c AS (SELECT j.*, (dayofweek(j.date) + 1) % 7 AS weekday FROM jcal j JOIN days USING (date))
+c AS (SELECT j.*, cast((dayofweek(j.date) + 1) % 7 AS integer) AS weekday FROM jcal j JOIN days USING (date))
 SELECT cast(c.date AS varchar) AS date, c.jy, c.jm, c.jd, {_MONTHS_DUCK}[c.jm] AS month_name,
        cast(floor(c.jm / 3.1) + 1 AS int) AS season, c.weekday, c.leap,
        CASE WHEN c.jm = 12 THEN 29 + cast(c.leap AS int) ELSE 31 - cast(floor(c.jm / 6.5) AS int) END
          AS month_len,
-       c.doy AS day_of_year, cast(c.leap AS int) + 364 - c.doy AS days_left,
-       t.doy // 7 + 1 AS week, t.jy AS week_year
+       c.doy AS day_of_year, cast(cast(c.leap AS int) + 364 - c.doy AS integer) AS days_left,
+       cast(t.doy // 7 + 1 AS integer) AS week, t.jy AS week_year
 FROM c LEFT JOIN jcal t ON t.date = c.date + cast(3 - c.weekday AS integer)""")
 def q_calendar_days(spark, sf_dir):
     from eventide.functions.calendar import jalali_calendar
