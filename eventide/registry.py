@@ -570,7 +570,43 @@ def q_admit_bookings(spark, sf_dir):
     return admit_bookings(t, t.booking_requests)
 
 
-@register("match_groups")
+@register("match_groups", ["d_reservations", "d_events"], """
+, b AS (SELECT r.id AS reservation_id, r.event_id, r.user_id, r.group_members, r.find_buddy,
+               e.grouping, r.updated_at AS paid_at
+        FROM d_reservations r JOIN d_events e ON r.event_id = e.id
+        WHERE r.status IN ('paid', 'need-approval') AND (r.find_buddy OR e.grouping >= 2)),
+k AS (SELECT reservation_id, event_id, user_id, 'buddy' AS kind, 1 AS w, 2 AS cap, paid_at
+      FROM b WHERE find_buddy
+      UNION ALL
+      SELECT reservation_id, event_id, user_id, 'group' AS kind, group_members AS w, grouping AS cap,
+             paid_at FROM b WHERE grouping >= 2),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY event_id, kind ORDER BY paid_at, reservation_id) AS seq
+       FROM k),
+rec(event_id, kind, seq, fills, members, chat) AS (
+  SELECT DISTINCT event_id, kind, 0, cast([] AS INTEGER[]), cast([] AS BIGINT[][]), cast(NULL AS INTEGER)
+  FROM k2
+  UNION ALL
+  SELECT event_id, kind, seq,
+         CASE WHEN pos IS NOT NULL
+              THEN list_transform(fills, lambda f, i: CASE WHEN i = pos THEN f + w ELSE f END)
+              WHEN w > cap THEN fills ELSE list_append(fills, w) END,
+         CASE WHEN pos IS NOT NULL
+              THEN list_transform(members, lambda m, i: CASE WHEN i = pos THEN list_append(m, u) ELSE m END)
+              WHEN w > cap THEN members ELSE list_append(members, [u]) END,
+         CASE WHEN pos IS NOT NULL THEN pos WHEN w > cap THEN NULL ELSE len(fills) + 1 END
+  FROM (SELECT r.event_id, r.kind, k2.seq, r.fills, r.members, k2.w, k2.cap, k2.user_id AS u,
+               list_position(list_transform(r.fills, lambda f, i: f + k2.w <= k2.cap
+                                            AND NOT list_contains(r.members[i], k2.user_id)), true) AS pos
+        FROM rec r JOIN k2 ON k2.event_id = r.event_id AND k2.kind = r.kind AND k2.seq = r.seq + 1) x),
+fin AS (SELECT event_id, kind, arg_max(fills, seq) AS fills FROM rec GROUP BY event_id, kind)
+SELECT k2.reservation_id, k2.event_id, k2.user_id, k2.kind, rec.chat AS chat_no,
+       rec.chat IS NOT NULL AS placed, fin.fills[rec.chat] AS chat_fill, cast(k2.cap AS integer) AS chat_size,
+       CASE WHEN rec.chat IS NULL THEN NULL
+            WHEN fin.fills[rec.chat] = k2.cap THEN 'completed' ELSE 'pending' END AS chat_status,
+       coalesce(e.end_time, e.start_time) + INTERVAL 7 DAY AS chat_expires_on
+FROM k2 JOIN rec ON rec.event_id = k2.event_id AND rec.kind = k2.kind AND rec.seq = k2.seq
+JOIN fin ON fin.event_id = k2.event_id AND fin.kind = k2.kind
+JOIN d_events e ON e.id = k2.event_id""", recursive=True)
 def q_match_groups(spark, sf_dir):
     from eventide.operators.folds import match_groups
     return match_groups(domain(spark, sf_dir))
