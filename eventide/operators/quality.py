@@ -281,8 +281,10 @@ def validate_events(raw: DataFrame, categories: DataFrame, medias: DataFrame,
     ymd = r"^\d{4}/(0[1-9]|1[0-2])/(0[1-9]|[12][0-9]|3[01])$"
 
     def at(d, tm):
-        return F.try_to_timestamp(F.concat_ws(" ", F.col(d).cast("string"), F.col(tm)),
-                                  F.lit("yyyy-MM-dd H:mm"))
+        # only a time that passes the HH:MM rule is read (the reference stops
+        # at a bad time, so no later rule judges it)
+        return F.when(F.col(tm).rlike(hhmm), F.try_to_timestamp(
+            F.concat_ws(" ", F.col(d).cast("string"), F.col(tm)), F.lit("yyyy-MM-dd H:mm")))
 
     r = r.withColumn("_start", at("_sd", "start_time").cast("timestamp_ntz")).withColumn(
         "_end", at("_ed", "end_time").cast("timestamp_ntz"))
@@ -341,7 +343,7 @@ def validate_events(raw: DataFrame, categories: DataFrame, medias: DataFrame,
          "grouping"),
         ((F.col("price").isNotNull() & (F.col("price").cast("string") != "")
           & (F.col("price").cast("string") != "0")
-          & ~F.coalesce(price_digits.cast("long") > 0, F.lit(False))), "price"),
+          & ~F.coalesce(price_digits.try_cast("long") > 0, F.lit(False))), "price"),
         (leader_id.isNull(), "leader"),
     )
     r = r.withColumn("reasons", reasons)

@@ -927,7 +927,94 @@ def q_stream_admit(spark, sf_dir):
 
 # ---------------------------------------------------------------- event intake and sinks
 
-@register("validate_events")
+def _date_sql(col: str) -> str:
+    """DuckDB: the CAL-3 reading of a date text column as ``(y, m, d, date)``
+    pieces; Jalali years (< 1600) are looked up in ``jcal``."""
+    t = f"translate(trim({col}), '۰۱۲۳۴۵۶۷۸۹٫', '0123456789.')"
+    norm = (f"CASE WHEN length({t}) - length(replace({t}, '/', '')) = 2 THEN {t} "
+            f"WHEN length({t}) - length(replace({t}, '-', '')) = 2 THEN replace({t}, '-', '/') END")
+    return f"string_split({norm}, '/')"
+
+
+_HHMM = "'(2[0-3]|[01]?[0-9]):[0-5][0-9]'"
+_YMD = "'\\d{4}/(0[1-9]|1[0-2])/(0[1-9]|[12][0-9]|3[01])'"
+_PLACE = "[\\x{0622}-\\x{06CC}\\x{06F0}-\\x{06F9}0-9\\s\\-_,\\x{060C}\\.]"
+_LAT = "'(\\+|-)?(?:90(?:\\.0{1,6})?|(?:[0-9]|[1-8][0-9])(?:\\.[0-9]{1,6})?)'"
+_LNG = "'(\\+|-)?(?:180(?:\\.0{1,6})?|(?:[0-9]|[1-9][0-9]|1[0-7][0-9])(?:\\.[0-9]{1,6})?)'"
+
+_EV_CHECK_SQL = f"""
+, {JCAL_DUCK.strip()},
+sp AS (SELECT s.*, {_date_sql('start_date')} AS sp_, {_date_sql('end_date')} AS ep_
+       FROM d_event_submissions s),
+sy AS (SELECT *, try_cast(sp_[1] AS int) AS sy_, try_cast(sp_[2] AS int) AS sm_,
+              try_cast(sp_[3] AS int) AS sd_, try_cast(ep_[1] AS int) AS ey_,
+              try_cast(ep_[2] AS int) AS em_, try_cast(ep_[3] AS int) AS ed_ FROM sp),
+sdt AS (SELECT y.*,
+          CASE WHEN y.sy_ < 1600 THEN j1.date
+               ELSE cast(try_strptime(printf('%04d-%02d-%02d', y.sy_, y.sm_, y.sd_), '%Y-%m-%d') AS date) END AS sdate,
+          CASE WHEN y.ey_ < 1600 THEN j2.date
+               ELSE cast(try_strptime(printf('%04d-%02d-%02d', y.ey_, y.em_, y.ed_), '%Y-%m-%d') AS date) END AS edate
+        FROM sy y LEFT JOIN jcal j1 ON j1.jy = y.sy_ AND j1.jm = y.sm_ AND j1.jd = y.sd_
+        LEFT JOIN jcal j2 ON j2.jy = y.ey_ AND j2.jm = y.em_ AND j2.jd = y.ed_),
+st AS (SELECT *,
+          CASE WHEN regexp_full_match(start_time, {_HHMM})
+               THEN try_strptime(cast(sdate AS varchar) || ' ' || start_time, '%Y-%m-%d %H:%M') END AS st_,
+          CASE WHEN regexp_full_match(end_time, {_HHMM})
+               THEN try_strptime(cast(edate AS varchar) || ' ' || end_time, '%Y-%m-%d %H:%M') END AS et_
+        FROM sdt),
+mu AS (SELECT sub_id, trim(unnest(string_split(media_ids, ','))) AS uuid,
+              unnest(generate_series(1, len(string_split(media_ids, ',')))) AS pos
+       FROM d_event_submissions),
+th AS (SELECT mu.sub_id, arg_min(em.id, mu.pos) AS thumbnail_id FROM mu
+       JOIN d_event_medias em ON em.uuid = mu.uuid WHERE em.type = 'image' GROUP BY mu.sub_id),
+x AS (SELECT st.*, th.thumbnail_id, ec.id AS cat_id, u.role,
+             ol.id AS own_leader, nl.id AS named_leader,
+             CASE WHEN regexp_full_match(capacity, '\\s*[0-9]+\\s*') THEN cast(trim(capacity) AS bigint) END AS cap_i,
+             coalesce(CASE WHEN regexp_full_match(grouping, '\\s*[0-9]+\\s*') THEN cast(trim(grouping) AS bigint) END, 0) AS grp,
+             regexp_replace(coalesce(price, ''), '\\D', '', 'g') AS price_digits,
+             coalesce(u.role = 'admin', false) AS is_admin
+      FROM st LEFT JOIN th ON th.sub_id = st.sub_id
+      LEFT JOIN d_event_categories ec ON ec.id = try_cast(st.category AS bigint)
+      LEFT JOIN d_users u ON u.id = st.creator_id
+      LEFT JOIN d_leaders ol ON ol.user_id = st.creator_id
+      LEFT JOIN d_leaders nl ON nl.id = try_cast(st.leader AS bigint)),
+v AS (SELECT *, CASE WHEN is_admin AND named_leader IS NOT NULL THEN named_leader ELSE own_leader END AS leader_id,
+        concat_ws(',',
+          CASE WHEN NOT coalesce(length(title) BETWEEN 5 AND 150, false) THEN 'title_length' END,
+          CASE WHEN cat_id IS NULL THEN 'category' END,
+          CASE WHEN NOT coalesce(regexp_full_match(start_date, {_YMD}), false) OR sdate IS NULL THEN 'start_date' END,
+          CASE WHEN NOT coalesce(regexp_full_match(start_time, {_HHMM}), false) THEN 'start_time' END,
+          CASE WHEN NOT coalesce(regexp_full_match(end_date, {_YMD}), false) OR edate IS NULL THEN 'end_date' END,
+          CASE WHEN NOT coalesce(regexp_full_match(end_time, {_HHMM}), false) THEN 'end_time' END,
+          CASE WHEN coalesce(st_ < {NOW}, false) THEN 'start_in_past' END,
+          CASE WHEN coalesce(et_ <= st_, false) THEN 'end_before_start' END,
+          CASE WHEN NOT coalesce(regexp_full_match(location_name, '{_PLACE}{{3,100}}'), false) THEN 'location_name' END,
+          CASE WHEN NOT coalesce(regexp_full_match(address, '{_PLACE}{{10,150}}'), false) THEN 'address' END,
+          CASE WHEN NOT coalesce(regexp_full_match(coordinate_lat, {_LAT}), false) THEN 'lat' END,
+          CASE WHEN NOT coalesce(regexp_full_match(coordinate_lng, {_LNG}), false) THEN 'lng' END,
+          CASE WHEN NOT coalesce(regexp_full_match(coordinate_address, '{_PLACE}{{10,150}}'), false)
+               THEN 'coordinate_address' END,
+          CASE WHEN NOT coalesce(length(description) BETWEEN 20 AND 2000, false) THEN 'description_length' END,
+          CASE WHEN thumbnail_id IS NULL THEN 'no_image' END,
+          CASE WHEN NOT coalesce(cap_i > 0, false) THEN 'capacity' END,
+          CASE WHEN grp > 0 AND grp <> cap_i AND (grp > cap_i OR cap_i % greatest(grp, 1) <> 0) THEN 'grouping' END,
+          CASE WHEN price IS NOT NULL AND price <> '' AND price <> '0'
+                    AND NOT coalesce(try_cast(price_digits AS bigint) > 0, false) THEN 'price' END,
+          CASE WHEN (CASE WHEN is_admin AND named_leader IS NOT NULL THEN named_leader ELSE own_leader END) IS NULL
+               THEN 'leader' END) AS reasons
+      FROM x)"""
+
+_EV_VIEWS = ["d_event_submissions", "d_event_categories", "d_event_medias", "d_leaders", "d_users"]
+
+
+@register("validate_events", _EV_VIEWS, _EV_CHECK_SQL + """
+SELECT sub_id, reasons,
+       CASE WHEN reasons = '' THEN thumbnail_id END AS thumbnail_id,
+       CASE WHEN reasons = '' THEN CASE WHEN is_admin THEN 'verified' ELSE 'pending' END END AS status,
+       CASE WHEN reasons = '' THEN leader_id END AS leader_id,
+       CASE WHEN reasons = '' THEN cast(CASE WHEN grp = cap_i THEN 0 ELSE grp END AS integer) END AS grouping,
+       CASE WHEN reasons = '' THEN st_ END AS start_time
+FROM v""")
 def q_validate_events(spark, sf_dir):
     from eventide.functions.calendar import jalali_calendar
     from eventide.operators.quality import validate_events
@@ -940,6 +1027,16 @@ def q_validate_events(spark, sf_dir):
                       ("thumbnail_id", "status", "leader_id", "grouping", "start_time")])
 
 
+@register("ingest_events", _EV_VIEWS + ["d_events"], _EV_CHECK_SQL + f"""
+SELECT sub_id, title, description, cat_id AS category_id, st_ AS start_time, et_ AS end_time,
+       location_name AS location, address, cast(coordinate_lat AS double) AS coordinates_lat,
+       cast(coordinate_lng AS double) AS coordinates_lng, coordinate_address AS coordinates_address,
+       coalesce(try_cast(price_digits AS bigint), 0) AS price, cast(cap_i AS integer) AS capacity,
+       cast(CASE WHEN grp = cap_i THEN 0 ELSE grp END AS integer) AS grouping, creator_id, leader_id,
+       thumbnail_id, CASE WHEN is_admin THEN 'verified' ELSE 'pending' END AS status,
+       coalesce(private, false) AS is_private, coalesce(approval, false) AS is_approval,
+       (SELECT max(id) FROM d_events) + sub_id AS id, {NOW} AS created_at
+FROM v WHERE reasons = ''""")
 @register("ingest_events")
 def q_ingest_events(spark, sf_dir):
     from eventide.functions.calendar import jalali_calendar
