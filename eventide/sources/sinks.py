@@ -84,7 +84,8 @@ def assign_codes(df: DataFrame, key: str, existing: DataFrame | None = None,
                  max_rounds: int = 200) -> DataFrame:
     """SNK-6: deterministic unique codes ``prefix`` + ``digits`` digits.
 
-    Round r hashes each still-unassigned key with salt r into the code space
+    Round r hashes each still-unassigned key with salt r (MD5 of "key:r")
+    into the code space
     (AGG-11's "count rows with this code" becomes an anti join on taken codes);
     a code already taken (by ``existing`` or an earlier round) is refused,
     and among keys landing on the same free code the smallest key wins. The
@@ -102,8 +103,8 @@ def assign_codes(df: DataFrame, key: str, existing: DataFrame | None = None,
         if pending.isEmpty():
             break
         cand = pending.withColumn(out, F.concat(F.lit(prefix), F.lpad(
-            F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(space)).cast("string"),
-            digits, "0")))
+            F.pmod(_hash60(F.concat(F.col(key).cast("string"), F.lit(f":{salt}"))),
+                   F.lit(space)).cast("string"), digits, "0")))
         taken = [d.select(out) for d in (existing_codes, assigned) if d is not None]
         for tk in taken:
             cand = cand.join(tk, out, "left_anti")
@@ -116,10 +117,15 @@ def assign_codes(df: DataFrame, key: str, existing: DataFrame | None = None,
     return df.join(assigned, key, "left")
 
 
+def _hash60(text) -> F.Column:
+    """First 60 bits of the MD5 of a text, as a non-negative bigint."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def authority_code(amount, key) -> F.Column:
     """SNK-6: payment authority: 'A' (or 'F' for a zero amount) + 35 chars,
-    left padded with '0', derived from the key (not random)."""
-    body = F.lpad(F.lower(F.conv(F.xxhash64(key).cast("string"), 10, 36)), 35, "0")
+    left padded with '0', derived from the key's MD5 (not random)."""
+    body = F.lpad(F.md5(key.cast("string")), 35, "0")
     return F.concat(F.when(amount > 0, F.lit("A")).otherwise(F.lit("F")), body)
 
 
