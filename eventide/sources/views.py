@@ -280,13 +280,13 @@ FROM {events} WHERE event_type = 'view'""",
 SELECT o_orderkey AS request_id,
        CASE WHEN o_orderkey % 29 = 0 THEN 'NOCODE' ELSE 'CODE' || cast(o_orderkey % 20 AS string) END AS code,
        cast(floor(o_orderkey * 2 / 15) AS bigint) AS event_id
-FROM {orders} WHERE o_orderkey % 4 = 2""",
+FROM {orders}""",
     "d_confirmations": """
 SELECT o_orderkey * 2 AS conf_id,
        CASE WHEN o_orderkey % 97 = 0 THEN 'A' || lpad('x' || cast(o_orderkey AS string), 35, '0')
             ELSE 'A' || lpad(cast(o_orderkey AS string), 35, '0') END AS authority,
        cast(o_orderdate AS {TS}) + interval '3' hour AS confirmed_at
-FROM {orders} WHERE o_orderkey % 3 <> 2
+FROM {orders}
 UNION ALL
 SELECT o_orderkey * 2 + 1 AS conf_id, 'A' || lpad(cast(o_orderkey AS string), 35, '0') AS authority,
        cast(o_orderdate AS {TS}) + interval '3' hour AS confirmed_at
