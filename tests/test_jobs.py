@@ -204,3 +204,25 @@ def test_validate_events_rules(spark, t_small):
     assert acc[1].price == 150000 and acc[1].status == "pending" and acc[1].leader_id == 0
     assert acc[10].status == "verified" and acc[10].leader_id == 3
     assert acc[1].thumbnail_id == 3  # first image in list order (media-3 is an image)
+
+
+def test_folds_survive_tiny_arrow_batches(spark, t_small):
+    """State carried across Arrow batches: with 3 rows per batch nearly every
+    event straddles a batch boundary; results must not change."""
+    from eventide.operators.folds import admit_bookings
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        base_m = {(r.reservation_id, r.kind): (r.chat_no, r.chat_fill)
+                  for r in match_groups(t_small).collect()}
+        base_a = {r.request_id: (r.reason, r.left_before)
+                  for r in admit_bookings(t_small, t_small.booking_requests, partitions=5).collect()}
+        spark.conf.set(key, "3")
+        small_m = {(r.reservation_id, r.kind): (r.chat_no, r.chat_fill)
+                   for r in match_groups(t_small).collect()}
+        small_a = {r.request_id: (r.reason, r.left_before)
+                   for r in admit_bookings(t_small, t_small.booking_requests, partitions=5).collect()}
+    finally:
+        spark.conf.set(key, old)
+    assert small_m == base_m
+    assert small_a == base_a
