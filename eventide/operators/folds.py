@@ -134,7 +134,6 @@ def admit_bookings(t, requests: DataFrame, partitions: int | None = None) -> Dat
     spanning = chunks.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # fewer than P events can span partitions: at most 2P chunk rows below
     span_chunks = chunks.join(spanning.select("event_id"), "event_id", "left_semi")
-    span_chunks = span_chunks.checkpoint(eager=True)
 
     from pyspark.sql import Window
     w = Window.partitionBy("event_id").orderBy("pid")
@@ -154,7 +153,10 @@ def admit_bookings(t, requests: DataFrame, partitions: int | None = None) -> Dat
                         .when(F.col("pid") == F.col("over_pid"), "over").otherwise("post"))
             .select("event_id", "pid", "kind", "left_all_in",
                     F.coalesce("domain", F.lit(0)).cast("long").alias("domain")))
-    plan = plan.checkpoint(eager=True)
+    # Everything below is a deterministic function of the checkpointed input
+    # (partition ids included), so a recomputation after a lost executor
+    # gives the same rows; the small plan is cached because it is used twice.
+    plan = plan.cache()
 
     # -- per chunk summary of overflow / post chunks (spanning events only).
     # A partition arrives in Arrow batches, so the state of the current event
@@ -216,8 +218,7 @@ def admit_bookings(t, requests: DataFrame, partitions: int | None = None) -> Dat
     entry = (plan.join(post_in, ["event_id", "pid"], "left")
              .select("event_id", "pid",
                      F.when(F.col("kind") == "post", F.col("left_post_in"))
-                     .otherwise(F.col("left_all_in")).alias("left_in"))
-             .checkpoint(eager=True))
+                     .otherwise(F.col("left_all_in")).alias("left_in")))
 
     out_schema = T.StructType(
         [f for f in sorted_rows.drop("pid").schema.fields if not f.name.startswith("_")]
