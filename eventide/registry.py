@@ -736,8 +736,12 @@ def q_clean_captions(spark, sf_dir):
     return clean_text(domain(spark, sf_dir).memories.select("id", "uuid", "caption"))
 
 
-_MONTHS_DUCK = "[" + ", ".join("'" + m + "'" for m in __import__(
-    "eventide.functions.calendar", fromlist=["MONTH_NAMES"]).MONTH_NAMES) + "]"
+def _duck_list(name: str) -> str:
+    import eventide.functions.calendar as cal
+    return "[" + ", ".join("'" + m + "'" for m in getattr(cal, name)) + "]"
+
+
+_MONTHS_DUCK = _duck_list("MONTH_NAMES")
 
 
 @register("event_slugs", ["d_events"], f"""
@@ -1102,11 +1106,19 @@ def q_reservation_codes(spark, sf_dir):
 days AS (SELECT DISTINCT cast(created_at AS date) AS date FROM d_reservations),
 c AS (SELECT j.*, cast((dayofweek(j.date) + 1) % 7 AS integer) AS weekday FROM jcal j JOIN days USING (date))
 SELECT cast(c.date AS varchar) AS date, c.jy, c.jm, c.jd, {_MONTHS_DUCK}[c.jm] AS month_name,
-       cast(floor(c.jm / 3.1) + 1 AS int) AS season, c.weekday, c.leap,
+       {_duck_list("MONTH_SHORT")}[c.jm] AS month_short,
+       cast(floor(c.jm / 3.1) + 1 AS int) AS season,
+       {_duck_list("SEASON_NAMES")}[cast(floor(c.jm / 3.1) AS int) + 1] AS season_name,
+       c.weekday, {_duck_list("WEEKDAY_NAMES")}[c.weekday + 1] AS weekday_name, c.leap,
        CASE WHEN c.jm = 12 THEN 29 + cast(c.leap AS int) ELSE 31 - cast(floor(c.jm / 6.5) AS int) END
          AS month_len,
        c.doy AS day_of_year, cast(cast(c.leap AS int) + 364 - c.doy AS integer) AS days_left,
-       cast(t.doy // 7 + 1 AS integer) AS week, t.jy AS week_year
+       cast(t.doy // 7 + 1 AS integer) AS week, t.jy AS week_year,
+       floor(c.doy / (cast(c.leap AS int) + 365.24) * 1000) / 10 AS percent_passed,
+       {_duck_list("ZODIAC_NAMES")}[c.jm] AS zodiac,
+       {_duck_list("YEAR_ANIMALS")}[c.jy % 12 + 1] AS year_animal,
+       translate(cast(c.jy AS varchar) || '/' || cast(c.jm AS varchar) || '/' || cast(c.jd AS varchar),
+                 '0123456789', '۰۱۲۳۴۵۶۷۸۹') AS text_fa
 FROM c LEFT JOIN jcal t ON t.date = c.date + cast(3 - c.weekday AS integer)""")
 def q_calendar_days(spark, sf_dir):
     from eventide.functions.calendar import jalali_calendar
@@ -1115,8 +1127,9 @@ def q_calendar_days(spark, sf_dir):
     cal = jalali_calendar(spark)
     return (days.join(F.broadcast(cal), "date")
             .select(F.col("date").cast("string").alias("date"), "jy", "jm", "jd", "month_name",
-                    "season", "weekday", "leap", "month_len", "day_of_year", "days_left", "week",
-                    "week_year"))
+                    "month_short", "season", "season_name", "weekday", "weekday_name", "leap",
+                    "month_len", "day_of_year", "days_left", "week", "week_year",
+                    "percent_passed", "zodiac", "year_animal", "text_fa"))
 
 
 OTP_AS_OF_EPOCH = 1705320000  # 2024-01-15 12:00:00 UTC, inside the code data's month
