@@ -859,16 +859,20 @@ def q_stream_settle(spark, sf_dir):
 
 
 @register("stream_otp_match", ["d_otp_issued", "d_otp_attempt"], """
-SELECT a.id AS attempt_id, i.id AS otp_id
-FROM d_otp_attempt a JOIN d_otp_issued i
-  ON a.phone = i.phone AND a.code = i.code AND a.user_ip = i.user_ip
- AND a.attempted_at >= i.created_at AND a.attempted_at < i.created_at + INTERVAL 120 SECOND""")
+, m AS (SELECT a.id AS attempt_id, i.id AS otp_id, a.attempted_at
+        FROM d_otp_attempt a JOIN d_otp_issued i
+          ON a.phone = i.phone AND a.code = i.code AND a.user_ip = i.user_ip
+         AND a.attempted_at >= i.created_at AND a.attempted_at < i.created_at + INTERVAL 120 SECOND)
+SELECT attempt_id, otp_id,
+       row_number() OVER (PARTITION BY otp_id ORDER BY attempted_at, attempt_id) = 1 AS first_use
+FROM m""")
 def q_stream_otp_match(spark, sf_dir):
-    from eventide.streaming.jobs import file_stream, otp_match, run_to_table
+    from eventide.streaming.jobs import file_stream, otp_first_use, otp_match, run_to_table
     t = domain(spark, sf_dir)
     i = file_stream(t.otp_issued, "otp_issued", "created_at")
     a = file_stream(t.otp_attempt, "otp_attempt", "attempted_at")
-    return run_to_table(otp_match(i, a), "otp_match").select("attempt_id", "otp_id")
+    out = run_to_table(otp_first_use(otp_match(i, a)), "otp_match")
+    return out.select("attempt_id", "otp_id", "first_use")
 
 
 @register("stream_otp_throttle", ["d_otp_issued"], """

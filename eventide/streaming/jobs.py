@@ -172,6 +172,46 @@ def otp_match(issued: DataFrame, attempts: DataFrame, watermark: str = "5 minute
                                            "created_at", "expires_at")
 
 
+_FIRST_USE_OUT = T.StructType([
+    T.StructField("attempt_id", T.LongType()), T.StructField("otp_id", T.LongType()),
+    T.StructField("phone", T.StringType()), T.StructField("attempted_at", T.TimestampType()),
+    T.StructField("first_use", T.BooleanType())])
+_FIRST_USE_STATE = T.StructType([T.StructField("used", T.BooleanType())])
+
+
+def _first_use(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    frames = [p for p in pdfs]
+    if not frames:
+        return
+    pdf = pd.concat(frames).sort_values(["attempted_at", "attempt_id"])
+    used = state.exists and state.get[0]
+    flags = [False] * len(pdf)
+    if not used:
+        flags[0] = True
+    state.update((True,))
+    # keep the code's state a little beyond its lifetime, then drop it
+    latest = int(pdf["attempted_at"].astype("datetime64[us]").astype("int64").max() // 1000)
+    state.setTimeoutTimestamp(max(latest + CODE_LIFETIME_S * 1000,
+                                  state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame({"attempt_id": pdf["attempt_id"].to_numpy(),
+                        "otp_id": pdf["otp_id"].to_numpy(), "phone": pdf["phone"].to_numpy(),
+                        "attempted_at": pdf["attempted_at"].to_numpy(), "first_use": flags})
+
+
+def otp_first_use(matches: DataFrame) -> DataFrame:
+    """ST-2 second step: a code verifies once. Per code (state: used or not),
+    the earliest matching attempt is flagged ``first_use``; later ones are
+    not. Input: the watermarked output of ``otp_match``."""
+    # one event-time column per stream: keep the attempt's, drop the code's
+    return (matches.select("attempt_id", "otp_id", "phone", "attempted_at")
+            .groupBy("otp_id")
+            .applyInPandasWithState(_first_use, _FIRST_USE_OUT, _FIRST_USE_STATE, "append",
+                                    GroupStateTimeout.EventTimeTimeout))
+
+
 def verified_phones(used_codes: DataFrame, as_of_epoch: int) -> DataFrame:
     """ST-3: per phone, the latest used code (by expires_at, then id) and
     whether it still verifies the phone at ``as_of_epoch``: the code expired
