@@ -7,15 +7,17 @@ online check is a streaming query:
 * ST-1 ``otp_throttle``: per (phone, page) state "code live until"
   (``applyInPandasWithState``; state times out with the watermark).
 * ST-2 ``otp_match``: stream-stream interval join of attempts to issued codes
-  (same phone, code and ip; attempt inside the code's lifetime).
-* ST-3 ``verified_phones``: latest used code per phone still fresh.
+  (same phone, code and ip; attempt inside the code's lifetime), then
+  ``otp_first_use``: per-code state so that a code verifies only once.
+* ST-3 ``verified_phones``: latest used code per phone and whether it is
+  still fresh (a batch job over the used codes).
 * ST-4 ``accept_messages``: stream-static join against chats, accept while
   the chat has not expired.
 * ST-5 ``settle``: first confirmation per authority (dedupe within the
   watermark), then ``foreachBatch`` that also anti-joins authorities
   settled in earlier batches and writes the settled rows.
-* ST-6 ``live_fill``: running seats per event from signed booking deltas
-  (streaming ``groupBy().sum()``, update mode).
+* ST-6 ``live_fill``: running seats per event from a change feed of signed
+  seat deltas (streaming ``groupBy().sum()``, update mode).
 * ST-7 ``admit_stream``: admission with per-event state "seats left".
 
 Event time is ``timestamp`` (watermarks refuse ``timestamp_ntz``); the
