@@ -127,7 +127,9 @@ def _throttle(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
 
 def otp_throttle(requests: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """ST-1: accept a code request only if the (phone, page) has no live
-    code (issued less than 120 s before). Requests ``(id, phone, page,
+    code (issued less than 120 s before). Code use is not seen by this
+    stream, so a used code keeps throttling until it expires (the reference
+    frees the phone as soon as the code is used). Requests ``(id, phone, page,
     created_at)``; output adds ``accepted`` and the new code's ``expires_at``
     (epoch seconds). State per key is one timestamp and expires with the
     watermark. Within a micro-batch rows are applied in (time, id) order."""
