@@ -869,8 +869,8 @@ FROM m""")
 def q_stream_otp_match(spark, sf_dir):
     from eventide.streaming.jobs import file_stream, otp_first_use, otp_match, run_to_table
     t = domain(spark, sf_dir)
-    i = file_stream(t.otp_issued, "otp_issued", "created_at")
-    a = file_stream(t.otp_attempt, "otp_attempt", "attempted_at")
+    i = file_stream(t.otp_issued, "otp_issued", "created_at", n_files=3)
+    a = file_stream(t.otp_attempt, "otp_attempt", "attempted_at", n_files=3)
     out = run_to_table(otp_first_use(otp_match(i, a)), "otp_match")
     return out.select("attempt_id", "otp_id", "first_use")
 
