@@ -98,22 +98,24 @@ def assign_codes(df: DataFrame, key: str, existing: DataFrame | None = None,
     pending = df.select(key).distinct().checkpoint()
     existing_codes = (existing.select(F.col(existing.columns[0]).alias(out)).distinct()
                       if existing is not None else None)
-    assigned = None
+    wins: list[DataFrame] = []  # each round's winners, checkpointed once
     for salt in range(max_rounds):
         if pending.isEmpty():
             break
         cand = pending.withColumn(out, F.concat(F.lit(prefix), F.lpad(
             F.pmod(_hash60(F.concat(F.col(key).cast("string"), F.lit(f":{salt}"))),
                    F.lit(space)).cast("string"), digits, "0")))
-        taken = [d.select(out) for d in (existing_codes, assigned) if d is not None]
-        for tk in taken:
-            cand = cand.join(tk, out, "left_anti")
-        win = cand.groupBy(out).agg(F.min(key).alias(key))
-        assigned = (win if assigned is None else assigned.unionByName(win)).checkpoint()
-        pending = pending.join(assigned.select(key), key, "left_anti").checkpoint()
+        for tk in ([existing_codes] if existing_codes is not None else []) + wins:
+            cand = cand.join(tk.select(out), out, "left_anti")
+        win = cand.groupBy(out).agg(F.min(key).alias(key)).checkpoint()
+        wins.append(win)
+        pending = pending.join(win.select(key), key, "left_anti").checkpoint()
     else:
         if not pending.isEmpty():
             raise RuntimeError("code space too full to assign unique codes")
+    assigned = wins[0]
+    for w in wins[1:]:
+        assigned = assigned.unionByName(w)
     return df.join(assigned, key, "left")
 
 
