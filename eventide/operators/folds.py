@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventide.functions.exprs import plus_week
 from eventide.operators.stats import seats_filled
 from eventide.session import ensure_checkpoint_dir
 
@@ -388,6 +389,6 @@ def match_groups(t, paid: DataFrame | None = None) -> DataFrame:
             .repartition("event_id")
             .sortWithinPartitions("event_id", "paid_at", "reservation_id"))
     matched = rows.mapInPandas(_match_partition, _MATCH_SCHEMA)
-    expiry = ev.select("event_id", (F.coalesce("end_time", "start_time")
-                                    + F.expr("INTERVAL 7 DAYS")).alias("chat_expires_on"))
+    expiry = ev.select("event_id",
+                       plus_week(F.coalesce("end_time", "start_time")).alias("chat_expires_on"))
     return matched.join(expiry, "event_id", "left")

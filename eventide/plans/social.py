@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.exprs import (coalesce_text, full_name, full_url, minute_text, nested,
-                                      ts_lit)
+                                      ts_lit, unattached)
 from eventide.operators.stats import count_per, hashtags_per_memory
 from eventide.operators.windows import first_per, latest_message
 
@@ -203,7 +203,7 @@ def stories(t, sort: bool = False) -> DataFrame:
 
 def temp_medias(t, uploaders=None) -> DataFrame:
     """Q18: media not yet attached to an event, per uploader."""
-    m = t.event_medias.filter(F.col("event_id").isNull())
+    m = unattached(t.event_medias)
     if uploaders is not None:
         m = m.filter(F.col("uploader_id").isin(list(uploaders)))
     return m.select("uploader_id", F.col("uuid").alias("id"), "url", "type")
