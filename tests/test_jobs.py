@@ -226,3 +226,23 @@ def test_folds_survive_tiny_arrow_batches(spark, t_small):
         spark.conf.set(key, old)
     assert small_m == base_m
     assert small_a == base_a
+
+
+def test_ingest_links_media_to_new_events(spark, t_small):
+    from eventide.functions.calendar import jalali_calendar
+    from eventide.operators.quality import ingest_events, validate_events
+    ok, _ = validate_events(t_small.event_submissions, t_small.event_categories,
+                            t_small.event_medias, t_small.leaders, t_small.users,
+                            jalali_calendar(spark), "1998-06-01 00:00:00")
+    new_events, medias = ingest_events(ok, t_small.events, t_small.event_medias,
+                                       "1998-06-01 00:00:00")
+    top = t_small.events.agg(F.max("id")).first()[0]
+    ev = {r.sub_id: r.id for r in new_events.select("sub_id", "id").collect()}
+    assert ev and all(i == top + s for s, i in ev.items())
+    wanted = {}
+    for r in ok.select("sub_id", "media_ids").collect():
+        for u in r.media_ids.split(","):
+            wanted[u.strip()] = ev[r.sub_id]
+    got = {r.uuid: r.event_id for r in medias.filter(F.col("uuid").isin(list(wanted))).collect()}
+    assert got == wanted
+    assert medias.count() == t_small.event_medias.count()
