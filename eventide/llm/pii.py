@@ -146,8 +146,10 @@ def fit(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id", text: str
     df = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
     df = df.filter(unit_hash(F.col("key")) < rows / max(df.count(), 1)).filter("t is not null")
     df = with_candidates(with_base(df, "t", "base"), "t", "base", "c")
-    found = (df.select((unit_hash(F.col("key"), F.lit(1)) < 0.2).alias("unseen"), F.explode("c").alias("c"))
-             .select("unseen", "c").repartition(4).checkpoint())
+    # explode() would have Spark push a test of the arrays' sizes, with all the
+    # expressions behind them, below the steps that share their results.
+    found = (df.select((unit_hash(F.col("key"), F.lit(1)) < 0.2).alias("unseen"), F.explode_outer("c").alias("c"))
+             .repartition(4).checkpoint().filter("c is not null"))
     seen = {(r.unseen, r.y) for r in found.select("unseen", "c.y").distinct().collect()}
     model = {"trees": [], "least": [2.0] * BASE}
     if not {(False, 0.0), (False, 1.0), (True, 1.0)} <= seen:
