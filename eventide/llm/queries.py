@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from eventide.llm.bpe import bpe_digests
 from eventide.llm.common import load
 from eventide.llm.langid import language_id
+from eventide.llm.line_crf import quality_rules
 from eventide.llm.packing import packing
 from eventide.llm.pii import pii
 from eventide.llm.quality_nn import quality_classifier
@@ -13,8 +15,11 @@ from eventide.llm.simhash import simhash_dedup
 QUERIES = {
     "op1_language_id": lambda s, d: language_id(s, load(s, d, "documents")),
     "op3_secret_scan": lambda s, d: secret_scan(s, load(s, d, "documents")),
+    "op4_bpe": lambda s, d: bpe_digests(s, load(s, d, "documents")),
     "op6_simhash_dedup": lambda s, d: simhash_dedup(s, load(s, d, "documents")),
     "op7_packing": lambda s, d: packing(s, load(s, d, "documents")),
+    "op8_quality_rules": lambda s, d: quality_rules(
+        s, load(s, d, "documents"), load(s, d, "labels")),
     "op9_pii": lambda s, d: pii(s, load(s, d, "documents")),
     "op10_quality_classifier": lambda s, d: quality_classifier(
         s, load(s, d, "documents"), load(s, d, "labels")),
