@@ -12,12 +12,14 @@ from eventide.llm.quality_nn import quality_classifier
 from eventide.llm.rp_forest import near_duplicates
 from eventide.llm.secrets import secret_scan
 from eventide.llm.simhash import simhash_dedup
+from eventide.llm.token_files import token_files
 
 QUERIES = {
     "op1_language_id": lambda s, d: language_id(s, load(s, d, "documents")),
     "op2_embedding_dedup": lambda s, d: near_duplicates(s, load(s, d, "embeddings")),
     "op3_secret_scan": lambda s, d: secret_scan(s, load(s, d, "documents")),
     "op4_bpe": lambda s, d: bpe_digests(s, load(s, d, "documents")),
+    "op5_token_files": lambda s, d: token_files(s, load(s, d, "documents")),
     "op6_simhash_dedup": lambda s, d: simhash_dedup(s, load(s, d, "documents")),
     "op7_packing": lambda s, d: packing(s, load(s, d, "documents")),
     "op8_quality_rules": lambda s, d: quality_rules(
