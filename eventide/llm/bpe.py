@@ -16,6 +16,7 @@ import unicodedata
 from functools import cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,7 +180,6 @@ def encode(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id", text: s
 def decode(spark: SparkSession, encoded: DataFrame, *, ids: str = "ids",
            path: str | None = None) -> DataFrame:
     """``encoded`` with a column ``text``: the decoded ids (NULL ids: '')."""
-    import pandas as pd
     prepare(spark)
     path = path or vocabulary_path()
 

@@ -65,7 +65,7 @@ def row_udf(spark: SparkSession, schema: str, model, score: Callable):
             texts = [t if isinstance(t, str) else "" for t in s]
             parts = [pd.DataFrame(score(m, texts[a:b])) for a, b in text_blocks(texts)]
             yield (pd.concat(parts, ignore_index=True) if parts
-                   else pd.DataFrame(score(m, [])))
+                   else pd.DataFrame(score(m, [])).astype(object))
 
     from collections.abc import Iterator
     run.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}

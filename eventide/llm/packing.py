@@ -12,6 +12,7 @@ by a hash, are packed independently, so work is spread evenly at any scale.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -65,7 +66,7 @@ def pack(lengths: np.ndarray, sizes=SIZES, attention: float = 0.25):
         at = bisect_left(rooms, n)
         if at < len(rooms):  # the open bin with the least room left
             r = rooms[at]
-            b = bins_at[r].pop()
+            b = heappop(bins_at[r])  # ties: the bin opened first
             if not bins_at[r]:
                 del bins_at[r]
                 del rooms[at]
@@ -81,19 +82,20 @@ def pack(lengths: np.ndarray, sizes=SIZES, attention: float = 0.25):
         if r:
             if r not in bins_at:
                 rooms.insert(bisect_left(rooms, r), r)
-            bins_at.setdefault(r, []).append(b)
+            heappush(bins_at.setdefault(r, []), b)
     return bin_of, offset, np.array([down(u) for u in used], np.int64)
 
 
 def pack_documents(spark: SparkSession, lengths: DataFrame, *, key: str = "doc_id",
                    length: str = "length", sizes=SIZES, attention: float = 0.25,
                    shard_rows: int = 4096) -> DataFrame:
-    """Rows (key, copy, piece, start, length, bin_id, bin_size, bin_offset).
+    """Rows (key, doc_length, copy, piece, start, length, bin_id, bin_size, bin_offset).
 
-    Every document appears with all its pieces. Defined results: a NULL or
+    Every document appears with all its pieces; key, ``doc_length`` and ``copy``
+    name it. Defined results: a NULL or
     zero length has one row with length 0 and no bin; equal rows are told apart
-    by ``copy`` (0, 1, ...); ties are placed in the order of key, copy and
-    piece; an empty table stays empty; other columns are not read. ``shard_rows``
+    by ``copy`` (0, 1, ...); ties are placed in the order of key, length,
+    copy and piece; an empty table stays empty; other columns are not read. ``shard_rows``
     is the expected number of pieces in a shard.
     """
     prepare(spark)
@@ -104,24 +106,25 @@ def pack_documents(spark: SparkSession, lengths: DataFrame, *, key: str = "doc_i
               .withColumn("piece", F.explode(F.expr(f"sequence(0L, greatest(0L, (n - 1) div {most}))")))
               .withColumn("start", F.col("piece") * most)
               .withColumn("length", F.least(F.lit(most).cast("long"), F.col("n") - F.col("start")))
-              .select("key", "copy", "piece", "start", "length").checkpoint())
+              .select("key", F.col("n").alias("doc_length"), "copy", "piece", "start", "length")
+              .checkpoint())
     real = pieces.filter("length > 0")
     shards = max(1, -(-real.count() // shard_rows))
-    shard = F.pmod(F.xxhash64("key", "copy", "piece", "length"), F.lit(shards))
+    shard = F.pmod(F.xxhash64("key", "doc_length", "copy", "piece"), F.lit(shards))
 
     def place(pdf):
-        pdf = pdf.sort_values(["key", "copy", "piece"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["key", "doc_length", "copy", "piece"], kind="stable", ignore_index=True)
         b, at, size = pack(pdf["length"].to_numpy(), sizes, attention)
         return pdf.drop(columns="shard").assign(
             bin_id=pdf["shard"].to_numpy() * (1 << 24) + b, bin_size=size[b], bin_offset=at)
 
     kind = lengths.schema[key].dataType.simpleString()
     out = (real.withColumn("shard", shard).groupBy("shard")
-           .applyInPandas(place, f"key {kind}, copy long, piece long, start long, length long, "
+           .applyInPandas(place, f"key {kind}, doc_length long, copy long, piece long, start long, length long, "
                                  "bin_id long, bin_size long, bin_offset long"))
     none = F.lit(None).cast("long")
     rest = pieces.filter("length <= 0").select(
-        "key", "copy", "piece", "start", F.lit(0).cast("long"), none, none, none)
+        "key", "doc_length", "copy", "piece", "start", F.lit(0).cast("long"), none, none, none)
     return out.union(rest).withColumnRenamed("key", key)
 
 

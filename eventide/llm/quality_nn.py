@@ -176,7 +176,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, text: str =
             for a, b in text_blocks(texts):
                 total += context_sums(texts[a:b], bits, index)
         w = np.flatnonzero(np.abs(total).sum(1))
-        yield pd.DataFrame({"w": w, "v": list(total[w])})
+        if len(w):
+            yield pd.DataFrame({"w": w, "v": list(total[w])})
 
     def add(it):
         import pandas as pd
@@ -184,7 +185,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, text: str =
         for pdf in it:
             np.add.at(total, pdf["w"].to_numpy(), np.stack(pdf["v"].tolist()))
         w = np.flatnonzero(np.abs(total).sum(1))
-        yield pd.DataFrame({"w": w, "v": list(total[w])})
+        if len(w):
+            yield pd.DataFrame({"w": w, "v": list(total[w])})
 
     kind = "w long, v array<double>"
     # At most 2**bits vectors come back, whatever the size of the input.
