@@ -1,26 +1,23 @@
-"""Jalali (Solar Hijri) calendar as a Spark dimension table (CAL-1..5).
+"""Jalali (Solar Hijri) calendar as date arithmetic (CAL-1..5).
 
-The calendar is generated from its rules, not converted date by date:
+Every conversion is a column expression over one date, so any year converts
+and nothing is joined or looked up:
 
-* a Jalali year is leap when ``((jy + 12) % 33) % 4 == 1`` (33-year cycle);
+* a Jalali year is leap when ``((jy + 12) % 33) % 4 == 1`` (33-year cycle of
+  12,053 days);
 * months 1-6 have 31 days, 7-11 have 30, month 12 has 29 (30 in a leap year);
-* day 1 of year 1403 is 2024-03-20 (one anchor pins the whole table).
-
-Year starts are the running sum of year lengths over the (few hundred) years
-in range; days are exploded from ``sequence``. Converting a column of dates is
-then an equi join with this dimension, whose size is fixed by the year range
-(about 366 rows per year), so broadcasting it is safe.
+* day 1 of year 1403 is 2024-03-20 (one anchor pins everything).
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The anchor and the cycle of leap years.
 ANCHOR_JY = 1403
 ANCHOR_DATE = "2024-03-20"
+CYCLE_YEARS, CYCLE_DAYS = 33, 12053
 
 # Fixed values (Persian names used by the reference's calendar output).
 MONTH_NAMES = ["فروردین", "اردیبهشت", "خرداد", "تیر", "مرداد", "شهریور", "مهر", "آبان",
@@ -36,99 +33,104 @@ WEEKDAY_NAMES = ["شنبه", "یکشنبه", "دوشنبه", "سه شنبه", "
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
 
 
+def _div(a: Column, k: int) -> Column:
+    """Floor division by a positive number, for negative numbers too."""
+    return F.floor((a - F.pmod(a, F.lit(k))) / k).cast("long")
+
+
 def is_leap(jy: Column) -> Column:
-    return ((jy + 12) % 33) % 4 == 1
+    return F.pmod(F.pmod(jy + 12, F.lit(CYCLE_YEARS)), F.lit(4)) == 1
+
+
+def _year_start(jy: Column) -> Column:
+    """Days from the start of a cycle far back to the first day of a Jalali year."""
+    y = jy.cast("long") + 12
+    c = F.pmod(y, F.lit(CYCLE_YEARS))
+    return _div(y, CYCLE_YEARS) * CYCLE_DAYS + c * 365 + _div(c + 2, 4)
+
+
+def _anchor() -> Column:
+    return F.lit(ANCHOR_DATE).cast("date")
+
+
+def jalali_parts(date: Column) -> dict[str, Column]:
+    """CAL-1 core: jy, jm, jd, doy (0-based) and leap of a date, any year."""
+    n = F.datediff(date, _anchor()).cast("long") + _year_start(F.lit(ANCHOR_JY))
+    r = F.pmod(n, F.lit(CYCLE_DAYS))
+    c = F.least(_div(r, 365), F.lit(CYCLE_YEARS - 1).cast("long"))
+    c = c - (c * 365 + _div(c + 2, 4) > r).cast("long")
+    jy = _div(n, CYCLE_DAYS) * CYCLE_YEARS + c - 12
+    doy = r - (c * 365 + _div(c + 2, 4))
+    first = doy < 186
+    jm = F.when(first, _div(doy, 31) + 1).otherwise(_div(doy - 186, 30) + 7)
+    jd = F.when(first, doy % 31 + 1).otherwise((doy - 186) % 30 + 1)
+    out = {"jy": jy, "jm": jm, "jd": jd, "doy": doy}
+    return {**{k: v.cast("int") for k, v in out.items()}, "leap": is_leap(jy)}
+
+
+def month_length(jy: Column, jm: Column) -> Column:
+    return (F.when(jm <= 6, 31).when(jm <= 11, 30)
+            .otherwise(29 + is_leap(jy).cast("int")).cast("int"))
+
+
+def to_gregorian(jy: Column, jm: Column, jd: Column) -> Column:
+    """The date of a Jalali year, month and day; NULL for an impossible one."""
+    ok = (jy >= 1) & jm.between(1, 12) & (jd >= 1) & (jd <= month_length(jy, jm))
+    doy = F.when(jm <= 7, (jm - 1) * 31).otherwise(186 + (jm - 7) * 30) + jd - 1
+    days = _year_start(jy) + doy - _year_start(F.lit(ANCHOR_JY))
+    return F.when(ok, F.date_add(_anchor(), days.cast("int")))
 
 
 def _arr(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-_CACHE: dict = {}
-
-
-def jalali_calendar(spark: SparkSession, start: str = "1900-01-01",
-                    end: str = "2100-12-31") -> DataFrame:
-    """CAL-1 dimension, built once per session and range and cached (about
-    366 rows per year, so its memory is fixed by the range)."""
-    key = (spark.sparkContext.applicationId, id(spark), start, end)
-    if key not in _CACHE:
-        _CACHE[key] = build_jalali_calendar(spark, start, end).cache()
-    return _CACHE[key]
-
-
-def build_jalali_calendar(spark: SparkSession, start: str = "1900-01-01",
-                          end: str = "2100-12-31") -> DataFrame:
-    """CAL-1: one row per Gregorian day in [start, end] with its Jalali parts:
-    year, month, day, month name and short name, season (number and name),
-    weekday (Saturday = 0) and its name, leap flag, month length, day of year
-    (0-based), days left, percent of the year passed, week and week-year,
-    zodiac month name, year animal, and the date text in Persian digits."""
-    g0, g1 = _dt.date.fromisoformat(start), _dt.date.fromisoformat(end)
-    y0, y1 = g0.year - 622, g1.year - 620  # covers every Jalali year touching the range
-    years = (spark.range(y0, y1 + 1).select(F.col("id").alias("jy"))
-             .withColumn("leap", is_leap(F.col("jy")))
-             .withColumn("year_len", F.when(F.col("leap"), 366).otherwise(365)))
-    # Window over the year list only: its size is set by the range arguments.
-    w = Window.orderBy("jy").rowsBetween(Window.unboundedPreceding, -1)
-    years = years.withColumn("start_ord",
-                             F.coalesce(F.sum("year_len").over(w), F.lit(0)).cast("bigint"))
-    anchor_ord = years.filter(F.col("jy") == ANCHOR_JY).select(
-        F.col("start_ord").alias("anchor_ord"))
-    days = (years.crossJoin(anchor_ord)  # one-row side
-            .select("jy", "leap", "start_ord", "anchor_ord",
-                    F.explode(F.sequence(F.lit(0), F.col("year_len") - 1)).alias("doy")))
-    first_half = F.col("doy") < 186
-    jm = F.when(first_half, F.floor(F.col("doy") / 31) + 1).otherwise(
-        F.floor((F.col("doy") - 186) / 30) + 7).cast("int")
-    jd = F.when(first_half, F.col("doy") % 31 + 1).otherwise(
-        (F.col("doy") - 186) % 30 + 1).cast("int")
-    gdate = F.date_add(F.lit(ANCHOR_DATE).cast("date"),
-                       (F.col("start_ord") + F.col("doy") - F.col("anchor_ord")).cast("int"))
-    cal = days.select(gdate.alias("date"), F.col("jy").cast("int").alias("jy"), jm.alias("jm"),
-                      jd.alias("jd"), "doy", "leap")
-    # Week numbering: weeks run Saturday..Friday; a week belongs to the year
-    # that holds its Tuesday, and its number is that Tuesday's day of year
-    # // 7 + 1 (so week 1 is the first week with at least 4 days in the year).
-    tue = cal.select(F.col("date").alias("_tue"), F.col("jy").alias("week_year"),
-                     (F.floor(F.col("doy") / 7) + 1).cast("int").alias("week"))
-    cal = (cal.withColumn("_tue", F.date_add("date", (3 - F.dayofweek("date") % 7).cast("int")))
-           .join(tue, "_tue", "left").drop("_tue"))
-    cal = cal.filter((F.col("date") >= F.lit(start).cast("date"))
-                     & (F.col("date") <= F.lit(end).cast("date")))
-    leap_i = F.col("leap").cast("int")
-    # dayofweek: Sunday=1 .. Saturday=7; Jalali week starts on Saturday (0).
-    wd = F.dayofweek("date") % 7
-    return cal.select(
-        "date", "jy", "jm", "jd",
-        F.element_at(_arr(MONTH_NAMES), F.col("jm")).alias("month_name"),
-        F.element_at(_arr(MONTH_SHORT), F.col("jm")).alias("month_short"),
-        (F.floor(F.col("jm") / 3.1) + 1).cast("int").alias("season"),
-        F.element_at(_arr(SEASON_NAMES), F.floor(F.col("jm") / 3.1).cast("int") + 1)
-        .alias("season_name"),
-        wd.cast("int").alias("weekday"),
-        F.element_at(_arr(WEEKDAY_NAMES), wd.cast("int") + 1).alias("weekday_name"),
-        F.col("leap"),
-        F.when(F.col("jm") == 12, 29 + leap_i)
-        .otherwise(31 - F.floor(F.col("jm") / 6.5)).cast("int").alias("month_len"),
-        F.col("doy").cast("int").alias("day_of_year"),
-        (leap_i + 364 - F.col("doy")).cast("int").alias("days_left"),
-        (F.floor(F.col("doy") / (leap_i + 365.24) * 1000) / 10).alias("percent_passed"),
-        F.col("week"), F.col("week_year"),
-        F.element_at(_arr(ZODIAC_NAMES), F.col("jm")).alias("zodiac"),
-        F.element_at(_arr(YEAR_ANIMALS), (F.col("jy") % 12).cast("int") + 1).alias("year_animal"),
-        persian_digits(F.concat_ws("/", "jy", "jm", "jd")).alias("text_fa"),
-    )
+def _week(date: Column) -> tuple[Column, Column]:
+    """Number and year of a date's week. Weeks run Saturday..Friday; a week
+    belongs to the year that holds its Tuesday, and its number is that
+    Tuesday's day of year // 7 + 1."""
+    p = jalali_parts(F.date_add(date, (3 - F.dayofweek(date) % 7).cast("int")))
+    return (_div(p["doy"], 7) + 1).cast("int"), p["jy"]
+
+
+def with_calendar(df: DataFrame, col: str = "date") -> DataFrame:
+    """CAL-1: ``df`` with the Jalali columns of its date column ``col``: year,
+    month, day, month name and short name, season (number and name), weekday
+    (Saturday = 0) and its name, leap flag, month length, day of year (0-based),
+    days left, percent of the year passed, week and week-year, zodiac month
+    name, year animal, and the date text in Persian digits. Any year; a NULL
+    date has NULL in all of them."""
+    date = F.col(col).cast("date")
+    week, week_year = _week(date)
+    df = df.withColumns(jalali_parts(date))
+    leap, wd, season = F.col("leap").cast("int"), F.dayofweek(date) % 7, _div(F.col("jm") + 2, 3).cast("int")
+    return df.withColumns({
+        "month_name": F.get(_arr(MONTH_NAMES), F.col("jm") - 1),
+        "month_short": F.get(_arr(MONTH_SHORT), F.col("jm") - 1),
+        "season": season, "season_name": F.get(_arr(SEASON_NAMES), season - 1),
+        "weekday": wd.cast("int"), "weekday_name": F.get(_arr(WEEKDAY_NAMES), wd.cast("int")),
+        "month_len": F.when(F.col("jm").isNotNull(), month_length(F.col("jy"), F.col("jm"))),
+        "day_of_year": F.col("doy"), "days_left": (leap + 364 - F.col("doy")).cast("int"),
+        # Fixed value: the mean year of the percentage.
+        "percent_passed": F.floor(F.col("doy") / (leap + 365.24) * 1000) / 10,
+        "week": week, "week_year": week_year, "zodiac": F.get(_arr(ZODIAC_NAMES), F.col("jm") - 1),
+        "year_animal": F.get(_arr(YEAR_ANIMALS), F.pmod(F.col("jy"), F.lit(12)).cast("int")),
+        "text_fa": persian_digits(F.concat(F.col("jy"), F.lit("/"), F.col("jm"), F.lit("/"), F.col("jd"))),
+    }).drop("doy")
+
+
+def jalali_calendar(spark: SparkSession, start: str, end: str) -> DataFrame:
+    """CAL-1 as a table: one row per Gregorian day from ``start`` to ``end``."""
+    days = spark.sql(f"SELECT explode(sequence(DATE'{start}', DATE'{end}')) AS date")
+    return with_calendar(days)
 
 
 def jalali_text_to_gregorian(spark: SparkSession, text: str) -> str | None:
     """A single date parameter (e.g. the catalog's day filter) as
-    ``YYYY-MM-DD``: Jalali when the year is below 1600 (looked up in the
-    calendar dimension), else read as Gregorian; Persian digits allowed,
+    ``YYYY-MM-DD``: Jalali when the year is below 1600, else read as Gregorian; Persian digits allowed,
     ``/`` or ``-`` separators. None when it is not a valid date."""
     df = spark.createDataFrame([(text,)], "t string")
-    cal = jalali_calendar(spark)
-    row = normalise_dates(df, "t", cal, out="d").select(F.col("d").cast("string")).first()
+    row = normalise_dates(df, "t", out="d").select(F.col("d").cast("string")).first()
     return row[0] if row else None
 
 
@@ -142,29 +144,20 @@ def latin_digits(c: Column) -> Column:
     return F.translate(c, PERSIAN_DIGITS + "٫", "0123456789.")
 
 
-def jalali_text(cal: DataFrame) -> Column:
-    """CAL-4 text form ``y/m/d`` without padding."""
-    return F.concat_ws("/", cal["jy"], cal["jm"], cal["jd"])
-
-
-def to_jalali(df: DataFrame, col: str, cal: DataFrame, out: str | None = None) -> DataFrame:
-    """CAL-4: add the Jalali text ``y/m/d`` of a date column (NULL stays NULL).
-
-    The calendar side is bounded by its year range, so it is broadcast.
-    """
-    out = out or f"{col}_jalali"
-    c = cal.select(F.col("date").alias("_d"), F.concat_ws("/", "jy", "jm", "jd").alias(out))
-    return (df.join(F.broadcast(c), F.col(col).cast("date") == F.col("_d"), "left").drop("_d"))
+def to_jalali(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+    """CAL-4: add the Jalali text ``y/m/d`` of a date column (NULL stays NULL)."""
+    p = jalali_parts(F.col(col).cast("date"))
+    return df.withColumn(out or f"{col}_jalali", F.concat(
+        p["jy"], F.lit("/"), p["jm"], F.lit("/"), p["jd"]))
 
 
-def normalise_dates(df: DataFrame, col: str, cal: DataFrame, out: str | None = None,
+def normalise_dates(df: DataFrame, col: str, out: str | None = None,
                     reason: str | None = None) -> DataFrame:
     """CAL-3 / CAL-5: mixed Jalali / Gregorian date text to ``date``.
 
     Accepts ``/`` or ``-`` separators (exactly two), Persian digits; a year
-    below 1600 is Jalali and is looked up in the calendar (which also rejects
-    impossible days such as 1403/12/31 or month 13); otherwise the text is
-    read as a Gregorian date. Rows that fail get NULL and, when ``reason`` is
+    below 1600 is Jalali (impossible days such as 1403/12/31 or month 13 fail);
+    otherwise the text is read as a Gregorian date. Rows that fail get NULL and, when ``reason`` is
     given, a reason text in that column.
     """
     out = out or f"{col}_date"
@@ -182,27 +175,27 @@ def normalise_dates(df: DataFrame, col: str, cal: DataFrame, out: str | None = N
     d = F.element_at(parts, 3).try_cast("int")
     tmp = (df.withColumn("_y", y).withColumn("_m", m).withColumn("_d2", d)
            .withColumn("_jal", F.col("_y") < 1600))
-    c = cal.select(F.col("jy").alias("_y"), F.col("jm").alias("_m"), F.col("jd").alias("_d2"),
-                   F.col("date").alias("_jdate"))
-    tmp = tmp.join(F.broadcast(c), ["_y", "_m", "_d2"], "left")
     # Gregorian: make_date only after the month length check (no format parsing)
     yy, mm, dd = F.col("_y"), F.col("_m"), F.col("_d2")
     valid = (yy.between(1, 9999) & mm.between(1, 12) & (dd >= 1)
              & (dd <= F.dayofmonth(F.last_day(F.make_date(yy, mm, F.lit(1))))))
     greg = F.when(valid, F.make_date(yy, mm, dd))
-    res = F.when(F.col("_jal"), F.col("_jdate")).otherwise(greg)
+    res = F.when(F.col("_jal"), to_gregorian(yy, mm, dd)).otherwise(greg)
     tmp = tmp.withColumn(out, res)
     if reason:
         tmp = tmp.withColumn(reason, F.when(F.col(col).isNotNull() & F.col(out).isNull(),
                                             F.lit("bad date")))
-    return tmp.drop("_y", "_m", "_d2", "_jal", "_jdate")
+    return tmp.drop("_y", "_m", "_d2", "_jal")
 
 
-def rollup_calendar(facts: DataFrame, date_col: str, cal: DataFrame, level: str,
+def rollup_calendar(facts: DataFrame, date_col: str, level: str,
                     measures: list[Column]) -> DataFrame:
-    """CAL-2: facts rolled up by Jalali month, season or weekday."""
+    """CAL-2: facts rolled up by Jalali month, season, weekday or year. Facts of
+    any year count; those without a date form a group with NULL keys."""
     keys = {"month": ["jy", "jm", "month_name"], "season": ["jy", "season", "season_name"],
             "weekday": ["weekday", "weekday_name"], "year": ["jy"]}[level]
-    c = cal.select(F.col("date").alias("_d"), *keys)
-    return (facts.join(F.broadcast(c), F.col(date_col).cast("date") == F.col("_d"))
-            .groupBy(*keys).agg(*measures))
+    names = list(facts.columns)
+    day = "_rollup_day"
+    wide = with_calendar(facts.select(F.col(date_col).cast("date").alias(day),
+                                      F.struct(*[F.col(c) for c in names]).alias("_fact")), day)
+    return wide.select(*keys, "_fact.*").groupBy(*keys).agg(*measures)

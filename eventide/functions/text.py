@@ -78,18 +78,16 @@ def standardise_contacts(df: DataFrame, phone_col: str = "phone", key: str = "id
 _SLUG_DROP = r"[^a-zA-Z0-9\s\-_\x{0600}-\x{06FF}]"
 
 
-def slug(df: DataFrame, title_col: str, date_col: str, cal: DataFrame,
-         out: str = "slug") -> DataFrame:
+def slug(df: DataFrame, title_col: str, date_col: str, out: str = "slug") -> DataFrame:
     """SC-6: title with unsupported characters removed, then
     `` dd MonthName yyyy`` of the Jalali date (Latin digits), whitespace runs
     to '-', lower case, leading / trailing '-' trimmed."""
-    c = cal.select(F.col("date").alias("_d"),
-                   F.concat(F.lit(" "), F.lpad(F.col("jd").cast("string"), 2, "0"), F.lit(" "),
-                            F.col("month_name"), F.lit(" "), F.col("jy").cast("string"))
-                   .alias("_suffix"))
-    j = df.join(F.broadcast(c), F.col(date_col).cast("date") == F.col("_d"), "left")
-    s = F.concat(F.regexp_replace(F.col(title_col), _SLUG_DROP, ""),
-                 F.coalesce(F.col("_suffix"), F.lit("")))
+    from eventide.functions.calendar import MONTH_NAMES, jalali_parts
+    p = jalali_parts(F.col(date_col).cast("date"))
+    month = F.get(F.array(*[F.lit(m) for m in MONTH_NAMES]), p["jm"] - 1)
+    suffix = F.concat(F.lit(" "), F.lpad(p["jd"].cast("string"), 2, "0"), F.lit(" "), month,
+                      F.lit(" "), p["jy"].cast("string"))
+    s = F.concat(F.regexp_replace(F.col(title_col), _SLUG_DROP, ""), F.coalesce(suffix, F.lit("")))
     s = F.lower(F.regexp_replace(s, r"\s+", "-"))
     s = F.regexp_replace(s, r"^-+|-+$", "")
-    return j.withColumn(out, s).drop("_d", "_suffix")
+    return df.withColumn(out, s)

@@ -228,19 +228,19 @@ def require(df: DataFrame, cols: list[str], groups: list[list[str]] | None = Non
     return df.withColumn(out, _reasons(*pairs))
 
 
-def validate_members(df: DataFrame, cal: DataFrame):
+def validate_members(df: DataFrame):
     """DQ-5: group-member rows to (accepted, quarantine); see ``check_members``."""
-    r = check_members(df, cal)
+    r = check_members(df)
     return r.filter(F.size("missing") == 0), r.filter(F.size("missing") > 0)
 
 
-def check_members(df: DataFrame, cal: DataFrame) -> DataFrame:
+def check_members(df: DataFrame) -> DataFrame:
     """DQ-5: group-member rows with the list of problems (one pass): four
     required fields, and the birth date (Jalali or Gregorian text) converted
     to a date (``birth_date_format`` when it does not convert)."""
     from eventide.functions.calendar import normalise_dates
     r = require(df, ["first_name", "last_name", "birth_date", "national_id"])
-    r = normalise_dates(r, "birth_date", cal, out="birth_date_g")
+    r = normalise_dates(r, "birth_date", out="birth_date_g")
     r = r.withColumn("missing", F.when(F.col("birth_date_g").isNull()
                                        & ~F.array_contains("missing", "birth_date"),
                                        F.array_append("missing", F.lit("birth_date_format")))
@@ -249,7 +249,7 @@ def check_members(df: DataFrame, cal: DataFrame) -> DataFrame:
 
 
 def validate_events(raw: DataFrame, categories: DataFrame, medias: DataFrame,
-                    leaders: DataFrame, users: DataFrame, cal: DataFrame, as_of: str,
+                    leaders: DataFrame, users: DataFrame, as_of: str,
                     checked: bool = False):
     """DQ-3: event submissions to (accepted rows shaped as events, quarantine).
 
@@ -275,8 +275,8 @@ def validate_events(raw: DataFrame, categories: DataFrame, medias: DataFrame,
     from eventide.operators.windows import first_image
 
     place = r"^[\x{0622}-\x{06CC}\x{06F0}-\x{06F9}0-9\s\-_,\x{060C}\.]"
-    r = normalise_dates(raw, "start_date", cal, out="_sd")
-    r = normalise_dates(r, "end_date", cal, out="_ed")
+    r = normalise_dates(raw, "start_date", out="_sd")
+    r = normalise_dates(r, "end_date", out="_ed")
     hhmm = r"^(2[0-3]|[01]?[0-9]):[0-5][0-9]$"
     ymd = r"^\d{4}/(0[1-9]|1[0-2])/(0[1-9]|[12][0-9]|3[01])$"
 

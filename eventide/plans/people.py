@@ -84,7 +84,7 @@ def leader_profile(t, as_of: str) -> DataFrame:
                     "categories_id", "categories"))
 
 
-def user_profile(t, as_of: str, cal: DataFrame) -> DataFrame:
+def user_profile(t, as_of: str) -> DataFrame:
     """Q09: user columns, rating, events joined (reservations of any status
     for events that already started) and the Jalali birth date."""
     ratings = rating_stats(t.ratings).withColumnRenamed("to_user_id", "id")
@@ -92,7 +92,7 @@ def user_profile(t, as_of: str, cal: DataFrame) -> DataFrame:
         "user_id", "id")
     avg, cnt = rating_columns()
     base = (t.users.join(ratings, "id", "left").join(joined, "id", "left"))
-    base = to_jalali(base, "birth_date", cal, "birth_date_jalali")
+    base = to_jalali(base, "birth_date", "birth_date_jalali")
     return base.select("id", "username", "first_name", "last_name", "gender", "phone",
                        "national_id", "birth_date", "birth_date_jalali", "role", "avatar",
                        "is_active", "registered_at", avg,

@@ -279,9 +279,8 @@ SELECT u.id, u.username, u.first_name, u.last_name, u.gender, u.phone, u.nationa
 FROM d_users u LEFT JOIN rs ON u.id = rs.to_user_id LEFT JOIN pj ON u.id = pj.user_id
 LEFT JOIN jcal j ON u.birth_date = j.date""")
 def q_user_profile(spark, sf_dir):
-    from eventide.functions.calendar import jalali_calendar
     from eventide.plans.people import user_profile
-    df = flat(user_profile(domain(spark, sf_dir), AS_OF, jalali_calendar(spark)))
+    df = flat(user_profile(domain(spark, sf_dir), AS_OF))
     return df.withColumn("birth_date", F.col("birth_date").cast("string"))
 
 
@@ -753,11 +752,9 @@ SELECT e.id, trim(lower(regexp_replace(
          '\\s+', '-', 'g')), '-') AS slug
 FROM d_events e LEFT JOIN jcal j ON cast(e.start_time AS date) = j.date""")
 def q_event_slugs(spark, sf_dir):
-    from eventide.functions.calendar import jalali_calendar
     from eventide.functions.text import slug
     t = domain(spark, sf_dir)
-    return slug(t.events.select("id", "title", "start_time"), "title", "start_time",
-                jalali_calendar(spark)).select("id", "slug")
+    return slug(t.events.select("id", "title", "start_time"), "title", "start_time").select("id", "slug")
 
 
 @register("calendar_rollup", ["d_reservations"], f"""
@@ -767,9 +764,9 @@ SELECT j.jy, j.jm, {_MONTHS_DUCK}[j.jm] AS month_name, count(*) AS bookings,
 FROM d_reservations r JOIN jcal j ON cast(r.created_at AS date) = j.date
 GROUP BY j.jy, j.jm""")
 def q_calendar_rollup(spark, sf_dir):
-    from eventide.functions.calendar import jalali_calendar, rollup_calendar
+    from eventide.functions.calendar import rollup_calendar
     t = domain(spark, sf_dir)
-    return rollup_calendar(t.reservations, "created_at", jalali_calendar(spark), "month",
+    return rollup_calendar(t.reservations, "created_at", "month",
                            [F.count(F.lit(1)).alias("bookings"),
                             F.sum("group_members").alias("seats")])
 
@@ -795,10 +792,9 @@ SELECT member_id, reservation_id, cast(bd AS varchar) AS birth_date_g,
          AS missing
 FROM g""")
 def q_validate_members(spark, sf_dir):
-    from eventide.functions.calendar import jalali_calendar
     from eventide.operators.quality import check_members
     t = domain(spark, sf_dir)
-    return check_members(t.group_members, jalali_calendar(spark)).select("member_id", "reservation_id",
+    return check_members(t.group_members).select("member_id", "reservation_id",
                                       F.col("birth_date_g").cast("string").alias("birth_date_g"),
                                       F.array_join("missing", ",").alias("missing"))
 
@@ -1024,11 +1020,10 @@ SELECT sub_id, reasons,
        CASE WHEN reasons = '' THEN st_ END AS start_time
 FROM v""")
 def q_validate_events(spark, sf_dir):
-    from eventide.functions.calendar import jalali_calendar
     from eventide.operators.quality import validate_events
     t = domain(spark, sf_dir)
     r = validate_events(t.event_submissions, t.event_categories, t.event_medias, t.leaders,
-                        t.users, jalali_calendar(spark), AS_OF, checked=True)
+                        t.users, AS_OF, checked=True)
     ok = F.size("reasons") == 0
     return r.select("sub_id", F.array_join("reasons", ",").alias("reasons"),
                     *[F.when(ok, F.col(c)).alias(c) for c in
@@ -1047,11 +1042,10 @@ SELECT sub_id, title, description, cat_id AS category_id, st_ AS start_time, et_
 FROM v WHERE reasons = ''""")
 @register("ingest_events")
 def q_ingest_events(spark, sf_dir):
-    from eventide.functions.calendar import jalali_calendar
     from eventide.operators.quality import ingest_events, validate_events
     t = domain(spark, sf_dir)
     ok, _ = validate_events(t.event_submissions, t.event_categories, t.event_medias, t.leaders,
-                            t.users, jalali_calendar(spark), AS_OF)
+                            t.users, AS_OF)
     new_events, _ = ingest_events(ok, t.events, t.event_medias, AS_OF)
     return flat(new_events)
 
@@ -1125,11 +1119,10 @@ SELECT cast(c.date AS varchar) AS date, c.jy, c.jm, c.jd, {_MONTHS_DUCK}[c.jm] A
                  '0123456789', '۰۱۲۳۴۵۶۷۸۹') AS text_fa
 FROM c LEFT JOIN jcal t ON t.date = c.date + cast(3 - c.weekday AS integer)""")
 def q_calendar_days(spark, sf_dir):
-    from eventide.functions.calendar import jalali_calendar
     t = domain(spark, sf_dir)
     days = t.reservations.select(F.col("created_at").cast("date").alias("date")).distinct()
-    cal = jalali_calendar(spark)
-    return (days.join(F.broadcast(cal), "date")
+    from eventide.functions.calendar import with_calendar
+    return (with_calendar(days)
             .select(F.col("date").cast("string").alias("date"), "jy", "jm", "jd", "month_name",
                     "month_short", "season", "season_name", "weekday", "weekday_name", "leap",
                     "month_len", "day_of_year", "days_left", "week", "week_year",

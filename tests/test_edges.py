@@ -22,7 +22,7 @@ CAL_PAIRS = {"2021-02-16": "1399/11/28", "2024-03-19": "1402/12/29", "2024-03-20
 
 def test_calendar_pairs(spark, cal):
     df = spark.createDataFrame([(dt.date.fromisoformat(d),) for d in CAL_PAIRS], "d date")
-    got = {str(r.d): r.j for r in to_jalali(df, "d", cal, "j").collect()}
+    got = {str(r.d): r.j for r in to_jalali(df, "d", "j").collect()}
     assert got == CAL_PAIRS
 
 
@@ -44,7 +44,7 @@ def test_normalise_dates(spark, cal):
                                 ("1402/12/30",), ("1403/13/01",), ("bad",), (None,),
                                 ("2023-02-30",), ("2024-13-01",), ("2024/02/29",), ("1/2/3/4",)],
                                "t string")
-    got = [r.t_date for r in normalise_dates(df, "t", cal).orderBy(F.monotonically_increasing_id())
+    got = [r.t_date for r in normalise_dates(df, "t").orderBy(F.monotonically_increasing_id())
            .collect()]
     d = dt.date(2024, 3, 20)
     assert got[:4] == [d, d, d, dt.date(2025, 3, 20)]
@@ -131,7 +131,7 @@ def test_slug_keeps_persian_drops_punctuation(spark, cal):
     from eventide.functions.text import slug
     df = spark.createDataFrame([("کنسرت «بزرگ» 2024!  Tehran_Live", dt.datetime(2024, 3, 20, 18))],
                                "title string, start_time timestamp_ntz")
-    got = slug(df, "title", "start_time", cal).first().slug
+    got = slug(df, "title", "start_time").first().slug
     assert got == "کنسرت-بزرگ-2024-tehran_live-01-فروردین-1403"
 
 
@@ -139,10 +139,26 @@ def test_rollup_levels_agree(spark, cal):
     from eventide.functions.calendar import rollup_calendar
     facts = spark.createDataFrame([(dt.datetime(2024, 3, 19 + i % 9, 10), i % 4 + 1) for i in range(60)],
                                   "ts timestamp_ntz, seats int")
-    m = rollup_calendar(facts, "ts", cal, "month", [F.sum("seats").alias("s")])
-    s = rollup_calendar(facts, "ts", cal, "season", [F.sum("seats").alias("s")])
-    w = rollup_calendar(facts, "ts", cal, "weekday", [F.sum("seats").alias("s")])
+    m = rollup_calendar(facts, "ts", "month", [F.sum("seats").alias("s")])
+    s = rollup_calendar(facts, "ts", "season", [F.sum("seats").alias("s")])
+    w = rollup_calendar(facts, "ts", "weekday", [F.sum("seats").alias("s")])
     total = facts.agg(F.sum("seats")).first()[0]
     for df in (m, s, w):
         assert df.agg(F.sum("s")).first()[0] == total
     assert {r.month_name for r in m.collect()} == {"اسفند", "فروردین"}
+
+
+def test_any_year_converts_and_counts(spark):
+    """No range: far years go to Jalali and back, and none falls out of a rollup."""
+    from eventide.functions.calendar import jalali_parts, rollup_calendar, to_gregorian
+    days = spark.sql("SELECT explode(sequence(DATE'0700-01-01', DATE'3000-12-31', INTERVAL 11 DAYS)) AS d")
+    p = jalali_parts(F.col("d"))
+    back = days.select("d", *[c.alias(k) for k, c in p.items()]).withColumn(
+        "b", to_gregorian(F.col("jy"), F.col("jm"), F.col("jd")))
+    assert back.filter("d <> b OR b IS NULL OR jd < 1 OR jd > 31").count() == 0
+    df = spark.createDataFrame([("1250/01/01",), ("1500/01/01",), ("1179/12/29",)], "t string")
+    assert all(r.t_date for r in normalise_dates(df, "t").collect())
+    facts = spark.sql("SELECT explode(array(DATE'1800-05-01', DATE'2021-05-01', DATE'2300-05-01', NULL)) AS d")
+    got = rollup_calendar(facts, "d", "year", [F.count(F.lit(1)).alias("n")]).collect()
+    assert sorted((r.jy is None, r.jy or 0, r.n) for r in got) == [
+        (False, 1179, 1), (False, 1400, 1), (False, 1679, 1), (True, 0, 1)]

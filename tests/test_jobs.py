@@ -160,7 +160,6 @@ def test_explode_group_members(spark):
 
 
 def test_validate_events_rules(spark, t_small):
-    from eventide.functions.calendar import jalali_calendar
     from eventide.operators.quality import validate_events
     base = dict(creator_id=7, title="Night hike", category="1", start_date="1378/05/10",
                 start_time="18:30", end_date="1378/05/10", end_time="21:00",
@@ -194,7 +193,7 @@ def test_validate_events_rules(spark, t_small):
     raw = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", "))
                                  for r in rows], schema)
     ok, bad = validate_events(raw, t_small.event_categories, t_small.event_medias,
-                              t_small.leaders, t_small.users, jalali_calendar(spark),
+                              t_small.leaders, t_small.users,
                               "1998-06-01 00:00:00")
     reasons = {r.sub_id: sorted(r.reasons) for r in bad.collect()}
     for sid, (_, want) in cases.items():
@@ -229,11 +228,10 @@ def test_folds_survive_tiny_arrow_batches(spark, t_small):
 
 
 def test_ingest_links_media_to_new_events(spark, t_small):
-    from eventide.functions.calendar import jalali_calendar
     from eventide.operators.quality import ingest_events, validate_events
     ok, _ = validate_events(t_small.event_submissions, t_small.event_categories,
                             t_small.event_medias, t_small.leaders, t_small.users,
-                            jalali_calendar(spark), "1998-06-01 00:00:00")
+                            "1998-06-01 00:00:00")
     new_events, medias = ingest_events(ok, t_small.events, t_small.event_medias,
                                        "1998-06-01 00:00:00")
     top = t_small.events.agg(F.max("id")).first()[0]
