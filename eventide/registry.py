@@ -1073,29 +1073,13 @@ def q_cascade_messages(spark, sf_dir):
 
 
 @register("reservation_codes", ["d_reservations"], """
-, keys AS (SELECT DISTINCT id FROM d_reservations),
-rec(id, code, rnd) AS (
-  SELECT id, cast(NULL AS varchar), 0 FROM keys
-  UNION ALL
-  SELECT id,
-         CASE WHEN code IS NOT NULL THEN code WHEN NOT taken AND id = min_id THEN cand END,
-         rnd + 1
-  FROM (SELECT *, bool_or(code IS NOT NULL) OVER (PARTITION BY coalesce(code, cand)) AS taken,
-               min(CASE WHEN code IS NULL THEN id END) OVER (PARTITION BY coalesce(code, cand)) AS min_id,
-               count(*) FILTER (WHERE code IS NULL) OVER () AS pending
-        FROM (SELECT id, code, rnd,
-                     CASE WHEN code IS NULL THEN 'RES_' || lpad(cast(
-                       cast('0x' || substr(md5(cast(id AS varchar) || ':' || cast(rnd AS varchar)), 1, 15) AS bigint)
-                       % 1000000 AS varchar), 6, '0') END AS cand
-              FROM rec) a) b
-  WHERE pending > 0)
-SELECT r.id, r.price, c.code,
-       CASE WHEN r.price > 0 THEN 'A' ELSE 'F' END || lpad(md5(cast(r.id AS varchar)), 35, '0') AS authority
-FROM d_reservations r JOIN rec c ON c.id = r.id AND c.rnd = (SELECT max(rnd) FROM rec)""", recursive=True)
+SELECT id, price, 'RES_' || lpad(cast((id * 7368787 + 104729) % 1000000000000 AS varchar), 12, '0') AS code,
+       CASE WHEN price > 0 THEN 'A' ELSE 'F' END || lpad(md5(cast(id AS varchar)), 35, '0') AS authority
+FROM d_reservations""")
 def q_reservation_codes(spark, sf_dir):
     from eventide.sources.sinks import assign_codes, authority_code
     r = domain(spark, sf_dir).reservations.select("id", "price")
-    return (assign_codes(r, "id", digits=6)
+    return (assign_codes(r, "id")
             .withColumn("authority", authority_code(F.col("price"), F.col("id"))))
 
 

@@ -9,6 +9,7 @@ jobs that cut lineage.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -50,7 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's reliable checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    it is. Only when it is unset (local tests) do we make a scratch folder.
+    it is. Only when it is unset and the master is local (tests) do we make a
+    scratch folder; elsewhere that raises, since executors would not share it.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -58,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = configured or tempfile.mkdtemp(prefix="eventide-ckpt-")
     sc.setCheckpointDir(path)
     return path

@@ -44,15 +44,15 @@ def delete_keys(base: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def cascade_delete(messages: DataFrame, removed_conversations: DataFrame | None = None,
-                   removed_users: DataFrame | None = None, removed_messages: DataFrame | None = None,
-                   max_depth: int = 64) -> DataFrame:
+                   removed_users: DataFrame | None = None,
+                   removed_messages: DataFrame | None = None) -> DataFrame:
     """SNK-5: ON DELETE CASCADE of messages by conversation, by sender and by
     the message replied to (transitively).
 
     Reply chains are followed one level per round with a semi join; each
     round's frontier is checkpointed so lineage stays short. Stops when a
-    round removes nothing. ``max_depth`` only guards against a cycle in bad
-    data; reply chains deeper than it raise instead of being cut.
+    round removes nothing: chains of any depth are followed, and a cycle ends
+    too, since every round takes rows out of what is kept.
     """
     ensure_checkpoint_dir(messages.sparkSession)
     keep = messages
@@ -69,59 +69,63 @@ def cascade_delete(messages: DataFrame, removed_conversations: DataFrame | None
                                                         .alias("id"))).distinct()
     keep = keep.join(gone, "id", "left_anti")
     frontier = gone
-    for _ in range(max_depth):
+    while True:
         hit = keep.join(frontier.select(F.col("id").alias("reply_to")), "reply_to", "left_semi")
         hit = hit.select("id").checkpoint()
         if hit.isEmpty():
             return keep
         keep = keep.join(hit, "id", "left_anti").checkpoint()
         frontier = hit
-    raise RuntimeError("reply chain deeper than max_depth (cycle in reply_to?)")
+
+
+# A multiplier without the factors 2 and 5 permutes the numbers below any 10**d;
+# with ids below 10**12 the products stay within 64 bits.
+CODE_FACTOR, CODE_SHIFT, CODE_DIGITS = 7_368_787, 104_729, 12
+
+
+def code_number(key, digits: int = CODE_DIGITS) -> F.Column:
+    """Place of a key in the code space: a permutation of 0 .. 10**digits - 1."""
+    return F.pmod(key * CODE_FACTOR + CODE_SHIFT, F.lit(10 ** digits))
 
 
 def assign_codes(df: DataFrame, key: str, existing: DataFrame | None = None,
-                 prefix: str = "RES_", digits: int = 6, out: str = "code",
-                 max_rounds: int = 200) -> DataFrame:
+                 prefix: str = "RES_", digits: int = CODE_DIGITS, out: str = "code") -> DataFrame:
     """SNK-6: deterministic unique codes ``prefix`` + ``digits`` digits.
 
-    Round r hashes each still-unassigned key with salt r (MD5 of "key:r")
-    into the code space
-    (AGG-11's "count rows with this code" becomes an anti join on taken codes);
-    a code already taken (by ``existing`` or an earlier round) is refused,
-    and among keys landing on the same free code the smallest key wins. The
-    rest go to the next round until every key has a code; each round is
-    checkpointed so lineage stays short. Same input, same codes. Raises when
-    the code space is too full to finish (no key is left without a code).
+    A bijection of the integer key on the code space, so codes cannot collide
+    and nothing is shuffled. Codes that clash with ``existing`` (AGG-11's
+    count of rows with this code) move on: the key plus a whole number of key
+    ranges is coded instead, until no clash is left; only clashing keys take
+    part in that. Raises when a key is negative or does not fit the space, or
+    when no free range is left (``digits``: at most 12).
     """
-    ensure_checkpoint_dir(df.sparkSession)
     space = 10 ** digits
-    pending = df.select(key).distinct().checkpoint()
-    existing_codes = (existing.select(F.col(existing.columns[0]).alias(out)).distinct()
-                      if existing is not None else None)
-    wins: list[DataFrame] = []  # each round's winners, checkpointed once
-    for salt in range(max_rounds):
-        if pending.isEmpty():
-            break
-        cand = pending.withColumn(out, F.concat(F.lit(prefix), F.lpad(
-            F.pmod(_hash60(F.concat(F.col(key).cast("string"), F.lit(f":{salt}"))),
-                   F.lit(space)).cast("string"), digits, "0")))
-        for tk in ([existing_codes] if existing_codes is not None else []) + wins:
-            cand = cand.join(tk.select(out), out, "left_anti")
-        win = cand.groupBy(out).agg(F.min(key).alias(key)).checkpoint()
-        wins.append(win)
-        pending = pending.join(win.select(key), key, "left_anti").checkpoint()
-    else:
-        if not pending.isEmpty():
+    if not 1 <= digits <= 12:
+        raise ValueError("digits must be 1 to 12")
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return df.withColumn(out, F.lit(None).cast("string"))
+    if low < 0 or high >= space:
+        raise ValueError(f"keys {low} .. {high} do not fit {digits} digits")
+
+    def coded(d: DataFrame, turn: int) -> DataFrame:
+        n = code_number(F.col(key).cast("long") + turn * (high + 1), digits)
+        return d.withColumn(out, F.concat(F.lit(prefix), F.lpad(n.cast("string"), digits, "0")))
+
+    whole = coded(df, 0)
+    if existing is None:
+        return whole
+    ensure_checkpoint_dir(df.sparkSession)
+    taken = existing.select(F.col(existing.columns[0]).alias(out)).distinct()
+    done, rest, turn = whole.join(taken, out, "left_anti"), whole.join(taken, out, "left_semi"), 1
+    rest = rest.checkpoint()
+    while not rest.isEmpty():
+        if (turn + 1) * (high + 1) > space:
             raise RuntimeError("code space too full to assign unique codes")
-    assigned = wins[0]
-    for w in wins[1:]:
-        assigned = assigned.unionByName(w)
-    return df.join(assigned, key, "left")
-
-
-def _hash60(text) -> F.Column:
-    """First 60 bits of the MD5 of a text, as a non-negative bigint."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+        again = coded(rest.drop(out), turn)
+        done = done.unionByName(again.join(taken, out, "left_anti"))
+        rest, turn = again.join(taken, out, "left_semi").checkpoint(), turn + 1
+    return done.select(*df.columns, out)
 
 
 def authority_code(amount, key) -> F.Column:
@@ -132,7 +136,12 @@ def authority_code(amount, key) -> F.Column:
 
 
 def explode_group_members(requests: DataFrame, members_col: str = "group_members_list",
-                          key: str = "reservation_id") -> DataFrame:
-    """SNK-2: child rows (one per group member) from an array<struct> column."""
-    return requests.select(key, F.inline_outer(members_col)).filter(
-        F.col("first_name").isNotNull() | F.col("last_name").isNotNull())
+                          key: str = "reservation_id") -> tuple[DataFrame, DataFrame]:
+    """SNK-2: child rows, one per group member, from an array<struct> column, as
+    (accepted, quarantine). A member without a first or last name goes to
+    quarantine with the missing fields in ``missing``; no member is lost."""
+    rows = requests.select(key, F.inline(members_col))
+    absent = [F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(c))
+              for c in ("first_name", "last_name")]
+    rows = rows.withColumn("missing", F.array_compact(F.array(*absent)))
+    return rows.filter(F.size("missing") == 0).drop("missing"), rows.filter(F.size("missing") > 0)

@@ -72,8 +72,8 @@ FROM (
          cast(round(p_retailprice) AS bigint) AS price,
          cast(p_size % 30 + 5 AS int) AS capacity,
          cast(p_partkey % 4 AS int) AS grouping,
-         p_partkey % 10 + 7 AS creator_id,
-         p_partkey % 10 AS leader_id,
+         p_partkey % (SELECT count(*) FROM {supplier}) + 7 AS creator_id,
+         p_partkey % (SELECT count(*) FROM {supplier}) AS leader_id,
          p_partkey * 2 AS thumbnail_id,
          cast(p_size * p_partkey % 1000 AS bigint) AS views,
          CASE p_partkey % 13 WHEN 1 THEN 'pending' WHEN 2 THEN 'deleted' WHEN 3 THEN 'reported'
@@ -85,7 +85,7 @@ FROM (
 SELECT p_partkey * 2 AS id, 'media-' || cast(p_partkey * 2 AS string) AS uuid, p_partkey AS event_id,
        'image' AS type, 'events/' || cast(p_partkey AS string) || '/cover.jpg' AS url,
        """ + _BASE + """ + interval '1' day * cast(p_partkey % 900 AS int) AS created_at,
-       p_partkey % 10 + 7 AS uploader_id
+       p_partkey % (SELECT count(*) FROM {supplier}) + 7 AS uploader_id
 FROM {part}
 UNION ALL
 SELECT p_partkey * 2 + 1 AS id, 'media-' || cast(p_partkey * 2 + 1 AS string) AS uuid,
@@ -93,13 +93,13 @@ SELECT p_partkey * 2 + 1 AS id, 'media-' || cast(p_partkey * 2 + 1 AS string) AS
        CASE WHEN p_partkey % 2 = 0 THEN 'video' ELSE 'image' END AS type,
        'events/' || cast(p_partkey AS string) || '/extra.bin' AS url,
        """ + _BASE + """ + interval '1' day * cast(p_partkey % 900 AS int) + interval '1' minute AS created_at,
-       p_partkey % 10 + 7 AS uploader_id
+       p_partkey % (SELECT count(*) FROM {supplier}) + 7 AS uploader_id
 FROM {part}""",
     "d_reservations": """
 SELECT o_orderkey AS id,
        cast(floor(o_orderkey * 2 / 15) AS bigint) AS event_id,
        o_custkey AS user_id,
-       'RES_' || lpad(cast(o_orderkey % 1000000 AS string), 6, '0') AS code,
+       'RES_' || cast(o_orderkey AS string) AS code,
        CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 26 ELSE NULL END AS discount_code_id,
        cast(round(o_totalprice / 100) AS bigint) AS price,
        o_orderkey % 4 = 1 AS find_buddy,
@@ -133,7 +133,7 @@ SELECT l_orderkey * 10 + l_linenumber AS id,
        cast(l_shipdate AS {TS}) AS created_at
 FROM {lineitem}""",
     "d_leader_followers": """
-SELECT leader_id, follower_id, leader_id * 1000000 + follower_id AS id
+SELECT leader_id, follower_id, leader_id * 10000000000 + follower_id AS id
 FROM (SELECT DISTINCT l_suppkey AS leader_id, o_custkey AS follower_id
       FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey) f""",
     "d_discount_codes": """
@@ -141,7 +141,7 @@ SELECT cast(n_nationkey + 1 AS bigint) AS id,
        'CODE' || cast(n_nationkey % 20 AS string) AS code,
        CASE WHEN n_nationkey % 4 = 1 THEN cast(n_nationkey * 7 AS bigint) END AS event_id,
        CASE WHEN n_nationkey % 4 = 2 THEN cast(n_regionkey AS bigint) END AS category_id,
-       CASE WHEN n_nationkey % 4 = 3 THEN cast(n_nationkey % 10 AS bigint) END AS leader_id,
+       CASE WHEN n_nationkey % 4 = 3 THEN cast(n_nationkey % (SELECT count(*) FROM {supplier}) AS bigint) END AS leader_id,
        cast(CASE n_nationkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 2 THEN 20 WHEN 3 THEN 50 ELSE 10 END AS int)
            AS discount_percent,
        cast(CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 100 * (n_nationkey + 1) END AS bigint) AS discount_max,
@@ -156,25 +156,25 @@ FROM {nation}""",
 SELECT conv_id AS id,
        conv_id % 2 = 1 AS is_group,
        CASE WHEN conv_id % 2 = 1 THEN 'Group ' || cast(conv_id AS string) END AS name,
-       conv_id * 7 % 200 AS event_id,
+       conv_id * 7 % (SELECT count(*) FROM {part}) AS event_id,
        cast(CASE WHEN conv_id % 2 = 1 THEN 4 ELSE 2 END AS int) AS conversation_size,
        CASE WHEN conv_id % 5 = 0 THEN 'pending' ELSE 'completed' END AS status,
        cast('1998-05-01 00:00:00' as {TS}) + interval '1' day * cast(conv_id % 60 AS int) AS expires_on,
        cast('1998-04-01 00:00:00' as {TS}) + interval '1' hour * cast(conv_id % 500 AS int) AS created_at
 FROM (SELECT DISTINCT conv_id FROM {conversations}) c""",
     "d_participants": """
-SELECT conv_id * 10 + k AS id, conv_id AS conversation_id, (conv_id * 3 + k) % 150 AS user_id,
+SELECT conv_id * 10 + k AS id, conv_id AS conversation_id, (conv_id * 3 + k) % (SELECT count(*) FROM {customer}) AS user_id,
        conv_id * 10 + k AS reservation_id,
        cast('1998-04-01 00:00:00' as {TS}) + interval '1' hour * cast(conv_id % 500 AS int) AS joined_at
 FROM (SELECT DISTINCT conv_id, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS k FROM {conversations}
       UNION ALL
       SELECT DISTINCT conv_id, 2 AS k FROM {conversations} WHERE conv_id % 2 = 1) p""",
     "d_messages": """
-SELECT conv_id * 1000 + turn AS id,
+SELECT conv_id * 1000000 + turn AS id,
        conv_id AS conversation_id,
-       (conv_id * 3 + CASE WHEN role = 'user' THEN 0 ELSE 1 END) % 150 AS sender_id,
+       (conv_id * 3 + CASE WHEN role = 'user' THEN 0 ELSE 1 END) % (SELECT count(*) FROM {customer}) AS sender_id,
        text,
-       CASE WHEN turn % 3 = 2 THEN conv_id * 1000 + turn - 1 END AS reply_to,
+       CASE WHEN turn % 3 = 2 THEN conv_id * 1000000 + turn - 1 END AS reply_to,
        turn % 2 = 0 AS read,
        cast('1998-04-01 00:00:00' as {TS}) + interval '1' hour * cast(conv_id % 500 AS int)
          + interval '1' minute * cast(CASE WHEN turn = 3 THEN 2 ELSE turn END AS int) AS created_at
@@ -182,13 +182,13 @@ FROM {conversations}""",
     "d_memories": """
 SELECT doc_id AS id,
        'mem-' || cast(doc_id AS string) AS uuid,
-       doc_id % 150 AS user_id,
-       doc_id % 200 AS event_id,
+       doc_id % (SELECT count(*) FROM {customer}) AS user_id,
+       doc_id % (SELECT count(*) FROM {part}) AS event_id,
        doc_id * 2 AS thumbnail_id,
-       substr(text, 1, 100) AS caption,
+       text AS caption,
        CASE WHEN doc_id % 8 = 7 THEN 'deleted' WHEN doc_id % 4 = 3 THEN 'pending' ELSE 'published' END AS status,
-       cast('1998-01-01 00:00:00' as {TS}) + interval '1' hour * cast(doc_id AS int) AS created_at,
-       cast('1998-01-01 00:00:00' as {TS}) + interval '1' hour * cast(doc_id AS int) + interval '5' minute AS updated_at
+       cast('1998-01-01 00:00:00' as {TS}) + interval '1' hour * cast(doc_id % 200000 AS int) AS created_at,
+       cast('1998-01-01 00:00:00' as {TS}) + interval '1' hour * cast(doc_id % 200000 AS int) + interval '5' minute AS updated_at
 FROM {documents}""",
     "d_memory_medias": """
 SELECT doc_id * 2 AS id, doc_id AS memory_id, 'image' AS type,
@@ -206,15 +206,15 @@ SELECT doc_id AS memory_id, source AS hashtag FROM {documents} WHERE doc_id % 7
 UNION ALL
 SELECT doc_id AS memory_id, lang AS hashtag FROM {documents} WHERE doc_id % 10 = 1""",
     "d_memory_likes": """
-SELECT DISTINCT event_id % 200 AS memory_id, user_id FROM {events} WHERE event_type = 'click'""",
+SELECT DISTINCT event_id % (SELECT count(*) FROM {documents}) AS memory_id, user_id FROM {events} WHERE event_type = 'click'""",
     "d_memory_comments": """
-SELECT event_id AS id, event_id % 200 AS memory_id, user_id, props AS comment, ts AS created_at
+SELECT event_id AS id, event_id % (SELECT count(*) FROM {documents}) AS memory_id, user_id, props AS comment, ts AS created_at
 FROM {events} WHERE event_type = 'view'""",
     "d_memories_saved": """
-SELECT DISTINCT event_id % 200 AS memory_id, user_id FROM {events} WHERE event_type = 'purchase'""",
+SELECT DISTINCT event_id % (SELECT count(*) FROM {documents}) AS memory_id, user_id FROM {events} WHERE event_type = 'purchase'""",
     "d_notifications": """
 SELECT event_id AS id,
-       CASE WHEN event_id % 3 = 0 THEN event_id % 200 END AS event_id,
+       CASE WHEN event_id % 3 = 0 THEN event_id % (SELECT count(*) FROM {part}) END AS event_id,
        CASE WHEN event_id % 3 = 1 THEN event_id END AS reservation_id,
        cast(NULL AS bigint) AS pay_id,
        cast(NULL AS bigint) AS ticket_id,
@@ -229,7 +229,7 @@ SELECT event_id AS id,
 FROM {events} WHERE event_type IN ('signup', 'purchase')""",
     "d_support_tickets": """
 SELECT event_id AS id,
-       event_id % 200 AS event_id,
+       event_id % (SELECT count(*) FROM {part}) AS event_id,
        user_id,
        'ticket ' || cast(event_id AS string) AS subject,
        lpad(cast(event_id % 100000 AS string), 6, '0') AS code,
@@ -242,12 +242,12 @@ FROM {events} WHERE event_type = 'error'""",
     "d_reports": """
 SELECT o_orderkey AS id,
        o_custkey AS reporter_id,
-       CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN (o_custkey + 1) % 150 END AS reported_user_id,
+       CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN (o_custkey + 1) % (SELECT count(*) FROM {customer}) END AS reported_user_id,
        CASE WHEN o_orderkey % 7 = 1 THEN o_orderkey % 100 END AS reported_conversation_id,
-       CASE WHEN o_orderkey % 7 = 2 THEN (o_orderkey % 100) * 1000 END AS reported_message_id,
+       CASE WHEN o_orderkey % 7 = 2 THEN (o_orderkey % 100) * 1000000 END AS reported_message_id,
        CASE WHEN o_orderkey % 7 = 3 THEN cast(floor(o_orderkey * 2 / 15) AS bigint) END AS reported_event_id,
-       CASE WHEN o_orderkey % 7 = 4 THEN o_orderkey % 10 END AS reported_leader_id,
-       CASE WHEN o_orderkey % 7 = 5 THEN o_orderkey % 200 END AS reported_memory_id,
+       CASE WHEN o_orderkey % 7 = 4 THEN o_orderkey % (SELECT count(*) FROM {supplier}) END AS reported_leader_id,
+       CASE WHEN o_orderkey % 7 = 5 THEN o_orderkey % (SELECT count(*) FROM {documents}) END AS reported_memory_id,
        CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS reason,
        cast(o_orderdate AS {TS}) AS created_at
 FROM {orders}""",
@@ -293,7 +293,7 @@ SELECT o_orderkey * 2 + 1 AS conf_id, 'A' || lpad(cast(o_orderkey AS string), 35
 FROM {orders} WHERE o_orderkey % 10 = 1""",
     "d_booking_requests": """
 SELECT event_id AS request_id,
-       (user_id * 7 + event_id) % 200 AS event_id,
+       (user_id * 7 + event_id) % (SELECT count(*) FROM {part}) AS event_id,
        user_id,
        cast('1997-01-01 00:00:00' as {TS})
          + interval '1' second * cast(cast(floor({EPOCH}(ts)) AS bigint) - 1704067200 AS int) AS requested_at,
@@ -335,7 +335,7 @@ SELECT l_orderkey * 10 + l_linenumber AS member_id,
 FROM {lineitem}""",
     "d_event_submissions": """
 SELECT p_partkey AS sub_id,
-       CASE WHEN p_partkey % 17 = 0 THEN 0 WHEN p_partkey % 23 = 0 THEN 100 ELSE p_partkey % 10 + 7 END
+       CASE WHEN p_partkey % 17 = 0 THEN 0 WHEN p_partkey % 23 = 0 THEN 100 ELSE p_partkey % (SELECT count(*) FROM {supplier}) + 7 END
          AS creator_id,
        CASE WHEN p_partkey % 31 = 0 THEN 'abc' ELSE p_name END AS title,
        cast(p_partkey % 6 AS string) AS category,
@@ -366,10 +366,10 @@ SELECT p_partkey AS sub_id,
        cast(cast(round(p_retailprice) AS bigint) AS string) || ',000' AS price,
        p_partkey % 7 = 0 AS private,
        p_partkey % 3 = 0 AS approval,
-       CASE WHEN p_partkey % 17 = 0 THEN cast(p_partkey % 10 AS string) END AS leader
+       CASE WHEN p_partkey % 17 = 0 THEN cast(p_partkey % (SELECT count(*) FROM {supplier}) AS string) END AS leader
 FROM {part}""",
     "d_part_keys": """
-SELECT 'media-' || cast(p_partkey * 2 + 1 AS string) AS uuid, p_partkey % 10 + 7 AS uploader_id
+SELECT 'media-' || cast(p_partkey * 2 + 1 AS string) AS uuid, p_partkey % (SELECT count(*) FROM {supplier}) + 7 AS uploader_id
 FROM {part} WHERE p_partkey % 5 = 0""",
 }
 

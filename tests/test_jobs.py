@@ -80,14 +80,32 @@ def test_cascade_delete_follows_replies(spark):
     assert sorted(r.id for r in keep2.collect()) == []
 
 
+def test_cascade_delete_has_no_depth_limit(spark):
+    chain = [(i, 1, 1, i - 1 if i else None) for i in range(70)] + [(100, 1, 1, 101), (101, 1, 1, 100)]
+    msgs = spark.createDataFrame(chain, "id long, conversation_id long, sender_id long, reply_to long")
+    gone = spark.createDataFrame([(0,), (100,)], "id long")
+    assert cascade_delete(msgs, removed_messages=gone).count() == 0
+
+
 def test_assign_codes_unique_and_stable(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
-    existing = spark.createDataFrame([("RES_000001",)], "code string")
-    a = assign_codes(df, "k", existing, digits=4)
-    b = assign_codes(df, "k", existing, digits=4)
-    assert a.filter(F.col("code").isNull()).count() == 0
-    assert a.select("code").distinct().count() == 5000
+    free = assign_codes(df, "k", digits=4)
+    existing = free.filter("k % 10 = 3").select("code")  # 500 codes are gone
+    a, b = (assign_codes(df, "k", existing, digits=4) for _ in range(2))
+    assert a.count() == a.select("code").distinct().count() == 5000
     assert a.join(b, ["k", "code"]).count() == 5000
+    assert a.join(existing, "code").count() == 0
+    assert a.join(free, ["k", "code"]).count() == 4500
+
+
+def test_assign_codes_has_no_small_limit(spark):
+    df = spark.range(2_000_000).withColumnRenamed("id", "k")
+    assert assign_codes(df, "k").select("code").distinct().count() == 2_000_000
+    with pytest.raises(ValueError):
+        assign_codes(df, "k", digits=6)
+    with pytest.raises(RuntimeError):  # every code is taken
+        full = assign_codes(df.limit(100), "k", digits=2)
+        assign_codes(df.limit(100), "k", full.select("code"), digits=2)
 
 
 def test_match_groups_properties(t_small):
@@ -152,11 +170,13 @@ def test_explode_group_members(spark):
     from eventide.sources.sinks import explode_group_members
     df = spark.createDataFrame(
         [(1, [("a", "b", "1370/01/01", "0012345679"), ("c", "d", "1990-01-01", "1234567891")]),
-         (2, [])],
+         (2, []), (3, [(None, None, "x", "y"), ("e", " ", None, None)])],
         "reservation_id long, group_members_list array<struct<first_name:string, last_name:string,"
         " birth_date:string, national_id:string>>")
-    got = sorted((r.reservation_id, r.first_name) for r in explode_group_members(df).collect())
-    assert got == [(1, "a"), (1, "c")]
+    ok, bad = explode_group_members(df)
+    assert sorted((r.reservation_id, r.first_name) for r in ok.collect()) == [(1, "a"), (1, "c")]
+    assert [(r.reservation_id, r.missing) for r in bad.collect()] == [
+        (3, ["first_name", "last_name"]), (3, ["last_name"])]
 
 
 def test_validate_events_rules(spark, t_small):

@@ -1,11 +1,11 @@
 """Every registered query against its DuckDB oracle (columns, rows, values)."""
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql, queries as all_queries
+from eventide.registry import ORACLES, QUERIES
 from tests.conftest import SF_SMALL
 from tests.helpers import duck, rows
 
-ORACLES = oracle_sql()
 NAMES = sorted(ORACLES)
 
 
@@ -16,7 +16,7 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_oracle(spark, con, name):
-    got_arrow = queries()[name](spark, SF_SMALL).toArrow()
+    got_arrow = QUERIES[name](spark, SF_SMALL).toArrow()
     want_arrow = con.sql(ORACLES[name]).arrow()
     if hasattr(want_arrow, "read_all"):  # a RecordBatchReader in newer DuckDB
         want_arrow = want_arrow.read_all()
@@ -34,9 +34,8 @@ NO_ORACLE: set = set()
 
 
 def test_every_query_has_callable_and_oracle():
-    q = queries()
-    assert set(ORACLES) <= set(q)
-    assert set(q) - set(ORACLES) == NO_ORACLE
+    assert set(QUERIES) - set(ORACLES) == NO_ORACLE
+    assert set(QUERIES) <= set(all_queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_entry_smoke(spark):

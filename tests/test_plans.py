@@ -2,7 +2,7 @@
 filters and column pruning reach the parquet scan."""
 import pytest
 
-from __spark_entry__ import queries
+from eventide.registry import QUERIES
 from eventide.plans.people import user_reservations
 from tests.conftest import SF_SMALL
 
@@ -14,9 +14,9 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in queries() if not n.startswith("stream_")))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_")))
 def test_no_cartesian_and_python_only_where_intended(spark, name):
-    plan = _plan(queries()[name](spark, SF_SMALL))
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan
     if name not in PYTHON_OK:
         for node in ("ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas",
