@@ -837,20 +837,20 @@ def q_stream_accept_messages(spark, sf_dir):
                          FROM d_transactions) WHERE rn = 1),
 c1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY authority ORDER BY confirmed_at, conf_id)
                       AS rn FROM d_confirmations) WHERE rn = 1)
-SELECT c.authority, c.confirmed_at, t.id AS transaction_id, t.reservation_id,
+SELECT c.conf_id, c.authority, c.confirmed_at, t.id AS transaction_id, t.reservation_id,
        CASE WHEN e.is_approval THEN 'need-approval' ELSE 'paid' END AS reservation_status,
        100000000000 + t.id AS ref_id
 FROM c1 c JOIN tx1 t ON c.authority = t.authority
 LEFT JOIN d_reservations r ON t.reservation_id = r.id LEFT JOIN d_events e ON r.event_id = e.id
 WHERE t.status <> 'paid'""")
 def q_stream_settle(spark, sf_dir):
-    from eventide.streaming.jobs import file_stream, scratch_dir, settle_stream
+    from eventide.streaming.jobs import disorder_seconds, file_stream, scratch_dir, settle_stream
     t = domain(spark, sf_dir)
     s = file_stream(t.confirmations, "confirmations", "confirmed_at")
-    out = scratch_dir(spark, "settled")
-    settle_stream(s, t.transactions, t.reservations, t.events, out)
-    return spark.read.parquet(out).select(
-        "authority", F.col("confirmed_at").cast("timestamp_ntz").alias("confirmed_at"),
+    job = settle_stream(s, t.transactions, t.reservations, t.events, scratch_dir(spark, "settled"),
+                        disorder_seconds(t.confirmations, "confirmed_at"))
+    return job.table("out").select(
+        "conf_id", "authority", F.col("confirmed_at").cast("timestamp_ntz").alias("confirmed_at"),
         "transaction_id", "reservation_id", "reservation_status", "ref_id")
 
 
@@ -863,12 +863,12 @@ SELECT attempt_id, otp_id,
        row_number() OVER (PARTITION BY otp_id ORDER BY attempted_at, attempt_id) = 1 AS first_use
 FROM m""")
 def q_stream_otp_match(spark, sf_dir):
-    from eventide.streaming.jobs import file_stream, otp_first_use, otp_match, run_to_table
+    from eventide.streaming.jobs import disorder_seconds, file_stream, otp_match, scratch_dir
     t = domain(spark, sf_dir)
+    late = max(disorder_seconds(t.otp_issued, "created_at", 3), disorder_seconds(t.otp_attempt, "attempted_at", 3))
     i = file_stream(t.otp_issued, "otp_issued", "created_at", n_files=3)
     a = file_stream(t.otp_attempt, "otp_attempt", "attempted_at", n_files=3)
-    out = run_to_table(otp_first_use(otp_match(i, a)), "otp_match")
-    return out.select("attempt_id", "otp_id", "first_use")
+    return otp_match(i, a, scratch_dir(spark, "otp_match"), late).table("out").select("attempt_id", "otp_id", "first_use")
 
 
 @register("stream_otp_throttle", ["d_otp_issued"], """
@@ -886,11 +886,12 @@ SELECT r.id, r.phone, r.page, rec.accepted,
        CASE WHEN rec.accepted THEN cast(rec.live_until AS bigint) END AS expires_at
 FROM r JOIN rec ON r.phone = rec.phone AND r.page = rec.page AND r.rn = rec.rn""", recursive=True)
 def q_stream_otp_throttle(spark, sf_dir):
-    from eventide.streaming.jobs import file_stream, otp_throttle, run_to_table
+    from eventide.streaming.jobs import disorder_seconds, file_stream, otp_throttle, scratch_dir
     t = domain(spark, sf_dir)
     s = file_stream(t.otp_issued.select("id", "phone", "page", "created_at"), "otp_req",
                     "created_at")
-    return run_to_table(otp_throttle(s), "otp_throttle").select(
+    return otp_throttle(s, scratch_dir(spark, "otp_throttle"),
+                        disorder_seconds(t.otp_issued, "created_at")).table("out").select(
         "id", "phone", "page", "accepted", "expires_at")
 
 
@@ -920,13 +921,13 @@ SELECT request_id, event_id, size, cast(left_before AS bigint) AS left_before,
             ELSE 'admitted' END AS reason
 FROM d""", recursive=True)
 def q_stream_admit(spark, sf_dir):
-    from eventide.operators.stats import seats_filled
-    from eventide.streaming.jobs import admit_stream, file_stream, run_to_table
+    from eventide.streaming.jobs import admit_stream, disorder_seconds, file_stream, scratch_dir
     t = domain(spark, sf_dir)
-    s = file_stream(t.booking_requests.select("request_id", "event_id", "requested_at", "size"),
-                    "booking_requests", "requested_at", n_files=6)
-    out = run_to_table(admit_stream(s, t.events, seats_filled(t.reservations)), "admit_stream")
-    return out.select("request_id", "event_id", "size", "left_before", "admitted", "reason")
+    s = file_stream(t.booking_requests.select("request_id", "event_id", "user_id", "requested_at", "size",
+                                              "find_buddy"), "booking_requests", "requested_at", n_files=4)
+    job = admit_stream(s, t.events, t.reservations, scratch_dir(spark, "admit_stream"),
+                       disorder_seconds(t.booking_requests, "requested_at"))
+    return job.table("out").select("request_id", "event_id", "size", "left_before", "admitted", "reason")
 
 
 # ---------------------------------------------------------------- event intake and sinks

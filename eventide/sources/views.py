@@ -289,7 +289,7 @@ SELECT o_orderkey * 2 AS conf_id,
 FROM {orders}
 UNION ALL
 SELECT o_orderkey * 2 + 1 AS conf_id, 'A' || lpad(cast(o_orderkey AS string), 35, '0') AS authority,
-       cast(o_orderdate AS {TS}) + interval '3' hour AS confirmed_at
+       cast(o_orderdate AS {TS}) + interval '1' hour * cast(2 + o_orderkey % 3 AS int) AS confirmed_at
 FROM {orders} WHERE o_orderkey % 10 = 1""",
     "d_booking_requests": """
 SELECT event_id AS request_id,

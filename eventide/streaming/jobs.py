@@ -4,21 +4,23 @@ The reference checks each request against the database as it arrives. Here
 the append tables arrive as folders of parquet files (``stream()``), and each
 online check is a streaming query:
 
-* ST-1 ``otp_throttle``: per (phone, page) state "code live until"
-  (``applyInPandasWithState``; state times out with the watermark).
-* ST-2 ``otp_match``: stream-stream interval join of attempts to issued codes
-  (same phone, code and ip; attempt inside the code's lifetime), then
-  ``otp_first_use``: per-code state so that a code verifies only once.
+* ST-1 ``otp_throttle``: a code request is accepted if its (phone, page) has
+  no live code.
+* ST-2 ``otp_match``: attempts matched to issued codes (same phone, code and
+  ip; inside the code's lifetime); a code verifies only once.
 * ST-3 ``verified_phones``: latest used code per phone and whether it is
   still fresh (a batch job over the used codes).
 * ST-4 ``accept_messages``: stream-static join against chats, accept while
   the chat has not expired.
-* ST-5 ``settle``: first confirmation per authority (dedupe within the
-  watermark), then ``foreachBatch`` that also anti-joins authorities
-  settled in earlier batches and writes the settled rows.
+* ST-5 ``settle_stream``: first confirmation per authority settles it, once.
 * ST-6 ``live_fill``: running seats per event from a change feed of signed
   seat deltas (streaming ``groupBy().sum()``, update mode).
-* ST-7 ``admit_stream``: admission with per-event state "seats left".
+* ST-7 ``admit_stream``: admission in time order with seats left as state.
+
+ST-1, ST-2, ST-5 and ST-7 depend on order. They are ``OrderedJob``s: rows wait
+for the watermark and are applied in (time, id) order whatever the files look
+like, and late rows are kept with a reason (see ``ordered``). Their steps are
+ordinary distributed batch jobs, so a hot key is split over tasks.
 
 Event time is ``timestamp`` (watermarks refuse ``timestamp_ntz``); the
 session time zone is UTC so wall clock values are unchanged.
@@ -26,17 +28,16 @@ session time zone is UTC so wall clock values are unchanged.
 
 from __future__ import annotations
 
-import os
 import uuid
-from collections.abc import Iterator
+from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from eventide.session import ensure_checkpoint_dir
+from eventide.streaming.ordered import OrderedJob, children
 
 CODE_LIFETIME_S = 120   # fixed value: lifetime of a one-time code
 FRESH_AFTER_USE_S = 60  # fixed value: a used code keeps a phone verified this long
@@ -46,9 +47,8 @@ FRESH_AFTER_USE_S = 60  # fixed value: a used code keeps a phone verified this l
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's shared checkpoint folder."""
-    root = ensure_checkpoint_dir(spark)
-    root = root[len("file:"):] if root.startswith("file:") else root
-    return os.path.join(root, "eventide-streams", f"{name}-{uuid.uuid4().hex[:12]}")
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/eventide-streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def write_as_files(df: DataFrame, path: str, order_col: str, n_files: int = 4) -> None:
@@ -70,6 +70,17 @@ def write_as_files(df: DataFrame, path: str, order_col: str, n_files: int = 4) -
         lo = hi
 
 
+def disorder_seconds(df: DataFrame, order_col: str, n_files: int = 4) -> float:
+    """By how much rows written with ``write_as_files`` can arrive out of order:
+    the longest slice, since files of one slice come in any order."""
+    key = F.unix_micros(F.col(order_col).cast("timestamp"))
+    edges = df.select(key.alias("_k")).approxQuantile(
+        "_k", [i / n_files for i in range(n_files + 1)], 0.0001)
+    ends = df.agg(F.min(key), F.max(key)).first()
+    edges = [ends[0], *edges[1:-1], ends[1]] if edges else [0]
+    return max([b - a for a, b in zip(edges[:-1], edges[1:])], default=0) / 1e6
+
+
 def run_available_now(query_df: DataFrame, out_path: str, mode: str = "append",
                       fmt: str = "parquet", checkpoint: str | None = None) -> None:
     """Run a streaming DataFrame over everything available, into a file sink."""
@@ -92,51 +103,114 @@ def run_foreach_batch(query_df: DataFrame, fn, checkpoint: str | None = None,
 
 # ------------------------------------------------------------------ ST-1
 
-_THROTTLE_OUT = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("phone", T.StringType()),
-    T.StructField("page", T.StringType()), T.StructField("created_at", T.TimestampType()),
-    T.StructField("accepted", T.BooleanType()), T.StructField("expires_at", T.LongType())])
-_THROTTLE_STATE = T.StructType([T.StructField("live_until", T.LongType())])
-
-
-def _throttle(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    live_until = state.get[0] if state.exists else None
-    frames = [p for p in pdfs]
-    if not frames:
-        return
-    pdf = pd.concat(frames).sort_values(["created_at", "id"])
-    secs = (pdf["created_at"].astype("datetime64[us]").astype("int64") // 1_000_000).to_numpy()
-    acc, exp = [], []
-    for s in secs:
-        if live_until is not None and s < live_until:
-            acc.append(False)
-            exp.append(None)
-        else:
-            live_until = int(s) + CODE_LIFETIME_S
-            acc.append(True)
-            exp.append(live_until)
-    state.update((live_until,))
-    state.setTimeoutTimestamp(max(int(live_until) * 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"id": pdf["id"].to_numpy(), "phone": pdf["phone"].to_numpy(),
-                        "page": pdf["page"].to_numpy(), "created_at": pdf["created_at"].to_numpy(),
-                        "accepted": acc, "expires_at": pd.array(exp, dtype="Int64")})
-
-
-def otp_throttle(requests: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """ST-1: accept a code request only if the (phone, page) has no live
-    code (issued less than 120 s before). Code use is not seen by this
-    stream, so a used code keeps throttling until it expires (the reference
-    frees the phone as soon as the code is used). Requests ``(id, phone, page,
-    created_at)``; output adds ``accepted`` and the new code's ``expires_at``
-    (epoch seconds). State per key is one timestamp and expires with the
-    watermark. Within a micro-batch rows are applied in (time, id) order."""
-    return (requests.withWatermark("created_at", watermark)
-            .groupBy("phone", "page")
-            .applyInPandasWithState(_throttle, _THROTTLE_OUT, _THROTTLE_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+def _chain(secs: np.ndarray, live: int | None):
+    """Accepted requests of one (phone, page), given when its code expires: each
+    accepted one is found by a search for the first at or after that time."""
+    taken = np.zeros(len(secs), bool)
+    at = 0 if live is None else int(np.searchsorted(secs, live))
+    while at < len(secs):
+        taken[at] = True
+        live = int(secs[at]) + CODE_LIFETIME_S
+        at = int(np.searchsorted(secs, live))
+    return taken, live
+
+
+def _throttle_step(ready: DataFrame, state: DataFrame | None, past: DataFrame | None):
+    """Requests sorted over all tasks by (phone, page, time, id), so that even one
+    phone spans tasks. Each task reports how its first key's expiry comes out
+    for each of the 121 ways it can come in; chained over the tasks (one small
+    row each) that gives every task its true start."""
+    keys = ["phone", "page"]
+    rows = ready.select("id", *keys, "created_at", F.unix_seconds("created_at").alias("s"))
+    if state is not None:
+        rows = rows.alias("r").join(state.alias("l"), F.col("r.phone").eqNullSafe(F.col("l.phone"))
+                                    & F.col("r.page").eqNullSafe(F.col("l.page")), "left").select(
+            "r.*", "l.live")
+    else:
+        rows = rows.withColumn("live", F.lit(None).cast("long"))
+    rows = (rows.repartitionByRange(*keys, "s", "id").sortWithinPartitions(*keys, "s", "id")
+            .checkpoint().withColumn("pid", F.spark_partition_id()))
+    pairs = lambda p: list(zip(p["phone"].astype(object).where(p["phone"].notna(), None),
+                               p["page"].astype(object).where(p["page"].notna(), None)))
+
+    def groups(pdf):
+        key = pairs(pdf)
+        cut = [i for i in range(len(key)) if not i or key[i] != key[i - 1]] + [len(key)]
+        return [(key[a], pdf.iloc[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+
+    def first_live(g):
+        v = g["live"].iloc[0]
+        return None if pd.isna(v) else int(v)
+
+    def summarise(it):
+        first = last = pid = base = vec = live = None
+        for pdf in it:
+            for key, g in groups(pdf) if len(pdf) else ():
+                secs = g["s"].to_numpy(np.int64)
+                if first is None:
+                    first, pid, base = key, int(g["pid"].iloc[0]), int(secs[0])
+                    vec = base + np.arange(CODE_LIFETIME_S + 1)
+                if key == first:
+                    while True:
+                        at = np.searchsorted(secs, vec)
+                        go = at < len(secs)
+                        if not go.any():
+                            break
+                        vec[go] = secs[at[go]] + CODE_LIFETIME_S
+                else:
+                    live = _chain(secs, live if key == last else first_live(g))[1]
+                last = key
+        if first is not None:
+            yield pd.DataFrame({"pid": [pid], "k1": [repr(first)], "k2": [repr(last)],
+                                "base": [base], "vec": [vec.tolist()], "live": pd.array([live], "Int64")})
+
+    # One row per task, whatever the number of requests.
+    parts = rows.mapInPandas(summarise, "pid int, k1 string, k2 string, base long, "
+                             "vec array<bigint>, live long").collect()
+    heads = {r.pid: r for r in rows.groupBy("pid").agg(F.min_by("live", F.struct(*keys, "s", "id"))
+                                                       .alias("live")).collect()}
+    start: dict[int, int | None] = {}
+    key = live = None
+    for r in sorted(parts, key=lambda r: r.pid):
+        start[r.pid] = live if r.k1 == key else heads[r.pid].live
+        way = 0 if start[r.pid] is None else min(max(start[r.pid] - r.base, 0), CODE_LIFETIME_S)
+        live = r.vec[way] if r.k1 == r.k2 else r.live
+        key = r.k2
+
+    def decide(it):
+        first = last = live = None
+        for pdf in it:
+            for key, g in groups(pdf) if len(pdf) else ():
+                if first is None:
+                    first = last = key
+                    live = start[int(g["pid"].iloc[0])]
+                elif key != last:
+                    last, live = key, first_live(g)
+                taken, live = _chain(g["s"].to_numpy(np.int64), live)
+                yield pd.DataFrame({
+                    "id": g["id"].to_numpy(), "phone": g["phone"].to_numpy(), "page": g["page"].to_numpy(),
+                    "created_at": g["created_at"].to_numpy(), "accepted": taken,
+                    "expires_at": pd.array(np.where(taken, g["s"].to_numpy() + CODE_LIFETIME_S, -1),
+                                           "Int64").astype(object)})
+
+    out = rows.mapInPandas(decide, "id long, phone string, page string, created_at timestamp, "
+                           "accepted boolean, expires_at long")
+    out = out.withColumn("expires_at", F.when(F.col("accepted"), F.col("expires_at"))).checkpoint()
+    ends = out.filter("accepted").groupBy(*keys).agg(F.max("expires_at").alias("live"))
+    if state is not None:  # keep what can still throttle: expiries are at most one lifetime ahead
+        ends = ends.unionByName(state).groupBy(*keys).agg(F.max("live").alias("live"))
+    newest = ready.agg(F.max(F.unix_seconds("created_at"))).first()[0]
+    return out, ends if newest is None else ends.filter(F.col("live") > newest)
+
+
+def otp_throttle(requests: DataFrame, root: str, delay_seconds: int = 600) -> OrderedJob:
+    """ST-1: accept a code request only if the (phone, page) has no live code
+    (issued less than 120 s before). Requests ``(id, phone, page, created_at)``;
+    output adds ``accepted`` and the new code's ``expires_at`` (epoch seconds).
+    Code use is not seen by this stream, so a used code throttles until it
+    expires. The state holds one expiry per live (phone, page)."""
+    return OrderedJob(requests.sparkSession, root, "created_at", delay_seconds,
+                      _throttle_step).run(requests)
 
 
 def otp_throttle_loop(rows: list[dict]) -> dict:
@@ -156,64 +230,41 @@ def otp_throttle_loop(rows: list[dict]) -> dict:
 
 # ------------------------------------------------------------------ ST-2 / ST-3
 
-def otp_match(issued: DataFrame, attempts: DataFrame, watermark: str = "5 minutes") -> DataFrame:
-    """ST-2: attempts joined to issued codes of the same phone, code and ip,
-    with the attempt inside the code's lifetime [created_at, created_at+120s).
-    Both sides carry watermarks, so join state is dropped once a code can no
-    longer match."""
-    i = (issued.withWatermark("created_at", watermark)
-         .select(F.col("id").alias("otp_id"), F.col("phone").alias("i_phone"),
-                 F.col("code").alias("i_code"), F.col("user_ip").alias("i_ip"), "created_at",
-                 "expires_at"))
-    a = (attempts.withWatermark("attempted_at", watermark)
-         .select(F.col("id").alias("attempt_id"), "phone", "code", "user_ip", "attempted_at"))
-    cond = ((F.col("phone") == F.col("i_phone")) & (F.col("code") == F.col("i_code"))
-            & (F.col("user_ip") == F.col("i_ip"))
-            & (F.col("attempted_at") >= F.col("created_at"))
-            & (F.col("attempted_at") < F.col("created_at")
-               + F.expr(f"INTERVAL {CODE_LIFETIME_S} SECONDS")))
-    return a.join(i, cond, "inner").select("attempt_id", "otp_id", "phone", "attempted_at",
-                                           "created_at", "expires_at")
-
-
-_FIRST_USE_OUT = T.StructType([
-    T.StructField("attempt_id", T.LongType()), T.StructField("otp_id", T.LongType()),
-    T.StructField("phone", T.StringType()), T.StructField("attempted_at", T.TimestampType()),
-    T.StructField("first_use", T.BooleanType())])
-_FIRST_USE_STATE = T.StructType([T.StructField("used", T.BooleanType())])
-
-
-def _first_use(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    frames = [p for p in pdfs]
-    if not frames:
-        return
-    pdf = pd.concat(frames).sort_values(["attempted_at", "attempt_id"])
-    used = state.exists and state.get[0]
-    flags = [False] * len(pdf)
-    if not used:
-        flags[0] = True
-    state.update((True,))
-    # keep the code's state a little beyond its lifetime, then drop it
-    latest = int(pdf["attempted_at"].astype("datetime64[us]").astype("int64").max() // 1000)
-    state.setTimeoutTimestamp(max(latest + CODE_LIFETIME_S * 1000,
-                                  state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"attempt_id": pdf["attempt_id"].to_numpy(),
-                        "otp_id": pdf["otp_id"].to_numpy(), "phone": pdf["phone"].to_numpy(),
-                        "attempted_at": pdf["attempted_at"].to_numpy(), "first_use": flags})
-
-
-def otp_first_use(matches: DataFrame) -> DataFrame:
-    """ST-2 second step: a code verifies once. Per code (state: used or not),
-    the earliest matching attempt is flagged ``first_use``; later ones are
-    not. Input: the watermarked output of ``otp_match``."""
-    # one event-time column per stream: keep the attempt's, drop the code's
-    return (matches.select("attempt_id", "otp_id", "phone", "attempted_at")
-            .groupBy("otp_id")
-            .applyInPandasWithState(_first_use, _FIRST_USE_OUT, _FIRST_USE_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+def _match_step(ready: DataFrame, state: DataFrame | None, past: DataFrame | None):
+    """Attempts joined to the codes they can match; state: codes that may still
+    match later, with their use."""
+    codes = ready.filter("issued").select(
+        F.col("id").alias("otp_id"), F.col("phone").alias("i_phone"), F.col("code").alias("i_code"),
+        F.col("user_ip").alias("i_ip"), F.col("at").alias("created_at"), F.lit(False).alias("used"))
+    codes = codes if state is None else codes.unionByName(state)
+    tries = ready.filter("not issued").select(F.col("id").alias("attempt_id"), "phone", "code", "user_ip",
+                                              F.col("at").alias("attempted_at"))
+    end = F.col("created_at") + F.expr(f"INTERVAL {CODE_LIFETIME_S} SECONDS")
+    found = tries.join(codes, (F.col("phone") == F.col("i_phone")) & (F.col("code") == F.col("i_code"))
+                       & (F.col("user_ip") == F.col("i_ip")) & (F.col("attempted_at") >= F.col("created_at"))
+                       & (F.col("attempted_at") < end)).select(
+        "attempt_id", "otp_id", "phone", "attempted_at", "used").checkpoint()
+    first = found.groupBy("otp_id").agg(F.min(F.struct("attempted_at", "attempt_id")).alias("f"))
+    out = (found.join(first, "otp_id").withColumn(
+        "first_use", ~F.col("used") & (F.col("f.attempt_id") == F.col("attempt_id")))
+        .select("attempt_id", "otp_id", "phone", "attempted_at", "first_use"))
+    newest = ready.agg(F.max("at")).first()[0]
+    live = codes if newest is None else codes.filter(end > F.lit(newest))
+    live = (live.join(first.select("otp_id", F.lit(True).alias("hit")), "otp_id", "left")
+            .withColumn("used", F.col("used") | F.coalesce("hit", F.lit(False))).drop("hit"))
+    return out, live
+
+
+def otp_match(issued: DataFrame, attempts: DataFrame, root: str, delay_seconds: int = 300) -> OrderedJob:
+    """ST-2: attempts matched to issued codes of the same phone, code and ip,
+    the attempt inside the code's lifetime [created_at, created_at+120s). Per
+    code the earliest matching attempt is its ``first_use``. Both streams are
+    one here, so that they share a watermark and a late output."""
+    cols = ("id", "phone", "code", "user_ip")
+    both = issued.select(*cols, F.col("created_at").alias("at"), F.lit(True).alias("issued")).union(
+        attempts.select(*cols, F.col("attempted_at").alias("at"), F.lit(False).alias("issued")))
+    return OrderedJob(issued.sparkSession, root, "at", delay_seconds, _match_step, "issued",
+                      ("true", "false")).run(both)
 
 
 def verified_phones(used_codes: DataFrame, as_of_epoch: int) -> DataFrame:
@@ -242,19 +293,15 @@ def accept_messages(messages: DataFrame, conversations: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ ST-5
 
 def settle_stream(confirmations: DataFrame, transactions: DataFrame, reservations: DataFrame,
-                  events: DataFrame, out_path: str, watermark: str = "1 day") -> None:
+                  events: DataFrame, root: str, delay_seconds: int = 86_400) -> OrderedJob:
     """ST-5: settle payment confirmations ``(conf_id, authority, confirmed_at)``.
 
-    The first confirmation of an authority inside the watermark survives
-    ``dropDuplicatesWithinWatermark``; ``foreachBatch`` then joins the static
-    transaction / reservation / event tables, drops authorities already
-    settled by earlier batches (read back from the output, since the
-    watermark bounds the dedupe state) and appends the settled rows. Running
-    it twice over the same input settles nothing new the second time.
+    The first confirmation of an authority by (time, id) settles its
+    transaction unless that is paid or was settled by an earlier step; the
+    earlier steps' authorities are read as one column of the output. Running
+    it again below the same root settles nothing twice.
+    ``settlement_snapshots`` turns the output into new tables (SNK-3).
     """
-    spark = confirmations.sparkSession
-    firsts = (confirmations.withWatermark("confirmed_at", watermark)
-              .dropDuplicatesWithinWatermark(["authority"]))
     tx = transactions.groupBy("authority").agg(
         F.min(F.struct("id", "status", "reservation_id")).alias("t"))
     tx = tx.select("authority", F.col("t.id").alias("transaction_id"),
@@ -262,24 +309,34 @@ def settle_stream(confirmations: DataFrame, transactions: DataFrame, reservation
     res = reservations.select(F.col("id").alias("reservation_id"), "event_id")
     ev = events.select(F.col("id").alias("event_id"), "is_approval")
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        rows = (df.join(tx, "authority").filter(F.col("t_status") != "paid")
+    def step(ready: DataFrame, state: DataFrame | None, past: DataFrame | None):
+        firsts = ready.groupBy("authority").agg(F.min(F.struct("confirmed_at", "conf_id")).alias("c")).select(
+            "authority", "c.*")
+        if past is not None:
+            firsts = firsts.join(past.select("authority"), "authority", "left_anti")
+        rows = (firsts.join(tx, "authority").filter(F.col("t_status") != "paid")
                 .join(res, "reservation_id", "left").join(ev, "event_id", "left"))
-        if os.path.exists(out_path):
-            done = spark.read.parquet(out_path).select("authority")
-            rows = rows.join(done, "authority", "left_anti")
-        rows = rows.select("conf_id", "authority", "confirmed_at", "transaction_id",
-                           "reservation_id",
+        return rows.select("conf_id", "authority", "confirmed_at", "transaction_id", "reservation_id",
                            F.when(F.col("is_approval"), "need-approval").otherwise("paid")
                            .alias("reservation_status"),
-                           (F.lit(100_000_000_000) + F.col("transaction_id")).alias("ref_id"))
-        # earliest confirmation in this batch wins within the batch as well
-        rows = (rows.groupBy("authority").agg(F.min(F.struct(
-            "confirmed_at", "conf_id", "transaction_id", "reservation_id", "reservation_status",
-            "ref_id")).alias("r")).select("authority", "r.*"))
-        rows.write.mode("append").parquet(out_path)
+                           (F.lit(100_000_000_000) + F.col("transaction_id")).alias("ref_id")), None
+
+    return OrderedJob(confirmations.sparkSession, root, "confirmed_at", delay_seconds, step).run(confirmations)
 
-    run_foreach_batch(firsts, batch)
+
+def settlement_snapshots(settled: DataFrame, transactions: DataFrame,
+                         reservations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SNK-3 for ST-5: the transactions and reservations with the settled rows'
+    new status, reference number and times."""
+    from eventide.sources.sinks import apply_updates
+    at = F.col("confirmed_at").cast("timestamp_ntz")
+    tx = settled.select(F.col("transaction_id").alias("id"), F.lit("paid").alias("status"), "ref_id",
+                        at.alias("paid_at"), at.alias("updated_at"))
+    res = settled.filter("reservation_id IS NOT NULL").select(
+        F.col("reservation_id").alias("id"), F.col("reservation_status").alias("status"),
+        at.alias("updated_at"))
+    return (apply_updates(transactions, tx, "id", "updated_at"),
+            apply_updates(reservations, res, "id", "updated_at"))
 
 
 # ------------------------------------------------------------------ ST-6
@@ -296,70 +353,26 @@ def live_fill(seat_changes: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ ST-7
 
-_ADMIT_OUT = T.StructType([
-    T.StructField("request_id", T.LongType()), T.StructField("event_id", T.LongType()),
-    T.StructField("requested_at", T.TimestampType()), T.StructField("size", T.LongType()),
-    T.StructField("left_before", T.LongType()), T.StructField("admitted", T.BooleanType()),
-    T.StructField("reason", T.StringType())])
-_ADMIT_STATE = T.StructType([T.StructField("left", T.LongType())])
-
-
-def _admit(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    frames = [p for p in pdfs]
-    if not frames:
-        return
-    pdf = pd.concat(frames).sort_values(["requested_at", "request_id"])
-    first = pdf.iloc[0]
-    if pd.isna(first["capacity"]):
-        left = None
-    else:
-        left = state.get[0] if state.exists else int(first["capacity"]) - int(first["base_filled"])
-    before, adm, why = [], [], []
-    for r in pdf.itertuples(index=False):
-        if left is None:
-            before.append(None)
-            adm.append(False)
-            why.append("no-event")
-            continue
-        before.append(left)
-        g = int(r.grouping) if not pd.isna(r.grouping) else 0
-        if left <= 0:
-            why.append("full")
-            adm.append(False)
-        elif r.size > left or (g > 2 and r.size > g):
-            why.append("too-many")
-            adm.append(False)
-        elif r.requested_at > r.start_time:
-            why.append("closed")
-            adm.append(False)
-        else:
-            why.append("admitted")
-            adm.append(True)
-            left -= int(r.size)
-    if left is not None:
-        state.update((left,))
-    yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(),
-                        "event_id": pdf["event_id"].to_numpy(),
-                        "requested_at": pdf["requested_at"].to_numpy(),
-                        "size": pdf["size"].to_numpy(),
-                        "left_before": pd.array(before, dtype="Int64"),
-                        "admitted": adm, "reason": why})
-
-
-def admit_stream(requests: DataFrame, events: DataFrame, base_filled: DataFrame) -> DataFrame:
-    """ST-7: stream twin of ADM-1: per-event state "seats left", seeded from
-    the event's capacity minus seats already taken; each micro-batch is
-    applied in (time, id) order. Requests ``(request_id, event_id,
-    requested_at, size)`` joined to static event rows."""
-    ev = events.select(F.col("id").alias("event_id"), F.col("capacity").cast("long"),
-                       F.col("grouping").cast("long"),
-                       F.col("start_time").cast("timestamp").alias("start_time"))
-    b = base_filled.select("event_id", F.col("filled").cast("long").alias("base_filled"))
-    r = (requests.join(ev, "event_id", "left").join(b, "event_id", "left")
-         .withColumn("base_filled", F.coalesce("base_filled", F.lit(0))))
-    return (r.groupBy("event_id")
-            .applyInPandasWithState(_admit, _ADMIT_OUT, _ADMIT_STATE, "append",
-                                    GroupStateTimeout.NoTimeout))
+def admit_stream(requests: DataFrame, events: DataFrame, reservations: DataFrame, root: str,
+                 delay_seconds: int = 600) -> OrderedJob:
+    """ST-7: stream twin of ADM-1. Every released step runs the batch admission,
+    which splits a busy event over tasks; the state is the seats each event
+    has given away so far, on top of its reservations. Requests
+    ``(request_id, event_id, user_id, requested_at, size, find_buddy)``."""
+    from eventide.operators.folds import admit_bookings
+    booked = reservations.select("event_id", "status", "group_members")
+
+    def step(ready: DataFrame, state: DataFrame | None, past: DataFrame | None):
+        held = booked if state is None else booked.unionByName(state.select(
+            "event_id", F.lit("paid").alias("status"), F.col("given").alias("group_members")))
+        wall = ready.withColumn("requested_at", F.col("requested_at").cast("timestamp_ntz"))
+        out = admit_bookings(SimpleNamespace(events=events, reservations=held), wall).checkpoint()
+        given = out.filter("admitted").groupBy("event_id").agg(F.sum("size").cast("long").alias("given"))
+        if state is not None:
+            given = given.unionByName(state).groupBy("event_id").agg(F.sum("given").alias("given"))
+        return out, given
+
+    return OrderedJob(requests.sparkSession, root, "requested_at", delay_seconds, step).run(requests)
 
 
 def file_stream(df: DataFrame, name: str, time_col: str, n_files: int = 4) -> DataFrame:
@@ -382,23 +395,21 @@ def run_to_table(query_df: DataFrame, name: str, mode: str = "append") -> DataFr
     return spark.read.parquet(out)
 
 
-def run_update_snapshot(query_df: DataFrame, name: str, key: str) -> DataFrame:
-    """Run an update-mode stream; each micro-batch upserts its changed keys
-    into a new snapshot folder (previous snapshot minus changed keys, plus the
-    changes). Returns the last snapshot."""
+def run_update_snapshot(query_df: DataFrame, name: str, key: str, root: str | None = None) -> DataFrame:
+    """Run an update-mode stream; each micro-batch writes the keys it changed to
+    its own folder (again after a restart, with the same rows). Returns the
+    latest row of every key."""
     spark = query_df.sparkSession
-    root = scratch_dir(spark, name + "-snap")
-    state = {"last": None}
-
-    def upsert(df: DataFrame, epoch: int) -> None:
-        path = os.path.join(root, f"epoch={epoch}")
-        if state["last"] is None:
-            df.write.mode("overwrite").parquet(path)
-        else:
-            prev = spark.read.parquet(state["last"])
-            prev.join(df.select(key), key, "left_anti").unionByName(df) \
-                .write.mode("overwrite").parquet(path)
-        state["last"] = path
-
-    run_foreach_batch(query_df, upsert, mode="update")
-    return spark.read.parquet(state["last"])
+    root = root or scratch_dir(spark, name + "-changes")
+
+    def put(df: DataFrame, epoch: int) -> None:
+        df.withColumn("_epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(
+            f"{root}/changes/step={epoch}")
+
+    run_foreach_batch(query_df, put, checkpoint=f"{root}/checkpoint", mode="update")
+    if not children(spark, f"{root}/changes"):
+        raise ValueError("the stream has not written any change yet")
+    rows = spark.read.parquet(f"{root}/changes").drop("step")
+    values = [c for c in rows.columns if c not in (key, "_epoch")]
+    return rows.groupBy(key).agg(F.max(F.struct("_epoch", *values)).alias("_l")).select(
+        key, *[f"_l.{c}" for c in values])
