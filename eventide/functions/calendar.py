@@ -53,19 +53,40 @@ def _anchor() -> Column:
     return F.lit(ANCHOR_DATE).cast("date")
 
 
-def jalali_parts(date: Column) -> dict[str, Column]:
-    """CAL-1 core: jy, jm, jd, doy (0-based) and leap of a date, any year."""
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often body names it
+    (Spark copies the expression of a column into every place of a pushed-down
+    filter)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def jalali_of(date: Column) -> Column:
+    """CAL-1 core: struct of jy, jm, jd, doy (0-based) and leap of a date, any
+    year; NULL for a NULL date."""
+    def offset(c):  # days before year c of a cycle
+        return c * 365 + _div(c + 2, 4)
+
+    def fields(n, c):
+        jy = _div(n, CYCLE_DAYS) * CYCLE_YEARS + c - 12
+        return _let(F.pmod(n, F.lit(CYCLE_DAYS)) - offset(c), lambda doy: F.struct(
+            jy.cast("int").alias("jy"),
+            F.when(doy < 186, _div(doy, 31) + 1).otherwise(_div(doy - 186, 30) + 7).cast("int").alias("jm"),
+            F.when(doy < 186, doy % 31 + 1).otherwise((doy - 186) % 30 + 1).cast("int").alias("jd"),
+            doy.cast("int").alias("doy"), is_leap(jy).alias("leap")))
+
+    def year(n):
+        r = F.pmod(n, F.lit(CYCLE_DAYS))
+        return _let(F.least(_div(r, 365), F.lit(CYCLE_YEARS - 1).cast("long")), lambda c: _let(
+            c - (offset(c) > r).cast("long"), lambda d: fields(n, d)))
+
     n = F.datediff(date, _anchor()).cast("long") + _year_start(F.lit(ANCHOR_JY))
-    r = F.pmod(n, F.lit(CYCLE_DAYS))
-    c = F.least(_div(r, 365), F.lit(CYCLE_YEARS - 1).cast("long"))
-    c = c - (c * 365 + _div(c + 2, 4) > r).cast("long")
-    jy = _div(n, CYCLE_DAYS) * CYCLE_YEARS + c - 12
-    doy = r - (c * 365 + _div(c + 2, 4))
-    first = doy < 186
-    jm = F.when(first, _div(doy, 31) + 1).otherwise(_div(doy - 186, 30) + 7)
-    jd = F.when(first, doy % 31 + 1).otherwise((doy - 186) % 30 + 1)
-    out = {"jy": jy, "jm": jm, "jd": jd, "doy": doy}
-    return {**{k: v.cast("int") for k, v in out.items()}, "leap": is_leap(jy)}
+    return F.when(date.isNotNull(), _let(n, year))
+
+
+def jalali_parts(date: Column) -> dict[str, Column]:
+    """The fields of ``jalali_of`` as separate columns."""
+    j = jalali_of(date)
+    return {k: j[k] for k in ("jy", "jm", "jd", "doy", "leap")}
 
 
 def month_length(jy: Column, jm: Column) -> Column:
@@ -75,10 +96,14 @@ def month_length(jy: Column, jm: Column) -> Column:
 
 def to_gregorian(jy: Column, jm: Column, jd: Column) -> Column:
     """The date of a Jalali year, month and day; NULL for an impossible one."""
-    ok = (jy >= 1) & jm.between(1, 12) & (jd >= 1) & (jd <= month_length(jy, jm))
-    doy = F.when(jm <= 7, (jm - 1) * 31).otherwise(186 + (jm - 7) * 30) + jd - 1
-    days = _year_start(jy) + doy - _year_start(F.lit(ANCHOR_JY))
-    return F.when(ok, F.date_add(_anchor(), days.cast("int")))
+    def date(x):
+        y, m, d = x["y"], x["m"], x["d"]
+        ok = (y >= 1) & m.between(1, 12) & (d >= 1) & (d <= month_length(y, m))
+        doy = F.when(m <= 7, (m - 1) * 31).otherwise(186 + (m - 7) * 30) + d - 1
+        days = _year_start(y) + doy - _year_start(F.lit(ANCHOR_JY))
+        return F.when(ok, F.date_add(_anchor(), days.cast("int")))
+
+    return _let(F.struct(jy.alias("y"), jm.alias("m"), jd.alias("d")), date)
 
 
 def _arr(values: list[str]) -> Column:
@@ -89,7 +114,7 @@ def _week(date: Column) -> tuple[Column, Column]:
     """Number and year of a date's week. Weeks run Saturday..Friday; a week
     belongs to the year that holds its Tuesday, and its number is that
     Tuesday's day of year // 7 + 1."""
-    p = jalali_parts(F.date_add(date, (3 - F.dayofweek(date) % 7).cast("int")))
+    p = jalali_of(F.date_add(date, (3 - F.dayofweek(date) % 7).cast("int")))
     return (_div(p["doy"], 7) + 1).cast("int"), p["jy"]
 
 
@@ -146,9 +171,8 @@ def latin_digits(c: Column) -> Column:
 
 def to_jalali(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """CAL-4: add the Jalali text ``y/m/d`` of a date column (NULL stays NULL)."""
-    p = jalali_parts(F.col(col).cast("date"))
-    return df.withColumn(out or f"{col}_jalali", F.concat(
-        p["jy"], F.lit("/"), p["jm"], F.lit("/"), p["jd"]))
+    return df.withColumn(out or f"{col}_jalali", _let(jalali_of(F.col(col).cast("date")), lambda p: F.concat(
+        p["jy"], F.lit("/"), p["jm"], F.lit("/"), p["jd"])))
 
 
 def normalise_dates(df: DataFrame, col: str, out: str | None = None,

@@ -82,11 +82,11 @@ def slug(df: DataFrame, title_col: str, date_col: str, out: str = "slug") -> Dat
     """SC-6: title with unsupported characters removed, then
     `` dd MonthName yyyy`` of the Jalali date (Latin digits), whitespace runs
     to '-', lower case, leading / trailing '-' trimmed."""
-    from eventide.functions.calendar import MONTH_NAMES, jalali_parts
-    p = jalali_parts(F.col(date_col).cast("date"))
-    month = F.get(F.array(*[F.lit(m) for m in MONTH_NAMES]), p["jm"] - 1)
-    suffix = F.concat(F.lit(" "), F.lpad(p["jd"].cast("string"), 2, "0"), F.lit(" "), month,
-                      F.lit(" "), p["jy"].cast("string"))
+    from eventide.functions.calendar import MONTH_NAMES, _let, jalali_of
+    names = F.array(*[F.lit(m) for m in MONTH_NAMES])
+    suffix = _let(jalali_of(F.col(date_col).cast("date")), lambda p: F.concat(
+        F.lit(" "), F.lpad(p["jd"].cast("string"), 2, "0"), F.lit(" "), F.get(names, p["jm"] - 1),
+        F.lit(" "), p["jy"].cast("string")))
     s = F.concat(F.regexp_replace(F.col(title_col), _SLUG_DROP, ""), F.coalesce(suffix, F.lit("")))
     s = F.lower(F.regexp_replace(s, r"\s+", "-"))
     s = F.regexp_replace(s, r"^-+|-+$", "")

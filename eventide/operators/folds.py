@@ -29,6 +29,8 @@ schema, so at most 65,535 bookings once admission has run), and only
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,8 +57,10 @@ def _static_columns(req: DataFrame, events: DataFrame, base: DataFrame) -> DataF
     closed = F.col("requested_at") > F.col("start_time")
     return (r.withColumn("_gviol", F.coalesce(gviol, F.lit(False)))
             .withColumn("_closed", F.coalesce(closed, F.lit(False)))
-            .withColumn("_ok", F.col("_exists") & ~F.col("_gviol") & ~F.col("_closed"))
-            .withColumn("left0", F.col("capacity") - F.col("base_filled")))
+            .withColumn("left0", F.col("capacity") - F.col("base_filled"))
+            # A request above the seats left at the start can never be admitted.
+            .withColumn("_ok", F.col("_exists") & ~F.col("_gviol") & ~F.col("_closed")
+                        & F.coalesce(F.col("size") <= F.col("left0"), F.lit(False))))
 
 
 def _decide(left_in: int, sizes: np.ndarray, ok: np.ndarray):
@@ -99,8 +103,9 @@ def _decide(left_in: int, sizes: np.ndarray, ok: np.ndarray):
 
 def _transfer_from(state: np.ndarray, sizes: np.ndarray, ok: np.ndarray) -> np.ndarray:
     """Advance a transfer vector (seats left for each entry value) by the
-    given requests: each entry value is replayed with ``_decide``."""
-    return np.array([_decide(int(v), sizes, ok)[2] for v in state], dtype=np.int64)
+    given requests: each different entry value is replayed with ``_decide``."""
+    values, where = np.unique(state, return_inverse=True)
+    return np.array([_decide(int(v), sizes, ok)[2] for v in values], dtype=np.int64)[where]
 
 
 def admit_bookings(t, requests: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -146,8 +151,10 @@ def admit_bookings(t, requests: DataFrame, partitions: int | None = None) -> Dat
     first_over = (pre.filter("overflows").groupBy("event_id")
                   .agg(F.min("pid").alias("over_pid")))
     pre = pre.join(first_over, "event_id", "left")
+    # After the overflowing chunk fewer seats are left than its largest request
+    # had, and never more than came in: at most the event's seats.
     over_max = pre.filter(F.col("pid") == F.col("over_pid")).select(
-        "event_id", F.col("ok_max").alias("domain"))
+        "event_id", F.least("ok_max", F.greatest(F.col("left_all_in"), F.lit(0)) + 1).alias("domain"))
     plan = (pre.join(over_max, "event_id", "left")
             .withColumn("kind", F.when(F.col("over_pid").isNull() | (F.col("pid") < F.col("over_pid")),
                                        "pre")
@@ -293,70 +300,91 @@ _MATCH_SCHEMA = ("reservation_id long, event_id long, user_id long, kind string,
                  "placed boolean, chat_fill int, chat_size int, chat_status string")
 
 
-class _EventChats:
-    """First-fit chat state of one event: open buddy and group chats."""
+class _Chats:
+    """First fit among the open chats of one kind of one event.
 
-    def __init__(self, grouping: int):
-        self.grouping = grouping
-        self.chats = {"buddy": [], "group": []}  # each chat: [fill, users, status]
+    Open chats stand in heaps by the room they have left, so the oldest one
+    with room is found without looking at full ones; a chat leaves with its
+    rows as soon as it is full.
+    """
 
-    def place(self, kind: str, user, weight: int, size_cap: int):
-        chats = self.chats[kind]
-        for i, c in enumerate(chats):
-            if c[2] == "pending" and c[0] + weight <= size_cap and user not in c[1]:
+    def __init__(self, kind: str, size: int):
+        self.kind, self.size, self.count = kind, size, 0
+        self.rooms: dict[int, list[int]] = {}
+        self.chats: dict[int, tuple[set, list]] = {}
+
+    def rows(self, no: int, fill: int, status: str) -> list[tuple]:
+        return [(rid, ev, user, self.kind, no, True, fill, self.size, status)
+                for rid, ev, user in self.chats.pop(no)[1]]
+
+    def place(self, rid, ev, user, weight: int) -> list[tuple]:
+        """Put a booking into a chat; returns the rows that are final now."""
+        if weight > self.size:
+            return [(rid, ev, user, self.kind, None, False, None, self.size, None)]
+        aside, found = [], None
+        while found is None:
+            best = min(((h[0], r) for r, h in self.rooms.items() if r >= weight), default=None)
+            if best is None:
+                self.count += 1
+                found, room = self.count, self.size
+                self.chats[found] = (set(), [])
                 break
-        else:
-            if weight > size_cap:
-                return None
-            chats.append([0, set(), "pending"])
-            i = len(chats) - 1
-        c = chats[i]
-        c[0] += weight
-        c[1].add(user)
-        if c[0] == size_cap:
-            c[2] = "completed"
-        return i + 1
+            no, room = best
+            self._pop(room)
+            if user in self.chats[no][0]:
+                aside.append((no, room))
+            else:
+                found = no
+        for no, r in aside:
+            heappush(self.rooms.setdefault(r, []), no)
+        users, rows = self.chats[found]
+        users.add(user)
+        rows.append((rid, ev, user))
+        room -= weight
+        if room == 0:
+            return self.rows(found, self.size, "completed")
+        heappush(self.rooms.setdefault(room, []), found)
+        return []
+
+    def _pop(self, room: int) -> None:
+        heappop(self.rooms[room])
+        if not self.rooms[room]:
+            del self.rooms[room]
+
+    def close(self) -> list[tuple]:
+        """Rows of the chats that stay open."""
+        return [row for r, h in self.rooms.items() for no in h
+                for row in self.rows(no, self.size - r, "pending")]
 
 
 def _match_partition(it):
-    """Rows arrive sorted by (event, paid time, id); one event's state is
+    """Rows arrive sorted by (event, paid time, id); one event's open chats are
     kept until the next event starts, across Arrow batches."""
-    cur, st, pending = None, None, []
+    cur, buddies, groups = None, None, None
 
-    def flush():
-        # final fill / status of each chat for the rows of the finished event
-        out = []
-        for row in pending:
-            rid, ev, user, kind, no, size_cap = row
-            if no is None:
-                out.append((rid, ev, user, kind, None, False, None, size_cap, None))
-            else:
-                c = st.chats[kind][no - 1]
-                out.append((rid, ev, user, kind, no, True, c[0], size_cap, c[2]))
-        return out
+    def close():
+        return (buddies.close() + groups.close()) if cur is not None else []
 
     for pdf in it:
-        rows_out = []
+        out = []
         cols = [pdf[c].to_numpy() for c in
                 ("reservation_id", "event_id", "user_id", "group_members", "find_buddy",
                  "grouping")]
         for rid, ev, user, members, buddy, grouping in zip(*cols):
             if ev != cur:
-                if cur is not None:
-                    rows_out += flush()
-                cur, pending = ev, []
-                st = _EventChats(int(grouping) if grouping == grouping else 0)
+                out += close()
+                cur = ev
+                buddies = _Chats("buddy", 2)
+                groups = _Chats("group", int(grouping) if grouping == grouping else 0)
             if buddy:
-                pending.append((rid, ev, user, "buddy", st.place("buddy", user, 1, 2), 2))
-            if st.grouping >= 2:
-                pending.append((rid, ev, user, "group",
-                                st.place("group", user, int(members), st.grouping), st.grouping))
-        if rows_out:
-            yield pd.DataFrame(rows_out, columns=_MATCH_COLS)
-    if cur is not None:
-        rest = flush()
-        if rest:
-            yield pd.DataFrame(rest, columns=_MATCH_COLS)
+                out += buddies.place(rid, ev, user, 1)
+            if groups.size >= 2:
+                out += groups.place(rid, ev, user, int(members))
+        if out:
+            yield pd.DataFrame(out, columns=_MATCH_COLS)
+    rest = close()
+    if rest:
+        yield pd.DataFrame(rest, columns=_MATCH_COLS)
 
 
 _MATCH_COLS = ["reservation_id", "event_id", "user_id", "kind", "chat_no", "placed",

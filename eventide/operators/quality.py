@@ -170,40 +170,51 @@ def _reasons(*pairs: tuple[Column, str]) -> Column:
                     lambda x: x.isNotNull())
 
 
-def validate_users(raw: DataFrame, users: DataFrame, key: str = "row_id"):
+def validate_users(raw: DataFrame, users: DataFrame, key: str = "row_id", *, secret: str):
     """DQ-2: registration rows to (accepted, quarantine); see ``check_users``."""
-    out = check_users(raw, users, key)
+    out = check_users(raw, users, key, secret=secret)
     return out.filter(F.size("reasons") == 0), out.filter(F.size("reasons") > 0)
 
 
-def check_users(raw: DataFrame, users: DataFrame, key: str = "row_id") -> DataFrame:
+def keyed_hash(c: Column, secret: str) -> Column:
+    """SHA-256 over the secret, the value's SHA-256 under it, and the secret."""
+    inner = F.sha2(F.concat(F.lit(secret + ":"), c), 256)
+    return F.sha2(F.concat(F.lit(secret + ":"), inner), 256)
+
+
+def check_users(raw: DataFrame, users: DataFrame, key: str = "row_id",
+                *, secret: str) -> DataFrame:
     """DQ-2: every registration row with its array of failed rules (one pass).
 
     Rules: first and last name of 2-25 Persian letters or spaces; phone of 11
     digits starting 09; national id valid (see ``national_id_ok``); phone and
     national id not already held by a user, nor by an earlier row of the same
-    batch (lowest ``key`` wins). National ids leave only as a SHA-256 hash.
-    Passwords are not handled here.
+    batch that passes all of these (lowest ``key`` wins). National ids leave
+    only as a keyed hash: without ``secret`` the 10 digits cannot be found by
+    trying them all. Passwords are not handled here.
     """
     phones = users.select(F.col("phone").alias("_p")).distinct()
     nids = users.select(F.col("national_id").alias("_n")).distinct()
-    first_p = raw.groupBy("phone").agg(F.min(key).alias("_fp"))
-    first_n = raw.groupBy("national_id").agg(F.min(key).alias("_fn"))
     r = (raw.join(phones.withColumn("_p_taken", F.lit(True)), F.col("phone") == F.col("_p"), "left")
-         .join(nids.withColumn("_n_taken", F.lit(True)), F.col("national_id") == F.col("_n"), "left")
-         .join(first_p, "phone", "left").join(first_n, "national_id", "left"))
-    reasons = _reasons(
+         .join(nids.withColumn("_n_taken", F.lit(True)), F.col("national_id") == F.col("_n"), "left"))
+    own = _reasons(
         (~F.coalesce(F.col("first_name").rlike(FA_NAME), F.lit(False)), "first_name"),
         (~F.coalesce(F.col("last_name").rlike(FA_NAME), F.lit(False)), "last_name"),
         (~F.coalesce(F.col("phone").rlike(r"^09\d{9}$"), F.lit(False)), "phone"),
         (~national_id_ok(F.col("national_id")), "national_id"),
         (F.coalesce(F.col("_p_taken"), F.lit(False)), "phone_taken"),
-        (F.coalesce(F.col("_n_taken"), F.lit(False)), "national_id_taken"),
-        (F.col(key) != F.col("_fp"), "phone_repeated"),
-        (F.col(key) != F.col("_fn"), "national_id_repeated"))
-    return (r.withColumn("reasons", reasons)
-            .withColumn("national_id", F.sha2(F.col("national_id"), 256))
-            .drop("_p", "_n", "_p_taken", "_n_taken", "_fp", "_fn"))
+        (F.coalesce(F.col("_n_taken"), F.lit(False)), "national_id_taken"))
+    r = r.withColumn("_own", own)
+    # A row that another rule rejects holds no phone or id against later rows.
+    valid = r.filter(F.size("_own") == 0)
+    first_p = valid.groupBy("phone").agg(F.min(key).alias("_fp"))
+    first_n = valid.groupBy("national_id").agg(F.min(key).alias("_fn"))
+    repeated = _reasons((F.coalesce(F.col(key) > F.col("_fp"), F.lit(False)), "phone_repeated"),
+                        (F.coalesce(F.col(key) > F.col("_fn"), F.lit(False)), "national_id_repeated"))
+    return (r.join(first_p, "phone", "left").join(first_n, "national_id", "left")
+            .withColumn("reasons", F.concat("_own", repeated))
+            .withColumn("national_id", keyed_hash(F.col("national_id"), secret))
+            .drop("_p", "_n", "_p_taken", "_n_taken", "_own", "_fp", "_fn"))
 
 
 def missing(c: Column, is_bool: bool = False) -> Column:
@@ -248,6 +259,9 @@ def check_members(df: DataFrame) -> DataFrame:
     return r
 
 
+MOST_CAPACITY = 65_535  # fixed value: the column is an unsigned 16-bit number
+
+
 def validate_events(raw: DataFrame, categories: DataFrame, medias: DataFrame,
                     leaders: DataFrame, users: DataFrame, as_of: str,
                     checked: bool = False):
@@ -266,7 +280,7 @@ def validate_events(raw: DataFrame, categories: DataFrame, medias: DataFrame,
     exists, date / time formats, start >= as-of, end > start, place and
     address patterns, coordinates (longitude limit 180, the reference's 90 is
     a copy slip), an image among the media (the first image in list order is
-    the thumbnail), capacity a positive integer, grouping equal to capacity
+    the thumbnail), capacity an integer from 1 to 65535, grouping equal to capacity
     becomes 0, above capacity or not dividing it is rejected; price digits or
     0; status verified when the creator is an admin, else pending; an admin
     may name another leader.
@@ -304,10 +318,12 @@ def validate_events(raw: DataFrame, categories: DataFrame, medias: DataFrame,
          .join(cats, F.col("category").try_cast("long") == F.col("_cat"), "left")
          .join(roles, "creator_id", "left").join(own, "creator_id", "left")
          .join(named, F.col("leader").try_cast("long") == F.col("_named"), "left"))
+    # Whole numbers without leading zeros; what does not fit is no number.
+    whole = r"^\s*(0|[1-9][0-9]*)\s*$"
     cap = F.col("capacity").cast("string")
-    cap_i = F.when(cap.rlike(r"^\s*[0-9]+\s*$"), F.trim(cap).cast("long"))
-    grp = F.coalesce(F.when(F.col("grouping").cast("string").rlike(r"^\s*[0-9]+\s*$"),
-                            F.trim(F.col("grouping").cast("string")).cast("long")), F.lit(0))
+    cap_i = F.when(cap.rlike(whole), F.trim(cap).try_cast("long"))
+    group = F.col("grouping").cast("string")
+    grp = F.coalesce(F.when(group.rlike(whole), F.trim(group).try_cast("long")), F.lit(0))
     price_digits = F.regexp_replace(F.coalesce(F.col("price").cast("string"), F.lit("")),
                                     r"\D", "")
     coord = r"^(\+|-)?(?:90(?:\.0{1,6})?|(?:[0-9]|[1-8][0-9])(?:\.[0-9]{1,6})?)$"
@@ -338,7 +354,7 @@ def validate_events(raw: DataFrame, categories: DataFrame, medias: DataFrame,
          "coordinate_address"),
         (~F.coalesce(n_desc.between(20, 2000), F.lit(False)), "description_length"),
         (F.col("thumbnail_id").isNull(), "no_image"),
-        (~F.coalesce(cap_i > 0, F.lit(False)), "capacity"),
+        (~F.coalesce(cap_i.between(1, MOST_CAPACITY), F.lit(False)), "capacity"),
         ((grp > 0) & (grp != cap_i) & ((grp > cap_i) | (cap_i % F.greatest(grp, F.lit(1)) != 0)),
          "grouping"),
         ((F.col("price").isNotNull() & (F.col("price").cast("string") != "")
@@ -351,18 +367,18 @@ def validate_events(raw: DataFrame, categories: DataFrame, medias: DataFrame,
         return r.select("sub_id", "reasons", "thumbnail_id",
                         F.when(is_admin, "verified").otherwise("pending").alias("status"),
                         leader_id.alias("leader_id"),
-                        F.when(grp == cap_i, 0).otherwise(grp).cast("int").alias("grouping"),
+                        F.when(grp == cap_i, 0).otherwise(grp).try_cast("int").alias("grouping"),
                         F.col("_start").alias("start_time"))
     accepted = r.filter(F.size("reasons") == 0).select(
         "sub_id", F.col("title"), "description", F.col("_cat").alias("category_id"),
         F.col("_start").alias("start_time"), F.col("_end").alias("end_time"),
         F.col("location_name").alias("location"), "address",
-        F.struct(F.col("coordinate_lat").cast("double").alias("lat"),
-                 F.col("coordinate_lng").cast("double").alias("lng"),
+        F.struct(F.col("coordinate_lat").try_cast("double").alias("lat"),
+                 F.col("coordinate_lng").try_cast("double").alias("lng"),
                  F.col("coordinate_address").alias("address")).alias("coordinates"),
         F.coalesce(price_digits.try_cast("long"), F.lit(0)).alias("price"),
-        cap_i.cast("int").alias("capacity"),
-        F.when(grp == cap_i, 0).otherwise(grp).cast("int").alias("grouping"),
+        cap_i.try_cast("int").alias("capacity"),
+        F.when(grp == cap_i, 0).otherwise(grp).try_cast("int").alias("grouping"),
         "creator_id",
         leader_id.alias("leader_id"),
         "thumbnail_id", F.when(is_admin, "verified").otherwise("pending").alias("status"),
@@ -382,11 +398,14 @@ def ingest_events(accepted: DataFrame, events: DataFrame, medias: DataFrame, as_
     aggregate, no global numbering). Returns (new event rows, new medias
     snapshot); the caller appends / overwrites with one write each.
     """
+    from eventide.functions.text import slug
     from eventide.sources.sinks import apply_updates
     top = events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     new = (accepted.crossJoin(top)  # one-row side
            .withColumn("id", F.col("_top") + F.col("sub_id")).drop("_top")
-           .withColumn("created_at", F.lit(as_of).cast("timestamp_ntz")))
+           .withColumn("created_at", F.lit(as_of).cast("timestamp_ntz"))
+           .withColumn("views", F.lit(0).cast("long")))
+    new = slug(new, "title", "start_time")  # Q02 finds an event by it
     links = (new.select(F.col("id").alias("event_id"),
                         F.explode(F.split("media_ids", ",")).alias("uuid"))
              .withColumn("uuid", F.trim("uuid"))

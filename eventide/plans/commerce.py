@@ -7,7 +7,7 @@ possibly hot key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.operators.stats import code_usage
@@ -126,17 +126,31 @@ def otp_match(issued: DataFrame, attempts: DataFrame) -> DataFrame:
     there is none. Only the first ``ok`` attempt uses a code; later ones are
     ``reused``.
     """
-    iss = issued.select(F.col("id").alias("otp_id"), "phone", "code", "user_ip",
-                        F.col("created_at").alias("issued_at"), "expires_at")
-    a = attempts.select(F.col("id").alias("attempt_id"), "phone", "code", "user_ip",
-                        "attempted_at", F.unix_timestamp("attempted_at").alias("att_epoch"))
-    cand = (a.join(iss, ["phone", "code", "user_ip"], "left")
-            .filter(F.col("otp_id").isNull() | (F.col("issued_at") <= F.col("attempted_at"))))
-    best = (cand.groupBy("attempt_id")
-            .agg(F.max(F.struct("expires_at", "otp_id")).alias("b")))
-    m = (a.join(best, "attempt_id", "left")
-         .select("attempt_id", "phone", "attempted_at", "att_epoch",
-                 F.col("b.otp_id").alias("otp_id"), F.col("b.expires_at").alias("expires_at")))
+    # An as-of join without pairs: codes and attempts of one (phone, code, ip) in
+    # one line of time; the newest code before an attempt is a running maximum
+    # inside the hour, or else the newest of the hours before.
+    key = ["phone", "code", "user_ip"]
+    code = F.struct("expires_at", F.col("id").alias("otp_id"))
+    lines = issued.select(*key, F.col("created_at").alias("at"), code.alias("issue"),
+                          F.lit(None).cast("long").alias("attempt_id")).union(
+        attempts.select(*key, F.col("attempted_at").alias("at"),
+                        F.lit(None).cast("struct<expires_at:bigint,otp_id:bigint>"), "id"))
+    known = F.lit(True)
+    for c in key:  # a NULL matches nothing
+        known = known & F.col(c).isNotNull()
+    lines = (lines.withColumn("issue", F.when(known, F.col("issue")))
+             .withColumn("hour", F.floor(F.unix_timestamp("at") / 3600)))
+    first_codes = F.col("attempt_id").isNotNull()  # at equal times codes come first
+    inside = Window.partitionBy(*key, "hour").orderBy("at", first_codes, "attempt_id").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    hours = lines.groupBy(*key, "hour").agg(F.max("issue").alias("top"))
+    before = Window.partitionBy(*key).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.withColumn("carry", F.max("top").over(before)).filter("carry IS NOT NULL").drop("top")
+    found = lines.withColumn("own", F.max("issue").over(inside)).filter("attempt_id IS NOT NULL")
+    found = found.join(hours, [*key, "hour"], "left").withColumn("b", F.greatest("own", "carry"))
+    m = found.select("attempt_id", "phone", F.col("at").alias("attempted_at"),
+                     F.unix_timestamp("at").alias("att_epoch"), F.col("b.otp_id").alias("otp_id"),
+                     F.col("b.expires_at").alias("expires_at"))
     m = m.withColumn("status", F.when(F.col("otp_id").isNull(), "wrong")
                      .when(F.col("att_epoch") < F.col("expires_at"), "ok").otherwise("expired"))
     first_ok = (m.filter(F.col("status") == "ok").groupBy("otp_id")

@@ -672,30 +672,34 @@ _NID_OK = """(regexp_full_match(regexp_replace({c}, '[\\s\\-]', '', 'g'), '\\d{{
 _FA = "'[\\x{0622}-\\x{06CC}\\s]{2,25}'"
 
 
+HASH_SECRET = "registered-query"  # a deployment passes its own
+
+
 @register("validate_users", ["d_registrations", "d_users"], f"""
-, fp AS (SELECT phone, min(row_id) AS f FROM d_registrations GROUP BY phone),
-fn AS (SELECT national_id, min(row_id) AS f FROM d_registrations GROUP BY national_id),
-x AS (SELECT r.*, fp.f AS fpr, fn.f AS fnr,
-             r.phone IN (SELECT phone FROM d_users) AS ptaken,
+, x AS (SELECT r.*, r.phone IN (SELECT phone FROM d_users) AS ptaken,
              r.national_id IN (SELECT national_id FROM d_users) AS ntaken
-      FROM d_registrations r LEFT JOIN fp ON r.phone = fp.phone
-      LEFT JOIN fn ON r.national_id = fn.national_id),
+      FROM d_registrations r),
 y AS (SELECT *, concat_ws(',',
         CASE WHEN NOT coalesce(regexp_full_match(first_name, {_FA}), false) THEN 'first_name' END,
         CASE WHEN NOT coalesce(regexp_full_match(last_name, {_FA}), false) THEN 'last_name' END,
         CASE WHEN NOT coalesce(regexp_full_match(phone, '09\\d{{9}}'), false) THEN 'phone' END,
         CASE WHEN NOT coalesce({_NID_OK.format(c='national_id')}, false) THEN 'national_id' END,
         CASE WHEN ptaken THEN 'phone_taken' END,
-        CASE WHEN ntaken THEN 'national_id_taken' END,
-        CASE WHEN row_id <> fpr THEN 'phone_repeated' END,
-        CASE WHEN row_id <> fnr THEN 'national_id_repeated' END) AS reasons FROM x)
-SELECT row_id, first_name, last_name, phone, sha256(national_id) AS national_id, reasons,
+        CASE WHEN ntaken THEN 'national_id_taken' END) AS own FROM x),
+fp AS (SELECT phone, min(row_id) AS f FROM y WHERE own = '' GROUP BY phone),
+fn AS (SELECT national_id, min(row_id) AS f FROM y WHERE own = '' GROUP BY national_id),
+z AS (SELECT y.*, concat_ws(',', CASE WHEN own <> '' THEN own END,
+        CASE WHEN row_id > fp.f THEN 'phone_repeated' END,
+        CASE WHEN row_id > fn.f THEN 'national_id_repeated' END) AS reasons
+      FROM y LEFT JOIN fp ON y.phone = fp.phone LEFT JOIN fn ON y.national_id = fn.national_id)
+SELECT row_id, first_name, last_name, phone,
+       sha256('{HASH_SECRET}:' || sha256('{HASH_SECRET}:' || national_id)) AS national_id, reasons,
        reasons = '' AS accepted
-FROM y""")
+FROM z""")
 def q_validate_users(spark, sf_dir):
     from eventide.operators.quality import check_users
     t = domain(spark, sf_dir)
-    return check_users(t.registrations, t.users).select(
+    return check_users(t.registrations, t.users, secret=HASH_SECRET).select(
         "row_id", "first_name", "last_name", "phone", "national_id",
         F.array_join("reasons", ",").alias("reasons"), (F.size("reasons") == 0).alias("accepted"))
 
@@ -974,8 +978,8 @@ th AS (SELECT mu.sub_id, arg_min(em.id, mu.pos) AS thumbnail_id FROM mu
        JOIN d_event_medias em ON em.uuid = mu.uuid WHERE em.type = 'image' GROUP BY mu.sub_id),
 x AS (SELECT st.*, th.thumbnail_id, ec.id AS cat_id, u.role,
              ol.id AS own_leader, nl.id AS named_leader,
-             CASE WHEN regexp_full_match(capacity, '\\s*[0-9]+\\s*') THEN cast(trim(capacity) AS bigint) END AS cap_i,
-             coalesce(CASE WHEN regexp_full_match(grouping, '\\s*[0-9]+\\s*') THEN cast(trim(grouping) AS bigint) END, 0) AS grp,
+             CASE WHEN regexp_full_match(capacity, '\\s*(0|[1-9][0-9]*)\\s*') THEN try_cast(trim(capacity) AS bigint) END AS cap_i,
+             coalesce(CASE WHEN regexp_full_match(grouping, '\\s*(0|[1-9][0-9]*)\\s*') THEN try_cast(trim(grouping) AS bigint) END, 0) AS grp,
              regexp_replace(coalesce(price, ''), '\\D', '', 'g') AS price_digits,
              coalesce(u.role = 'admin', false) AS is_admin
       FROM st LEFT JOIN th ON th.sub_id = st.sub_id
@@ -1001,7 +1005,7 @@ v AS (SELECT *, CASE WHEN is_admin AND named_leader IS NOT NULL THEN named_leade
                THEN 'coordinate_address' END,
           CASE WHEN NOT coalesce(length(description) BETWEEN 20 AND 2000, false) THEN 'description_length' END,
           CASE WHEN thumbnail_id IS NULL THEN 'no_image' END,
-          CASE WHEN NOT coalesce(cap_i > 0, false) THEN 'capacity' END,
+          CASE WHEN NOT coalesce(cap_i BETWEEN 1 AND 65535, false) THEN 'capacity' END,
           CASE WHEN grp > 0 AND grp <> cap_i AND (grp > cap_i OR cap_i % greatest(grp, 1) <> 0) THEN 'grouping' END,
           CASE WHEN price IS NOT NULL AND price <> '' AND price <> '0'
                     AND NOT coalesce(try_cast(price_digits AS bigint) > 0, false) THEN 'price' END,
@@ -1039,8 +1043,12 @@ SELECT sub_id, title, description, cat_id AS category_id, st_ AS start_time, et_
        cast(CASE WHEN grp = cap_i THEN 0 ELSE grp END AS integer) AS grouping, creator_id, leader_id,
        thumbnail_id, CASE WHEN is_admin THEN 'verified' ELSE 'pending' END AS status,
        coalesce(private, false) AS is_private, coalesce(approval, false) AS is_approval,
-       (SELECT max(id) FROM d_events) + sub_id AS id, {NOW} AS created_at
-FROM v WHERE reasons = ''""")
+       (SELECT max(id) FROM d_events) + sub_id AS id, {NOW} AS created_at, cast(0 AS bigint) AS views,
+       trim(lower(regexp_replace(
+         regexp_replace(title, '[^a-zA-Z0-9\\s\\-_\\x{{0600}}-\\x{{06FF}}]', '', 'g')
+         || coalesce(' ' || lpad(cast(j.jd AS varchar), 2, '0') || ' ' || {_MONTHS_DUCK}[j.jm]
+                     || ' ' || cast(j.jy AS varchar), ''), '\\s+', '-', 'g')), '-') AS slug
+FROM v LEFT JOIN jcal j ON cast(st_ AS date) = j.date WHERE reasons = ''""")
 @register("ingest_events")
 def q_ingest_events(spark, sf_dir):
     from eventide.operators.quality import ingest_events, validate_events

@@ -264,3 +264,71 @@ def test_ingest_links_media_to_new_events(spark, t_small):
     got = {r.uuid: r.event_id for r in medias.filter(F.col("uuid").isin(list(wanted))).collect()}
     assert got == wanted
     assert medias.count() == t_small.event_medias.count()
+
+
+def test_a_rejected_row_holds_no_phone_against_a_later_one(spark):
+    from eventide.operators.quality import check_users
+    rows = [(1, "x", "احمدی", "09121111111", "0012345679"), (2, "علی", "احمدی", "09121111111", "0012345679"),
+            (3, "علی", "احمدی", "09121111111", "1234567891")]
+    raw = spark.createDataFrame(rows, "row_id long, first_name string, last_name string, phone string, national_id string")
+    users = spark.createDataFrame([], "phone string, national_id string")
+    got = {r.row_id: r for r in check_users(raw, users, secret="k").collect()}
+    assert got[1].reasons == ["first_name"] and got[2].reasons == [] and got[3].reasons == ["phone_repeated"]
+    other = check_users(raw, users, secret="l").filter("row_id = 2").first()
+    assert got[2].national_id != other.national_id and "0012345679" not in got[2].national_id
+
+
+def test_numbers_that_do_not_fit_are_quarantined(spark, t_small):
+    from eventide.operators.quality import ingest_events, validate_events
+    good = t_small.event_submissions
+    wrong = ["9" * 20, "3000000000", "70000", "007", "-3", "1.5", "abc", None]
+    first = good.limit(1).drop("capacity", "sub_id").crossJoin(spark.createDataFrame(
+        list(enumerate(wrong, 10**6)), "sub_id long, capacity string")).select(*good.columns)
+    ok, bad = validate_events(good.unionByName(first), t_small.event_categories, t_small.event_medias,
+                              t_small.leaders, t_small.users, "1998-06-01 00:00:00")
+    reasons = {r.sub_id: r.reasons for r in bad.filter("sub_id >= 1000000").collect()}
+    assert len(reasons) == len(wrong) and all("capacity" in r for r in reasons.values())
+    new, _ = ingest_events(ok, t_small.events, t_small.event_medias, "1998-06-01 00:00:00")
+    assert new.count() > 0 and new.filter("slug IS NULL OR slug = '' OR views <> 0").count() == 0
+
+
+def test_chats_of_one_busy_event_are_quick_and_first_fit(spark, t_small):
+    import random
+    import time
+
+    from eventide.operators.folds import _match_partition
+    import pandas as pd
+    rng = random.Random(3)
+    n = 65_000
+    rows = pd.DataFrame({"reservation_id": range(n), "event_id": 1, "user_id": [rng.randrange(n) for _ in range(n)],
+                         "group_members": [rng.randrange(1, 7) for _ in range(n)],
+                         "find_buddy": [rng.random() < 0.5 for _ in range(n)], "grouping": 6})
+    t0 = time.process_time()
+    got = pd.concat(list(_match_partition(iter([rows]))))
+    assert time.process_time() - t0 < 15 and len(got) == n + rows["find_buddy"].sum()
+    few = rows.head(400)
+    want, chats = {}, {"buddy": [], "group": []}
+    for r in few.itertuples():
+        for kind, w, cap in ([("buddy", 1, 2)] if r.find_buddy else []) + [("group", r.group_members, 6)]:
+            for i, c in enumerate(chats[kind]):
+                if c[0] + w <= cap and r.user_id not in c[1]:
+                    break
+            else:
+                i, c = len(chats[kind]), [0, set()]
+                chats[kind].append(c)
+            c[0] += w
+            c[1].add(r.user_id)
+            want[r.reservation_id, kind] = i + 1
+    small = pd.concat(list(_match_partition(iter([few]))))
+    assert {(r.reservation_id, r.kind): r.chat_no for r in small.itertuples()} == want
+
+
+def test_one_huge_request_changes_nothing(spark, t_small):
+    from eventide.operators.folds import admit_bookings
+    base = t_small.booking_requests
+    huge = base.limit(1).withColumn("request_id", F.lit(10**9)).withColumn("size", F.lit(10**9).cast("long"))
+    a = admit_bookings(t_small, base, partitions=6)
+    b = admit_bookings(t_small, base.unionByName(huge), partitions=6)
+    rows = lambda d: sorted((r.request_id, r.admitted, r.reason) for r in d.collect() if r.request_id < 10**9)
+    assert rows(a) == rows(b)
+    assert b.filter("request_id = 1000000000").first().admitted is False
