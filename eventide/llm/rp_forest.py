@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from eventide.llm.common import prepare, unit_hash
 from eventide.llm.components import connected_components
 
-SAMPLE_BYTES, BLOCK = 32 << 20, 512
+SAMPLE_BYTES, BLOCK = 32 << 20, 1024
 
 
-def units(raw: list[bytes]) -> np.ndarray:
-    """Unit vectors in double precision, from rows of doubles."""
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def units(raw: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision, from the bytes of the rows' numbers."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # no overflow in the squares
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -83,9 +83,9 @@ def route(forest: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(homes)
 
 
-def leaf_links(pdf, cosine: float):
+def leaf_links(pdf, cosine: float, kind: str):
     """Links inside one leaf, or between its two blocks: counts and local roots."""
-    u = np.frombuffer(b"".join(pdf["vec"]), np.float64).reshape(len(pdf), -1)
+    u = units(pdf["vec"].tolist(), kind)
     home, lo = pdf["home"].iloc[0], pdf["lo"].iloc[0]
     near = u @ u.T >= cosine
     np.fill_diagonal(near, False)
@@ -131,6 +131,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, key: str = "vec_
     """
     prepare(spark)
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("e"))
+    # Single-precision vectors travel as such; cosines are taken in double.
+    kind = "<f4" if "float" in vectors.schema[vector].dataType.simpleString() else "<f8"
     big = F.lit(float("inf"))
     ok = (F.size("e") > 0) & ~F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == big)) & \
         F.exists("e", lambda v: v != 0)
@@ -150,20 +152,20 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, key: str = "vec_
     sample = sample or [nodes.first().e]
     depth = max(0, int(np.ceil(np.log2(total / leaf_rows))))
     forest = spark.sparkContext.broadcast(fit_forest(
-        units([np.asarray(e, np.float64).tobytes() for e in sample]), depth, trees, spill))
+        units([np.asarray(e, kind).tobytes() for e in sample], kind), depth, trees, spill))
 
     def place(it):
         import pandas as pd
         for pdf in it:
             if not len(pdf):
                 continue
-            x = units([np.asarray(e, np.float64).tobytes() for e in pdf["e"]])
+            raw = [np.asarray(e, kind).tobytes() for e in pdf["e"]]
+            x = units(raw, kind)
             row, home = route(forest.value, x)
             order = np.lexsort((home, row))
             row, home = row[order], home[order]
             cut = np.searchsorted(row, np.arange(len(x) + 1))
             homes = [home[cut[i]:cut[i + 1]].tobytes() for i in range(len(x))]
-            raw = [v.tobytes() for v in x]
             yield pd.DataFrame({"home": home, "rid": pdf["rid"].to_numpy()[row],
                                 "copies": pdf["copies"].to_numpy()[row],
                                 "vec": [raw[i] for i in row], "homes": [homes[i] for i in row]})
@@ -188,10 +190,10 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, key: str = "vec_
             new = (pdf[group] != pdf[group].shift()).any(axis=1).to_numpy()
             cut = np.flatnonzero(new)
             for a, b in zip(cut[:-1], cut[1:]):
-                if (found := leaf_links(pdf.iloc[a:b], cosine)) is not None:
+                if (found := leaf_links(pdf.iloc[a:b], cosine, kind)) is not None:
                     yield pd.DataFrame(dict(zip(("a", "n", "b"), found)))
             wait = pdf.iloc[cut[-1]:]  # this group may go on
-        if wait is not None and (found := leaf_links(wait, cosine)) is not None:
+        if wait is not None and (found := leaf_links(wait, cosine, kind)) is not None:
             yield pd.DataFrame(dict(zip(("a", "n", "b"), found)))
 
     found = (blocks.repartition(*group).sortWithinPartitions(*group)
