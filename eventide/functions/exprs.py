@@ -34,39 +34,16 @@ def nested(**cols: Column) -> Column:
     return F.struct(*[c.alias(k) for k, c in cols.items()])
 
 
-def case_of(conds: list[tuple[Column, Column]], default: Column | None = None) -> Column:
-    """PRJ-3: CASE WHEN ... THEN ... ELSE default."""
-    expr = None
-    for cond, val in conds:
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    return expr.otherwise(default) if default is not None else expr
-
-
 def full_url(path: str | Column, base: str = MEDIA_BASE_URL) -> Column:
     """PRJ-4: media path with the site prefix; a NULL path gives the bare prefix."""
     p = F.col(path) if isinstance(path, str) else path
     return F.concat(F.lit(base), F.coalesce(p, F.lit("")))
 
 
-def flag(cond: Column) -> Column:
-    """PRJ-5: a boolean expression as a column."""
-    return cond
-
-
 USER_COLUMNS = ["id", "username", "first_name", "last_name", "gender", "phone", "national_id",
                 "birth_date", "role", "avatar", "is_active", "registered_at"]
 
 
-def user_columns(users: DataFrame) -> DataFrame:
-    """PRJ-6: the user projection (no password is ever selected)."""
-    return users.select(*USER_COLUMNS)
-
-
-def drop_private(df: DataFrame) -> DataFrame:
-    """PRJ-7: drop id and password from a profile row."""
-    return df.drop("id", "password")
-
-
 def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
     """Struct columns to top-level columns ``parent_child`` (for flat outputs)."""
     cols = []
@@ -171,28 +148,6 @@ def not_canceled(reservations: DataFrame) -> DataFrame:
     return reservations.filter(F.col("status") != "canceled")
 
 
-def upcoming(df: DataFrame, as_of: str, col: str = "start_time") -> DataFrame:
-    """FLT-11: strictly after as-of."""
-    return df.filter(F.col(col) > ts_lit(as_of))
-
-
-def past(df: DataFrame, as_of: str, col: str = "start_time") -> DataFrame:
-    """FLT-11: strictly before as-of."""
-    return df.filter(F.col(col) < ts_lit(as_of))
-
-
-def only_if(df: DataFrame, col: str, value) -> DataFrame:
-    """FLT-13: optional single-value filter."""
-    return df if value is None else df.filter(F.col(col) == F.lit(value))
-
-
-def not_self(a: str | Column, b: str | Column) -> Column:
-    """FLT-14: inequality with self."""
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    return a != b
-
-
 def live_codes(otps: DataFrame, as_of_epoch: int | Column) -> DataFrame:
     """FLT-15: unused codes that have not expired at the given epoch second."""
     now = as_of_epoch if isinstance(as_of_epoch, Column) else F.lit(as_of_epoch)
@@ -218,12 +173,6 @@ def json_ids(c: str | Column) -> Column:
     return F.transform(F.from_json(c, "array<string>"), lambda x: x.try_cast("bigint"))
 
 
-def comma_ids(c: str | Column) -> Column:
-    """SC-3: comma text to array<bigint>."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.transform(F.split(c, ","), lambda x: F.trim(x).try_cast("bigint"))
-
-
 def final_price(price: Column, discount: Column) -> Column:
     """SC-4: max(0, price - discount); a NULL discount counts as 0."""
     return F.greatest(F.lit(0).cast("decimal(20,2)"),
@@ -231,19 +180,7 @@ def final_price(price: Column, discount: Column) -> Column:
                           "decimal(20,2)"))
 
 
-def digits_only(c: str | Column) -> Column:
-    """SC-5: strip every non-digit."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(c, r"[^0-9]", "")
-
-
 def plus_week(c: str | Column) -> Column:
     """SC-9: add one week."""
     c = F.col(c) if isinstance(c, str) else c
     return c + F.expr("INTERVAL 7 DAYS")
-
-
-def pluck(arr: str | Column, field: str) -> Column:
-    """SC-10: one field of each struct in an array."""
-    arr = F.col(arr) if isinstance(arr, str) else arr
-    return F.transform(arr, lambda x: x[field])

@@ -11,23 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def with_dims(df: DataFrame, *dims: tuple[DataFrame, str]) -> DataFrame:
-    """JN-1: left equi joins to dimension tables given as (dim, key) pairs;
-    each dim must already carry the key column name used by ``df``."""
-    for dim, key in dims:
-        df = df.join(dim, key, "left")
-    return df
-
-
-def left_stats(df: DataFrame, stats: DataFrame, key: str, defaults: dict | None = None) -> DataFrame:
-    """JN-4: left join of a per-key aggregate, with defaults for keys
-    without any row (e.g. 0 for counts)."""
-    out = df.join(stats, key, "left")
-    for c, v in (defaults or {}).items():
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
-    return out
-
-
 def split_by_presence(df: DataFrame, keys: DataFrame, on: str | list[str]):
     """JN-13: rows whose key exists in ``keys`` (left semi) and rows whose
     key does not (left anti): the bulk form of "check existence before write"."""

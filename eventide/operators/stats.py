@@ -64,25 +64,12 @@ def earnings_by_creator(transactions: DataFrame, reservations: DataFrame,
             .groupBy("creator_id").agg(F.sum("amount").alias("total_earnings")))
 
 
-def medias_per_event(medias: DataFrame) -> DataFrame:
-    """AGG-5: ordered array of {id, type, url} per event (no 1024-byte cut)."""
-    return (medias.filter(F.col("event_id").isNotNull())
-            .groupBy("event_id")
-            .agg(F.array_sort(F.collect_list(F.struct("id", "type", "url"))).alias("medias")))
-
-
 def hashtags_per_memory(tags: DataFrame) -> DataFrame:
     """AGG-6: distinct hashtags per memory, sorted."""
     return (tags.groupBy("memory_id")
             .agg(F.array_sort(F.collect_set("hashtag")).alias("hashtags")))
 
 
-def category_list(pairs: DataFrame, key: str) -> DataFrame:
-    """AGG-7: distinct {name, id} objects per key, ordered by name then id."""
-    return (pairs.groupBy(key)
-            .agg(F.sort_array(F.collect_set(F.struct("name", "id"))).alias("categories")))
-
-
 def code_usage(reservations: DataFrame) -> DataFrame:
     """AGG-8: seats sold under each discount code by bookings not canceled.
     Id 0 means "no code" (the reference stores 0 for a booking without one)."""

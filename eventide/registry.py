@@ -1145,3 +1145,137 @@ def q_verified_phones(spark, sf_dir):
     used = (m.filter(F.col("status").isin("ok", "reused"))
             .select("otp_id", "phone", "expires_at").distinct())
     return verified_phones(used, OTP_AS_OF_EPOCH)
+
+
+# ---------------------------------------------------------------- snapshots, filters and checks
+
+_SETTLED_SQL = """
+, tx1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY authority ORDER BY id) AS rn
+                         FROM d_transactions) WHERE rn = 1),
+c1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY authority ORDER BY confirmed_at, conf_id)
+                      AS rn FROM d_confirmations) WHERE rn = 1),
+done AS (SELECT t.id AS tx_id, t.reservation_id, c.confirmed_at, e.is_approval
+         FROM c1 c JOIN tx1 t ON c.authority = t.authority
+         LEFT JOIN d_reservations r ON t.reservation_id = r.id LEFT JOIN d_events e ON r.event_id = e.id
+         WHERE t.status <> 'paid')"""
+_SETTLED_VIEWS = ["d_confirmations", "d_transactions", "d_reservations", "d_events"]
+
+
+@register("settled_transactions", _SETTLED_VIEWS, _SETTLED_SQL + """
+SELECT t.id, t.reservation_id, t.type, t.amount,
+       CASE WHEN d.tx_id IS NOT NULL THEN 'paid' ELSE t.status END AS status, t.authority, t.card_hash,
+       t.card_pan, CASE WHEN d.tx_id IS NOT NULL THEN 100000000000 + t.id ELSE t.ref_id END AS ref_id,
+       t.created_at, coalesce(d.confirmed_at, t.updated_at) AS updated_at,
+       coalesce(d.confirmed_at, t.paid_at) AS paid_at
+FROM d_transactions t LEFT JOIN done d ON d.tx_id = t.id""")
+def q_settled_transactions(spark, sf_dir):
+    from eventide.plans.commerce import settle_batch
+    t = domain(spark, sf_dir)
+    return settle_batch(t, t.confirmations)[1]
+
+
+@register("settled_reservations", _SETTLED_VIEWS, _SETTLED_SQL + """
+, last AS (SELECT reservation_id, arg_max(CASE WHEN is_approval THEN 'need-approval' ELSE 'paid' END,
+                                          confirmed_at) AS status, max(confirmed_at) AS at
+           FROM done WHERE reservation_id IS NOT NULL GROUP BY reservation_id)
+SELECT r.id, r.event_id, r.user_id, r.code, r.discount_code_id, r.price, r.find_buddy,
+       coalesce(l.status, r.status) AS status, r.created_at, coalesce(l.at, r.updated_at) AS updated_at,
+       r.group_members
+FROM d_reservations r LEFT JOIN last l ON l.reservation_id = r.id""")
+def q_settled_reservations(spark, sf_dir):
+    from eventide.plans.commerce import settle_batch
+    t = domain(spark, sf_dir)
+    return settle_batch(t, t.confirmations)[2]
+
+
+@register("ingest_medias", _EV_VIEWS + ["d_events"], _EV_CHECK_SQL + """
+, links AS (SELECT m.id, max((SELECT max(id) FROM d_events) + v.sub_id) AS event_id
+            FROM (SELECT sub_id, trim(unnest(string_split(media_ids, ','))) AS uuid FROM v WHERE reasons = '') v
+            JOIN d_event_medias m ON m.uuid = v.uuid GROUP BY m.id)
+SELECT m.id, m.uuid, coalesce(l.event_id, m.event_id) AS event_id, m.type, m.url, m.created_at, m.uploader_id
+FROM d_event_medias m LEFT JOIN links l ON l.id = m.id""")
+def q_ingest_medias(spark, sf_dir):
+    from eventide.operators.quality import ingest_events, validate_events
+    t = domain(spark, sf_dir)
+    ok, _ = validate_events(t.event_submissions, t.event_categories, t.event_medias, t.leaders,
+                            t.users, AS_OF)
+    return ingest_events(ok, t.events, t.event_medias, AS_OF)[1]
+
+
+@register("event_catalog_filtered", _CATALOG_VIEWS, f"""
+, {_LEADER_SQL.strip()}
+SELECT e.id, e.title, e.location, ec.name AS category, e.start_time, e.grouping, e.price
+FROM d_events e {_DECOR_JOINS}
+WHERE e.status = 'verified' AND NOT e.is_private AND lower(e.location) LIKE '%econ%'
+  AND e.category_id IN (0, 1, 3) AND e.grouping = 2
+  AND ((hour(e.start_time) >= 6 AND hour(e.start_time) < 12)
+       OR (hour(e.start_time) >= 14 AND hour(e.start_time) < 23))""")
+def q_event_catalog_filtered(spark, sf_dir):
+    from eventide.plans.catalog import event_catalog
+    out = event_catalog(domain(spark, sf_dir), AS_OF, location="econ", categories="0,1,3", grouping=2,
+                        hours="6-12,14-23")
+    return flat(out).select("id", "title", "location", "category", "start_time", "grouping", "price")
+
+
+@register("open_chats", ["d_conversations", "d_participants", "d_reservations"], """
+, m AS (SELECT p.conversation_id, cast(coalesce(sum(r.group_members), 0) AS bigint) AS members
+        FROM d_participants p LEFT JOIN d_reservations r ON r.id = p.reservation_id GROUP BY p.conversation_id)
+SELECT c.id AS conversation_id, c.conversation_size, coalesce(m.members, 0) AS members,
+       c.conversation_size - coalesce(m.members, 0) AS room
+FROM d_conversations c LEFT JOIN m ON m.conversation_id = c.id WHERE c.status = 'pending'""")
+def q_open_chats(spark, sf_dir):
+    from eventide.operators.stats import chat_members
+    t = domain(spark, sf_dir)
+    m = chat_members(t.participants, t.reservations)
+    c = t.conversations.filter(F.col("status") == "pending").select(
+        F.col("id").alias("conversation_id"), "conversation_size")
+    members = F.coalesce("members", F.lit(0)).cast("long")
+    return c.join(m, "conversation_id", "left").select(
+        "conversation_id", "conversation_size", members.alias("members"),
+        (F.col("conversation_size") - members).alias("room"))
+
+
+@register("booking_users", ["d_booking_requests", "d_users"], """
+SELECT request_id, user_id, user_id IN (SELECT id FROM d_users) AS known FROM d_booking_requests""")
+def q_booking_users(spark, sf_dir):
+    from eventide.operators.joins import split_by_presence
+    t = domain(spark, sf_dir)
+    users = t.users.select(F.col("id").alias("user_id"))
+    known, unknown = split_by_presence(t.booking_requests.select("request_id", "user_id"), users, "user_id")
+    return known.withColumn("known", F.lit(True)).unionByName(unknown.withColumn("known", F.lit(False))).select(
+        "request_id", "user_id", "known")
+
+
+@register("live_otps", ["d_otp_issued", "d_otp_attempt"], f"""
+, cand AS (SELECT a.id AS attempt_id, a.attempted_at, i.id AS otp_id, i.expires_at
+           FROM d_otp_attempt a JOIN d_otp_issued i
+             ON a.phone = i.phone AND a.code = i.code AND a.user_ip = i.user_ip
+            AND i.created_at <= a.attempted_at),
+best AS (SELECT attempt_id, attempted_at, arg_max(otp_id, (expires_at, otp_id)) AS otp_id,
+                max(expires_at) AS expires_at FROM cand GROUP BY attempt_id, attempted_at),
+used AS (SELECT DISTINCT otp_id FROM best WHERE floor(epoch(attempted_at)) < expires_at)
+SELECT id, phone, page, expires_at FROM d_otp_issued
+WHERE id NOT IN (SELECT otp_id FROM used) AND {OTP_AS_OF_EPOCH} < expires_at""")
+def q_live_otps(spark, sf_dir):
+    from eventide.functions.exprs import live_codes
+    from eventide.plans.commerce import otp_match
+    t = domain(spark, sf_dir)
+    used = otp_match(t.otp_issued, t.otp_attempt).filter(F.col("status") == "ok").select(
+        F.col("otp_id").alias("id"), F.lit(True).alias("is_used"))
+    codes = t.otp_issued.join(used, "id", "left").withColumn("is_used", F.coalesce("is_used", F.lit(False)))
+    return live_codes(codes, OTP_AS_OF_EPOCH).select("id", "phone", "page", "expires_at")
+
+
+@register("group_member_rows", ["d_group_members"], """
+SELECT reservation_id, first_name, last_name, national_id,
+       concat_ws(',', CASE WHEN trim(coalesce(first_name, '')) = '' THEN 'first_name' END,
+                      CASE WHEN trim(coalesce(last_name, '')) = '' THEN 'last_name' END) AS missing
+FROM d_group_members""")
+def q_group_member_rows(spark, sf_dir):
+    from eventide.sources.sinks import explode_group_members
+    # Stand-in input: reservations that arrive with their members as an array.
+    requests = domain(spark, sf_dir).group_members.groupBy("reservation_id").agg(
+        F.collect_list(F.struct("first_name", "last_name", "national_id")).alias("group_members_list"))
+    ok, bad = explode_group_members(requests)
+    return ok.withColumn("missing", F.lit("")).unionByName(
+        bad.withColumn("missing", F.array_join("missing", ",")))
