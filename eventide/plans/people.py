@@ -85,7 +85,7 @@ def leader_profile(t, as_of: str) -> DataFrame:
 
 
 def user_profile(t, as_of: str) -> DataFrame:
-    """Q09: user columns, rating, events joined (reservations of any status
+    """Q09: user columns (not the national id), rating, events joined (reservations of any status
     for events that already started) and the Jalali birth date."""
     ratings = rating_stats(t.ratings).withColumnRenamed("to_user_id", "id")
     joined = past_events_per_user(t.reservations, t.events, as_of).withColumnRenamed(
@@ -94,7 +94,7 @@ def user_profile(t, as_of: str) -> DataFrame:
     base = (t.users.join(ratings, "id", "left").join(joined, "id", "left"))
     base = to_jalali(base, "birth_date", "birth_date_jalali")
     return base.select("id", "username", "first_name", "last_name", "gender", "phone",
-                       "national_id", "birth_date", "birth_date_jalali", "role", "avatar",
+                       "birth_date", "birth_date_jalali", "role", "avatar",
                        "is_active", "registered_at", avg,
                        number_format2(avg).alias("rating_avg_text"), cnt,
                        F.coalesce("events_joined", F.lit(0)).alias("events_joined"))

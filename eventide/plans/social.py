@@ -29,9 +29,11 @@ def two_lowest_members(participants: DataFrame) -> DataFrame:
     return first.join(second, "conversation_id", "left")
 
 
-def other_member(participants: DataFrame) -> DataFrame:
-    """WIN-2: for every (chat, user) the first other member by participant id."""
-    two = two_lowest_members(participants)
+def other_member(participants: DataFrame, users: DataFrame) -> DataFrame:
+    """WIN-2: for every (chat, user) the first other member by participant id;
+    participants without a row in ``users`` are passed over."""
+    known = participants.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    two = two_lowest_members(known)
     return (participants.select("conversation_id", "user_id").join(two, "conversation_id")
             .select("conversation_id", "user_id",
                     F.when(F.col("first_user_id") != F.col("user_id"), F.col("first_user_id"))
@@ -53,7 +55,7 @@ def inbox(t, as_of: str, users=None, sort: bool = False) -> DataFrame:
         conv.select(F.col("id").alias("conversation_id"), "is_group", "name", "event_id",
                     "expires_on"), "conversation_id")
     others = other_member(t.participants.join(
-        conv.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi"))
+        conv.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi"), t.users)
     u = t.users.select(F.col("id").alias("other_user_id"),
                        full_name("first_name", "last_name").alias("other_name"),
                        F.col("avatar").alias("other_avatar"))

@@ -268,7 +268,7 @@ jcal AS (SELECT cast(DATE '2024-03-20' + cast(so + d - aso AS integer) AS date)
 , {_RS4.strip()}, {JCAL_DUCK.strip()},
 pj AS (SELECT r.user_id, count(*) AS n FROM d_reservations r JOIN d_events e ON r.event_id = e.id
        WHERE e.start_time < {NOW} GROUP BY r.user_id)
-SELECT u.id, u.username, u.first_name, u.last_name, u.gender, u.phone, u.national_id,
+SELECT u.id, u.username, u.first_name, u.last_name, u.gender, u.phone,
        cast(u.birth_date AS varchar) AS birth_date,
        cast(j.jy AS varchar) || '/' || cast(j.jm AS varchar) || '/' || cast(j.jd AS varchar)
          AS birth_date_jalali,

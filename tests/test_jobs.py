@@ -332,3 +332,11 @@ def test_one_huge_request_changes_nothing(spark, t_small):
     rows = lambda d: sorted((r.request_id, r.admitted, r.reason) for r in d.collect() if r.request_id < 10**9)
     assert rows(a) == rows(b)
     assert b.filter("request_id = 1000000000").first().admitted is False
+
+
+def test_inbox_passes_over_members_without_a_user(spark):
+    from eventide.plans.social import other_member
+    parts = spark.createDataFrame([(1, 7, 99), (2, 7, 1), (3, 7, 2)], "id long, conversation_id long, user_id long")
+    users = spark.createDataFrame([(1,), (2,)], "id long")
+    got = {r.user_id: r.other_user_id for r in other_member(parts, users).collect()}
+    assert got == {99: 1, 1: 2, 2: 1}
