@@ -219,6 +219,34 @@ def test_pii_trees_add_lookalikes_only(spark):
     out = {r.doc_id: r for r in pii.with_spans(spark, df, model).collect()}
     assert all(any(s.k == 3 for s in out[i].pii_spans) for i in range(300))
     assert not any(s.k >= pii.BASE for i in range(300) for s in out[i].pii_spans)
+    assert all(any(s.k == 7 for s in out[1000 + i].pii_spans) for i in range(20))
+
+
+def test_pii_adds_what_the_base_patterns_miss(spark):
+    """Unknown candidates do not count as wrong: a sixth of the phones lacks the plus
+    and some addresses are spelt out; clear negatives and dates stay."""
+    rng = np.random.default_rng(9)
+    num = lambda: f"({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}"
+    host = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows = [(i, f"call +1 {num()} or page {rng.integers(10**8, 10**9)}, mail {host()}@{host()}.com "
+                f"or look at noon. Then order {rng.integers(10**9, 10**10)} of 2024-05-{i % 28 + 1:02d} 12")
+            for i in range(300)]
+    rows += [(1000 + i, f"call 1 {num()} today") for i in range(60)]
+    rows += [(2000 + i, f"mail {host()} at {host()} dot com today") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.pii(spark, df)
+    out = {r.doc_id: r for r in found.collect()}
+    assert all(out[1000 + i].spans == f"likely_phone:5:{5 + 16}" for i in range(60))
+    assert all(out[2000 + i].spans == f"likely_email:5:{5 + 6 + 4 + 6 + 8}" for i in range(20))
+    assert not any(out[i].n_added for i in range(300))
+    assert {r.kind: r.n_added for r in pii.added_per_kind(found).collect()} == {
+        "likely_email": 20, "likely_ip": 0, "likely_card": 0, "likely_phone": 60}
+
+
+def test_pii_threshold_counts_no_unknown_as_wrong():
+    assert pii.threshold([(90, 50, 0, 50), (60, 0, 2, 0), (20, 0, 98, 10)], 0.98) == 0.9
+    assert pii.threshold([(90, 0, 0, 50), (20, 0, 99, 10)], 0.98) == 2.0  # no positive
+    assert pii.threshold([(90, 500, 5, 10), (20, 0, 95, 990)], 0.98) == 2.0  # as many false as added
 
 
 def test_redact(spark):
