@@ -144,6 +144,23 @@ def linked(nodes: DataFrame, max_bits: int) -> DataFrame:
             .mapInPandas(links, "a long, b long"))
 
 
+def marked(spark: SparkSession, docs: DataFrame, text: str, shingle: int, seed: int) -> DataFrame:
+    """All columns of ``docs`` but ``text``, and the fingerprint ``fp``. Written once:
+    the fingerprints are read three times, the texts only here."""
+    udf = row_udf(spark, "fp long", {"k": shingle, "seed": seed}, fingerprints)
+    rest = [c for c in docs.columns if c != text]
+    return docs.select(*rest, udf(F.col(text)).alias("h")).select(
+        *rest, F.col("h.fp").alias("fp")).checkpoint()
+
+
+def with_component(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """``nodes(fp, ...)``, one row a fingerprint, with the smallest fingerprint
+    reachable over links as ``component``."""
+    whole = connected_components(linked(nodes.select("fp"), max_bits))
+    return nodes.join(whole.withColumnRenamed("id", "fp"), "fp", "left").withColumn(
+        "component", F.coalesce("component", "fp"))
+
+
 def simhash_groups(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                    shingle: int = 3, max_bits: int = 2, seed: int = 42) -> DataFrame:
     """``key``, ``fp`` and ``component_id`` for every row of ``docs``.
@@ -155,14 +172,8 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id",
     table stays empty; other columns are not read.
     """
     prepare(spark)
-    udf = row_udf(spark, "fp long", {"k": shingle, "seed": seed}, fingerprints)
-    # Written once: the fingerprints are read three times, the texts only here.
-    marks = docs.select(F.col(key).alias("key"), udf(F.col(text)).alias("h")).select(
-        "key", F.col("h.fp").alias("fp")).checkpoint()
-    nodes = marks.groupBy("fp").agg(F.min("key").alias("first"))
-    whole = connected_components(linked(nodes.select("fp"), max_bits))
-    where = nodes.join(whole.withColumnRenamed("id", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp"))
+    marks = marked(spark, docs.select(F.col(key).alias("key"), F.col(text).alias("t")), "t", shingle, seed)
+    where = with_component(marks.groupBy("fp").agg(F.min("key").alias("first")), max_bits)
     low = where.groupBy("component").agg(F.min("first").alias("component_id"))
     names = where.join(low, "component").select("fp", "component_id")
     return marks.join(names, "fp").select(F.col("key").alias(key), "fp", "component_id")
@@ -175,17 +186,21 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
                       "component_id")
 
 
-def keep_first(spark: SparkSession, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def keep_first(spark: SparkSession, docs: DataFrame, key: str = "doc_id", *, text: str = "text",
+               shingle: int = 3, max_bits: int = 2, seed: int = 42) -> DataFrame:
     """One row of every group of near-duplicates: that of the smallest key.
 
-    Rows that share this key are repeats of one document; one of them stays.
+    Rows are told apart by a number of their own and groups by their smallest
+    fingerprint, so NULL and repeated keys lose no text: a NULL key comes after
+    all others, and of rows with equal keys the first one stays.
     """
-    kept_key = fresh(docs, "kept_key")
-    found = simhash_groups(spark, docs, key=key)
-    kept = (found.groupBy(F.col("component_id").alias(kept_key))
-            .agg(F.count(F.when(F.col(key).eqNullSafe(F.col("component_id")), 1)).alias("__n"))
-            .checkpoint())
-    same = docs[key].eqNullSafe(kept[kept_key])
-    once = docs.join(kept.filter("__n = 1"), same, "left_semi")
-    repeated = docs.join(kept.filter("__n > 1"), same, "left_semi").dropDuplicates([key])
-    return once.unionByName(repeated)
+    prepare(spark)
+    row = fresh(docs, "row_number")
+    # Written once, so that a row has the same number each time it is read.
+    rows = docs.withColumn(row, F.monotonically_increasing_id()).checkpoint()
+    first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
+    marks = marked(spark, rows.select(first.alias("first"), F.col(text).alias("t")), "t", shingle, seed)
+    where = with_component(marks.groupBy("fp").agg(F.min("first").alias("first")), max_bits)
+    kept = where.groupBy("component").agg(F.min("first").alias("first")).select(
+        F.col("first.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -296,6 +296,20 @@ def test_simhash_keeps_one_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in out.collect()) == ["3", "9", "None"]
 
 
+def test_simhash_keeps_texts_with_null_and_repeated_ids(spark):
+    """Different texts stay whatever their ids; each group keeps exactly one row."""
+    words = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(8)]
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (None, words[2]),  # no key at all
+            (1, words[3]), (1, words[4]),                                            # one id, two texts
+            (0, words[5]), (2, words[5]), (2, words[6]),                             # 2 is a copy, and a text
+            (None, words[7]), (4, words[7])]                                         # NULL comes last
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = simhash.keep_first(spark, df).collect()
+    assert sorted(r.text for r in out) == sorted(words)
+    ids = {r.text: r.doc_id for r in out}
+    assert [ids[w] for w in words] == [None, None, None, 1, 1, 0, 2, 4]
+
+
 @pytest.mark.parametrize("run", [
     lambda s, d, lab: langid.language_id(s, d), lambda s, d, lab: secrets.secret_scan(s, d),
     lambda s, d, lab: bpe.bpe_digests(s, d), lambda s, d, lab: simhash.simhash_dedup(s, d),
