@@ -4,12 +4,14 @@ by a two-layer network whose probabilities are calibrated by a temperature.
 *Tokens* are runs of letters, runs of digits and runs of other signs (white
 space ends a run); each is hashed to one of ``2**bits`` word ids, a letter run
 also to a shape id (upper, capitalised, lower). *Random indexing*: every word
-id has a fixed sparse ternary index vector; a word's vector is its own index
-vector plus those of its neighbours within two words, summed over the sample,
-centred and scaled to length one. *Pooling*: mean and spread of the word
-vectors, and the logarithm of the number of tokens. The *network* (one hidden
-layer of tanh units) is trained in numpy; one temperature, fitted on rows the
-network has not seen, divides its logits.
+id has a fixed sparse ternary index vector; an id's vector is its own index
+vector plus those of its neighbours within two words, summed over the texts of
+all documents, centred and scaled to length one. When a text is scored, every
+word also adds the index vector of its whole hash, so that words which share an
+id differ. *Pooling*: mean and spread of the word vectors, and the logarithm of
+the number of tokens. The *network* (one hidden layer of tanh units) is trained
+in numpy on a bounded sample of labelled rows; one temperature, fitted on rows
+the network has not seen, divides its logits.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from eventide.llm.langid import _letters
 from eventide.llm.nptext import U64, code_points, is_space, mix64, segment_hash, text_blocks
 
 DIM, NONZERO, WINDOW = 48, 4, 2
+OWN = 0.25  # length of the index vector that a word adds when it is scored
 
 
-def tokens(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids of all tokens in order (shape ids among them), and their texts."""
+def tokens(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word ids of all tokens in order (shape ids among them), their texts and
+    whole hashes (ids are their upper bits)."""
     cp, off = code_points(texts)
     letter = _letters()[cp]
     kind = np.full(len(cp), 3, np.int8)
@@ -43,13 +47,14 @@ def tokens(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     upper = (cp >= 65) & (cp <= 90)
     first, last = upper[start], upper[end - 1]
     shape = np.where(k == 1, 1 + first + 2 * last * (end - start > 1), 0)
-    ids = np.empty((len(start), 2), np.int64)
-    ids[:, 0] = (h >> U64(64 - bits)).astype(np.int64)
-    ids[:, 1] = (mix64(shape.astype(U64) + U64(77)) >> U64(64 - bits)).astype(np.int64)
+    whole = np.empty((len(start), 2), U64)
+    whole[:, 0] = h
+    whole[:, 1] = mix64(shape.astype(U64) + U64(77))
     doc = np.searchsorted(off, start, side="right") - 1
-    use = np.ones(ids.shape, bool)
+    use = np.ones(whole.shape, bool)
     use[:, 1] = k == 1
-    return ids[use], np.repeat(doc, 2).reshape(ids.shape)[use]
+    whole = whole[use]
+    return (whole >> U64(64 - bits)).astype(np.int64), np.repeat(doc, 2).reshape(use.shape)[use], whole
 
 
 def index_vectors(bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +68,7 @@ def index_vectors(bits: int) -> tuple[np.ndarray, np.ndarray]:
 def context_sums(texts: list[str], bits: int, index) -> np.ndarray:
     """Index vectors of each word's neighbours and of the word, summed."""
     pos, sign = index
-    ids, doc = tokens(texts, bits)
+    ids, doc, _ = tokens(texts, bits)
     total = np.zeros(DIM << bits)
     for step in range(WINDOW + 1):
         n = len(ids) - step
@@ -80,11 +85,17 @@ def context_sums(texts: list[str], bits: int, index) -> np.ndarray:
 def pool(texts: list[str], vectors: np.ndarray, bits: int) -> np.ndarray:
     """Per text: mean and spread of its word vectors, logarithm of its tokens."""
     out = np.zeros((len(texts), 2 * DIM + 1))
-    ids, doc = tokens(texts, bits)
+    ids, doc, whole = tokens(texts, bits)
     if len(ids):
         first = np.flatnonzero(np.diff(doc, prepend=-1))
         rows, n = doc[first], np.diff(first, append=len(doc))[:, None]
         v = vectors[ids]
+        with np.errstate(over="ignore"):
+            mixed = mix64(whole + U64(0x2545F491))
+        at, size = np.arange(len(ids)) * DIM, OWN * NONZERO ** -0.5
+        for j in range(NONZERO):  # 16 bits an entry: its place and its sign
+            part = (mixed >> U64(16 * j)) & U64(0xFFFF)
+            v.ravel()[at + ((part >> U64(1)) % U64(DIM)).astype(np.int64)] += np.where(part & U64(1), size, -size)
         mean = np.add.reduceat(v, first, axis=0) / n
         np.multiply(v, v, out=v)
         square = np.add.reduceat(v, first, axis=0) / n
@@ -148,10 +159,11 @@ def score(model: dict, texts: list[str]) -> dict:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, text: str = "text",
         key: str = "doc_id", label: str = "quality", rows: int = 5000, bits: int = 15) -> dict:
-    """Learn from labelled rows outside fold 0.
+    """Learn word vectors from all texts, and the rest from labelled rows outside
+    fold 0.
 
-    Fitted on a bounded sample of about ``rows`` labelled documents, chosen by
-    a hash of the key. Ids with NULL or contradicting labels are not used.
+    Network and temperature are fitted on a bounded sample of about ``rows``
+    labelled documents, chosen by a hash of the key. Ids with NULL or contradicting labels are not used.
     Without rows of both labels the score is the share of label 1 (0.5
     without any row).
     """
@@ -190,7 +202,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, text: str =
 
     kind = "w long, v array<double>"
     # At most 2**bits vectors come back, whatever the size of the input.
-    found = sample.mapInPandas(contexts, kind).repartition(8, "w").mapInPandas(add, kind).toPandas()
+    every = docs.select(F.col(text).alias("t")).filter("t is not null")
+    found = every.mapInPandas(contexts, kind).repartition(8, "w").mapInPandas(add, kind).toPandas()
     vectors = np.zeros((1 << bits, DIM), np.float32)
     if len(found):
         v = np.stack(found["v"].tolist())

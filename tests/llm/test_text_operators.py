@@ -82,6 +82,26 @@ def test_quality_classifier_odd_rows_and_one_label(spark, texts):
     assert {r.score for _, r in pairs} == {1.0}  # the share of label 1 among usable rows
 
 
+def test_quality_word_vectors_cover_unlabelled_documents(spark):
+    """Words that only unlabelled documents hold have context vectors."""
+    rows = [(i, f"good word number{'abc'[i % 3]} here" if i % 2 else "bad stuff, bad stuff") for i in range(60)]
+    rows += [(1000 + i, "zebra quagga okapi") for i in range(40)] + [(None, "lemur zebra")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality_nn.fit(spark, df, labels)
+    assert model["net"] is not None
+    ids = quality_nn.tokens(["zebra quagga okapi lemur"], model["bits"])[0]
+    assert (np.linalg.norm(model["vectors"][ids], axis=1) > 0.99).all()
+
+
+def test_quality_words_that_share_an_id_differ():
+    bits, words = 1, ["alpha", "beta", "gamma"]  # two ids for all words
+    ids, _, whole = quality_nn.tokens(words, bits)
+    assert len(set(ids.tolist())) <= 2 and len(set(whole.tolist())) == 4  # and one shape
+    x = quality_nn.pool(words, np.zeros((1 << bits, quality_nn.DIM), np.float32), bits)
+    assert len(np.unique(x[:, :quality_nn.DIM], axis=0)) == 3
+
+
 def test_secrets_base_spans(spark, texts):
     for t, r in both(texts, secrets.secret_scan(spark, texts)):
         n, digest, line = brute.spans(brute.SECRETS, t)
