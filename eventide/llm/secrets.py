@@ -2,10 +2,10 @@
 
 Patterns propose candidates: assigned secrets, access keys, long hex runs and,
 as a wide net, long mixed tokens. Each candidate's hash is counted over the
-whole corpus by distinct repositories and owners. A value that many owners
-hold is an *example*, copied around; a value that one owner alone holds and
-that looks random is *live*. Pattern spans always stay; mixed tokens become
-spans only if they are live. All of it is Spark functions, joins and aggregates.
+whole corpus by distinct repositories and owners. A value that many owners or
+very many repositories hold is an *example*, copied around; any other value that
+looks random is *live*. Pattern spans always stay; mixed tokens become spans
+only if they are live. All of it is Spark functions, joins and aggregates.
 """
 
 from __future__ import annotations
@@ -76,12 +76,14 @@ def ownership(rows: DataFrame) -> DataFrame:
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id",
-                 owner: str = "source", text: str = "text", example_owners: int = 3) -> DataFrame:
+                 owner: str = "source", text: str = "text", example_owners: int = 3,
+                 example_repos: int = 10) -> DataFrame:
     """``key`` and array ``spans`` of structs (start, k, end, n_repos, n_owners,
     live, example) for every row of ``docs``; ``k`` indexes ``KINDS``.
 
     A document (``key``) counts as a repository of its ``owner``. ``example``:
-    held by ``example_owners`` owners or more; ``live``: held by one owner and
+    held by ``example_owners`` owners or more, or in ``example_repos``
+    repositories or more, whoever owns them; ``live``: no example and
     random-looking. Defined results: a NULL text is empty; a NULL owner is one
     owner of its own; repeated rows get a row each but count as one repository;
     an empty table stays empty; other columns are not read.
@@ -94,8 +96,9 @@ def secret_spans(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id",
     rows = found.select("row", "key", "owner", F.explode(every).alias("s")).select(
         "row", "key", "owner", "s.*")
     judged = (rows.join(ownership(rows), "h")
-              .withColumn("example", F.col("n_owners") >= example_owners)
-              .withColumn("live", F.col("live") & (F.col("n_owners") == 1))
+              .withColumn("example", (F.col("n_owners") >= example_owners)
+                          | (F.col("n_repos") >= example_repos))
+              .withColumn("live", F.col("live") & ~F.col("example"))
               .filter((F.col("k") != KINDS.index("live")) | F.col("live")))
     cols = ("start", "k", "end", "n_repos", "n_owners", "live", "example")
     per_row = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("spans"))

@@ -121,6 +121,23 @@ def test_secrets_ownership(spark):
     assert out[6].n_hex == out[6].n_assign == 1 and out[6].n_live == 0
 
 
+def test_secrets_two_owners_and_many_repositories(spark):
+    """A copy under a second source hides no key; one owner's many copies are an example."""
+    two, hot, few = "Zk9fQ2xVb7TtRr4WmN1pXy8", "Qw3Er5Ty7Ui9Op1As2Df4Gh", "Mn8Bv7Cx6Zl5Kj4Hg3Fd2Sa"
+    rows = [(1, two, "a"), (2, two, "b"), *[(10 + i, hot, "c") for i in range(10)],
+            *[(10, hot, "c")] * 3, *[(30 + i, few, "c") for i in range(9)], *[(30, few, "c")] * 3]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = secrets.secret_scan(spark, df).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        live = not 10 <= r.doc_id < 20
+        assert r.spans == ("live:0:23" if live else "") and r.n_live == live, r
+    df = df.withColumn("text", F.concat(F.lit("password="), "text"))
+    for r in secrets.secret_scan(spark, df).collect():
+        hot_one = 10 <= r.doc_id < 20
+        assert (r.n_assign, r.n_live, r.n_example) == (1, not hot_one, hot_one), r
+
+
 def test_bpe_equals_the_library(spark, texts):
     from tokenizers import Tokenizer
     lib = Tokenizer.from_file(bpe.vocabulary_path())
