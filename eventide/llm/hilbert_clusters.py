@@ -122,9 +122,10 @@ def _quantise(dim: int, scale: int):
     """Batches (key, vector) to (key, integers): vectors of ``dim`` finite components only."""
     def run(it):
         import pyarrow as pa
+        import pyarrow.compute as pc
         for b in it:
             e = b.column(1)
-            size = np.array(pa.compute.fill_null(pa.compute.list_value_length(e), -1))
+            size = np.array(pc.fill_null(pc.list_value_length(e), -1))
             right = np.flatnonzero(size == dim)
             flat = e.take(pa.array(right)).flatten()  # NULL components become NaN
             x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
