@@ -1,4 +1,4 @@
-"""Data-quality jobs (DQ-1..5): constraint audit and quarantines.
+"""Data-quality jobs (DQ-2..5): quarantines.
 
 The reference validates one request at a time and stops at the first error.
 Here every rule is a column expression and each row collects an array of the
@@ -9,141 +9,10 @@ accepted + quarantined = input.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-# ------------------------------------------------------------------ DQ-1
-
-
-@dataclass(frozen=True)
-class Rule:
-    table: str
-    kind: str                      # pk | unique | fk | not_null | enum | range
-    cols: tuple[str, ...]
-    ref: tuple[str, str] | None = None   # fk target (table, column)
-    values: tuple | None = None          # enum values or (lo, hi)
-
-
-def marketplace_rules() -> list[Rule]:
-    """The DDL's declared constraints over the domain tables (FKs, PKs,
-    UNIQUE, NOT NULL, ENUM domains and the score CHECK)."""
-    R = Rule
-    return [
-        R("users", "pk", ("id",)), R("users", "unique", ("username",)),
-        R("users", "unique", ("phone",)), R("users", "unique", ("national_id",)),
-        R("users", "not_null", ("first_name",)), R("users", "not_null", ("last_name",)),
-        R("users", "enum", ("gender",), values=("male", "female")),
-        R("users", "enum", ("role",), values=("user", "leader", "admin")),
-        R("events", "pk", ("id",)),
-        R("events", "fk", ("category_id",), ref=("event_categories", "id")),
-        R("events", "fk", ("leader_id",), ref=("leaders", "id")),
-        R("events", "fk", ("creator_id",), ref=("users", "id")),
-        R("events", "fk", ("thumbnail_id",), ref=("event_medias", "id")),
-        R("events", "enum", ("status",), values=("pending", "verified", "deleted", "reported")),
-        R("leaders", "pk", ("id",)), R("leaders", "fk", ("user_id",), ref=("users", "id")),
-        R("reservations", "pk", ("id",)),
-        R("reservations", "fk", ("event_id",), ref=("events", "id")),
-        R("reservations", "fk", ("user_id",), ref=("users", "id")),
-        R("reservations", "enum", ("status",),
-          values=("pending-pay", "paid", "need-approval", "canceled")),
-        R("transactions", "pk", ("id",)),
-        R("transactions", "fk", ("reservation_id",), ref=("reservations", "id")),
-        R("transactions", "enum", ("status",), values=("pending", "paid", "failed", "canceled")),
-        R("ratings", "pk", ("id",)), R("ratings", "range", ("score",), values=(1, 5)),
-        R("ratings", "fk", ("to_user_id",), ref=("users", "id")),
-        R("ratings", "fk", ("from_user_id",), ref=("users", "id")),
-        R("leader_followers", "unique", ("leader_id", "follower_id")),
-        R("memory_likes", "unique", ("memory_id", "user_id")),
-        R("messages", "pk", ("id",)),
-        R("messages", "fk", ("conversation_id",), ref=("conversations", "id")),
-        R("messages", "fk", ("reply_to",), ref=("messages", "id")),
-        R("support_tickets", "enum", ("status",),
-          values=("pending", " answered", "user-response", "finished")),
-    ]
-
-
-def _key_text(cols) -> Column:
-    return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
-
-
-def audit(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
-    """DQ-1: one row per rule: (table_name, rule, columns, violations,
-    sample_key) where sample_key is the smallest offending key as text.
-
-    Column rules of one table (NOT NULL, ENUM, range) are evaluated in one
-    aggregation pass over that table; its key rules (PK / UNIQUE) in one
-    GROUPING SETS aggregation (count > 1 per set); foreign keys are anti
-    joins.
-    """
-    parts = []
-    col_rules: dict[str, list[Rule]] = {}
-    for r in rules:
-        if r.kind in ("not_null", "enum", "range"):
-            col_rules.setdefault(r.table, []).append(r)
-    for table, rs in col_rules.items():
-        df = tables[table]
-        pk = "id" if "id" in df.columns else df.columns[0]
-        aggs = []
-        for i, r in enumerate(rs):
-            c = F.col(r.cols[0])
-            if r.kind == "not_null":
-                bad = c.isNull()
-            elif r.kind == "enum":
-                bad = c.isNotNull() & ~c.isin(list(r.values))
-            else:
-                bad = c.isNotNull() & ((c < r.values[0]) | (c > r.values[1]))
-            aggs += [F.sum(bad.cast("long")).alias(f"n{i}"),
-                     F.min(F.when(bad, F.col(pk).cast("string"))).alias(f"s{i}")]
-        row = df.agg(*aggs)
-        for i, r in enumerate(rs):
-            parts.append(row.select(F.lit(table).alias("table_name"), F.lit(r.kind).alias("rule"),
-                                    F.lit(",".join(r.cols)).alias("columns"),
-                                    F.coalesce(F.col(f"n{i}"), F.lit(0)).alias("violations"),
-                                    F.col(f"s{i}").alias("sample_key")))
-    # Key rules (PK / UNIQUE) of one table share one scan and one shuffle:
-    # a GROUPING SETS aggregation with one set per rule.
-    key_rules: dict[str, list[Rule]] = {}
-    for r in rules:
-        if r.kind in ("pk", "unique"):
-            key_rules.setdefault(r.table, []).append(r)
-    for table, rs in key_rules.items():
-        df = tables[table]
-        cols = sorted({c for r in rs for c in r.cols})
-        sets = [[F.col(c) for c in r.cols] for r in rs]
-        g = (df.groupingSets(sets, *[F.col(c) for c in cols])
-             .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid")))
-        for r in rs:
-            # grouping_id sets bit (len(cols)-1-i) for every column i not in the set
-            gid = sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in r.cols)
-            some_key = F.lit(False)
-            for c in r.cols:
-                some_key = some_key | F.col(c).isNotNull()
-            dup = g.filter((F.col("gid") == gid) & some_key & (F.col("n") > 1))
-            out = dup.agg(F.count(F.lit(1)).alias("violations"),
-                          F.min(_key_text(r.cols)).alias("sample_key"))
-            parts.append(out.select(F.lit(table).alias("table_name"), F.lit(r.kind).alias("rule"),
-                                    F.lit(",".join(r.cols)).alias("columns"), "violations",
-                                    "sample_key"))
-    for r in rules:
-        if r.kind != "fk":
-            continue
-        df = tables[r.table]
-        target = tables[r.ref[0]].select(F.col(r.ref[1]).alias(r.cols[0])).distinct()
-        orphans = df.filter(F.col(r.cols[0]).isNotNull()).join(target, r.cols[0], "left_anti")
-        out = orphans.agg(F.count(F.lit(1)).alias("violations"),
-                          F.min(_key_text(r.cols)).alias("sample_key"))
-        parts.append(out.select(F.lit(r.table).alias("table_name"), F.lit(r.kind).alias("rule"),
-                                F.lit(",".join(r.cols)).alias("columns"), "violations",
-                                "sample_key"))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
-
-
 # ------------------------------------------------------------------ DQ-2..5
 
 # The reference's Persian-letter name class (U+0622 .. U+06CC).

@@ -613,49 +613,62 @@ def q_match_groups(spark, sf_dir):
 
 # ---------------------------------------------------------------- quality / text / calendar
 
-_AUDIT_TABLES = ["users", "events", "leaders", "reservations", "transactions", "ratings",
-                 "leader_followers", "memory_likes", "messages", "support_tickets",
-                 "event_categories", "event_medias", "conversations"]
+# Declared table -> the view that stands for it.
+_AUDIT_VIEWS = {
+    "otps": "d_otp_issued", "conversation_participants": "d_participants",
+    **{t: "d_" + t for t in (
+        "users event_categories events event_medias leaders reservations transactions discount_codes "
+        "support_tickets notifications conversations messages leader_followers ratings reports memories "
+        "memory_medias memory_hashtags memory_likes memory_comments memories_saved").split()},
+}
+# Declared columns that the views lack: their rules come out as not audited (NULL).
+_AUDIT_ABSENT = {
+    "users": "password", "otps": "is_used", "events": "coordinates", "leader_followers": "created_at",
+    "memory_medias": "created_at", "memory_hashtags": "id created_at", "memory_likes": "id created_at",
+    "memories_saved": "id created_at",
+}
 
 
 def _audit_sql() -> str:
-    from eventide.operators.quality import marketplace_rules
-    sel = []
+    from eventide.operators.constraints import marketplace_rules
+    absent = {(t, c) for t, cols in _AUDIT_ABSENT.items() for c in cols.split()}
+    sel, by_table, skipped = [], {}, []
     for r in marketplace_rules():
-        t, cols = f"d_{r.table}", ",".join(r.cols)
-        head = f"SELECT '{r.table}' AS table_name, '{r.kind}' AS rule, '{cols}' AS columns"
-        c = r.cols[0]
-        pk = "id"
-        if r.kind in ("not_null", "enum", "range"):
-            if r.kind == "not_null":
-                bad = f"{c} IS NULL"
-            elif r.kind == "enum":
-                vals = ", ".join("'" + v + "'" for v in r.values)
-                bad = f"{c} IS NOT NULL AND {c} NOT IN ({vals})"
-            else:
-                bad = f"{c} IS NOT NULL AND ({c} < {r.values[0]} OR {c} > {r.values[1]})"
-            sel.append(f"{head}, cast(coalesce(sum(CASE WHEN {bad} THEN 1 ELSE 0 END), 0) AS bigint)"
-                       f" AS violations, min(CASE WHEN {bad} THEN cast({pk} AS varchar) END)"
-                       f" AS sample_key FROM {t}")
-        elif r.kind in ("pk", "unique"):
-            key = " || '|' || ".join(f"cast({x} AS varchar)" for x in r.cols)
-            nn = " OR ".join(f"{x} IS NOT NULL" for x in r.cols)
-            sel.append(f"{head}, cast(count(*) AS bigint) AS violations, min(k) AS sample_key FROM "
-                       f"(SELECT {key} AS k FROM {t} WHERE {nn} GROUP BY {cols} HAVING count(*) > 1)")
+        if r.table not in _AUDIT_VIEWS or any((r.table, c) in absent for c in r.cols) or (
+                r.ref and r.ref[0] not in _AUDIT_VIEWS):
+            skipped.append(f"('{r.table}', '{r.kind}', '{','.join(r.cols)}', NULL, NULL)")
+            continue
+        view, c = _AUDIT_VIEWS[r.table], r.cols[0]
+        head = f"SELECT '{r.table}', '{r.kind}', '{','.join(r.cols)}', count(*), min"
+        if r.kind in ("pk", "unique"):
+            key = " || '|' || ".join(r.cols)
+            sel.append(f"{head}(k) FROM (SELECT {key} || '' AS k FROM {view} WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1)")
+        elif r.kind == "fk":
+            sel.append(f"{head}(t.{c} || '') FROM {view} t ANTI JOIN {_AUDIT_VIEWS[r.ref[0]]} p ON t.{c} = p.id "
+                       f"WHERE t.{c} IS NOT NULL")
         else:
-            rt, rc = r.ref
-            sel.append(f"{head}, cast(count(*) AS bigint) AS violations, "
-                       f"min(cast({c} AS varchar)) AS sample_key FROM {t} "
-                       f"WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {rc} FROM d_{rt} "
-                       f"WHERE {rc} IS NOT NULL)")
-    return "\nUNION ALL\n".join(sel)
-
-
-@register("constraint_audit", ["d_" + x for x in _AUDIT_TABLES], _audit_sql())
+            cond = (f"{c} IS NULL" if r.kind == "not_null"
+                    else f"{c} NOT IN {r.values}" if r.kind == "enum"
+                    else f"{c} NOT BETWEEN {r.values[0]} AND {r.values[1]}")
+            by_table.setdefault(r.table, []).append((r.kind, c, cond))
+    for t, rules in by_table.items():
+        pk = "memory_id" if (t, "id") in absent else "id"
+        sel.append(f"SELECT '{t}', unnest([{', '.join(repr(k) for k, _, _ in rules)}]), "
+                   f"unnest([{', '.join(repr(c) for _, c, _ in rules)}]), "
+                   f"unnest([{', '.join(f'count(*) FILTER ({w})' for _, _, w in rules)}]), "
+                   f"unnest([{', '.join(f"min({pk} || '') FILTER ({w})" for _, _, w in rules)}]) FROM {_AUDIT_VIEWS[t]}")
+    sel.append(f"SELECT * FROM (VALUES {', '.join(skipped)}) v")
+    body = "\nUNION ALL ".join(sel)
+    return (", a(table_name, rule, columns, violations, sample_key) AS (" + body + ")\n"
+            "SELECT table_name, rule, columns, cast(violations AS bigint) AS violations, "
+            "cast(sample_key AS varchar) AS sample_key FROM a")
+
+
+@register("constraint_audit", list(_AUDIT_VIEWS.values()), _audit_sql())
 def q_constraint_audit(spark, sf_dir):
-    from eventide.operators.quality import audit, marketplace_rules
+    from eventide.operators.constraints import audit, marketplace_rules
     t = domain(spark, sf_dir)
-    return audit({n: getattr(t, n) for n in _AUDIT_TABLES}, marketplace_rules())
+    return audit({n: t.view(v) for n, v in _AUDIT_VIEWS.items()}, marketplace_rules())
 
 
 _NID_OK = """(regexp_full_match(regexp_replace({c}, '[\\s\\-]', '', 'g'), '\\d{{10}}')
