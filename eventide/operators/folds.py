@@ -17,7 +17,8 @@ in one task per event. The plan:
    chunk). From the first rejection on, seats left are below the rejected
    request's size, so later chunks are summarised by a transfer vector over
    that small range and composed in order.
-4. A last pass replays every chunk from its exact entry state.
+4. A last pass replays every chunk from its exact entry state, all events of an
+   Arrow batch at once (``decide_segments``).
 
 Every row is decided exactly; no task ever holds more than its partition.
 
@@ -101,6 +102,40 @@ def _decide(left_in: int, sizes: np.ndarray, ok: np.ndarray):
     return before, adm, left
 
 
+def decide_segments(seg: np.ndarray, left: np.ndarray, sizes: np.ndarray, ok: np.ndarray):
+    """Replay many runs of requests at once: row i belongs to run ``seg[i]``
+    (ascending), which starts with ``left[seg[i]]`` seats. Returns (seats left
+    before each row, admitted per row, seats left after each run).
+
+    In a round the requests that fit the seats now left are summed up within
+    their runs (a cumulative sum less its value at the run's start); all rows
+    up to the first one that exceeds the seats are decided. That one was larger
+    than what is left now, so every round of a run refuses a smaller size than
+    the last: there are at most as many rounds as different sizes, whatever the
+    number of rows and runs.
+    """
+    left = left.astype(np.int64).copy()
+    before, admitted = np.empty(len(seg), np.int64), np.zeros(len(seg), bool)
+    rest = np.arange(len(seg))
+    while len(rest):
+        s = seg[rest]
+        fits = ok[rest] & (sizes[rest] <= left[s])
+        take = np.where(fits, sizes[rest], 0)
+        total = np.cumsum(take)
+        first = np.flatnonzero(np.diff(s, prepend=-1))
+        base = np.repeat(total[first] - take[first], np.diff(first, append=len(s)))
+        inside = total - base
+        done = inside <= np.maximum(left[s], 0)  # never again true behind the first excess
+        r = rest[done]
+        before[r] = left[s[done]] - (inside - take)[done]
+        admitted[r] = fits[done] & (before[r] > 0)
+        used = np.zeros(len(left), np.int64)
+        np.maximum.at(used, s[done], inside[done])
+        left -= used
+        rest = rest[~done]
+    return before, admitted, left
+
+
 def _transfer_from(state: np.ndarray, sizes: np.ndarray, ok: np.ndarray) -> np.ndarray:
     """Advance a transfer vector (seats left for each entry value) by the
     given requests: each different entry value is replayed with ``_decide``."""
@@ -163,8 +198,8 @@ def admit_bookings(t, requests: DataFrame, partitions: int | None = None) -> Dat
                     F.coalesce("domain", F.lit(0)).cast("long").alias("domain")))
     # Everything below is a deterministic function of the checkpointed input
     # (partition ids included), so a recomputation after a lost executor
-    # gives the same rows; the small plan is cached because it is used twice.
-    plan = plan.cache()
+    # gives the same rows; the small plan is written because it is used twice.
+    plan = plan.checkpoint()
 
     # -- per chunk summary of overflow / post chunks (spanning events only).
     # A partition arrives in Arrow batches, so the state of the current event
@@ -173,7 +208,7 @@ def admit_bookings(t, requests: DataFrame, partitions: int | None = None) -> Dat
         cur, kind, left, vec = None, None, None, None
 
         def flush():
-            if cur is None or kind not in ("over", "post"):
+            if cur is None:
                 return None
             return pd.DataFrame({"event_id": [cur[0]], "pid": [cur[1]], "kind": [kind],
                                  "left_out": [left if kind == "over" else None],
@@ -188,7 +223,6 @@ def admit_bookings(t, requests: DataFrame, partitions: int | None = None) -> Dat
                     if out is not None:
                         yield out
                     cur, kind = (ev, pid), g["kind"].iloc[0]
-                    kind = None if pd.isna(kind) else kind
                     left = int(g["left_all_in"].iloc[0]) if kind == "over" else None
                     vec = (np.arange(int(g["domain"].iloc[0]), dtype=np.int64)
                            if kind == "post" else None)
@@ -196,13 +230,14 @@ def admit_bookings(t, requests: DataFrame, partitions: int | None = None) -> Dat
                 ok = g["_ok"].to_numpy(bool)
                 if kind == "over":
                     _, _, left = _decide(left, sizes, ok)
-                elif kind == "post":
+                else:
                     vec = _transfer_from(vec, sizes, ok)
         out = flush()
         if out is not None:
             yield out
 
-    joined = sorted_rows.join(F.broadcast(plan), ["event_id", "pid"], "left")
+    # Only spanning events' chunks get here: at most two per partition.
+    joined = sorted_rows.join(F.broadcast(plan.filter("kind <> 'pre'")), ["event_id", "pid"])
     summaries = joined.select("event_id", "pid", "kind", "left_all_in", "domain", "size",
                               "_ok").mapInPandas(summarise, _CHUNK_SCHEMA)
 
@@ -235,65 +270,35 @@ def admit_bookings(t, requests: DataFrame, partitions: int | None = None) -> Dat
     keep = [f.name for f in out_schema.fields[:-4]]
 
     def replay(it):
-        cur, left = None, None
+        cur, carried = None, None  # the event that a batch ended with, and its seats left
         for pdf in it:
             if pdf.empty:
                 continue
-            parts = []
-            for ev, g in pdf.groupby("event_id", sort=False):
-                exists = g["_exists"].to_numpy(bool)
-                if cur != ev:
-                    cur = ev
-                    li, l0 = g["left_in"].iloc[0], g["left0"].iloc[0]
-                    left = 0 if pd.isna(l0) else int(l0) if pd.isna(li) else int(li)
-                sizes = g["size"].to_numpy(np.int64)
-                ok = g["_ok"].to_numpy(bool)
-                before, adm, left = _decide(left, sizes, ok)
-                reason = np.where(~exists, "no-event",
-                                  np.where(before <= 0, "full",
-                                           np.where((sizes > before) | g["_gviol"].to_numpy(bool),
-                                                    "too-many",
-                                                    np.where(g["_closed"].to_numpy(bool), "closed",
-                                                             "admitted"))))
-                res = g[keep].copy()
-                res["left_before"] = pd.array(np.where(exists, before, 0), dtype="Int64")
-                res.loc[~exists, "left_before"] = pd.NA
-                res["admitted"] = adm
-                res["reason"] = reason
-                after = pd.array(before - np.where(adm, sizes, 0), dtype="Int64")
-                res["left_after"] = after
-                res.loc[~exists, "left_after"] = pd.NA
-                res["find_buddy"] = res["find_buddy"] & (g["grouping"].fillna(0) < 2)
-                parts.append(res)
-            yield pd.concat(parts)
+            ev = pdf["event_id"].to_numpy()
+            new = np.concatenate(([True], ev[1:] != ev[:-1]))
+            seg, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            exists = pdf["_exists"].to_numpy(bool)
+            start = pdf["left_in"].fillna(pdf["left0"]).fillna(0).to_numpy(np.int64)[first]
+            if cur is not None and ev[0] == cur:
+                start[0] = carried
+            sizes = pdf["size"].to_numpy(np.int64)
+            before, adm, left = decide_segments(seg, start, sizes, pdf["_ok"].to_numpy(bool))
+            cur, carried = ev[-1], int(left[-1])
+            large = (sizes > before) | pdf["_gviol"].to_numpy(bool)
+            reason = np.select([~exists, before <= 0, large, pdf["_closed"].to_numpy(bool)],
+                               ["no-event", "full", "too-many", "closed"], "admitted")
+            res = pdf[keep].copy()
+            res["left_before"] = pd.Series(before, dtype="Int64").where(exists)
+            res["admitted"] = adm
+            res["reason"] = reason
+            res["left_after"] = pd.Series(before - np.where(adm, sizes, 0), dtype="Int64").where(exists)
+            res["find_buddy"] = res["find_buddy"] & (pdf["grouping"].fillna(0) < 2)
+            yield res
 
     final = sorted_rows.join(F.broadcast(entry), ["event_id", "pid"], "left")
     return final.mapInPandas(replay, out_schema)
 
 
-def admit_bookings_reference_loop(rows: list[dict], events: dict, base: dict) -> dict:
-    """Plain-Python statement of ADM-1 for tests: request_id -> (reason, left_before)."""
-    out, left = {}, {}
-    for r in sorted(rows, key=lambda r: (r["event_id"], r["requested_at"], r["request_id"])):
-        ev = events.get(r["event_id"])
-        if ev is None:
-            out[r["request_id"]] = ("no-event", None)
-            continue
-        lb = left.setdefault(r["event_id"], ev["capacity"] - base.get(r["event_id"], 0))
-        size = r["size"]
-        if lb <= 0:
-            reason = "full"
-        elif size > lb or (ev["grouping"] > 2 and size > ev["grouping"]):
-            reason = "too-many"
-        elif r["requested_at"] > ev["start_time"]:
-            reason = "closed"
-        else:
-            reason = "admitted"
-            left[r["event_id"]] = lb - size
-        out[r["request_id"]] = (reason, lb)
-    return out
-
-
 # ------------------------------------------------------------------ MAT-1
 
 _MATCH_SCHEMA = ("reservation_id long, event_id long, user_id long, kind string, chat_no int, "
