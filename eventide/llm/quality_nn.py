@@ -57,50 +57,93 @@ def tokens(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return (whole >> U64(64 - bits)).astype(np.int64), np.repeat(doc, 2).reshape(use.shape)[use], whole
 
 
-def index_vectors(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and signs of the nonzero entries of every word id's index vector."""
+def index_vectors(bits: int) -> np.ndarray:
+    """Index vector of every word id (whole numbers: signs at NONZERO places),
+    and a last row of zeros for places between documents."""
     with np.errstate(over="ignore"):
         h = mix64(np.arange(NONZERO << bits, dtype=U64) + U64(0x51ED270B))
     h = h.reshape(-1, NONZERO)
-    return (h % U64(DIM)).astype(np.int64), 1.0 - 2.0 * ((h >> U64(40)) & U64(1)).astype(float)
+    out = np.zeros(((1 << bits) + 1, DIM), np.int8)
+    for j in range(NONZERO):
+        out[np.arange(len(h)), (h[:, j] % U64(DIM)).astype(np.int64)] += np.where(
+            (h[:, j] >> U64(40)) & U64(1), -1, 1).astype(np.int8)
+    return out
+
+
+def row_sums(x: np.ndarray, first: np.ndarray, dtype) -> np.ndarray:
+    """Sums of the runs of rows that start at ``first``, added row by row; long
+    runs one at a time, which is many times as fast as ``reduceat``."""
+    size = np.diff(first, append=len(x))
+    out = np.empty((len(first), x.shape[1]), dtype)
+    long = size >= 16
+    for i in np.flatnonzero(long):
+        x[first[i]:first[i] + size[i]].sum(0, dtype=dtype, out=out[i])
+    if not long.all():
+        rest = np.repeat(~long, size)
+        start = np.concatenate(([0], np.cumsum(size[~long])))[:-1]
+        out[~long] = np.add.reduceat(x[rest], start, axis=0, dtype=dtype)
+    return out
+
 
+def context_sums(texts: list[str], bits: int, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word ids, vectors): index vectors of each word's neighbours and of the
+    word itself, summed over its occurrences; exact whole numbers.
 
-def context_sums(texts: list[str], bits: int, index) -> np.ndarray:
-    """Index vectors of each word's neighbours and of the word, summed."""
-    pos, sign = index
+    Documents are set apart by WINDOW rows of zeros, so that the neighbours' sum
+    is a few shifted additions of one small-integer matrix.
+    """
     ids, doc, _ = tokens(texts, bits)
-    total = np.zeros(DIM << bits)
-    for step in range(WINDOW + 1):
-        n = len(ids) - step
-        if n <= 0:
-            break
-        same = doc[:n] == doc[step:]
-        a, b = ids[:n][same], ids[step:][same]
-        for w, c in ((a, b), (b, a)):
-            for j in range(NONZERO):
-                total += np.bincount(w * DIM + pos[c, j], sign[c, j], minlength=total.size)
-    return total.reshape(-1, DIM)
+    if not len(ids):
+        return np.empty(0, np.int64), np.empty((0, DIM), np.int64)
+    apart = WINDOW * (np.concatenate(([0], np.cumsum(np.diff(doc) > 0))) + 1)
+    at = np.arange(len(ids)) + apart
+    padded = np.full(at[-1] + WINDOW + 1, 1 << bits)
+    padded[at] = ids
+    rows = index[padded]
+    near = rows.copy()  # the word itself, once
+    for step in range(1, WINDOW + 1):
+        near[step:] += rows[:-step]
+        near[:-step] += rows[step:]
+    order = np.argsort(ids.astype(np.uint16) if bits <= 16 else ids, kind="stable")
+    words = ids[order]
+    first = np.flatnonzero(np.diff(words, prepend=-1))
+    return words[first], row_sums(near[at[order]], first, np.int64)
 
 
 def pool(texts: list[str], vectors: np.ndarray, bits: int) -> np.ndarray:
-    """Per text: mean and spread of its word vectors, logarithm of its tokens."""
+    """Per text: mean and spread of its word vectors, logarithm of its tokens.
+
+    A word's vector is that of its id plus OWN-sized signs at NONZERO places of
+    its whole hash. Those touch few entries, so their part of both sums is added
+    per document: (b + o)^2 = b^2 + 2bo + o^2.
+    """
     out = np.zeros((len(texts), 2 * DIM + 1))
     ids, doc, whole = tokens(texts, bits)
     if len(ids):
         first = np.flatnonzero(np.diff(doc, prepend=-1))
         rows, n = doc[first], np.diff(first, append=len(doc))[:, None]
         v = vectors[ids]
+        total, square = row_sums(v, first, np.float64), np.zeros((len(rows), DIM))
         with np.errstate(over="ignore"):
             mixed = mix64(whole + U64(0x2545F491))
-        at, size = np.arange(len(ids)) * DIM, OWN * NONZERO ** -0.5
+        cell = np.repeat(np.arange(len(rows)) * DIM, n[:, 0])
+        size, flat, lines = OWN * NONZERO ** -0.5, v.ravel(), np.arange(len(ids)) * DIM
+        places, signs = [], []
         for j in range(NONZERO):  # 16 bits an entry: its place and its sign
             part = (mixed >> U64(16 * j)) & U64(0xFFFF)
-            v.ravel()[at + ((part >> U64(1)) % U64(DIM)).astype(np.int64)] += np.where(part & U64(1), size, -size)
-        mean = np.add.reduceat(v, first, axis=0) / n
-        np.multiply(v, v, out=v)
-        square = np.add.reduceat(v, first, axis=0) / n
+            place = ((part >> U64(1)) % U64(DIM)).astype(np.int64)
+            sign = np.where(part & U64(1), size, -size)
+            value = flat[lines + place].astype(float)  # what stands there before this entry
+            for p, s in zip(places, signs):
+                value += np.where(p == place, s, 0.0)
+            places.append(place)
+            signs.append(sign)
+            total += np.bincount(cell + place, sign, total.size).reshape(total.shape)
+            square += np.bincount(cell + place, sign * (2 * value + sign), total.size).reshape(total.shape)
+        square += row_sums(np.multiply(v, v, out=v), first, np.float64)
+        mean = total / n
         out[rows, :DIM] = mean
-        out[rows, DIM:-1] = np.sqrt(np.maximum(square - mean * mean, 0))
+        out[rows, DIM:-1] = np.sqrt(np.maximum(square / n - mean * mean, 0))
         out[rows, -1] = np.log1p(n[:, 0])
     return out
 
@@ -180,33 +223,40 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, text: str =
               .join(F.broadcast(chosen), "k").dropDuplicates(["k"]).repartition(8, "k").checkpoint())
     index = index_vectors(bits)
 
-    def contexts(it):
+    def vector_rows(total):
         import pandas as pd
+        w = np.flatnonzero(np.abs(total).sum(1))
+        if len(w):
+            yield pd.DataFrame({"w": w, "v": [r.tobytes() for r in total[w].astype("<f4")]})
+
+    def contexts(it):
         total = np.zeros((1 << bits, DIM))
         for pdf in it:
             texts = pdf["t"].tolist()
             for a, b in text_blocks(texts):
-                total += context_sums(texts[a:b], bits, index)
-        w = np.flatnonzero(np.abs(total).sum(1))
-        if len(w):
-            yield pd.DataFrame({"w": w, "v": list(total[w])})
+                w, v = context_sums(texts[a:b], bits, index)
+                total[w] += v
+        yield from vector_rows(total)
 
     def add(it):
-        import pandas as pd
         total = np.zeros((1 << bits, DIM))
         for pdf in it:
-            np.add.at(total, pdf["w"].to_numpy(), np.stack(pdf["v"].tolist()))
-        w = np.flatnonzero(np.abs(total).sum(1))
-        if len(w):
-            yield pd.DataFrame({"w": w, "v": list(total[w])})
-
-    kind = "w long, v array<double>"
-    # At most 2**bits vectors come back, whatever the size of the input.
+            w = pdf["w"].to_numpy()
+            order = np.argsort(w, kind="stable")
+            first = np.flatnonzero(np.diff(w[order], prepend=-1))
+            v = np.frombuffer(b"".join(pdf["v"].tolist()), "<f4").reshape(-1, DIM).astype(float)
+            total[w[order][first]] += np.add.reduceat(v[order], first, axis=0)
+        yield from vector_rows(total)
+
+    kind = "w long, v binary"
+    # A map task gives at most 2**bits short vectors, a part of its input; they meet
+    # by id in as many tasks as the session shuffles into, and one of each id comes back.
     every = docs.select(F.col(text).alias("t")).filter("t is not null")
-    found = every.mapInPandas(contexts, kind).repartition(8, "w").mapInPandas(add, kind).toPandas()
+    found = every.mapInPandas(contexts, kind).repartition("w").mapInPandas(add, kind).toPandas()
     vectors = np.zeros((1 << bits, DIM), np.float32)
     if len(found):
-        v = np.stack(found["v"].tolist())
+        found = found.sort_values("w")
+        v = np.frombuffer(b"".join(found["v"].tolist()), "<f4").reshape(-1, DIM).astype(float)
         v = np.sign(v) * np.log1p(np.abs(v))
         v -= v.mean(0)
         vectors[found["w"].to_numpy()] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)

@@ -363,3 +363,48 @@ def test_segment_hash_does_not_depend_on_place():
     s, e = np.array([0, 4, 9, 8]), np.array([3, 7, 12, 12])
     h = nptext.segment_hash(cp, s, e)
     assert h[0] == h[1] == h[2] != h[3]
+
+
+def test_word_vectors_pool_and_net_against_plain_loops():
+    """Op 10's numpy stages restated one word and one document at a time."""
+    from eventide.llm import quality_nn as q
+    texts = ["The cat sat on 12 mats. THE cat", "", "a", "!! cat\ncat  cat the " * 9, "7 8", "   "]
+    bits = 6
+    index = q.index_vectors(bits)
+    ids, doc, whole = q.tokens(texts, bits)
+    want = np.zeros((1 << bits, q.DIM), int)
+    for i in range(len(ids)):
+        for j in range(max(0, i - q.WINDOW), min(len(ids), i + q.WINDOW + 1)):
+            if doc[i] == doc[j]:
+                want[ids[i]] += index[ids[j]]  # j == i: the word itself, once
+    got = np.zeros_like(want)
+    w, v = q.context_sums(texts, bits, index)
+    got[w] = v
+    assert len(set(w.tolist())) == len(w) and (got == want).all()
+    assert [len(x) for x in q.context_sums(["", " "], bits, index)] == [0, 0]
+
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(1 << bits, q.DIM)).astype(np.float32)
+    x = q.pool(texts, vectors, bits)
+    for d in range(len(texts)):
+        words = []
+        for i in np.flatnonzero(doc == d):
+            word = vectors[ids[i]].astype(float)
+            with np.errstate(over="ignore"):
+                mixed = int(q.mix64(whole[i:i + 1] + np.uint64(0x2545F491))[0])
+            for k in range(q.NONZERO):
+                part = mixed >> (16 * k) & 0xFFFF
+                word[(part >> 1) % q.DIM] += (1 if part & 1 else -1) * q.OWN / q.NONZERO ** 0.5
+            words.append(word)
+        m = np.array(words) if words else np.zeros((0, q.DIM))
+        plain = np.concatenate((m.mean(0), m.std(0), [np.log1p(len(m))])) if words else np.zeros(2 * q.DIM + 1)
+        assert np.allclose(x[d], plain, atol=1e-3)  # the spread is a root of single-precision squares
+
+    y = (rng.random(60) < 0.5).astype(float)
+    z = rng.normal(size=(60, 5)) + y[:, None]
+    net = q.train(z, y, hidden=3, epochs=40)
+    for row, out in zip(z, q.forward(net, z)):
+        hidden = [np.tanh(sum((row[i] - net["mu"][i]) / net["sd"][i] * net["w1"][i, h] for i in range(5)) + net["b1"][h])
+                  for h in range(3)]
+        assert np.isclose(out, sum(h * w for h, w in zip(hidden, net["w2"])) + net["b2"])
+    assert np.mean((q.forward(net, z) > 0) == (y == 1)) > 0.8
