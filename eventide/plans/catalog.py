@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from eventide.functions.exprs import (full_name, full_url, grouping_filter, hour_ranges,
                                       in_categories, location_like, of_leader, on_day, ts_lit,
                                       visible)
+from eventide.operators.ranks import global_rank
 from eventide.operators.stats import capacity_struct, rating_columns, rating_stats, seats_filled
 from eventide.operators.windows import top_by, top_n_per
 
@@ -68,10 +69,19 @@ def catalog_order_columns(as_of: str):
     return bucket.alias("order_bucket")
 
 
-def catalog_sort(df: DataFrame) -> DataFrame:
+def _catalog_order() -> list:
     b = F.col("order_bucket")
-    return df.orderBy(b.asc(), F.when(b == 1, F.col("start_time")).asc(),
-                      F.when(b != 1, F.col("start_time")).desc(), F.col("id").asc())
+    return [b.asc(), F.when(b == 1, F.col("start_time")).asc(),
+            F.when(b != 1, F.col("start_time")).desc(), F.col("id").asc()]
+
+
+def catalog_sort(df: DataFrame) -> DataFrame:
+    return df.orderBy(*_catalog_order())
+
+
+def catalog_rank(df: DataFrame) -> DataFrame:
+    """ORD-1 as a column ``order_rank``: the event's place in the whole list."""
+    return global_rank(df, _catalog_order(), "order_rank")
 
 
 def event_catalog(t, as_of: str, location: str | None = None, day: str | None = None,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from eventide.functions.calendar import to_jalali
 from eventide.functions.exprs import full_name, full_url, json_ids, minute_text, nested, ts_lit
 from eventide.operators.joins import members_of
+from eventide.operators.ranks import group_rank
 from eventide.operators.stats import (count_per, earnings_by_creator, past_events_per_user,
                                       rating_columns, rating_stats)
 
@@ -100,9 +101,10 @@ def user_profile(t, as_of: str) -> DataFrame:
                        F.coalesce("events_joined", F.lit(0)).alias("events_joined"))
 
 
-def user_reservations(t, users=None, sort: bool = True) -> DataFrame:
+def user_reservations(t, users=None, sort: bool = True, rank: bool = False) -> DataFrame:
     """Q10: every reservation with its event and user objects, newest first
-    per user (JN-2 inner joins: rows whose event or user is missing drop)."""
+    per user (JN-2 inner joins: rows whose event or user is missing drop).
+    ``rank`` adds the place in the user's list as ``order_rank`` (ORD-5)."""
     res = t.reservations
     if users is not None:
         res = res.filter(F.col("user_id").isin(list(users)))
@@ -117,8 +119,11 @@ def user_reservations(t, users=None, sort: bool = True) -> DataFrame:
                    nested(name=full_name("first_name", "last_name")).alias("user"),
                    "code", "price", "status", minute_text("created_at").alias("created_at"),
                    F.col("created_at").alias("_created")))
-    if sort:
-        out = out.orderBy("user_id", F.col("_created").desc(), F.col("id").desc())
+    newest = [F.col("_created").desc(), F.col("id").desc()]
+    if rank:
+        out = group_rank(out, ["user_id"], newest, "order_rank")
+    elif sort:
+        out = out.orderBy("user_id", *newest)
     return out.drop("_created")
 
 

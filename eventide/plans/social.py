@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.exprs import (coalesce_text, full_name, full_url, minute_text, nested,
                                       ts_lit, unattached)
+from eventide.operators.ranks import group_rank
 from eventide.operators.stats import count_per, hashtags_per_memory
 from eventide.operators.windows import first_per, latest_message
 
@@ -40,9 +41,10 @@ def other_member(participants: DataFrame, users: DataFrame) -> DataFrame:
                     .otherwise(F.col("second_user_id")).alias("other_user_id")))
 
 
-def inbox(t, as_of: str, users=None, sort: bool = False) -> DataFrame:
+def inbox(t, as_of: str, users=None, rank: bool = False) -> DataFrame:
     """Q13: completed chats of each user with display name / avatar, the last
-    message and its sender; live chats (expires_on >= as-of) rank first.
+    message and its sender; live chats (expires_on >= as-of) rank first
+    (``rank`` adds each chat's place in its user's list, ORD-4).
 
     Group chats show the chat name and the event's thumbnail *id* (as the
     reference does); pair chats show the other member's name and avatar.
@@ -81,18 +83,20 @@ def inbox(t, as_of: str, users=None, sort: bool = False) -> DataFrame:
                     .alias("last_message"),
                     "last_sender_name",
                     F.when(F.col("expires_on") >= now, 0).otherwise(1).alias("live_rank")))
-    return inbox_rank(out) if sort else out
+    return inbox_rank(out) if rank else out
 
 
 def inbox_rank(df: DataFrame) -> DataFrame:
-    """ORD-4: per user, live chats first, then newest last message (chats
-    without messages last), then chat id."""
-    return df.orderBy("user_id", "live_rank", F.col("last_message.time").desc_nulls_last(), "id")
+    """ORD-4 as a column ``order_rank`` per user: live chats first, then newest
+    last message (chats without messages last), then chat id."""
+    return group_rank(df, ["user_id"], ["live_rank", F.col("last_message.time").desc_nulls_last(), "id"],
+                      "order_rank")
 
 
-def thread(t, viewer: int, conversations=None, sort: bool = False) -> DataFrame:
+def thread(t, viewer: int, conversations=None, sort: bool = False, rank: bool = False) -> DataFrame:
     """Q14: the messages of each chat as seen by ``viewer``: is_self, sender
-    object (avatar only in group chats), and the replied message or NULL."""
+    object (avatar only in group chats), and the replied message or NULL.
+    ``rank`` adds the message's place in its chat as ``order_rank``."""
     m = t.messages
     if conversations is not None:
         m = m.filter(F.col("conversation_id").isin(list(conversations)))
@@ -116,6 +120,8 @@ def thread(t, viewer: int, conversations=None, sort: bool = False) -> DataFrame:
                nested(id=F.col("r_id"), sender=F.col("r_sender"), text=F.col("r_text")))
         .alias("reply_to"))
     # ORD-5: messages in id order within each chat
+    if rank:
+        return group_rank(out, ["conversation_id"], ["id"], "order_rank")
     return out.orderBy("conversation_id", "id") if sort else out
 
 

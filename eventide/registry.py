@@ -86,13 +86,15 @@ SELECT e.id, e.title, e.description, e.slug, e.start_time, e.end_time, e.locatio
        e.views, e.status, {_CAP_COLS}, {_LEADER_COLS},
        CASE WHEN e.start_time > {NOW} THEN 1
             WHEN e.start_time <= {NOW} AND (e.end_time IS NULL OR e.end_time >= {NOW}) THEN 2
-            ELSE 3 END AS order_bucket
+            ELSE 3 END AS order_bucket,
+       row_number() OVER (ORDER BY order_bucket, CASE WHEN order_bucket = 1 THEN e.start_time END,
+                          CASE WHEN order_bucket <> 1 THEN e.start_time END DESC, e.id) AS order_rank
 FROM d_events e {_DECOR_JOINS}
 LEFT JOIN d_event_medias em ON e.thumbnail_id = em.id
 WHERE e.status = 'verified' AND NOT e.is_private""")
 def q_event_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from eventide.plans.catalog import event_catalog
-    return flat(event_catalog(domain(spark, sf_dir), AS_OF))
+    from eventide.plans.catalog import catalog_rank, event_catalog
+    return flat(catalog_rank(event_catalog(domain(spark, sf_dir), AS_OF, sort=False)))
 
 
 @register("event_detail", _CATALOG_VIEWS, f"""
@@ -288,11 +290,12 @@ def q_user_profile(spark, sf_dir):
 SELECT r.id, r.user_id, e.title AS event_title, e.slug AS event_slug,
        strftime(e.start_time, '%Y/%m/%d %H:%M') AS event_start_time, e.price AS event_price,
        u.first_name || ' ' || u.last_name AS user_name, r.code, r.price, r.status,
-       strftime(r.created_at, '%Y/%m/%d %H:%M') AS created_at
+       strftime(r.created_at, '%Y/%m/%d %H:%M') AS created_at,
+       row_number() OVER (PARTITION BY r.user_id ORDER BY r.created_at DESC, r.id DESC) AS order_rank
 FROM d_reservations r JOIN d_events e ON r.event_id = e.id JOIN d_users u ON r.user_id = u.id""")
 def q_user_reservations(spark, sf_dir):
     from eventide.plans.people import user_reservations
-    return flat(user_reservations(domain(spark, sf_dir)))
+    return flat(user_reservations(domain(spark, sf_dir), rank=True))
 
 
 @register("user_transactions", ["d_transactions", "d_reservations", "d_events"], """
@@ -337,7 +340,9 @@ SELECT cp.user_id, c.id,
        END AS avatar,
        c.is_group, c.expires_on, m.text AS last_message_text, m.created_at AS last_message_time,
        u.first_name || ' ' || u.last_name AS last_sender_name,
-       CASE WHEN c.expires_on >= {NOW} THEN 0 ELSE 1 END AS live_rank
+       CASE WHEN c.expires_on >= {NOW} THEN 0 ELSE 1 END AS live_rank,
+       row_number() OVER (PARTITION BY cp.user_id ORDER BY c.expires_on < {NOW},
+                          m.created_at DESC NULLS LAST, c.id) AS order_rank
 FROM d_participants cp JOIN d_conversations c ON cp.conversation_id = c.id
 LEFT JOIN d_messages m ON m.id = (SELECT m2.id FROM d_messages m2 WHERE m2.conversation_id = c.id
                                   ORDER BY m2.created_at DESC, m2.id DESC LIMIT 1)
@@ -345,7 +350,7 @@ LEFT JOIN d_users u ON m.sender_id = u.id
 WHERE c.status = 'completed'""")
 def q_inbox(spark, sf_dir):
     from eventide.plans.social import inbox
-    return flat(inbox(domain(spark, sf_dir), AS_OF, sort=True))
+    return flat(inbox(domain(spark, sf_dir), AS_OF, rank=True))
 
 
 @register("thread", ["d_messages", "d_conversations", "d_users"], f"""
@@ -355,14 +360,15 @@ SELECT m.id, m.conversation_id, c.expires_on, m.text,
        CASE WHEN c.is_group THEN us.avatar END AS sender_avatar,
        CASE WHEN m.reply_to IS NOT NULL THEN r.id END AS reply_to_id,
        CASE WHEN m.reply_to IS NOT NULL THEN ur.first_name || ' ' || ur.last_name END AS reply_to_sender,
-       CASE WHEN m.reply_to IS NOT NULL THEN r.text END AS reply_to_text
+       CASE WHEN m.reply_to IS NOT NULL THEN r.text END AS reply_to_text,
+       row_number() OVER (PARTITION BY m.conversation_id ORDER BY m.id) AS order_rank
 FROM d_messages m LEFT JOIN d_messages r ON m.reply_to = r.id
 LEFT JOIN d_conversations c ON m.conversation_id = c.id
 LEFT JOIN d_users ur ON r.sender_id = ur.id
 LEFT JOIN d_users us ON m.sender_id = us.id""")
 def q_thread(spark, sf_dir):
     from eventide.plans.social import thread
-    return flat(thread(domain(spark, sf_dir), VIEWER, sort=True))
+    return flat(thread(domain(spark, sf_dir), VIEWER, rank=True))
 
 
 @register("memories_feed", ["d_memories", "d_users", "d_events", "d_memory_medias",
