@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.operators.stats import code_usage
+from eventide.operators.throttle import throttle
 from eventide.operators.windows import first_per
 from eventide.sources.sinks import apply_updates
 
@@ -164,9 +165,14 @@ def otp_match(issued: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def otp_audit(issued: DataFrame, attempts: DataFrame) -> DataFrame:
-    """OTP-1: per phone, code requests and the attempt outcomes."""
-    req = issued.groupBy("phone").agg(F.count(F.lit(1)).alias("requests"))
-    m = otp_match(issued, attempts)
+    """OTP-1: per phone, code requests, those of them that the throttle refuses
+    (a code of the phone and page was alive and unused; an ``ok`` attempt uses
+    the code it matched), and the attempt outcomes."""
+    m = otp_match(issued, attempts).checkpoint()
+    uses = (m.filter("status = 'ok'").join(issued.select(F.col("id").alias("otp_id"), "page"), "otp_id")
+            .select("phone", "page", F.col("attempted_at").alias("used_at")))
+    req = throttle(issued, uses).groupBy("phone").agg(
+        F.count(F.lit(1)).alias("requests"), F.sum((~F.col("accepted")).cast("int")).alias("throttled"))
     att = m.groupBy("phone").agg(
         F.count(F.lit(1)).alias("attempts"),
         F.sum((F.col("status") == "ok").cast("int")).alias("matched"),
@@ -175,5 +181,5 @@ def otp_audit(issued: DataFrame, attempts: DataFrame) -> DataFrame:
         F.sum((F.col("status") == "reused").cast("int")).alias("reused"))
     out = req.join(att, "phone", "full")
     return out.select("phone", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-                                 for c in ["requests", "attempts", "matched", "expired", "wrong",
+                                 for c in ["requests", "throttled", "attempts", "matched", "expired", "wrong",
                                            "reused"]])

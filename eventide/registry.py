@@ -521,6 +521,19 @@ st AS (SELECT *, CASE WHEN otp_id IS NULL THEN 'wrong'
 st2 AS (SELECT *, CASE WHEN s = 'ok' AND row_number() OVER (PARTITION BY otp_id, s
                          ORDER BY attempted_at, attempt_id) > 1 THEN 'reused' ELSE s END AS status
         FROM st),
+line AS (SELECT phone, page, created_at AS moment, true AS asks, id FROM d_otp_issued
+         UNION ALL SELECT u.phone, i.page, u.attempted_at, false, NULL
+         FROM st2 u JOIN d_otp_issued i ON u.otp_id = i.id WHERE u.status = 'ok'),
+l2 AS (SELECT *, floor(epoch(moment)) AS s,
+              row_number() OVER (PARTITION BY phone, page ORDER BY moment, asks DESC, id) AS rn FROM line),
+rec(phone, page, rn, live_until, refused) AS (
+  SELECT phone, page, rn, CASE WHEN asks THEN s + 120 ELSE 0 END, 0 FROM l2 WHERE rn = 1
+  UNION ALL
+  SELECT r.phone, r.page, r.rn,
+         CASE WHEN NOT r.asks THEN 0 WHEN r.s < rec.live_until THEN rec.live_until ELSE r.s + 120 END,
+         CASE WHEN r.asks AND r.s < rec.live_until THEN 1 ELSE 0 END
+  FROM rec JOIN l2 r ON r.phone = rec.phone AND r.page = rec.page AND r.rn = rec.rn + 1),
+thr AS (SELECT phone, sum(refused) AS throttled FROM rec GROUP BY phone),
 req AS (SELECT phone, count(*) AS requests FROM d_otp_issued GROUP BY phone),
 att AS (SELECT phone, count(*) AS attempts, sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) AS matched,
                sum(CASE WHEN status = 'expired' THEN 1 ELSE 0 END) AS expired,
@@ -528,10 +541,11 @@ att AS (SELECT phone, count(*) AS attempts, sum(CASE WHEN status = 'ok' THEN 1 E
                sum(CASE WHEN status = 'reused' THEN 1 ELSE 0 END) AS reused
         FROM st2 GROUP BY phone)
 SELECT coalesce(req.phone, att.phone) AS phone,
-       cast(coalesce(requests, 0) AS bigint) AS requests, cast(coalesce(attempts, 0) AS bigint) AS attempts,
+       cast(coalesce(requests, 0) AS bigint) AS requests, cast(coalesce(throttled, 0) AS bigint) AS throttled,
+       cast(coalesce(attempts, 0) AS bigint) AS attempts,
        cast(coalesce(matched, 0) AS bigint) AS matched, cast(coalesce(expired, 0) AS bigint) AS expired,
        cast(coalesce(wrong, 0) AS bigint) AS wrong, cast(coalesce(reused, 0) AS bigint) AS reused
-FROM req FULL JOIN att ON req.phone = att.phone""")
+FROM req FULL JOIN att ON req.phone = att.phone LEFT JOIN thr ON thr.phone = req.phone""", recursive=True)
 def q_otp_audit(spark, sf_dir):
     from eventide.plans.commerce import otp_audit
     t = domain(spark, sf_dir)

@@ -36,10 +36,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventide.operators.throttle import CODE_LIFETIME_S, throttle
 from eventide.session import ensure_checkpoint_dir
 from eventide.streaming.ordered import OrderedJob, children
 
-CODE_LIFETIME_S = 120   # fixed value: lifetime of a one-time code
 FRESH_AFTER_USE_S = 60  # fixed value: a used code keeps a phone verified this long
 
 
@@ -103,129 +103,47 @@ def run_foreach_batch(query_df: DataFrame, fn, checkpoint: str | None = None,
 
 # ------------------------------------------------------------------ ST-1
 
-def _chain(secs: np.ndarray, live: int | None):
-    """Accepted requests of one (phone, page), given when its code expires: each
-    accepted one is found by a search for the first at or after that time."""
-    taken = np.zeros(len(secs), bool)
-    at = 0 if live is None else int(np.searchsorted(secs, live))
-    while at < len(secs):
-        taken[at] = True
-        live = int(secs[at]) + CODE_LIFETIME_S
-        at = int(np.searchsorted(secs, live))
-    return taken, live
-
-
 def _throttle_step(ready: DataFrame, state: DataFrame | None, past: DataFrame | None):
-    """Requests sorted over all tasks by (phone, page, time, id), so that even one
-    phone spans tasks. Each task reports how its first key's expiry comes out
-    for each of the 121 ways it can come in; chained over the tasks (one small
-    row each) that gives every task its true start."""
+    """One release of requests and uses, decided by ``throttle`` from the state's
+    live codes; the new state is what can still throttle."""
     keys = ["phone", "page"]
-    rows = ready.select("id", *keys, "created_at", F.unix_seconds("created_at").alias("s"))
-    if state is not None:
-        rows = rows.alias("r").join(state.alias("l"), F.col("r.phone").eqNullSafe(F.col("l.phone"))
-                                    & F.col("r.page").eqNullSafe(F.col("l.page")), "left").select(
-            "r.*", "l.live")
+    if "request" in ready.columns:
+        asked, used = ready.filter("request"), ready.filter("not request").withColumnRenamed("created_at", "used_at")
     else:
-        rows = rows.withColumn("live", F.lit(None).cast("long"))
-    rows = (rows.repartitionByRange(*keys, "s", "id").sortWithinPartitions(*keys, "s", "id")
-            .checkpoint().withColumn("pid", F.spark_partition_id()))
-    pairs = lambda p: list(zip(p["phone"].astype(object).where(p["phone"].notna(), None),
-                               p["page"].astype(object).where(p["page"].notna(), None)))
-
-    def groups(pdf):
-        key = pairs(pdf)
-        cut = [i for i in range(len(key)) if not i or key[i] != key[i - 1]] + [len(key)]
-        return [(key[a], pdf.iloc[a:b]) for a, b in zip(cut[:-1], cut[1:])]
-
-    def first_live(g):
-        v = g["live"].iloc[0]
-        return None if pd.isna(v) else int(v)
-
-    def summarise(it):
-        first = last = pid = base = vec = live = None
-        for pdf in it:
-            for key, g in groups(pdf) if len(pdf) else ():
-                secs = g["s"].to_numpy(np.int64)
-                if first is None:
-                    first, pid, base = key, int(g["pid"].iloc[0]), int(secs[0])
-                    vec = base + np.arange(CODE_LIFETIME_S + 1)
-                if key == first:
-                    while True:
-                        at = np.searchsorted(secs, vec)
-                        go = at < len(secs)
-                        if not go.any():
-                            break
-                        vec[go] = secs[at[go]] + CODE_LIFETIME_S
-                else:
-                    live = _chain(secs, live if key == last else first_live(g))[1]
-                last = key
-        if first is not None:
-            yield pd.DataFrame({"pid": [pid], "k1": [repr(first)], "k2": [repr(last)],
-                                "base": [base], "vec": [vec.tolist()], "live": pd.array([live], "Int64")})
-
-    # One row per task, whatever the number of requests.
-    parts = rows.mapInPandas(summarise, "pid int, k1 string, k2 string, base long, "
-                             "vec array<bigint>, live long").collect()
-    heads = {r.pid: r for r in rows.groupBy("pid").agg(F.min_by("live", F.struct(*keys, "s", "id"))
-                                                       .alias("live")).collect()}
-    start: dict[int, int | None] = {}
-    key = live = None
-    for r in sorted(parts, key=lambda r: r.pid):
-        start[r.pid] = live if r.k1 == key else heads[r.pid].live
-        way = 0 if start[r.pid] is None else min(max(start[r.pid] - r.base, 0), CODE_LIFETIME_S)
-        live = r.vec[way] if r.k1 == r.k2 else r.live
-        key = r.k2
-
-    def decide(it):
-        first = last = live = None
-        for pdf in it:
-            for key, g in groups(pdf) if len(pdf) else ():
-                if first is None:
-                    first = last = key
-                    live = start[int(g["pid"].iloc[0])]
-                elif key != last:
-                    last, live = key, first_live(g)
-                taken, live = _chain(g["s"].to_numpy(np.int64), live)
-                yield pd.DataFrame({
-                    "id": g["id"].to_numpy(), "phone": g["phone"].to_numpy(), "page": g["page"].to_numpy(),
-                    "created_at": g["created_at"].to_numpy(), "accepted": taken,
-                    "expires_at": pd.array(np.where(taken, g["s"].to_numpy() + CODE_LIFETIME_S, -1),
-                                           "Int64").astype(object)})
-
-    out = rows.mapInPandas(decide, "id long, phone string, page string, created_at timestamp, "
-                           "accepted boolean, expires_at long")
-    out = out.withColumn("expires_at", F.when(F.col("accepted"), F.col("expires_at"))).checkpoint()
-    ends = out.filter("accepted").groupBy(*keys).agg(F.max("expires_at").alias("live"))
-    if state is not None:  # keep what can still throttle: expiries are at most one lifetime ahead
-        ends = ends.unionByName(state).groupBy(*keys).agg(F.max("live").alias("live"))
+        asked, used = ready, None
+    out = throttle(asked, used, state).checkpoint()
+    ends = out.filter("accepted").groupBy(*keys).agg(
+        F.max(F.struct(F.unix_micros("created_at").alias("at"), F.col("expires_at").alias("live"))).alias("e"))
+    ends = ends.select(*keys, "e.at", "e.live")
+    if state is not None:  # codes from before, unless a newer one was issued
+        ends = ends.unionByName(state.select(*keys, F.lit(None).cast("long").alias("at"), "live"))
+        ends = ends.groupBy(*keys).agg(F.max(F.struct("live", "at")).alias("e")).select(*keys, "e.at", "e.live")
+    if used is not None:
+        last = used.groupBy(*keys).agg(F.max(F.unix_micros("used_at")).alias("freed"))
+        ends = ends.alias("e").join(last.alias("u"), F.col("e.phone").eqNullSafe(F.col("u.phone"))
+                                    & F.col("e.page").eqNullSafe(F.col("u.page")), "left").filter(
+            F.col("freed").isNull() | (F.col("freed") < F.col("at"))).select("e.phone", "e.page", "live")
+    ends = ends.select(*keys, "live")
     newest = ready.agg(F.max(F.unix_seconds("created_at"))).first()[0]
     return out, ends if newest is None else ends.filter(F.col("live") > newest)
 
 
-def otp_throttle(requests: DataFrame, root: str, delay_seconds: int = 600) -> OrderedJob:
-    """ST-1: accept a code request only if the (phone, page) has no live code
-    (issued less than 120 s before). Requests ``(id, phone, page, created_at)``;
-    output adds ``accepted`` and the new code's ``expires_at`` (epoch seconds).
-    Code use is not seen by this stream, so a used code throttles until it
-    expires. The state holds one expiry per live (phone, page)."""
-    return OrderedJob(requests.sparkSession, root, "created_at", delay_seconds,
-                      _throttle_step).run(requests)
-
-
-def otp_throttle_loop(rows: list[dict]) -> dict:
-    """Plain-Python twin of ST-1 for tests: id -> accepted."""
-    live, out = {}, {}
-    for r in sorted(rows, key=lambda r: (r["created_at"], r["id"])):
-        k = (r["phone"], r["page"])
-        s = int(r["created_at"].replace(tzinfo=None).timestamp()) if hasattr(
-            r["created_at"], "timestamp") else r["created_at"]
-        if k in live and s < live[k]:
-            out[r["id"]] = False
-        else:
-            live[k] = s + CODE_LIFETIME_S
-            out[r["id"]] = True
-    return out
+def otp_throttle(requests: DataFrame, root: str, delay_seconds: int = 600,
+                 uses: DataFrame | None = None) -> OrderedJob:
+    """ST-1: accept a code request only if the (phone, page) has no unused live
+    code (issued less than 120 s before). Requests ``(id, phone, page,
+    created_at)``; output adds ``accepted`` and the new code's ``expires_at``
+    (epoch seconds). A second stream ``uses`` ``(phone, page, used_at)`` ends the
+    code that is alive then (without it, a used code throttles until it expires).
+    The state holds one expiry per live (phone, page)."""
+    if uses is None:
+        return OrderedJob(requests.sparkSession, root, "created_at", delay_seconds, _throttle_step).run(requests)
+    cols = ["phone", "page"]
+    both = requests.select("id", *cols, "created_at", F.lit(True).alias("request")).unionByName(
+        uses.select(F.lit(None).cast(requests.schema["id"].dataType).alias("id"), *cols,
+                    F.col("used_at").alias("created_at"), F.lit(False).alias("request")))
+    return OrderedJob(requests.sparkSession, root, "created_at", delay_seconds, _throttle_step, "request",
+                      ("true", "false")).run(both)
 
 
 # ------------------------------------------------------------------ ST-2 / ST-3

@@ -7,7 +7,7 @@ from eventide.plans.people import user_reservations
 from tests.conftest import SF_SMALL
 
 # Jobs whose semantics need per-key Python state (documented in their modules).
-PYTHON_OK = {"admit_bookings", "match_groups", "stream_otp_throttle", "stream_admit"}
+PYTHON_OK = {"admit_bookings", "match_groups", "otp_audit", "stream_otp_throttle", "stream_admit"}
 
 
 def _plan(df):

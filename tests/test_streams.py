@@ -4,9 +4,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from eventide.streaming.jobs import (admit_stream, file_stream, otp_throttle, otp_throttle_loop,
-                                     scratch_dir, settle_stream, settlement_snapshots)
+from eventide.streaming.jobs import (admit_stream, file_stream, otp_throttle, scratch_dir, settle_stream, settlement_snapshots)
 from eventide.streaming.ordered import OrderedJob
+from tests.test_throttle import loop, some
 
 BASE = dt.datetime(2024, 1, 1, 10, 0, 0)
 
@@ -42,10 +42,37 @@ def test_throttle_is_the_loop_for_any_files(spark, files):
     s = file_stream(df.repartition(files), "thr", "created_at", n_files=2)
     job = otp_throttle(s, scratch_dir(spark, "thr"), delay_seconds=3000)
     got = {r.id: r.accepted for r in job.table("out").collect()}
-    assert got == otp_throttle_loop(rows) and job.table("late").count() == 0
+    assert got == loop(rows) and job.table("late").count() == 0
     assert 0 < sum(got.values()) < len(got)
 
 
+@pytest.mark.parametrize("files", [3, 8])
+def test_a_used_code_frees_its_phone(spark, files):
+    rows, uses = some(files)
+    df = spark.createDataFrame(rows, "id long, phone string, page string, created_at timestamp")
+    u = spark.createDataFrame(uses, "phone string, page string, used_at timestamp")
+    job = otp_throttle(file_stream(df.repartition(files), "thr", "created_at", n_files=2), scratch_dir(spark, "use"),
+                       delay_seconds=5000, uses=file_stream(u.repartition(files), "use", "used_at", n_files=2))
+    assert {r.id: r.accepted for r in job.table("out").collect()} == loop(rows, uses)
+    assert loop(rows, uses) != loop(rows)
+
+
+def test_uses_over_many_steps_and_a_restart(spark):
+    from eventide.streaming.jobs import _throttle_step
+    rows, uses = some(1)
+    line = spark.createDataFrame(
+        [(r["id"], r["phone"], r["page"], r["created_at"], True) for r in rows]
+        + [(None, u["phone"], u["page"], u["used_at"], False) for u in uses],
+        "id long, phone string, page string, created_at timestamp, request boolean")
+    root = scratch_dir(spark, "steps")
+    for k in range(5):  # a new job object each time: it goes on from what is written
+        job = OrderedJob(spark, root, "created_at", 0, _throttle_step)
+        at = F.unix_seconds("created_at") - 1704067200
+        job.release(line.filter((at >= 800 * k) & (at < 800 * (k + 1))), str(k))
+    job.release(None, "end")
+    assert {r.id: r.accepted for r in job.table("out").collect()} == loop(rows, uses)
+
+
 def test_throttle_over_many_steps_keeps_its_state(spark):
     rows, df = requests(spark)
     from eventide.streaming.jobs import _throttle_step
@@ -54,7 +81,7 @@ def test_throttle_over_many_steps_keeps_its_state(spark):
         lo, hi = BASE + dt.timedelta(seconds=700 * k), BASE + dt.timedelta(seconds=700 * (k + 1))
         job.release(df.filter((F.col("created_at") >= F.lit(lo)) & (F.col("created_at") < F.lit(hi))), str(k))
     job.release(None, "end")
-    assert {r.id: r.accepted for r in job.table("out").collect()} == otp_throttle_loop(rows)
+    assert {r.id: r.accepted for r in job.table("out").collect()} == loop(rows)
 
 
 def test_late_rows_are_kept_with_a_reason(spark):
