@@ -6,6 +6,9 @@ sides. Vectors that meet in a leaf of any tree are compared, in double
 precision, and linked from the wanted cosine on; a union of the links gives
 the components.
 
+Vectors of different lengths never link: every length has a forest of its own, and
+the length is part of a leaf's key.
+
 The thresholds are the medians of a bounded, documented sample; below the
 levels the sample can fill, a node splits at its last sampled ancestor's
 centre, so depth follows the size of the table and leaves stay small. Every
@@ -122,12 +125,13 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, key: str = "vec_
                     leaf_rows: int = 256, spill: float = 0.2, sample_rows: int = 20_000) -> DataFrame:
     """(key, n_links, component_id, kept) for every row of ``vectors``.
 
-    Defined results: vectors that are NULL, empty, zero, hold a NULL or
-    non-finite component, or have another length than most of the table link
-    with nothing; equal vectors link with each other; repeated rows count as
+    Defined results: vectors that are NULL, empty, zero or hold a NULL or
+    non-finite component link with nothing; vectors of any length are compared
+    with those of their length; equal vectors link with each other; repeated rows count as
     rows; a component's id is its smallest non-NULL key; an empty table stays
     empty; other columns are not read. The forest is fitted on a sample of about
-    ``sample_rows`` vectors (at most 32 MB), every vector is indexed.
+    ``sample_rows`` vectors (at most 32 MB; at least 64 of each length), every vector
+    is indexed.
     """
     prepare(spark)
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("e"))
@@ -136,49 +140,52 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, key: str = "vec_
     big = F.lit(float("inf"))
     ok = (F.size("e") > 0) & ~F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == big)) & \
         F.exists("e", lambda v: v != 0)
-    rows = rows.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("d", F.size("e"))
-    lengths = rows.filter("ok").groupBy("d").count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = lengths[0].d if lengths else 0
-    rows = rows.withColumn("ok", F.col("ok") & (F.col("d") == dim))
+    rows = rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
     # One row per different vector, numbered once and for all by the checkpoint.
     nodes = (rows.filter("ok").groupBy("e").agg(F.count("*").alias("copies"), F.min("key").alias("low"))
-             .withColumn("rid", F.monotonically_increasing_id()).checkpoint())
-    total = nodes.count()
-    if not total:
+             .withColumn("d", F.size("e")).withColumn("rid", F.monotonically_increasing_id()).checkpoint())
+    lengths = {r.d: r.n for r in nodes.groupBy("d").agg(F.count("*").alias("n")).collect()}  # one row a length
+    if not lengths:
         return rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"),
                            F.col("key").alias("component_id"), F.lit(True).alias("kept"))
-    most = max(64, min(sample_rows, SAMPLE_BYTES // (8 * dim)))
-    sample = nodes.filter(unit_hash(F.col("e")) < most / total).select("e").toPandas()["e"].tolist()
-    sample = sample or [nodes.first().e]
-    depth = max(0, int(np.ceil(np.log2(total / leaf_rows))))
-    forest = spark.sparkContext.broadcast(fit_forest(
-        units([np.asarray(e, kind).tobytes() for e in sample], kind), depth, trees, spill))
+    total = sum(lengths.values())
+    most = min(sample_rows, SAMPLE_BYTES // (8 * max(lengths)))
+    rates = spark.createDataFrame([(d, max(64.0, most * n / total) / n) for d, n in lengths.items()],
+                                  "d int, rate double")
+    chosen = nodes.join(F.broadcast(rates), "d").filter(unit_hash(F.col("e")) < F.col("rate"))
+    samples: dict[int, list] = {d: [] for d in lengths}
+    for r in chosen.select("d", "e").toLocalIterator():
+        samples[r.d].append(np.asarray(r.e, kind).tobytes())
+    forests = {}
+    for d, n in lengths.items():
+        depth = max(0, int(np.ceil(np.log2(n / leaf_rows)))) if samples[d] else 0
+        sample = units(sorted(samples[d]), kind) if samples[d] else np.ones((1, d))
+        forests[d] = fit_forest(sample, depth, trees, spill)
+    shared = spark.sparkContext.broadcast(forests)
 
     def place(it):
         import pandas as pd
-        for pdf in it:
-            if not len(pdf):
-                continue
-            raw = [np.asarray(e, kind).tobytes() for e in pdf["e"]]
-            x = units(raw, kind)
-            row, home = route(forest.value, x)
-            order = np.lexsort((home, row))
-            row, home = row[order], home[order]
-            cut = np.searchsorted(row, np.arange(len(x) + 1))
-            homes = [home[cut[i]:cut[i + 1]].tobytes() for i in range(len(x))]
-            yield pd.DataFrame({"home": home, "rid": pdf["rid"].to_numpy()[row],
-                                "copies": pdf["copies"].to_numpy()[row],
-                                "vec": [raw[i] for i in row], "homes": [homes[i] for i in row]})
-
-    placed = nodes.select("rid", "e", "copies").mapInPandas(
-        place, "home long, rid long, copies long, vec binary, homes binary").checkpoint()
-    sizes = placed.groupBy("home").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = (placed.join(sizes, "home").withColumn("nb", F.ceil(F.col("n") / BLOCK))
+        for whole in it:
+            for d, pdf in whole.groupby("d"):
+                raw = [np.asarray(e, kind).tobytes() for e in pdf["e"]]
+                row, home = route(shared.value[d], units(raw, kind))
+                order = np.lexsort((home, row))
+                row, home = row[order], home[order]
+                cut = np.searchsorted(row, np.arange(len(raw) + 1))
+                homes = [home[cut[i]:cut[i + 1]].tobytes() for i in range(len(raw))]
+                yield pd.DataFrame({"d": d, "home": home, "rid": pdf["rid"].to_numpy()[row],
+                                    "copies": pdf["copies"].to_numpy()[row],
+                                    "vec": [raw[i] for i in row], "homes": [homes[i] for i in row]})
+
+    placed = nodes.select("rid", "e", "d", "copies").mapInPandas(
+        place, "d int, home long, rid long, copies long, vec binary, homes binary").checkpoint()
+    sizes = placed.groupBy("d", "home").agg(F.count("*").alias("n")).filter("n > 1")
+    blocks = (placed.join(sizes, ["d", "home"]).withColumn("nb", F.ceil(F.col("n") / BLOCK))
               .withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("nb")))
               .withColumn("j", F.explode(F.expr("sequence(0L, nb - 1)")))
               .withColumn("lo", F.least("blk", "j")).withColumn("hi", F.greatest("blk", "j"))
-              .select("home", "lo", "hi", "blk", "rid", "copies", "vec", "homes"))
-    group = ["home", "lo", "hi"]
+              .select("d", "home", "lo", "hi", "blk", "rid", "copies", "vec", "homes"))
+    group = ["d", "home", "lo", "hi"]
 
     def compare(it):
         import pandas as pd

@@ -40,6 +40,16 @@ def test_vectors_against_all_pairs(spark):
     check(spark, rows)
 
 
+def test_vectors_of_every_length(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for n, (dim, many) in enumerate([(8, 200), (4, 10), (3, 80), (1, 5)]):
+        base = [rng.normal(size=dim).tolist() for _ in range(many // 2)]
+        rows += [(1000 * n + i, v, 0) for i, v in enumerate(base)]
+        rows += [(1000 * n + 500 + i, (1.01 * np.array(v)).tolist(), 0) for i, v in enumerate(base)]
+    check(spark, rows)
+
+
 def test_one_crowded_leaf_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(rp_forest, "BLOCK", 16)
     rng = np.random.default_rng(1)
