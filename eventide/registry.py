@@ -266,6 +266,33 @@ jcal AS (SELECT cast(DATE '2024-03-20' + cast(so + d - aso AS integer) AS date)
          FROM jys, janc, range(0, 366) r(d) WHERE d < ylen)"""
 
 
+def _year_start_duck(y: str) -> str:
+    """DuckDB: days from the start of a cycle far back to a Jalali year's first day."""
+    return f"(({y} + 12) // 33 * 12053 + ({y} + 12) % 33 * 365 + (({y} + 12) % 33 + 2) // 4)"
+
+
+def jalali_duck(source: str, date: str) -> str:
+    """DuckDB: ``source`` with jy, jm, jd, doy (0-based) and leap of its date column, by arithmetic
+    (516818: the first day of year 1403 by the count of ``_year_start_duck``)."""
+    start = "c * 365 + (c + 2) // 4"
+    return (f"(SELECT * EXCLUDE (n, c, doy_), cast(n // 12053 * 33 + c - 12 AS int) AS jy, cast(doy_ AS int) AS doy, "
+            "cast(CASE WHEN doy_ < 186 THEN doy_ // 31 + 1 ELSE (doy_ - 186) // 30 + 7 END AS int) AS jm, "
+            "cast(CASE WHEN doy_ < 186 THEN doy_ % 31 + 1 ELSE (doy_ - 186) % 30 + 1 END AS int) AS jd, "
+            "c % 4 = 1 AS leap "
+            f"FROM (SELECT *, n % 12053 - ({start}) AS doy_ "
+            f"FROM (SELECT * EXCLUDE (c), c - CASE WHEN {start} > n % 12053 THEN 1 ELSE 0 END AS c "
+            f"FROM (SELECT *, least(n % 12053 // 365, 32) AS c "
+            f"FROM (SELECT *, {date} - DATE '2024-03-20' + 516818 AS n FROM {source})))))")
+
+
+def gregorian_duck(y: str, m: str, d: str) -> str:
+    """DuckDB: the date of a Jalali year, month and day; NULL for an impossible one."""
+    return (f"CASE WHEN {y} >= 1 AND {m} BETWEEN 1 AND 12 AND {d} >= 1 AND {d} <= CASE WHEN {m} <= 6 THEN 31 "
+            f"WHEN {m} <= 11 OR ({y} + 12) % 33 % 4 = 1 THEN 30 ELSE 29 END "
+            f"THEN DATE '2024-03-20' + cast({_year_start_duck(y)} + CASE WHEN {m} <= 7 THEN ({m} - 1) * 31 "
+            f"ELSE 186 + ({m} - 7) * 30 END + {d} - 1 - 516818 AS int) END")
+
+
 @register("user_profile", ["d_users", "d_ratings", "d_reservations", "d_events"], f"""
 , {_RS4.strip()}, {JCAL_DUCK.strip()},
 pj AS (SELECT r.user_id, count(*) AS n FROM d_reservations r JOIN d_events e ON r.event_id = e.id
@@ -971,7 +998,7 @@ def q_stream_admit(spark, sf_dir):
 
 def _date_sql(col: str) -> str:
     """DuckDB: the CAL-3 reading of a date text column as ``(y, m, d, date)``
-    pieces; Jalali years (< 1600) are looked up in ``jcal``."""
+    pieces; a year below 1600 is Jalali."""
     t = f"translate(trim({col}), '۰۱۲۳۴۵۶۷۸۹٫', '0123456789.')"
     norm = (f"CASE WHEN length({t}) - length(replace({t}, '/', '')) = 2 THEN {t} "
             f"WHEN length({t}) - length(replace({t}, '-', '')) = 2 THEN replace({t}, '-', '/') END")
@@ -984,27 +1011,53 @@ _PLACE = "[\\x{0622}-\\x{06CC}\\x{06F0}-\\x{06F9}0-9\\s\\-_,\\x{060C}\\.]"
 _LAT = "'(\\+|-)?(?:90(?:\\.0{1,6})?|(?:[0-9]|[1-8][0-9])(?:\\.[0-9]{1,6})?)'"
 _LNG = "'(\\+|-)?(?:180(?:\\.0{1,6})?|(?:[0-9]|[1-9][0-9]|1[0-7][0-9])(?:\\.[0-9]{1,6})?)'"
 
-_EV_CHECK_SQL = f"""
-, {JCAL_DUCK.strip()},
-sp AS (SELECT s.*, {_date_sql('start_date')} AS sp_, {_date_sql('end_date')} AS ep_
+# The rules of DQ-3 in the order of their reasons: reason, condition of a row that breaks it.
+_EV_RULES = {
+    "title_length": f"""NOT coalesce(length(title) BETWEEN 5 AND 150, false)""",
+    "category": f"""cat_id IS NULL""",
+    "start_date": f"""NOT coalesce(regexp_full_match(start_date, {_YMD}), false) OR sdate IS NULL""",
+    "start_time": f"""NOT coalesce(regexp_full_match(start_time, {_HHMM}), false)""",
+    "end_date": f"""NOT coalesce(regexp_full_match(end_date, {_YMD}), false) OR edate IS NULL""",
+    "end_time": f"""NOT coalesce(regexp_full_match(end_time, {_HHMM}), false)""",
+    "start_in_past": f"""coalesce(st_ < {NOW}, false)""",
+    "end_before_start": f"""coalesce(et_ <= st_, false)""",
+    "location_name": f"""NOT coalesce(regexp_full_match(location_name, '{_PLACE}{{3,100}}'), false)""",
+    "address": f"""NOT coalesce(regexp_full_match(address, '{_PLACE}{{10,150}}'), false)""",
+    "lat": f"""NOT coalesce(regexp_full_match(coordinate_lat, {_LAT}), false)""",
+    "lng": f"""NOT coalesce(regexp_full_match(coordinate_lng, {_LNG}), false)""",
+    "coordinate_address": f"""NOT coalesce(regexp_full_match(coordinate_address, '{_PLACE}{{10,150}}'), false)""",
+    "description_length": f"""NOT coalesce(length(description) BETWEEN 20 AND 2000, false)""",
+    "no_image": f"""thumbnail_id IS NULL""",
+    "capacity": f"""NOT coalesce(cap_i BETWEEN 1 AND 65535, false)""",
+    "grouping": f"""grp > 0 AND grp <> cap_i AND (grp > cap_i OR cap_i % greatest(grp, 1) <> 0)""",
+    "price": f"""price IS NOT NULL AND price <> '' AND price <> '0' AND NOT coalesce(try_cast(price_digits AS bigint) > 0, false)""",
+    "leader": f"""(CASE WHEN is_admin AND named_leader IS NOT NULL THEN named_leader ELSE own_leader END) IS NULL""",
+}
+
+
+def _ev_reasons(names) -> str:
+    return "concat_ws(',', " + ",\n  ".join(f"CASE WHEN {_EV_RULES[n]} THEN '{n}' END" for n in names) + ")"
+
+
+_EV_TIMES_SQL = f"""sp AS (SELECT s.*, {_date_sql('start_date')} AS sp_, {_date_sql('end_date')} AS ep_
        FROM d_event_submissions s),
 sy AS (SELECT *, try_cast(sp_[1] AS int) AS sy_, try_cast(sp_[2] AS int) AS sm_,
               try_cast(sp_[3] AS int) AS sd_, try_cast(ep_[1] AS int) AS ey_,
               try_cast(ep_[2] AS int) AS em_, try_cast(ep_[3] AS int) AS ed_ FROM sp),
 sdt AS (SELECT y.*,
-          CASE WHEN y.sy_ < 1600 THEN j1.date
+          CASE WHEN sy_ < 1600 THEN {gregorian_duck('sy_', 'sm_', 'sd_')}
                ELSE cast(try_strptime(printf('%04d-%02d-%02d', y.sy_, y.sm_, y.sd_), '%Y-%m-%d') AS date) END AS sdate,
-          CASE WHEN y.ey_ < 1600 THEN j2.date
+          CASE WHEN ey_ < 1600 THEN {gregorian_duck('ey_', 'em_', 'ed_')}
                ELSE cast(try_strptime(printf('%04d-%02d-%02d', y.ey_, y.em_, y.ed_), '%Y-%m-%d') AS date) END AS edate
-        FROM sy y LEFT JOIN jcal j1 ON j1.jy = y.sy_ AND j1.jm = y.sm_ AND j1.jd = y.sd_
-        LEFT JOIN jcal j2 ON j2.jy = y.ey_ AND j2.jm = y.em_ AND j2.jd = y.ed_),
+        FROM sy y),
 st AS (SELECT *,
           CASE WHEN regexp_full_match(start_time, {_HHMM})
                THEN try_strptime(cast(sdate AS varchar) || ' ' || start_time, '%Y-%m-%d %H:%M') END AS st_,
           CASE WHEN regexp_full_match(end_time, {_HHMM})
                THEN try_strptime(cast(edate AS varchar) || ' ' || end_time, '%Y-%m-%d %H:%M') END AS et_
-        FROM sdt),
-mu AS (SELECT sub_id, trim(unnest(string_split(media_ids, ','))) AS uuid,
+        FROM sdt)"""
+
+_EV_LINKS_SQL = """mu AS (SELECT sub_id, trim(unnest(string_split(media_ids, ','))) AS uuid,
               unnest(generate_series(1, len(string_split(media_ids, ',')))) AS pos
        FROM d_event_submissions),
 th AS (SELECT mu.sub_id, arg_min(em.id, mu.pos) AS thumbnail_id FROM mu
@@ -1019,36 +1072,42 @@ x AS (SELECT st.*, th.thumbnail_id, ec.id AS cat_id, u.role,
       LEFT JOIN d_event_categories ec ON ec.id = try_cast(st.category AS bigint)
       LEFT JOIN d_users u ON u.id = st.creator_id
       LEFT JOIN d_leaders ol ON ol.user_id = st.creator_id
-      LEFT JOIN d_leaders nl ON nl.id = try_cast(st.leader AS bigint)),
+      LEFT JOIN d_leaders nl ON nl.id = try_cast(st.leader AS bigint)),"""
+
+_EV_CHECK_SQL = f"""
+, {_EV_TIMES_SQL},
+{_EV_LINKS_SQL}
 v AS (SELECT *, CASE WHEN is_admin AND named_leader IS NOT NULL THEN named_leader ELSE own_leader END AS leader_id,
-        concat_ws(',',
-          CASE WHEN NOT coalesce(length(title) BETWEEN 5 AND 150, false) THEN 'title_length' END,
-          CASE WHEN cat_id IS NULL THEN 'category' END,
-          CASE WHEN NOT coalesce(regexp_full_match(start_date, {_YMD}), false) OR sdate IS NULL THEN 'start_date' END,
-          CASE WHEN NOT coalesce(regexp_full_match(start_time, {_HHMM}), false) THEN 'start_time' END,
-          CASE WHEN NOT coalesce(regexp_full_match(end_date, {_YMD}), false) OR edate IS NULL THEN 'end_date' END,
-          CASE WHEN NOT coalesce(regexp_full_match(end_time, {_HHMM}), false) THEN 'end_time' END,
-          CASE WHEN coalesce(st_ < {NOW}, false) THEN 'start_in_past' END,
-          CASE WHEN coalesce(et_ <= st_, false) THEN 'end_before_start' END,
-          CASE WHEN NOT coalesce(regexp_full_match(location_name, '{_PLACE}{{3,100}}'), false) THEN 'location_name' END,
-          CASE WHEN NOT coalesce(regexp_full_match(address, '{_PLACE}{{10,150}}'), false) THEN 'address' END,
-          CASE WHEN NOT coalesce(regexp_full_match(coordinate_lat, {_LAT}), false) THEN 'lat' END,
-          CASE WHEN NOT coalesce(regexp_full_match(coordinate_lng, {_LNG}), false) THEN 'lng' END,
-          CASE WHEN NOT coalesce(regexp_full_match(coordinate_address, '{_PLACE}{{10,150}}'), false)
-               THEN 'coordinate_address' END,
-          CASE WHEN NOT coalesce(length(description) BETWEEN 20 AND 2000, false) THEN 'description_length' END,
-          CASE WHEN thumbnail_id IS NULL THEN 'no_image' END,
-          CASE WHEN NOT coalesce(cap_i BETWEEN 1 AND 65535, false) THEN 'capacity' END,
-          CASE WHEN grp > 0 AND grp <> cap_i AND (grp > cap_i OR cap_i % greatest(grp, 1) <> 0) THEN 'grouping' END,
-          CASE WHEN price IS NOT NULL AND price <> '' AND price <> '0'
-                    AND NOT coalesce(try_cast(price_digits AS bigint) > 0, false) THEN 'price' END,
-          CASE WHEN (CASE WHEN is_admin AND named_leader IS NOT NULL THEN named_leader ELSE own_leader END) IS NULL
-               THEN 'leader' END) AS reasons
+        {_ev_reasons(_EV_RULES)} AS reasons
       FROM x)"""
 
 _EV_VIEWS = ["d_event_submissions", "d_event_categories", "d_event_medias", "d_leaders", "d_users"]
 
 
+def _register_event_checks(name: str, views: list[str], rules: tuple, ctes: str, source: str) -> None:
+    """DQ-3 by groups of rules: each submission with the reasons of one group."""
+    def query(spark, sf_dir):
+        from eventide.operators.quality import validate_events
+        t = domain(spark, sf_dir)
+        r = validate_events(t.event_submissions, t.event_categories, t.event_medias, t.leaders,
+                            t.users, AS_OF, checked=True)
+        mine = F.array(*[F.lit(x) for x in rules])
+        return r.select("sub_id", F.array_join(F.array_intersect("reasons", mine), ",").alias("reasons"))
+
+    register(name, views, f"{ctes}\nSELECT sub_id, {_ev_reasons(rules)} AS reasons FROM {source}")(query)
+
+
+_register_event_checks("event_text_checks", ["d_event_submissions"], (
+    "title_length", "location_name", "address", "lat", "lng", "coordinate_address", "description_length"),
+    "", "d_event_submissions")
+_register_event_checks("event_time_checks", ["d_event_submissions"], (
+    "start_date", "start_time", "end_date", "end_time", "start_in_past", "end_before_start"),
+    ", " + _EV_TIMES_SQL, "st")
+_register_event_checks("event_link_checks", _EV_VIEWS, (
+    "category", "no_image", "capacity", "grouping", "price", "leader"),
+    ", st AS (SELECT * FROM d_event_submissions),\n" + _EV_LINKS_SQL.rstrip(","), "x")
+
+
 @register("validate_events", _EV_VIEWS, _EV_CHECK_SQL + """
 SELECT sub_id, reasons,
        CASE WHEN reasons = '' THEN thumbnail_id END AS thumbnail_id,
@@ -1079,9 +1138,9 @@ SELECT sub_id, title, description, cat_id AS category_id, st_ AS start_time, et_
        (SELECT max(id) FROM d_events) + sub_id AS id, {NOW} AS created_at, cast(0 AS bigint) AS views,
        trim(lower(regexp_replace(
          regexp_replace(title, '[^a-zA-Z0-9\\s\\-_\\x{{0600}}-\\x{{06FF}}]', '', 'g')
-         || coalesce(' ' || lpad(cast(j.jd AS varchar), 2, '0') || ' ' || {_MONTHS_DUCK}[j.jm]
-                     || ' ' || cast(j.jy AS varchar), ''), '\\s+', '-', 'g')), '-') AS slug
-FROM v LEFT JOIN jcal j ON cast(st_ AS date) = j.date WHERE reasons = ''""")
+         || coalesce(' ' || lpad(cast(jd AS varchar), 2, '0') || ' ' || {_MONTHS_DUCK}[jm]
+                     || ' ' || cast(jy AS varchar), ''), '\\s+', '-', 'g')), '-') AS slug
+FROM {jalali_duck('v', 'cast(st_ AS date)')} WHERE reasons = ''""")
 @register("ingest_events")
 def q_ingest_events(spark, sf_dir):
     from eventide.operators.quality import ingest_events, validate_events
@@ -1126,9 +1185,10 @@ def q_reservation_codes(spark, sf_dir):
 
 
 @register("calendar_days", ["d_reservations"], f"""
-, {JCAL_DUCK.strip()},
-days AS (SELECT DISTINCT cast(created_at AS date) AS date FROM d_reservations),
-c AS (SELECT j.*, cast((dayofweek(j.date) + 1) % 7 AS integer) AS weekday FROM jcal j JOIN days USING (date))
+, days AS (SELECT DISTINCT cast(created_at AS date) AS date FROM d_reservations),
+w AS (SELECT *, cast((dayofweek(date) + 1) % 7 AS integer) AS weekday FROM days),
+c AS (SELECT * FROM {jalali_duck('w', 'date')}),
+t AS (SELECT date, doy, jy FROM {jalali_duck('w', '(date + cast(3 - weekday AS integer))')})
 SELECT cast(c.date AS varchar) AS date, c.jy, c.jm, c.jd, {_MONTHS_DUCK}[c.jm] AS month_name,
        {_duck_list("MONTH_SHORT")}[c.jm] AS month_short,
        cast(floor(c.jm / 3.1) + 1 AS int) AS season,
@@ -1143,7 +1203,7 @@ SELECT cast(c.date AS varchar) AS date, c.jy, c.jm, c.jd, {_MONTHS_DUCK}[c.jm] A
        {_duck_list("YEAR_ANIMALS")}[c.jy % 12 + 1] AS year_animal,
        translate(cast(c.jy AS varchar) || '/' || cast(c.jm AS varchar) || '/' || cast(c.jd AS varchar),
                  '0123456789', '۰۱۲۳۴۵۶۷۸۹') AS text_fa
-FROM c LEFT JOIN jcal t ON t.date = c.date + cast(3 - c.weekday AS integer)""")
+FROM c JOIN t ON t.date = c.date""")
 def q_calendar_days(spark, sf_dir):
     t = domain(spark, sf_dir)
     days = t.reservations.select(F.col("created_at").cast("date").alias("date")).distinct()
