@@ -12,12 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventide.functions.patterns import (ADDRESS, HOUR_MINUTE, LATITUDE, LONGITUDE, PERSIAN_NAME, PLACE_NAME,
+                                         YEAR_MONTH_DAY, anchored)
 
-# ------------------------------------------------------------------ DQ-2..5
-
-# The reference's Persian-letter name class (U+0622 .. U+06CC).
-FA_NAME = r"^[\x{0622}-\x{06CC}\s]{2,25}$"
 
+# ------------------------------------------------------------------ DQ-2..5
 
 def national_id_ok(c: Column) -> Column:
     """Iranian national id: 10 digits (spaces / dashes ignored), not all the
@@ -67,8 +66,8 @@ def check_users(raw: DataFrame, users: DataFrame, key: str = "row_id",
     r = (raw.join(phones.withColumn("_p_taken", F.lit(True)), F.col("phone") == F.col("_p"), "left")
          .join(nids.withColumn("_n_taken", F.lit(True)), F.col("national_id") == F.col("_n"), "left"))
     own = _reasons(
-        (~F.coalesce(F.col("first_name").rlike(FA_NAME), F.lit(False)), "first_name"),
-        (~F.coalesce(F.col("last_name").rlike(FA_NAME), F.lit(False)), "last_name"),
+        (~F.coalesce(F.col("first_name").rlike(anchored(PERSIAN_NAME)), F.lit(False)), "first_name"),
+        (~F.coalesce(F.col("last_name").rlike(anchored(PERSIAN_NAME)), F.lit(False)), "last_name"),
         (~F.coalesce(F.col("phone").rlike(r"^09\d{9}$"), F.lit(False)), "phone"),
         (~national_id_ok(F.col("national_id")), "national_id"),
         (F.coalesce(F.col("_p_taken"), F.lit(False)), "phone_taken"),
@@ -157,16 +156,13 @@ def validate_events(raw: DataFrame, categories: DataFrame, medias: DataFrame,
     from eventide.functions.calendar import normalise_dates
     from eventide.operators.windows import first_image
 
-    place = r"^[\x{0622}-\x{06CC}\x{06F0}-\x{06F9}0-9\s\-_,\x{060C}\.]"
     r = normalise_dates(raw, "start_date", out="_sd")
     r = normalise_dates(r, "end_date", out="_ed")
-    hhmm = r"^(2[0-3]|[01]?[0-9]):[0-5][0-9]$"
-    ymd = r"^\d{4}/(0[1-9]|1[0-2])/(0[1-9]|[12][0-9]|3[01])$"
 
     def at(d, tm):
         # only a time that passes the HH:MM rule is read (the reference stops
         # at a bad time, so no later rule judges it)
-        return F.when(F.col(tm).rlike(hhmm), F.try_to_timestamp(
+        return F.when(F.col(tm).rlike(anchored(HOUR_MINUTE)), F.try_to_timestamp(
             F.concat_ws(" ", F.col(d).cast("string"), F.col(tm)), F.lit("yyyy-MM-dd H:mm")))
 
     r = r.withColumn("_start", at("_sd", "start_time").cast("timestamp_ntz")).withColumn(
@@ -195,8 +191,6 @@ def validate_events(raw: DataFrame, categories: DataFrame, medias: DataFrame,
     grp = F.coalesce(F.when(group.rlike(whole), F.trim(group).try_cast("long")), F.lit(0))
     price_digits = F.regexp_replace(F.coalesce(F.col("price").cast("string"), F.lit("")),
                                     r"\D", "")
-    coord = r"^(\+|-)?(?:90(?:\.0{1,6})?|(?:[0-9]|[1-8][0-9])(?:\.[0-9]{1,6})?)$"
-    lng = r"^(\+|-)?(?:180(?:\.0{1,6})?|(?:[0-9]|[1-9][0-9]|1[0-7][0-9])(?:\.[0-9]{1,6})?)$"
     now = F.lit(as_of).cast("timestamp_ntz")
     is_admin = F.coalesce(F.col("_role") == "admin", F.lit(False))
     leader_id = F.when(is_admin & F.col("_named_ok").isNotNull(), F.col("_named")).otherwise(
@@ -206,20 +200,20 @@ def validate_events(raw: DataFrame, categories: DataFrame, medias: DataFrame,
     reasons = _reasons(
         (~F.coalesce(n_title.between(5, 150), F.lit(False)), "title_length"),
         (F.col("_cat_ok").isNull(), "category"),
-        (~F.coalesce(F.col("start_date").rlike(ymd), F.lit(False)) | F.col("_sd").isNull(),
+        (~F.coalesce(F.col("start_date").rlike(anchored(YEAR_MONTH_DAY)), F.lit(False)) | F.col("_sd").isNull(),
          "start_date"),
-        (~F.coalesce(F.col("start_time").rlike(hhmm), F.lit(False)), "start_time"),
-        (~F.coalesce(F.col("end_date").rlike(ymd), F.lit(False)) | F.col("_ed").isNull(),
+        (~F.coalesce(F.col("start_time").rlike(anchored(HOUR_MINUTE)), F.lit(False)), "start_time"),
+        (~F.coalesce(F.col("end_date").rlike(anchored(YEAR_MONTH_DAY)), F.lit(False)) | F.col("_ed").isNull(),
          "end_date"),
-        (~F.coalesce(F.col("end_time").rlike(hhmm), F.lit(False)), "end_time"),
+        (~F.coalesce(F.col("end_time").rlike(anchored(HOUR_MINUTE)), F.lit(False)), "end_time"),
         (F.coalesce(F.col("_start") < now, F.lit(False)), "start_in_past"),
         (F.coalesce(F.col("_end") <= F.col("_start"), F.lit(False)), "end_before_start"),
-        (~F.coalesce(F.col("location_name").rlike(place + r"{3,100}$"), F.lit(False)),
+        (~F.coalesce(F.col("location_name").rlike(anchored(PLACE_NAME)), F.lit(False)),
          "location_name"),
-        (~F.coalesce(F.col("address").rlike(place + r"{10,150}$"), F.lit(False)), "address"),
-        (~F.coalesce(F.col("coordinate_lat").cast("string").rlike(coord), F.lit(False)), "lat"),
-        (~F.coalesce(F.col("coordinate_lng").cast("string").rlike(lng), F.lit(False)), "lng"),
-        (~F.coalesce(F.col("coordinate_address").rlike(place + r"{10,150}$"), F.lit(False)),
+        (~F.coalesce(F.col("address").rlike(anchored(ADDRESS)), F.lit(False)), "address"),
+        (~F.coalesce(F.col("coordinate_lat").cast("string").rlike(anchored(LATITUDE)), F.lit(False)), "lat"),
+        (~F.coalesce(F.col("coordinate_lng").cast("string").rlike(anchored(LONGITUDE)), F.lit(False)), "lng"),
+        (~F.coalesce(F.col("coordinate_address").rlike(anchored(ADDRESS)), F.lit(False)),
          "coordinate_address"),
         (~F.coalesce(n_desc.between(20, 2000), F.lit(False)), "description_length"),
         (F.col("thumbnail_id").isNull(), "no_image"),

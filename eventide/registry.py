@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from eventide.functions.exprs import flatten
+from eventide.functions.patterns import (ADDRESS, HOUR_MINUTE, LATITUDE, LONGITUDE, PERSIAN_NAME, PLACE_NAME,
+                                         YEAR_MONTH_DAY)
 from eventide.sources.views import AS_OF, domain, duckdb_ctes
 
 QUERIES: dict = {}
@@ -729,7 +731,7 @@ _NID_OK = """(regexp_full_match(regexp_replace({c}, '[\\s\\-]', '', 'g'), '\\d{{
                  = 11 - list_sum([cast(substr(regexp_replace({c}, '[\\s\\-]', '', 'g'), i, 1) AS int) * (11 - i)
                                   for i in range(1, 10)]) % 11 END))"""
 
-_FA = "'[\\x{0622}-\\x{06CC}\\s]{2,25}'"
+_FA = f"'{PERSIAN_NAME}'"
 
 
 HASH_SECRET = "registered-query"  # a deployment passes its own
@@ -1005,11 +1007,8 @@ def _date_sql(col: str) -> str:
     return f"string_split({norm}, '/')"
 
 
-_HHMM = "'(2[0-3]|[01]?[0-9]):[0-5][0-9]'"
-_YMD = "'\\d{4}/(0[1-9]|1[0-2])/(0[1-9]|[12][0-9]|3[01])'"
-_PLACE = "[\\x{0622}-\\x{06CC}\\x{06F0}-\\x{06F9}0-9\\s\\-_,\\x{060C}\\.]"
-_LAT = "'(\\+|-)?(?:90(?:\\.0{1,6})?|(?:[0-9]|[1-8][0-9])(?:\\.[0-9]{1,6})?)'"
-_LNG = "'(\\+|-)?(?:180(?:\\.0{1,6})?|(?:[0-9]|[1-9][0-9]|1[0-7][0-9])(?:\\.[0-9]{1,6})?)'"
+_HHMM, _YMD = f"'{HOUR_MINUTE}'", f"'{YEAR_MONTH_DAY}'"
+_LAT, _LNG = f"'{LATITUDE}'", f"'{LONGITUDE}'"
 
 # The rules of DQ-3 in the order of their reasons: reason, condition of a row that breaks it.
 _EV_RULES = {
@@ -1021,11 +1020,11 @@ _EV_RULES = {
     "end_time": f"""NOT coalesce(regexp_full_match(end_time, {_HHMM}), false)""",
     "start_in_past": f"""coalesce(st_ < {NOW}, false)""",
     "end_before_start": f"""coalesce(et_ <= st_, false)""",
-    "location_name": f"""NOT coalesce(regexp_full_match(location_name, '{_PLACE}{{3,100}}'), false)""",
-    "address": f"""NOT coalesce(regexp_full_match(address, '{_PLACE}{{10,150}}'), false)""",
+    "location_name": f"""NOT coalesce(regexp_full_match(location_name, '{PLACE_NAME}'), false)""",
+    "address": f"""NOT coalesce(regexp_full_match(address, '{ADDRESS}'), false)""",
     "lat": f"""NOT coalesce(regexp_full_match(coordinate_lat, {_LAT}), false)""",
     "lng": f"""NOT coalesce(regexp_full_match(coordinate_lng, {_LNG}), false)""",
-    "coordinate_address": f"""NOT coalesce(regexp_full_match(coordinate_address, '{_PLACE}{{10,150}}'), false)""",
+    "coordinate_address": f"""NOT coalesce(regexp_full_match(coordinate_address, '{ADDRESS}'), false)""",
     "description_length": f"""NOT coalesce(length(description) BETWEEN 20 AND 2000, false)""",
     "no_image": f"""thumbnail_id IS NULL""",
     "capacity": f"""NOT coalesce(cap_i BETWEEN 1 AND 65535, false)""",
@@ -1310,6 +1309,62 @@ def q_event_catalog_filtered(spark, sf_dir):
     return flat(out).select("id", "title", "location", "category", "start_time", "grouping", "price")
 
 
+_CATALOG_WHERE = "WHERE e.status = 'verified' AND NOT e.is_private"
+
+
+@register("event_catalog_leader")
+def q_event_catalog_leader(spark, sf_dir):
+    """FLT-6: one leader's list, which keeps events of any status."""
+    from eventide.plans.catalog import catalog_rank, event_catalog
+    return flat(catalog_rank(event_catalog(domain(spark, sf_dir), AS_OF, leader_id=3, sort=False)))
+
+
+ORACLES["event_catalog_leader"] = ORACLES["event_catalog"].replace(
+    _CATALOG_WHERE, "WHERE NOT e.is_private AND e.leader_id = 3")
+
+
+@register("event_catalog_day")
+def q_event_catalog_day(spark, sf_dir):
+    """FLT-4: the events of one day, given in the Jalali calendar."""
+    from eventide.plans.catalog import catalog_rank, event_catalog
+    return flat(catalog_rank(event_catalog(domain(spark, sf_dir), AS_OF, day="1374/03/08", sort=False)))
+
+
+ORACLES["event_catalog_day"] = ORACLES["event_catalog"].replace(
+    _CATALOG_WHERE, _CATALOG_WHERE + " AND cast(e.start_time AS date) = DATE '1995-05-29'")
+
+
+@register("submission_thumbnails", ["d_event_submissions", "d_event_medias"], """
+, mu AS (SELECT sub_id, trim(unnest(string_split(media_ids, ','))) AS uuid,
+                unnest(generate_series(1, len(string_split(media_ids, ',')))) AS pos FROM d_event_submissions)
+SELECT mu.sub_id, arg_min(em.id, mu.pos) AS thumbnail_id FROM mu
+JOIN d_event_medias em ON em.uuid = mu.uuid WHERE em.type = 'image' GROUP BY mu.sub_id""")
+def q_submission_thumbnails(spark, sf_dir):
+    """WIN-6: the first image of each submission's media list."""
+    from eventide.operators.windows import first_image
+    t = domain(spark, sf_dir)
+    lists = t.event_submissions.select("sub_id", F.transform(F.split("media_ids", ","), F.trim).alias("uuids"))
+    medias = t.event_medias.select(F.col("uuid").alias("id"), "type")
+    found = first_image(lists, medias, "uuids", "sub_id").withColumnRenamed("thumbnail_id", "uuid")
+    return found.join(t.event_medias.select("uuid", F.col("id").alias("thumbnail_id")), "uuid").drop("uuid")
+
+
+@register("contact_duplicates_otps", ["d_users", "d_otp_issued"], f"""
+, c AS (SELECT 'u' || cast(id AS varchar) AS id, phone FROM d_users
+        UNION ALL SELECT 'o' || cast(id AS varchar) AS id, phone FROM d_otp_issued)
+SELECT phone_norm, id, n FROM (
+  SELECT {_norm_phone_sql('phone')} AS phone_norm, id,
+         count(*) OVER (PARTITION BY {_norm_phone_sql('phone')}) AS n FROM c)
+WHERE n > 1""")
+def q_contact_duplicates_otps(spark, sf_dir):
+    """TXT-2 over users and one-time codes."""
+    from eventide.functions.text import standardise_contacts
+    t = domain(spark, sf_dir)
+    return standardise_contacts(
+        t.users.select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("id"), "phone").unionByName(
+            t.otp_issued.select(F.concat(F.lit("o"), F.col("id").cast("string")).alias("id"), "phone")))
+
+
 @register("open_chats", ["d_conversations", "d_participants", "d_reservations"], """
 , m AS (SELECT p.conversation_id, cast(coalesce(sum(r.group_members), 0) AS bigint) AS members
         FROM d_participants p LEFT JOIN d_reservations r ON r.id = p.reservation_id GROUP BY p.conversation_id)
