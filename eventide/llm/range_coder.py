@@ -166,10 +166,13 @@ def _put(enc: _Encoder, table: np.ndarray, lanes: np.ndarray, at: np.ndarray, sy
 
 @np.errstate(over="ignore")
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Payloads of the blocks of an id array (ids below 65535)."""
+    """Payloads of the blocks of an id array; the models hold ids below 65536,
+    a larger one raises ValueError."""
     lanes = -(-len(ids) // BLOCK)
     if not lanes:
         return []
+    if ids.max() >= 1 << 16:
+        raise ValueError(f"id {ids.max()}: the coder takes ids below 65536 (a vocabulary of 65,536 tokens)")
     grid = np.zeros((lanes, BLOCK), np.int64)
     grid.ravel()[:len(ids)] = ids
     model, enc = _Model(lanes), _Encoder(lanes, BLOCK)

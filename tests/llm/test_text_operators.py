@@ -408,3 +408,11 @@ def test_word_vectors_pool_and_net_against_plain_loops():
                   for h in range(3)]
         assert np.isclose(out, sum(h * w for h, w in zip(hidden, net["w2"])) + net["b2"])
     assert np.mean((q.forward(net, z) > 0) == (y == 1)) > 0.65
+
+
+def test_ids_beyond_the_coder_are_refused():
+    ids = np.array([0, 65535, 7] * 900)
+    sizes = np.array([min(range_coder.BLOCK, len(ids) - i) for i in range(0, len(ids), range_coder.BLOCK)])
+    assert (range_coder.decode_blocks(range_coder.encode_blocks(ids), sizes) == ids).all()
+    with pytest.raises(ValueError, match="below 65536"):
+        range_coder.encode_blocks(np.array([1, 65536]))
