@@ -154,7 +154,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, key: str = "vec_
                                   "d int, rate double")
     chosen = nodes.join(F.broadcast(rates), "d").filter(unit_hash(F.col("e")) < F.col("rate"))
     samples: dict[int, list] = {d: [] for d in lengths}
-    for r in chosen.select("d", "e").toLocalIterator():
+    for r in chosen.select("d", "e").collect():  # the bounded sample
         samples[r.d].append(np.asarray(r.e, kind).tobytes())
     forests = {}
     for d, n in lengths.items():
