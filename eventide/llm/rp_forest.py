@@ -16,11 +16,16 @@ vector is then sent down every tree. Equal vectors are one row with a number
 of copies throughout. A leaf with many vectors is cut into pairs of blocks for
 several tasks. A pair that meets in several leaves counts in the first of them
 only, so links are counted without writing pairs: each block returns, per
-vector, its number of links and one edge towards its local component.
+vector, its number of links and one edge towards its local component. Which
+leaves a linked vector is in besides is worked out again where it is linked:
+no copy of a vector carries its list of leaves, so a copy costs its numbers
+and some thirty bytes at any depth.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +34,8 @@ from eventide.llm.common import prepare, unit_hash
 from eventide.llm.components import connected_components
 
 SAMPLE_BYTES, BLOCK = 32 << 20, 1024
+# Most oversized leaves that are broadcast (28 bytes each); beyond, they are joined.
+HOT_LEAVES = 200_000
 
 
 def units(raw: list[bytes], kind: str) -> np.ndarray:
@@ -38,14 +45,21 @@ def units(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def depth_for(rows: int, leaf_rows: int, spill: float) -> int:
+    """Levels until a leaf holds ``leaf_rows``, counting what the spill sends both ways."""
+    twice = math.erf(spill / math.sqrt(2))  # share of a normal projection inside the margin
+    return max(0, math.ceil(math.log(max(rows, 1) / leaf_rows) / math.log(2 / (1 + twice))))
+
+
 def fit_forest(sample: np.ndarray, depth: int, trees: int, spill: float, seed: int = 5) -> dict:
-    """Directions per tree and level, and thresholds of the sampled levels."""
+    """Directions per tree and level, and thresholds: medians of the sampled
+    levels, below them the projected centre of the last sampled ancestor."""
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
     known = min(depth, int(np.log2(max(1, len(sample) / 16))))
     planes = rng.normal(size=(trees, max(depth, 1), dim))
     planes /= np.linalg.norm(planes, axis=2, keepdims=True)
-    cuts, centres = [], []
+    cuts = []
     for t in range(trees):
         p = sample @ planes[t].T
         node, levels = np.zeros(len(sample), np.int64), []
@@ -59,24 +73,28 @@ def fit_forest(sample: np.ndarray, depth: int, trees: int, spill: float, seed: i
             node = 2 * node + (p[:, level] > cut[node])
         n = np.bincount(node, minlength=1 << known)
         c = np.stack([np.bincount(node, sample[:, j], minlength=1 << known) for j in range(dim)], 1)
-        cuts.append(levels)
-        centres.append(c / np.maximum(n, 1)[:, None])
-    return {"planes": planes, "cuts": cuts, "centres": centres, "known": known, "depth": depth,
+        centres = c / np.maximum(n, 1)[:, None]
+        cuts.append(levels + [centres @ planes[t, level] for level in range(known, depth)])
+    return {"planes": planes, "cuts": cuts, "known": known, "depth": depth,
             "margin": spill / np.sqrt(dim)}
 
 
-def route(forest: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and leaf (tree and path in one number) of every place of every row."""
+def route(forest: dict, x: np.ndarray, trees: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and leaf (tree and path in one number) of every place of every row,
+    in the first ``trees`` trees.
+
+    Projections are summed component by component, so a row's leaves do not
+    depend on the rows beside it (a matrix product may round otherwise).
+    """
     rows, homes = [], []
     known, margin = forest["known"], forest["margin"]
-    for t, planes in enumerate(forest["planes"]):
-        p = x @ planes.T
+    for t, planes in enumerate(forest["planes"][:trees]):
+        p = np.zeros((len(x), len(planes)))
+        for j in range(x.shape[1]):
+            p += x[:, j, None] * planes[None, :, j]
         row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
         for level in range(forest["depth"]):
-            if level < known:
-                cut = forest["cuts"][t][level][node]
-            else:
-                cut = (forest["centres"][t] @ planes[level])[node >> (level - known)]
+            cut = forest["cuts"][t][level][node >> max(0, level - known)]
             v = p[row, level]
             left, right = v <= cut + margin, v > cut - margin
             row, node = (np.concatenate((row[left], row[right])),
@@ -86,8 +104,10 @@ def route(forest: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(homes)
 
 
-def leaf_links(pdf, cosine: float, kind: str):
+def leaf_links(pdf, cosine: float, kind: str, forest: dict):
     """Links inside one leaf, or between its two blocks: counts and local roots."""
+    if len(pdf) < 2:
+        return None
     u = units(pdf["vec"].tolist(), kind)
     home, lo = pdf["home"].iloc[0], pdf["lo"].iloc[0]
     near = u @ u.T >= cosine
@@ -97,9 +117,10 @@ def leaf_links(pdf, cosine: float, kind: str):
         near &= side[:, None] != side[None, :]
     if not near.any():
         return None
-    # A pair belongs to the first leaf that both vectors are in.
-    homes = [np.frombuffer(b, np.int64) for b in pdf["homes"]]
-    flat, row = np.concatenate(homes), np.repeat(np.arange(len(pdf)), [len(h) for h in homes])
+    # Only linked vectors go on. A pair belongs to the first leaf that both are in.
+    linked = np.flatnonzero(near.any(1))
+    pdf, u, near = pdf.iloc[linked], u[linked], near[np.ix_(linked, linked)]
+    row, flat = route(forest, u, (int(home) >> 48) + 1)
     early = flat < home
     own = near
     if early.any():
@@ -116,13 +137,12 @@ def leaf_links(pdf, cosine: float, kind: str):
         if (new == label).all():
             break
         label = new
-    linked = near.any(1)
-    return rid[linked], (own @ copies)[linked], rid[label][linked]
+    return rid, own @ copies, rid[label]
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, *, key: str = "vec_id",
-                    vector: str = "embedding", cosine: float = 0.95, trees: int = 6,
-                    leaf_rows: int = 256, spill: float = 0.2, sample_rows: int = 20_000) -> DataFrame:
+                    vector: str = "embedding", cosine: float = 0.95, trees: int = 8,
+                    leaf_rows: int = 512, spill: float = 0.15, sample_rows: int = 20_000) -> DataFrame:
     """(key, n_links, component_id, kept) for every row of ``vectors``.
 
     Defined results: vectors that are NULL, empty, zero or hold a NULL or
@@ -158,33 +178,42 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, key: str = "vec_
         samples[r.d].append(np.asarray(r.e, kind).tobytes())
     forests = {}
     for d, n in lengths.items():
-        depth = max(0, int(np.ceil(np.log2(n / leaf_rows)))) if samples[d] else 0
+        depth = depth_for(n, leaf_rows, spill) if samples[d] else 0
         sample = units(sorted(samples[d]), kind) if samples[d] else np.ones((1, d))
         forests[d] = fit_forest(sample, depth, trees, spill)
     shared = spark.sparkContext.broadcast(forests)
 
+    def leaves(it):
+        import pandas as pd
+        for whole in it:
+            for d, pdf in whole.groupby("d"):
+                raw = [np.asarray(e, kind).tobytes() for e in pdf["e"]]
+                home, n = np.unique(route(shared.value[d], units(raw, kind))[1], return_counts=True)
+                yield pd.DataFrame({"d": d, "home": home, "n": n})
+
     def place(it):
         import pandas as pd
         for whole in it:
             for d, pdf in whole.groupby("d"):
                 raw = [np.asarray(e, kind).tobytes() for e in pdf["e"]]
                 row, home = route(shared.value[d], units(raw, kind))
-                order = np.lexsort((home, row))
-                row, home = row[order], home[order]
-                cut = np.searchsorted(row, np.arange(len(raw) + 1))
-                homes = [home[cut[i]:cut[i + 1]].tobytes() for i in range(len(raw))]
                 yield pd.DataFrame({"d": d, "home": home, "rid": pdf["rid"].to_numpy()[row],
                                     "copies": pdf["copies"].to_numpy()[row],
-                                    "vec": [raw[i] for i in row], "homes": [homes[i] for i in row]})
-
+                                    "vec": [raw[i] for i in row]})
+
+    # Vectors are shuffled once, by leaf: only the few leaves beyond a block are known before.
+    sizes = nodes.select("e", "d").mapInPandas(leaves, "d int, home long, n long")
+    hot = (sizes.groupBy("d", "home").agg(F.sum("n").alias("n")).filter(F.col("n") > BLOCK)
+           .withColumn("nb", F.ceil(F.col("n") / BLOCK)).drop("n").checkpoint())
+    if hot.count() <= HOT_LEAVES:
+        hot = F.broadcast(hot)
     placed = nodes.select("rid", "e", "d", "copies").mapInPandas(
-        place, "d int, home long, rid long, copies long, vec binary, homes binary").checkpoint()
-    sizes = placed.groupBy("d", "home").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = (placed.join(sizes, ["d", "home"]).withColumn("nb", F.ceil(F.col("n") / BLOCK))
+        place, "d int, home long, rid long, copies long, vec binary")
+    blocks = (placed.join(hot, ["d", "home"], "left").withColumn("nb", F.coalesce("nb", F.lit(1).cast("long")))
               .withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("nb")))
               .withColumn("j", F.explode(F.expr("sequence(0L, nb - 1)")))
               .withColumn("lo", F.least("blk", "j")).withColumn("hi", F.greatest("blk", "j"))
-              .select("d", "home", "lo", "hi", "blk", "rid", "copies", "vec", "homes"))
+              .select("d", "home", "lo", "hi", "blk", "rid", "copies", "vec"))
     group = ["d", "home", "lo", "hi"]
 
     def compare(it):
@@ -197,10 +226,10 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, key: str = "vec_
             new = (pdf[group] != pdf[group].shift()).any(axis=1).to_numpy()
             cut = np.flatnonzero(new)
             for a, b in zip(cut[:-1], cut[1:]):
-                if (found := leaf_links(pdf.iloc[a:b], cosine, kind)) is not None:
+                if (found := leaf_links(pdf.iloc[a:b], cosine, kind, shared.value[pdf["d"].iloc[a]])) is not None:
                     yield pd.DataFrame(dict(zip(("a", "n", "b"), found)))
             wait = pdf.iloc[cut[-1]:]  # this group may go on
-        if wait is not None and (found := leaf_links(wait, cosine, kind)) is not None:
+        if wait is not None and (found := leaf_links(wait, cosine, kind, shared.value[wait["d"].iloc[0]])) is not None:
             yield pd.DataFrame(dict(zip(("a", "n", "b"), found)))
 
     found = (blocks.repartition(*group).sortWithinPartitions(*group)
