@@ -914,7 +914,7 @@ def q_stream_settle(spark, sf_dir):
     t = domain(spark, sf_dir)
     s = file_stream(t.confirmations, "confirmations", "confirmed_at")
     job = settle_stream(s, t.transactions, t.reservations, t.events, scratch_dir(spark, "settled"),
-                        disorder_seconds(t.confirmations, "confirmed_at"))
+                        disorder_seconds(t.confirmations, "confirmed_at"), buckets=8)
     return job.table("out").select(
         "conf_id", "authority", F.col("confirmed_at").cast("timestamp_ntz").alias("confirmed_at"),
         "transaction_id", "reservation_id", "reservation_status", "ref_id")
@@ -1253,19 +1253,39 @@ done AS (SELECT t.id AS tx_id, t.reservation_id, c.confirmed_at, e.is_approval
 _SETTLED_VIEWS = ["d_confirmations", "d_transactions", "d_reservations", "d_events"]
 
 
-@register("settled_transactions", _SETTLED_VIEWS, _SETTLED_SQL + """
+_SETTLED_TRANSACTIONS = _SETTLED_SQL + """
 SELECT t.id, t.reservation_id, t.type, t.amount,
        CASE WHEN d.tx_id IS NOT NULL THEN 'paid' ELSE t.status END AS status, t.authority, t.card_hash,
        t.card_pan, CASE WHEN d.tx_id IS NOT NULL THEN 100000000000 + t.id ELSE t.ref_id END AS ref_id,
        t.created_at, coalesce(d.confirmed_at, t.updated_at) AS updated_at,
        coalesce(d.confirmed_at, t.paid_at) AS paid_at
-FROM d_transactions t LEFT JOIN done d ON d.tx_id = t.id""")
+FROM d_transactions t LEFT JOIN done d ON d.tx_id = t.id"""
+
+
+@register("settled_transactions", _SETTLED_VIEWS, _SETTLED_TRANSACTIONS)
 def q_settled_transactions(spark, sf_dir):
     from eventide.plans.commerce import settle_batch
     t = domain(spark, sf_dir)
     return settle_batch(t, t.confirmations)[1]
 
 
+@register("merged_transactions", _SETTLED_VIEWS, _SETTLED_TRANSACTIONS)
+def q_merged_transactions(spark, sf_dir):
+    from eventide.plans.commerce import settle_batch
+    from eventide.sources.sinks import merge_buckets, read_buckets, write_buckets
+    from eventide.streaming.jobs import scratch_dir
+    t = domain(spark, sf_dir)
+    path = scratch_dir(spark, "transactions")
+    write_buckets(t.transactions, path, "id", 64)
+    done = settle_batch(t, t.confirmations)[0].filter("verdict = 'settled'")
+    at = F.col("confirmed_at")
+    updates = done.select(F.col("transaction_id").alias("id"), F.lit("paid").alias("status"), "ref_id",
+                          at.alias("paid_at"), at.alias("updated_at"))
+    merge_buckets(spark, path, updates, "id", "updated_at", 64)
+    out = read_buckets(spark, path)
+    return t.transactions if out is None else out
+
+
 @register("settled_reservations", _SETTLED_VIEWS, _SETTLED_SQL + """
 , last AS (SELECT reservation_id, arg_max(CASE WHEN is_approval THEN 'need-approval' ELSE 'paid' END,
                                           confirmed_at) AS status, max(confirmed_at) AS at

@@ -67,6 +67,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder of any Hadoop file system; none if it is absent."""
+    p, fs = _at(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that a job of this library wrote; nothing if it is absent."""
+    p, fs = _at(spark, path)
+    fs.delete(p, True)
+
+
 _SHIPPED: set[str] = set()
 
 

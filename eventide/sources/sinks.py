@@ -9,10 +9,10 @@ recomputes the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.session import ensure_checkpoint_dir
+from eventide.session import children, ensure_checkpoint_dir, remove
 
 
 def apply_updates(base: DataFrame, updates: DataFrame, key: str, order: str) -> DataFrame:
@@ -37,6 +37,67 @@ def apply_updates(base: DataFrame, updates: DataFrame, key: str, order: str) ->
     return merged.select(*out)
 
 
+# ------------------------------------------------- SNK-3 on a table in key buckets
+
+BUCKET = "key_bucket"
+
+
+def bucket_of(key: str, buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
+
+def write_buckets(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Write (again) a keyed table as one folder per bucket of its key's hash."""
+    remove(df.sparkSession, f"{path}-merge")
+    (df.withColumn(BUCKET, bucket_of(key, buckets)).repartition(BUCKET)
+     .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BUCKET).parquet(path))
+
+
+def read_buckets(spark: SparkSession, path: str, touched: list[int] | None = None) -> DataFrame | None:
+    """The table, or only its ``touched`` buckets (other folders are not read);
+    None if it holds no bucket at all."""
+    _finish_merge(spark, path)
+    if not any(n.startswith(BUCKET) for n in children(spark, path)):
+        return None
+    df = spark.read.parquet(path)
+    return (df if touched is None else df.filter(F.col(BUCKET).isin(touched))).drop(BUCKET)
+
+
+def touched_buckets(rows: DataFrame, key: str, buckets: int) -> list[int]:
+    """Buckets that hold a key of ``rows``: at most ``buckets`` numbers."""
+    return sorted(r[0] for r in rows.select(bucket_of(key, buckets)).distinct().collect())
+
+
+def merge_buckets(spark: SparkSession, path: str, updates: DataFrame, key: str, order: str,
+                  buckets: int) -> list[int]:
+    """SNK-3 in place: ``apply_updates`` on the buckets that hold an update; the
+    others are neither read nor written. Returns the rewritten buckets.
+
+    The new buckets are first written whole beside the table, then overwrite
+    theirs. A merge that was cut short is finished (or, if the new buckets were not yet
+    whole, forgotten) before the table is read again, and merging the same updates
+    twice changes nothing. One writer at a time. ``updates`` is evaluated twice.
+    """
+    touched = touched_buckets(updates, key, buckets)
+    base = read_buckets(spark, path, touched)
+    if not touched or base is None:
+        return []
+    (apply_updates(base, updates, key, order).withColumn(BUCKET, bucket_of(key, buckets))
+     .repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy(BUCKET).parquet(f"{path}-merge"))
+    _finish_merge(spark, path)
+    return touched
+
+
+def _finish_merge(spark: SparkSession, path: str) -> None:
+    ready = children(spark, f"{path}-merge")
+    if "_SUCCESS" in ready and any(n.startswith(BUCKET) for n in ready):
+        (spark.read.parquet(f"{path}-merge").repartition(BUCKET).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
+    if ready:
+        remove(spark, f"{path}-merge")
+
+
 def delete_keys(base: DataFrame, keys: DataFrame) -> DataFrame:
     """SNK-4: delete rows matching every column of ``keys`` (e.g. uuid and
     uploader), as a left anti join."""

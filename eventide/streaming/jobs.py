@@ -37,8 +37,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.operators.throttle import CODE_LIFETIME_S, throttle
-from eventide.session import ensure_checkpoint_dir
-from eventide.streaming.ordered import OrderedJob, children
+from eventide.session import children, ensure_checkpoint_dir
+from eventide.sources.sinks import apply_updates, merge_buckets, read_buckets, touched_buckets, write_buckets
+from eventide.streaming.ordered import OrderedJob
 
 FRESH_AFTER_USE_S = 60  # fixed value: a used code keeps a phone verified this long
 
@@ -103,7 +104,7 @@ def run_foreach_batch(query_df: DataFrame, fn, checkpoint: str | None = None,
 
 # ------------------------------------------------------------------ ST-1
 
-def _throttle_step(ready: DataFrame, state: DataFrame | None, past: DataFrame | None):
+def _throttle_step(ready: DataFrame, state: DataFrame | None, before: DataFrame | None):
     """One release of requests and uses, decided by ``throttle`` from the state's
     live codes; the new state is what can still throttle."""
     keys = ["phone", "page"]
@@ -148,7 +149,7 @@ def otp_throttle(requests: DataFrame, root: str, delay_seconds: int = 600,
 
 # ------------------------------------------------------------------ ST-2 / ST-3
 
-def _match_step(ready: DataFrame, state: DataFrame | None, past: DataFrame | None):
+def _match_step(ready: DataFrame, state: DataFrame | None, before: DataFrame | None):
     """Attempts joined to the codes they can match; state: codes that may still
     match later, with their use."""
     codes = ready.filter("issued").select(
@@ -211,42 +212,56 @@ def accept_messages(messages: DataFrame, conversations: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ ST-5
 
 def settle_stream(confirmations: DataFrame, transactions: DataFrame, reservations: DataFrame,
-                  events: DataFrame, root: str, delay_seconds: int = 86_400) -> OrderedJob:
+                  events: DataFrame, root: str, delay_seconds: int = 86_400,
+                  buckets: int = 64) -> OrderedJob:
     """ST-5: settle payment confirmations ``(conf_id, authority, confirmed_at)``.
 
     The first confirmation of an authority by (time, id) settles its
-    transaction unless that is paid or was settled by an earlier step; the
-    earlier steps' authorities are read as one column of the output. Running
-    it again below the same root settles nothing twice.
+    transaction unless that is paid or was settled by an earlier step. The
+    transactions lie below ``root`` as a ledger in buckets by authority, written when
+    the job starts (with all that was settled before). A step first marks
+    what the step before settled as paid (SNK-3 on the buckets that hold such an authority;
+    repeated after a failure, that changes nothing), then reads the buckets of its own
+    authorities only: the bytes of a step do not grow with the number of steps.
+    Running it again below the same root settles nothing twice.
     ``settlement_snapshots`` turns the output into new tables (SNK-3).
     """
-    tx = transactions.groupBy("authority").agg(
+    spark, ledger = confirmations.sparkSession, f"{root.rstrip('/')}/ledger"
+    tx = transactions.filter("authority IS NOT NULL").groupBy("authority").agg(
         F.min(F.struct("id", "status", "reservation_id")).alias("t"))
     tx = tx.select("authority", F.col("t.id").alias("transaction_id"),
                    F.col("t.status").alias("t_status"), F.col("t.reservation_id").alias("reservation_id"))
     res = reservations.select(F.col("id").alias("reservation_id"), "event_id")
     ev = events.select(F.col("id").alias("event_id"), "is_approval")
 
-    def step(ready: DataFrame, state: DataFrame | None, past: DataFrame | None):
-        firsts = ready.groupBy("authority").agg(F.min(F.struct("confirmed_at", "conf_id")).alias("c")).select(
-            "authority", "c.*")
-        if past is not None:
-            firsts = firsts.join(past.select("authority"), "authority", "left_anti")
-        rows = (firsts.join(tx, "authority").filter(F.col("t_status") != "paid")
+    def paid(settled: DataFrame) -> DataFrame:
+        return settled.select("authority", F.lit("paid").alias("t_status"), "confirmed_at")
+
+    def step(ready: DataFrame, state: DataFrame | None, before: DataFrame | None):
+        if before is not None:
+            merge_buckets(spark, ledger, paid(before), "authority", "confirmed_at", buckets)
+        firsts = (ready.filter("authority IS NOT NULL").groupBy("authority")
+                  .agg(F.min(F.struct("confirmed_at", "conf_id")).alias("c")).select("authority", "c.*"))
+        mine = read_buckets(spark, ledger, touched_buckets(firsts, "authority", buckets))
+        mine = tx.limit(0) if mine is None else mine
+        rows = (firsts.join(mine, "authority").filter(F.col("t_status") != "paid")
                 .join(res, "reservation_id", "left").join(ev, "event_id", "left"))
         return rows.select("conf_id", "authority", "confirmed_at", "transaction_id", "reservation_id",
                            F.when(F.col("is_approval"), "need-approval").otherwise("paid")
                            .alias("reservation_status"),
                            (F.lit(100_000_000_000) + F.col("transaction_id")).alias("ref_id")), None
 
-    return OrderedJob(confirmations.sparkSession, root, "confirmed_at", delay_seconds, step).run(confirmations)
+    job = OrderedJob(spark, root, "confirmed_at", delay_seconds, step)
+    past = job.table("out")
+    write_buckets(tx if past is None else apply_updates(tx, paid(past), "authority", "confirmed_at"),
+                  ledger, "authority", buckets)
+    return job.run(confirmations)
 
 
 def settlement_snapshots(settled: DataFrame, transactions: DataFrame,
                          reservations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SNK-3 for ST-5: the transactions and reservations with the settled rows'
     new status, reference number and times."""
-    from eventide.sources.sinks import apply_updates
     at = F.col("confirmed_at").cast("timestamp_ntz")
     tx = settled.select(F.col("transaction_id").alias("id"), F.lit("paid").alias("status"), "ref_id",
                         at.alias("paid_at"), at.alias("updated_at"))
@@ -280,7 +295,7 @@ def admit_stream(requests: DataFrame, events: DataFrame, reservations: DataFrame
     from eventide.operators.folds import admit_bookings
     booked = reservations.select("event_id", "status", "group_members")
 
-    def step(ready: DataFrame, state: DataFrame | None, past: DataFrame | None):
+    def step(ready: DataFrame, state: DataFrame | None, before: DataFrame | None):
         held = booked if state is None else booked.unionByName(state.select(
             "event_id", F.lit("paid").alias("status"), F.col("given").alias("group_members")))
         wall = ready.withColumn("requested_at", F.col("requested_at").cast("timestamp_ntz"))

@@ -11,6 +11,10 @@ Everything lives below one folder of the shared file system: per released
 step ``<seq>-<epoch>`` the tables ``out``, ``late``, ``wait`` and ``state``, and
 last a row in ``commits`` that makes the step count. A repeated micro-batch finds
 its commit and does nothing; a restarted job goes on from the last commit.
+
+A step costs the same however many came before: commits are listed once, only
+the newest can be unfinished, a step gets the output of the one before and no
+older one, and waiting rows and state are removed once the next step stands.
 """
 
 from __future__ import annotations
@@ -20,21 +24,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# ready rows, state of the last step (None at first), all earlier output
+from eventide.session import children, remove
+
+# ready rows, state of the last step (None at first), output of the last step
 # (None at first) -> output, new state (None: no state)
 Step = Callable[[DataFrame, DataFrame | None, DataFrame | None],
                 tuple[DataFrame, DataFrame | None]]
 
 
-def children(spark: SparkSession, path: str) -> list[str]:
-    """Names below a folder of any Hadoop file system; none if it is absent."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(p))
-
-
 class OrderedJob:
     """``sources``: with several, the values of column ``source`` that must all
     have been seen before time can pass."""
@@ -46,8 +43,11 @@ class OrderedJob:
         self.source, self.sources = source, [str(x) for x in sources] or ["all"]
 
     def commits(self) -> list[str]:
-        return [n for n in children(self.spark, f"{self.root}/commits")
-                if "_SUCCESS" in children(self.spark, f"{self.root}/commits/{n}")]
+        names = children(self.spark, f"{self.root}/commits")
+        # A release removes an unfinished commit before it makes another: only the last may be one.
+        if names and "_SUCCESS" not in children(self.spark, f"{self.root}/commits/{names[-1]}"):
+            names.pop()
+        return names
 
     def table(self, kind: str) -> DataFrame | None:
         """``out`` or ``late`` rows of all committed steps."""
@@ -57,16 +57,19 @@ class OrderedJob:
     def release(self, df: DataFrame | None, epoch: str) -> None:
         """One step: the rows of a micro-batch, or None to release all that waits."""
         done = self.commits()
+        for n in children(self.spark, f"{self.root}/commits")[len(done):]:
+            remove(self.spark, f"{self.root}/commits/{n}")
         if epoch in {n.split("-", 1)[1] for n in done}:
             return
         seen: dict[str, int] = {}
         upto = None
-        state = waiting = None
+        state = waiting = before = None
         if done:
             last = f"{self.root}/{done[-1]}"
             seen, upto = self.spark.read.parquet(f"{self.root}/commits/{done[-1]}").first()
             seen = dict(seen)
             waiting = self.spark.read.parquet(f"{last}/wait")
+            before = self.spark.read.parquet(f"{last}/out")
             if "state" in children(self.spark, last):
                 state = self.spark.read.parquet(f"{last}/state")
         micros = F.unix_micros(F.col(self.time))
@@ -94,12 +97,15 @@ class OrderedJob:
         ready = rows.filter(micros < upto) if upto is not None else rows.limit(0)
         wait = rows.filter(micros >= upto) if upto is not None else rows
         wait.write.mode("overwrite").parquet(f"{here}/wait")
-        out, state = self.step(ready, state, self.table("out"))
+        out, state = self.step(ready, state, before)
         out.write.mode("overwrite").parquet(f"{here}/out")
         if state is not None:
             state.write.mode("overwrite").parquet(f"{here}/state")
         self.spark.createDataFrame([(seen, upto)], "seen map<string,bigint>, upto long").write.mode(
             "overwrite").parquet(f"{self.root}/commits/{len(done):08d}-{epoch}")
+        if done:  # what only this step could still need
+            remove(self.spark, f"{last}/wait")
+            remove(self.spark, f"{last}/state")
         if df is not None:
             df.unpersist()
 
