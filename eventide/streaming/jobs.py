@@ -310,13 +310,16 @@ def admit_stream(requests: DataFrame, events: DataFrame, reservations: DataFrame
 
 def file_stream(df: DataFrame, name: str, time_col: str, n_files: int = 4) -> DataFrame:
     """Lay a batch table down as time-ordered files in a fresh scratch folder
-    and open it as a stream (one file per trigger, event time as timestamp)."""
+    and open it as a stream (event time as timestamp). A slice is as many files
+    as its write had tasks, so a trigger takes the files of one slice, not one
+    file: ``n_files`` micro-batches whatever the size of the table."""
     from eventide.sources.tables import stream
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     write_as_files(df, path, time_col, n_files)
     schema = spark.read.parquet(path).schema
-    return stream(spark, path, schema, time_col=time_col)
+    files = sum(n.startswith("part-") for n in children(spark, path))
+    return stream(spark, path, schema, time_col=time_col, max_files_per_trigger=max(1, -(-files // n_files)))
 
 
 def run_to_table(query_df: DataFrame, name: str, mode: str = "append") -> DataFrame:

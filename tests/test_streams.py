@@ -46,6 +46,16 @@ def test_throttle_is_the_loop_for_any_files(spark, files):
     assert 0 < sum(got.values()) < len(got)
 
 
+@pytest.mark.parametrize("files", [1, 8])
+def test_a_trigger_takes_a_slice_however_many_files(spark, files):
+    rows, df = requests(spark)
+    s = file_stream(df.repartition(files), "few", "created_at", n_files=3)
+    job = OrderedJob(spark, scratch_dir(spark, "few"), "created_at", 3000, lambda ready, state, before: (ready, None))
+    job.run(s)
+    assert [n.split("-", 1)[1] for n in job.commits()] == ["0", "1", "2", "drain3"]
+    assert job.table("out").count() == len(rows) and job.table("late").count() == 0
+
+
 @pytest.mark.parametrize("files", [3, 8])
 def test_a_used_code_frees_its_phone(spark, files):
     rows, uses = some(files)
