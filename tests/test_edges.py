@@ -162,3 +162,12 @@ def test_any_year_converts_and_counts(spark):
     got = rollup_calendar(facts, "d", "year", [F.count(F.lit(1)).alias("n")]).collect()
     assert sorted((r.jy is None, r.jy or 0, r.n) for r in got) == [
         (False, 1179, 1), (False, 1400, 1), (False, 1679, 1), (True, 0, 1)]
+
+
+def test_a_national_id_is_cleaned_once(spark):
+    rows = [("0084575948", True), (" 008-457 5948", True), ("0084575949", False), ("1111111111", False),
+            ("008457594", False), ("00845759480", False), ("00845x5948", False), ("", False), (None, False)]
+    df = spark.createDataFrame(rows, "n string, ok boolean")
+    checked = df.withColumn("got", national_id_ok(F.col("n")))
+    assert checked.filter("got IS NULL OR got <> ok").count() == 0
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
