@@ -165,7 +165,9 @@ def similar_events(t, as_of: str, only_visible: bool = False, n: int = 3) -> Dat
     Scale: the same-category self join would square each category, so each
     category's candidates are cut to its newest n+1 future events first (exact,
     since dropping self removes at most one). The fallback pool is the global
-    newest n+1 future events: a bounded (n+1 rows) broadcast.
+    newest n+1 future events. Both are bounded (n+1 rows for a category, n+1 in
+    all) and broadcast; thumbnails are looked up for them alone, and the ranks
+    of a source are taken on keys, so that no task sorts texts of many events.
     The reference applies no status or privacy test; ``only_visible`` adds it.
     """
     now = ts_lit(as_of)
@@ -173,33 +175,44 @@ def similar_events(t, as_of: str, only_visible: bool = False, n: int = 3) -> Dat
     cand = ev.filter(F.col("start_time") > now)
     if only_visible:
         cand = visible(cand, "public")
+    cand = cand.select(F.col("id").alias("sim_id"), "category_id", "slug", "title", "start_time",
+                       "created_at", "price", "thumbnail_id")
+    order = [F.col("created_at").desc(), F.col("sim_id").desc()]
     thumbs = t.event_medias.select(F.col("id").alias("thumbnail_id"),
                                    F.col("url").alias("thumbnail_path"))
-    cand = cand.join(thumbs, "thumbnail_id", "left").select(
-        F.col("id").alias("sim_id"), "category_id", "slug", "title", "start_time", "created_at",
-        "price", full_url("thumbnail_path").alias("thumbnail"))
-    order = [F.col("created_at").desc(), F.col("sim_id").desc()]
-    per_cat = top_n_per(cand, "category_id", order, n + 1, "_r").drop("_r")
-    src = ev.select(F.col("id").alias("source_id"), "category_id")
+
+    def with_thumbnail(few):
+        """A candidate has a row for each media of its thumbnail's id, so the
+        newest n+1 rows with it are among those of the newest n+1 without."""
+        mine = thumbs.join(F.broadcast(few.select("thumbnail_id").distinct()), "thumbnail_id", "left_semi")
+        return few.join(F.broadcast(mine), "thumbnail_id", "left").withColumn(
+            "thumbnail", full_url("thumbnail_path")).drop("thumbnail_id", "thumbnail_path")
+
+    def newest(pairs):
+        return top_n_per(pairs.filter(F.col("source_id") != F.col("sim_id")), "source_id", order, n)
+
+    # Dealt by id first: a scan task's rows are cut to n+1 a category by a sort of them all.
+    cut = top_n_per(cand.repartition("sim_id"), "category_id", order, n + 1, "_r").drop("_r")
+    per_cat = F.broadcast(top_n_per(with_thumbnail(cut), "category_id", order, n + 1, "_r"))
+    src = ev.select(F.col("id").alias("source_id"), "category_id").repartition("source_id")
     # JN-7: same-category self join with inequality, on the cut candidate set
-    paired = (src.join(per_cat, "category_id")
-              .filter(F.col("source_id") != F.col("sim_id")))
-    primary = top_n_per(paired, "source_id", order, n).select(
-        "source_id", "slug", "title", "start_time", "thumbnail", F.col("rank"),
-        F.lit(False).alias("is_fallback"))
+    ranked = newest(src.join(per_cat.select("category_id", "_r", "created_at", "sim_id"), "category_id"))
+    primary = (ranked.select("source_id", "category_id", "_r", "rank").join(per_cat, ["category_id", "_r"])
+               .select("source_id", "slug", "title", "start_time", "thumbnail", "rank",
+                       F.lit(False).alias("is_fallback")))
     # SET-1: sources without any primary row get the global list.
     cats = t.event_categories.select(F.col("id").alias("category_id"),
                                      F.col("name").alias("category"))
-    pool = (top_by(cand, order, n + 1)
-            .join(cats, "category_id", "left")
-            .select("sim_id", "slug", "title", "start_time", "price", "category", "thumbnail",
-                    "created_at"))
-    lonely = src.select("source_id").join(primary.select("source_id").distinct(), "source_id",
+    # The window runs over the rows left after the limit.
+    pool = F.broadcast(top_by(with_thumbnail(top_by(cand, order, n + 1)), order, n + 1)
+                       .join(cats, "category_id", "left")
+                       .withColumn("_r", F.row_number().over(Window.orderBy(*order))))
+    lonely = src.select("source_id").join(ranked.select("source_id").distinct(), "source_id",
                                           "left_anti")
-    fb = (lonely.join(F.broadcast(pool), F.col("source_id") != F.col("sim_id")))
-    fallback = top_n_per(fb, "source_id", order, n).select(
-        "source_id", "slug", "title", "start_time", "price", "category", "thumbnail", "rank",
-        F.lit(True).alias("is_fallback"))
+    fallback = (newest(lonely.crossJoin(pool.select("_r", "created_at", "sim_id")))
+                .select("source_id", "_r", "rank").join(pool, "_r").select(
+                    "source_id", "slug", "title", "start_time", "price", "category", "thumbnail", "rank",
+                    F.lit(True).alias("is_fallback")))
     return primary.unionByName(fallback, allowMissingColumns=True)
 
 

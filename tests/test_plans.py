@@ -50,3 +50,16 @@ def test_admission_range_partitions_requests(spark, t_small):
     assert 'repartitionByRange(P, "event_id", "requested_at", "request_id")' in src
     assert "checkpoint(eager=True)" in src
     assert "ExistingRDD" in buf.getvalue() or "LogicalRDD" in buf.getvalue()
+
+
+def test_similar_events_ranks_keys_not_texts(t_small):
+    """A window over a source's candidates sorts their keys alone."""
+    from eventide.plans.catalog import similar_events
+    todo, outputs = [similar_events(t_small, "1998-06-01 00:00:00")._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Window":
+            outputs.append({node.output().apply(i).name() for i in range(node.output().size())})
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    by_source = [names for names in outputs if "source_id" in names]
+    assert by_source and not any(names & {"title", "slug", "thumbnail"} for names in by_source)
