@@ -4,9 +4,12 @@ Each table is read once. A row gives one entry per key it owns, per foreign key
 it holds and per column rule it breaks (one ``explode`` over the rules of its
 table); the entries of all tables are united and aggregated:
 
-1. per (key space, key, role): how many rows own the key, and how many rows of
-   each foreign key refer to it, then side by side per key. A key space is a table's key columns, so a primary
-   key, its uniqueness and all foreign keys that point at it share one group;
+1. per (key space, key), side by side: how many rows own the key, and how many rows of
+   each foreign key refer to it. A key space is a table's key columns, so a primary
+   key, its uniqueness and the foreign keys that point at it share one group, at most
+   ``SLOTS`` of these: further ones are in a space of their own, where the keys are
+   owned again (a table that many refer to is small beside them). So a group holds few
+   counts and one shuffle is enough.
    Spark combines entries before the shuffle, so a key that a third of all rows
    refer to is one row per task. A column rule (NOT NULL, ENUM, CHECK) is a
    space of its own, with the ids of the rows that break it as keys;
@@ -114,6 +117,9 @@ REFERENCES = {
 }
 
 
+SLOTS = 3  # foreign keys counted side by side with their owners
+
+
 def marketplace_rules() -> list[Rule]:
     """All constraints that the schema declares: keys, foreign keys, NOT NULLs,
     ENUM domains and the score CHECK."""
@@ -169,15 +175,18 @@ def audit(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
     # Key spaces (column rules: spaces below 0), and the place of each rule's count in its space.
     spaces: dict[tuple, int] = {}
     place: dict[int, tuple[int, int]] = {}
-    slots: dict[int, int] = {}
+    referred: dict[tuple, int] = {}
     for i in checked:
         r = rules[i]
         if r.kind in ("not_null", "enum", "range"):
             place[i] = (-1 - i, 0)
             continue
-        s = spaces.setdefault((r.ref[0], (r.ref[1],)) if r.kind == "fk" else (r.table, r.cols), len(spaces))
-        slots[s] = slots.get(s, 0) + (r.kind == "fk")
-        place[i] = (s, slots[s] if r.kind == "fk" else 0)
+        owner, part, slot = (r.table, r.cols), 0, 0
+        if r.kind == "fk":
+            owner = (r.ref[0], (r.ref[1],))
+            part, slot = divmod(referred.get(owner, 0), SLOTS)
+            referred[owner], slot = referred.get(owner, 0) + 1, slot + 1
+        place[i] = (spaces.setdefault((*owner, part), len(spaces)), slot)
 
     # Entries as SQL text: one expression per table, whatever the number of rules.
     entries = None
@@ -189,7 +198,7 @@ def audit(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
             return f"struct({at[0]} AS space, {at[1]} AS slot, {key})"
 
         mine = [i for i in checked if rules[i].table == table]
-        keys = [entry((s, 0), _key(df, cols)) for (t, cols), s in spaces.items() if t == table]
+        keys = [entry((s, 0), _key(df, cols)) for (t, cols, _), s in spaces.items() if t == table]
         keys += [entry(place[i], _key(df, rules[i].cols)) for i in mine if rules[i].kind == "fk"]
         broken = {i: _broken(rules[i]) for i in mine if place[i][0] < 0}
         own = f"array({', '.join(keys)})" if keys else "array()"
@@ -199,13 +208,11 @@ def audit(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
         part = df.selectExpr(f"inline({own})").filter("num IS NOT NULL OR key IS NOT NULL OR space < 0")
         entries = part if entries is None else entries.unionAll(part)
 
-    most = max(slots.values(), default=0)
-    counts = entries.groupBy("space", "num", "key", "slot").count()
-    wide = counts.groupBy("space", "num", "key").agg(
-        *[F.expr(f"coalesce(sum(count) FILTER (WHERE slot = {k}), 0) AS n{k}") for k in range(most + 1)])
+    wide = entries.groupBy("space", "num", "key").agg(
+        *[F.expr(f"count(*) FILTER (WHERE slot = {k}) AS n{k}") for k in range(SLOTS + 1)])
     # Only offending keys go on: broken column rules, keys owned twice, keys nobody owns.
     found = ", ".join(["if(space < 0, n0, if(n0 > 1, 1, 0))"] + [f"if(space >= 0 AND n0 = 0, n{k}, 0)"
-                                                               for k in range(1, most + 1)])
+                                                               for k in range(1, SLOTS + 1)])
     by_rule = (wide.filter("space < 0 OR n0 <> 1")
                .selectExpr("space", "coalesce(key, cast(num AS string)) AS key",
                            f"posexplode(array({found})) AS (slot, n)").filter("n > 0")

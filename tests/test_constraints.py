@@ -66,6 +66,23 @@ def test_one_scan_a_table(spark, tmp_path):
     assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 3
 
 
+def test_many_references_to_one_table(spark):
+    """More foreign keys than a space counts side by side: each its own count, in one shuffle of keys."""
+    users = spark.createDataFrame([(1,), (2,), (2,)], "id long")
+    cols = [f"u{k}_id" for k in range(8)]
+    # column k refers k times to a user that is missing, and to users that exist
+    rows = [(i, *[9 if i < k else 1 + i % 2 for k in range(8)]) for i in range(10)]
+    notes = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ["id", *cols]))
+    rules = [Rule("users", "pk", ("id",)), Rule("notes", "pk", ("id",))]
+    rules += [Rule("notes", "fk", (c,), ref=("users", "id")) for c in cols]
+    df = audit({"users": users, "notes": notes}, rules)
+    assert found(df) == {
+        ("users", "pk", "id"): (1, "2"), ("notes", "pk", "id"): (0, None),
+        **{("notes", "fk", c): (k, "9" if k else None) for k, c in enumerate(cols)}}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(space", plan)) == 2  # by key, and by rule
+
+
 @pytest.mark.parametrize("kind, n", [("pk", 25), ("unique", 5), ("enum", 12), ("range", 1), ("fk", 53)])
 def test_the_declared_rules(kind, n):
     assert sum(r.kind == kind for r in marketplace_rules()) == n
