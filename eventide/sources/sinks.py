@@ -12,7 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.session import children, ensure_checkpoint_dir, remove
+from eventide.session import children, ensure_checkpoint_dir, remove, replace
+
+HASH = "_key_hash"
+
+
+def by_hash(df: DataFrame, key: str) -> DataFrame:
+    """The key's hash as column ``HASH``. Grouped or joined by it and the key, rows are
+    sorted by a number: keys that begin alike are not compared byte by byte."""
+    return df.withColumn(HASH, F.xxhash64(key))
 
 
 def apply_updates(base: DataFrame, updates: DataFrame, key: str, order: str) -> DataFrame:
@@ -23,10 +31,10 @@ def apply_updates(base: DataFrame, updates: DataFrame, key: str, order: str) ->
     Keys absent from ``base`` are ignored (an UPDATE touches existing rows).
     """
     cols = [c for c in updates.columns if c != key]
-    latest = (updates.groupBy(key)
+    latest = (by_hash(updates, key).groupBy(HASH, key)
               .agg(F.max(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in cols]))
                    .alias("_u")))
-    merged = base.join(latest, key, "left")
+    merged = by_hash(base, key).join(latest, [HASH, key], "left")
     out = []
     for c in base.columns:
         if c in cols:
@@ -47,9 +55,11 @@ def bucket_of(key: str, buckets: int) -> F.Column:
 
 
 def write_buckets(df: DataFrame, path: str, key: str, buckets: int) -> None:
-    """Write (again) a keyed table as one folder per bucket of its key's hash."""
+    """Write (again) a keyed table as one folder per bucket of its key's hash.
+    Every task writes its rows of all buckets: there may be fewer buckets than cores,
+    and a bucket is as many files as there are tasks."""
     remove(df.sparkSession, f"{path}-merge")
-    (df.withColumn(BUCKET, bucket_of(key, buckets)).repartition(BUCKET)
+    (df.withColumn(BUCKET, bucket_of(key, buckets))
      .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BUCKET).parquet(path))
 
 
@@ -73,8 +83,8 @@ def merge_buckets(spark: SparkSession, path: str, updates: DataFrame, key: str,
     """SNK-3 in place: ``apply_updates`` on the buckets that hold an update; the
     others are neither read nor written. Returns the rewritten buckets.
 
-    The new buckets are first written whole beside the table, then overwrite
-    theirs. A merge that was cut short is finished (or, if the new buckets were not yet
+    The new buckets are first written whole beside the table, then their folders are
+    moved into its place, so a row is written once. A merge that was cut short is finished (or, if the new buckets were not yet
     whole, forgotten) before the table is read again, and merging the same updates
     twice changes nothing. One writer at a time. ``updates`` is evaluated twice.
     """
@@ -82,18 +92,17 @@ def merge_buckets(spark: SparkSession, path: str, updates: DataFrame, key: str,
     base = read_buckets(spark, path, touched)
     if not touched or base is None:
         return []
-    (apply_updates(base, updates, key, order).withColumn(BUCKET, bucket_of(key, buckets))
-     .repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .partitionBy(BUCKET).parquet(f"{path}-merge"))
+    write_buckets(apply_updates(base, updates, key, order), f"{path}-merge", key, buckets)
     _finish_merge(spark, path)
     return touched
 
 
 def _finish_merge(spark: SparkSession, path: str) -> None:
     ready = children(spark, f"{path}-merge")
-    if "_SUCCESS" in ready and any(n.startswith(BUCKET) for n in ready):
-        (spark.read.parquet(f"{path}-merge").repartition(BUCKET).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
+    if "_SUCCESS" in ready:  # a bucket that is gone from here is in place already
+        for n in ready:
+            if n.startswith(BUCKET):
+                replace(spark, f"{path}/{n}", f"{path}-merge/{n}")
     if ready:
         remove(spark, f"{path}-merge")
 

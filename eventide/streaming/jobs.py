@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from eventide.operators.throttle import CODE_LIFETIME_S, throttle
 from eventide.session import children, ensure_checkpoint_dir
-from eventide.sources.sinks import apply_updates, merge_buckets, read_buckets, touched_buckets, write_buckets
+from eventide.sources.sinks import HASH, apply_updates, by_hash, merge_buckets, read_buckets, touched_buckets, write_buckets
 from eventide.streaming.ordered import OrderedJob
 
 FRESH_AFTER_USE_S = 60  # fixed value: a used code keeps a phone verified this long
@@ -227,12 +227,13 @@ def settle_stream(confirmations: DataFrame, transactions: DataFrame, reservation
     ``settlement_snapshots`` turns the output into new tables (SNK-3).
     """
     spark, ledger = confirmations.sparkSession, f"{root.rstrip('/')}/ledger"
-    tx = transactions.filter("authority IS NOT NULL").groupBy("authority").agg(
+    tx = by_hash(transactions.filter("authority IS NOT NULL"), "authority").groupBy(HASH, "authority").agg(
         F.min(F.struct("id", "status", "reservation_id")).alias("t"))
     tx = tx.select("authority", F.col("t.id").alias("transaction_id"),
                    F.col("t.status").alias("t_status"), F.col("t.reservation_id").alias("reservation_id"))
     res = reservations.select(F.col("id").alias("reservation_id"), "event_id")
-    ev = events.select(F.col("id").alias("event_id"), "is_approval")
+    # Events grow with the input: that their Parquet file is small is no reason to broadcast them.
+    ev = events.select(F.col("id").alias("event_id"), "is_approval").hint("merge")
 
     def paid(settled: DataFrame) -> DataFrame:
         return settled.select("authority", F.lit("paid").alias("t_status"), "confirmed_at")
@@ -240,11 +241,12 @@ def settle_stream(confirmations: DataFrame, transactions: DataFrame, reservation
     def step(ready: DataFrame, state: DataFrame | None, before: DataFrame | None):
         if before is not None:
             merge_buckets(spark, ledger, paid(before), "authority", "confirmed_at", buckets)
-        firsts = (ready.filter("authority IS NOT NULL").groupBy("authority")
-                  .agg(F.min(F.struct("confirmed_at", "conf_id")).alias("c")).select("authority", "c.*"))
-        mine = read_buckets(spark, ledger, touched_buckets(firsts, "authority", buckets))
+        ready = ready.filter("authority IS NOT NULL")
+        firsts = (by_hash(ready, "authority").groupBy(HASH, "authority")
+                  .agg(F.min(F.struct("confirmed_at", "conf_id")).alias("c")).select(HASH, "authority", "c.*"))
+        mine = read_buckets(spark, ledger, touched_buckets(ready, "authority", buckets))
         mine = tx.limit(0) if mine is None else mine
-        rows = (firsts.join(mine, "authority").filter(F.col("t_status") != "paid")
+        rows = (firsts.join(by_hash(mine, "authority"), [HASH, "authority"]).filter(F.col("t_status") != "paid")
                 .join(res, "reservation_id", "left").join(ev, "event_id", "left"))
         return rows.select("conf_id", "authority", "confirmed_at", "transaction_id", "reservation_id",
                            F.when(F.col("is_approval"), "need-approval").otherwise("paid")

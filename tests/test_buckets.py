@@ -154,3 +154,43 @@ def test_a_late_step_costs_what_an_early_one_does(spark, monkeypatch):
     assert sorted(r.id for r in job.table("out").collect()) == list(range(60))
     left = [n for n in children(spark, root) if "wait" in children(spark, f"{root}/{n}")]
     assert len(left) == 1 and len(job.commits()) == 13
+
+
+def test_a_merge_writes_a_row_once_and_in_every_task(spark, monkeypatch):
+    path = scratch_dir(spark, "once")
+    sinks.write_buckets(table(spark).repartition(4), path, "id", 2)
+    parts = [[n for n in names if n.startswith("part-")] for names in files(spark, path).values()]
+    assert [len(p) for p in parts] == [4, 4]  # more tasks than buckets
+    made, real = [], sinks._finish_merge
+    monkeypatch.setattr(sinks, "_finish_merge", lambda s, p: made.append(files(s, f"{p}-merge")) or real(s, p))
+    ups = changes(spark, list(range(0, 900, 100)))
+    assert sinks.merge_buckets(spark, path, ups, "id", "at", 2) == [0, 1]
+    assert made[-1] and files(spark, path) == made[-1]  # moved, not written again
+    assert rows(sinks.read_buckets(spark, path)) == rows(sinks.apply_updates(table(spark), ups, "id", "at"))
+
+
+def test_moves_cut_short_are_finished(spark, monkeypatch):
+    path = scratch_dir(spark, "moves")
+    sinks.write_buckets(table(spark), path, "id", 8)
+    ups = changes(spark, list(range(0, 2000, 10)))
+    real, moved = sinks.replace, []
+
+    def dies(s, old, by):
+        if len(moved) == 3:
+            sinks.remove(s, old)  # the worst place: the old bucket is gone, the new one not yet there
+            raise RuntimeError("lost")
+        moved.append(old)
+        real(s, old, by)
+    monkeypatch.setattr(sinks, "replace", dies)
+    with pytest.raises(RuntimeError):
+        sinks.merge_buckets(spark, path, ups, "id", "at", 8)
+    monkeypatch.setattr(sinks, "replace", real)
+    assert rows(sinks.read_buckets(spark, path)) == rows(sinks.apply_updates(table(spark), ups, "id", "at"))
+    assert not children(spark, f"{path}-merge")
+
+
+def test_updates_keep_repeated_and_null_keys(spark):
+    base = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("b", 4)], "k string, v long")
+    ups = spark.createDataFrame([("a", 9, 1), (None, 8, 1), ("a", 7, 2)], "k string, v long, at long")
+    got = sorted(map(str, map(tuple, sinks.apply_updates(base, ups, "k", "at").collect())))
+    assert got == sorted(map(str, [("a", 7), ("a", 7), (None, 3), ("b", 4)]))
