@@ -51,7 +51,9 @@ def _static_columns(req: DataFrame, events: DataFrame, base: DataFrame) -> DataF
                        F.col("capacity").cast("long").alias("capacity"),
                        F.col("grouping").cast("long").alias("grouping"), "start_time")
     b = base.select("event_id", F.col("filled").cast("long").alias("base_filled"))
-    r = (req.join(ev, "event_id", "left").join(b, "event_id", "left")
+    # Events grow with the input: that their Parquet file is small is no reason to send
+    # them through the driver. A hot event's requests are split by the skew join.
+    r = (req.join(ev.hint("merge"), "event_id", "left").join(b.hint("merge"), "event_id", "left")
          .withColumn("base_filled", F.coalesce("base_filled", F.lit(0)))
          .withColumn("_exists", F.coalesce("_exists", F.lit(False))))
     gviol = (F.col("grouping") > 2) & (F.col("size") > F.col("grouping"))

@@ -292,10 +292,13 @@ def admit_stream(requests: DataFrame, events: DataFrame, reservations: DataFrame
                  delay_seconds: int = 600) -> OrderedJob:
     """ST-7: stream twin of ADM-1. Every released step runs the batch admission,
     which splits a busy event over tasks; the state is the seats each event
-    has given away so far, on top of its reservations. Requests
+    has given away so far, on top of its reservations, which are summed up once. Requests
     ``(request_id, event_id, user_id, requested_at, size, find_buddy)``."""
     from eventide.operators.folds import admit_bookings
-    booked = reservations.select("event_id", "status", "group_members")
+    from eventide.operators.stats import seats_filled
+    ensure_checkpoint_dir(requests.sparkSession)
+    booked = seats_filled(reservations).select("event_id", F.lit("paid").alias("status"),
+                                               F.col("filled").alias("group_members")).checkpoint()
 
     def step(ready: DataFrame, state: DataFrame | None, before: DataFrame | None):
         held = booked if state is None else booked.unionByName(state.select(

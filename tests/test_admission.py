@@ -154,3 +154,17 @@ def test_a_million_events_in_segments():
     start = time.perf_counter()
     decide_segments(seg, rng.integers(0, 9, seg[-1] + 1), rng.integers(1, 6, len(seg)), rng.random(len(seg)) < 0.9)
     assert time.perf_counter() - start < 60
+
+
+def test_events_are_not_sent_through_the_driver(spark):
+    """However small the tables look: their size is guessed from compressed files."""
+    from eventide.operators.folds import _static_columns
+    req = spark.createDataFrame([(1, 7, 2, dt.datetime(2000, 1, 1)), (2, 8, 2, dt.datetime(2000, 1, 1))],
+                                "request_id long, event_id long, size long, requested_at timestamp_ntz")
+    ev = spark.createDataFrame([(7, 5, 0, dt.datetime(2001, 1, 1))],
+                               "id long, capacity int, grouping int, start_time timestamp_ntz")
+    base = spark.createDataFrame([(7, 4)], "event_id long, filled long")
+    out = _static_columns(req, ev, base)
+    assert "Broadcast" not in out._jdf.queryExecution().toString()
+    got = {r.request_id: (r._exists, r.left0, r._ok) for r in out.collect()}
+    assert got == {1: (True, 1, False), 2: (False, None, False)}
