@@ -1,231 +1,288 @@
 """Adaptive context-mixing range coder for token ids, in numpy.
 
-Ids are coded in blocks of ``BLOCK``; every block starts from fresh tables and
-carries its own checksum, so any block can be read without the others. All
-blocks of a batch advance together, one id a step (a *lane* is a block).
-
-Each id is coded as at most four decisions of a range coder:
-
-1. *hit*: is it the id that last followed the two ids before (order 2), the
-   one that last followed the id before (order 1), or neither? The odds are
-   adaptive, kept per pair of the two predictions' confidences, which is how
-   the contexts are mixed;
-2. and 3. for a miss, the upper eight bits as two nibbles under adaptive
-   order-0 frequencies (the second's depend on the first);
-4. the lower eight bits, evenly.
-
-Frequencies add up to ``2**16``; the coder keeps 64-bit bounds and moves 16-bit
-words out (carry-less, by shortening the range where it straddles a word).
+Ids are coded in blocks of up to ``BLOCK``; every block starts from fresh
+tables and carries its own checksum, so any block can be read without the
+others. Inside a block the ids stand in up to ``BLOCK / STEPS`` *lanes* of
+consecutive ids; all lanes advance together, one id a step, each with a range
+coder of its own. The lanes share one model, which learns from all ids of a
+step before the next.
+
+An id is coded in one decision, whose odds mix three predictions:
+
+- order 2: the id that last followed the two ids before;
+- order 1: the one that last followed the id before;
+- order 0: adaptive frequencies of all ids that neither foretold.
+
+The shares of the three are adaptive, kept per pair of the confidences that
+orders 2 and 1 have earned. An id that order 0 has not met yet takes its
+*escape* share and is then written evenly.
+
+Odds add up to ``2**28`` (12 bits of shares, 16 of order 0). The coder keeps
+64-bit bounds and moves 16-bit words out; a carry goes into words already out.
+A payload holds the lanes' numbers of words, then their words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 2048
+STEPS = 256
+BLOCK = STEPS << 13
 U = np.uint64
-TOTAL, SLOTS, RATE, FULL_CONF = 1 << 16, 1 << 10, 4, 3
-HITS = (FULL_CONF + 2) ** 2
-TOP, BOT = U(1 << 48), U(1 << 32)
-_W = U(16)
+IDS = 1 << 16
+SLOTS = 1 << 18
+CONF, FULL_CONF = 1 << 16, 7  # a prediction is confidence * CONF + id; below CONF: none
+LEVELS = FULL_CONF + 1
+SHARES, LEAST, MEMORY = 1 << 12, 8, 1 << 15  # of the mix; the least share; ids remembered by a pair
+ORDER0 = 1 << 16
+REFRESH = 16  # steps between two refreshes of shares and order 0 frequencies; fewer at first
+WORD, BOT = U(16), U(1 << 48)
+MIX_BITS = U(28)
 
 
 class _Model:
-    """Prediction tables of all lanes."""
-
-    def __init__(self, lanes: int):
-        self.rows = np.arange(lanes)
-        self.next = np.zeros((2, lanes, SLOTS), np.uint16)  # predicted id + 1; 0: none
-        self.conf = np.zeros((2, lanes, SLOTS), np.uint8)
-        # Cumulative frequencies, one row per lane and context.
-        odds = np.array([0, TOTAL // 4, TOTAL // 2, TOTAL], np.int32)  # order 2, order 1, neither
-        self.hit = np.tile(odds, (lanes * HITS, 1))
-        even = np.arange(17, dtype=np.int32) * (TOTAL // 16)
-        self.high = np.tile(even, (lanes, 1))
-        self.low = np.tile(even, (lanes * 16, 1))
-
-    def contexts(self, p1: np.ndarray, p2: np.ndarray):
-        """Slots, predicted ids (-1: none) and the index of the hit odds."""
-        rows = self.rows[:len(p1)]
-        s1 = (p1 * 0x9E3779B1 >> 7) & (SLOTS - 1)
-        s2 = ((p1 * 0x85EBCA77 + p2 * 0xC2B2AE3D) >> 9) & (SLOTS - 1)
-        g2 = self.next[0, rows, s2].astype(np.int64) - 1
-        g1 = self.next[1, rows, s1].astype(np.int64) - 1
-        g1[g1 == g2] = -1
-        c2 = np.where(g2 >= 0, self.conf[0, rows, s2] + 1, 0)
-        c1 = np.where(g1 >= 0, self.conf[1, rows, s1] + 1, 0)
-        return s1, s2, g1, g2, rows * HITS + c2.astype(np.int64) * (FULL_CONF + 2) + c1
-
-    def learn(self, ids: np.ndarray, s1, s2) -> None:
-        rows = self.rows[:len(ids)]
-        for k, s in ((0, s2), (1, s1)):
-            same = self.next[k, rows, s] == ids + 1
-            conf = self.conf[k, rows, s]
-            self.conf[k, rows, s] = np.where(same, np.minimum(conf + 1, FULL_CONF), conf >> 1)
-            self.next[k, rows, s] = np.where(same | (conf == 0), ids + 1, self.next[k, rows, s])
-
-
-def _goals(n: int) -> np.ndarray:
-    """Where each symbol pulls the cumulative frequencies; all keep at least 16."""
-    edge = np.arange(n + 1)
-    return np.where(edge > np.arange(n)[:, None], TOTAL - 16 * n, 0).astype(np.int32) + 16 * edge.astype(np.int32)
-
-
-GOALS = {n: _goals(n) for n in (3, 16)}
-
-
-def _learn(table: np.ndarray, at: np.ndarray, c: np.ndarray, sym: np.ndarray) -> None:
-    """Move the cumulative frequencies ``c``, rows ``at`` of ``table``, towards the
-    symbols coded."""
-    table[at] = c + ((GOALS[c.shape[1] - 1][sym] - c) >> RATE)
+    """Prediction tables of a block."""
+
+    def __init__(self):
+        self.two = np.zeros(SLOTS, np.int32)
+        self.one = np.zeros(IDS, np.int32)
+        self.seen = np.tile(np.array([1, 1, 2], np.int64), (LEVELS * LEVELS, 1))
+        self.count = np.zeros(IDS, np.int64)
+        self.missed: list[np.ndarray] = []
+        self.misses, self.escapes, self.step = 2, 1, 0
+        self._share()
+        self._refresh()
+
+    def predict(self, p1: np.ndarray, p2: np.ndarray) -> None:
+        """The predictions after the ids ``p1`` and ``p2`` and their shares of the odds."""
+        self.p1, self.slot = p1, (p1 * 0x9E3779B1 + p2 * 0x85EBCA77 >> 12) & (SLOTS - 1)
+        self.e2, self.e1 = self.two.take(self.slot), self.one.take(p1)
+        self.g2, self.g1 = self.e2 & (IDS - 1), self.e1 & (IDS - 1)
+        self.pair = (self.e2 >> 16) * LEVELS + (self.e1 >> 16) * (self.g1 != self.g2)
+        self.to2, self.to1 = self.upto2.take(self.pair), self.upto1.take(self.pair)
+
+    def learn(self, x: np.ndarray, kind: np.ndarray, missed: np.ndarray) -> None:
+        """``x``: the ids of the step; ``kind``: 0, 1 or 2 for foretold by order 2, by
+        order 1, by neither; ``missed``: the ids of kind 2."""
+        x = x.astype(np.int32)
+        for table, at, e, g in ((self.two, self.slot, self.e2, self.g2), (self.one, self.p1, self.e1, self.g1)):
+            right = g == x
+            g += FULL_CONF * CONF
+            new = np.maximum(e - 2 * CONF, 0)
+            np.copyto(new, x + CONF, where=e < 2 * CONF)
+            np.copyto(new, np.minimum(e + CONF, g), where=right)
+            table[at] = new
+        self.seen += np.bincount(self.pair * 3 + kind, minlength=self.seen.size).reshape(self.seen.shape)
+        self.missed.append(missed)
+        self.step += 1
+        if self.step % REFRESH == 0 or not self.step & (self.step - 1):
+            self._share()
+            self._refresh()
+
+    def _share(self) -> None:
+        total = self.seen.sum(axis=1)
+        if total.max() > MEMORY:
+            self.seen[total > MEMORY] >>= 1
+            self.seen |= self.seen == 0
+            total = self.seen.sum(axis=1)
+        cum = self.seen[:, :2].cumsum(axis=1) * (SHARES - 3 * LEAST) // total[:, None]
+        self.upto2, self.upto1 = cum[:, 0] + LEAST, cum[:, 1] + 2 * LEAST
+
+    def _refresh(self) -> None:
+        """Order 0 frequencies of the ids missed so far; the rest is the escape share."""
+        if self.missed:
+            new = np.concatenate(self.missed)
+            self.missed = []
+            if len(new):
+                self.misses += len(new)
+                self.escapes += int(np.count_nonzero(self.freq.take(new) == 0))
+                self.count += np.bincount(new, minlength=IDS)
+        met = self.count > 0
+        kinds, total = int(np.count_nonzero(met)), max(1, int(self.count.sum()))
+        room = ORDER0 - max(32, min(ORDER0 // 2, ORDER0 * self.escapes // self.misses))
+        if 2 * kinds > room:  # the rarest ids have no room of their own
+            self.freq = self.count * room // total
+        else:
+            self.freq = self.count * (room - kinds) // total + met
+        end = self.freq.cumsum()
+        self.span, self.escape = (end - self.freq << 17) + self.freq, int(end[-1])
+        self._find = None
+
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The ids that the order 0 targets ``v`` lie in; IDS for the escape share."""
+        if self._find is None:
+            self._find = np.full(ORDER0, IDS, np.int32)
+            self._find[:self.escape] = np.repeat(np.arange(IDS, dtype=np.int32), self.freq)
+        return self._find.take(v).astype(np.int64)
 
 
 class _Encoder:
     def __init__(self, lanes: int, steps: int):
         self.low, self.range = np.zeros(lanes, U), np.full(lanes, ~U(0))
-        self.out = np.zeros((lanes, 4 * steps + 8), "<u2")
-        self.n = np.zeros(lanes, np.int64)
-
-    def put(self, lanes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        r = self.range[lanes] >> _W
-        low = self.low[lanes] + r * start.astype(U)
-        rng = r * (end - start).astype(U)
-        while True:
-            straddle = (low ^ (low + rng)) >= TOP
-            small = rng < BOT
-            move = np.flatnonzero(~straddle | small)
-            if not len(move):
-                break
-            cut = move[straddle[move]]
-            rng[cut] = (~low[cut] + U(1)) & (BOT - U(1))
-            lane = lanes[move]
-            self.out[lane, self.n[lane]] = (low[move] >> U(48)).astype("<u2")
-            self.n[lane] += 1
-            low[move] <<= _W
-            rng[move] <<= _W
-        self.low[lanes], self.range[lanes] = low, rng
-
-    def finish(self) -> list[bytes]:
-        for k in range(4):
-            self.out[np.arange(len(self.n)), self.n] = (self.low >> U(48)).astype("<u2")
-            self.n += 1
-            self.low <<= _W
-        return [row[:n].tobytes() for row, n in zip(self.out, self.n)]
+        room = 3 * steps * lanes + 2 * lanes
+        self.out, self.lane, self.n = np.empty(room, np.uint32), np.empty(room, np.uint16), 0
+        self.last = np.zeros(lanes, np.int64)  # where each lane's last word is
+
+    def put(self, lanes, bits: np.uint64, start: np.ndarray, size: np.ndarray) -> None:
+        """Code a part of ``2**bits`` on ``lanes``, an index array or a slice from 0."""
+        low, rng = self.low[lanes], self.range[lanes] >> bits
+        at = low + rng * start.view(U)
+        rng *= size.view(U)
+        over = (at < low).nonzero()[0]
+        if len(over):
+            self.out[self.last[lanes][over]] += 1
+        self.low[lanes], self.range[lanes] = at, rng
+        move = (rng < BOT).nonzero()[0]
+        if isinstance(lanes, np.ndarray):
+            move = lanes[move]
+        while len(move):
+            at = self.low[move]
+            self._out(move, at >> U(48))
+            self.low[move] = at << WORD
+            rng = self.range[move] << WORD
+            self.range[move] = rng
+            move = move[rng < BOT]
+
+    def _out(self, lanes: np.ndarray, words: np.ndarray) -> None:
+        a, b = self.n, self.n + len(lanes)
+        self.out[a:b], self.lane[a:b], self.last[lanes] = words, lanes, np.arange(a, b)
+        self.n = b
+
+    def finish(self) -> bytes:
+        rows = np.arange(len(self.low))
+        end = self.low + U((1 << 32) - 1)  # whatever words follow, they stay inside the range
+        self.out[self.last[end < self.low]] += 1
+        self._out(rows, end >> U(48))
+        self._out(rows, (end >> U(32)) & U(0xFFFF))
+        lane = self.lane[:self.n]
+        words = self.out[np.argsort(lane, kind="stable")]
+        carry = (words >> 16).nonzero()[0]
+        while len(carry):
+            words[carry] &= 0xFFFF
+            carry -= 1
+            words[carry] += 1
+            carry = carry[words[carry] >> 16 > 0]
+        n = np.bincount(lane, minlength=len(rows))
+        return n.astype("<u2").tobytes() + words.astype("<u2").tobytes()
 
 
 class _Decoder:
-    def __init__(self, payloads: list[bytes]):
-        lens = np.array([len(p) // 2 for p in payloads])
-        self.words = np.zeros((len(payloads), lens.max() + 8), "<u2")
-        for row, p in zip(self.words, payloads):
-            row[:len(p) // 2] = np.frombuffer(p, "<u2")
-        self.low, self.range = np.zeros(len(payloads), U), np.full(len(payloads), ~U(0))
-        self.code = np.zeros(len(payloads), U)
-        self.n = np.full(len(payloads), 4)
-        for k in range(4):
-            self.code = (self.code << _W) | self.words[:, k].astype(U)
-
-    def target(self, lanes: np.ndarray) -> np.ndarray:
-        r = self.range[lanes] >> _W
-        return np.minimum((self.code[lanes] - self.low[lanes]) // r, U(TOTAL - 1)).astype(np.int64)
-
-    def take(self, lanes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        r = self.range[lanes] >> _W
-        low = self.low[lanes] + r * start.astype(U)
-        rng = r * (end - start).astype(U)
-        code = self.code[lanes]
-        while True:
-            straddle = (low ^ (low + rng)) >= TOP
-            small = rng < BOT
-            move = np.flatnonzero(~straddle | small)
-            if not len(move):
-                break
-            cut = move[straddle[move]]
-            rng[cut] = (~low[cut] + U(1)) & (BOT - U(1))
-            lane = lanes[move]
-            code[move] = (code[move] << _W) | self.words[lane, self.n[lane]].astype(U)
-            self.n[lane] += 1
-            low[move] <<= _W
-            rng[move] <<= _W
-        self.low[lanes], self.range[lanes], self.code[lanes] = low, rng, code
-
-    def symbol(self, table: np.ndarray, lanes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        c, t = table[at], self.target(lanes)
-        sym = np.count_nonzero(c[:, 1:-1] <= t.astype(np.int32)[:, None], axis=1)
-        k = np.arange(len(sym))
-        self.take(lanes, c[k, sym], c[k, sym + 1])
-        _learn(table, at, c, sym)
-        return sym
-
-
-def _put(enc: _Encoder, table: np.ndarray, lanes: np.ndarray, at: np.ndarray, sym: np.ndarray) -> None:
-    c, k = table[at], np.arange(len(sym))
-    enc.put(lanes, c[k, sym], c[k, sym + 1])
-    _learn(table, at, c, sym)
+    def __init__(self, payload: bytes, lanes: int):
+        words = np.frombuffer(payload, "<u2", len(payload) // 2)
+        if len(words) <= lanes:
+            raise ValueError(f"a payload of {len(payload)} bytes for {lanes} lanes")
+        n = words[:lanes].astype(np.int64)
+        self.words = words[lanes:]
+        self.at = np.cumsum(n) - n
+        self.range, self.code = np.full(lanes, ~U(0)), np.zeros(lanes, U)
+        for _ in range(4):
+            self.code = (self.code << WORD) | self.words.take(self.at, mode="clip")
+            self.at += 1
+
+    def target(self, lanes, bits: np.uint64) -> np.ndarray:
+        return np.minimum(self.code[lanes] // (self.range[lanes] >> bits), (U(1) << bits) - U(1)).view(np.int64)
+
+    def take(self, lanes, bits: np.uint64, start: np.ndarray, size: np.ndarray) -> None:
+        """Remove a part of ``2**bits`` from the ``lanes``."""
+        rng = self.range[lanes] >> bits
+        self.code[lanes] -= rng * start.view(U)
+        rng *= size.view(U)
+        self.range[lanes] = rng
+        move = (rng < BOT).nonzero()[0]
+        if isinstance(lanes, np.ndarray):
+            move = lanes[move]
+        while len(move):
+            at = self.at[move]
+            self.code[move] = (self.code[move] << WORD) | self.words.take(at, mode="clip")
+            self.at[move] = at + 1
+            rng = self.range[move] << WORD
+            self.range[move] = rng
+            move = move[rng < BOT]
+
+
+def _lanes(n: int) -> tuple[int, int, int]:
+    """Lanes, steps and the ids of the last lane, which may be short."""
+    steps = min(STEPS, n)
+    lanes = -(-n // steps)
+    return lanes, steps, n - (lanes - 1) * steps
+
+
+def _encode(ids: np.ndarray) -> bytes:
+    lanes, steps, last = _lanes(len(ids))
+    grid = np.zeros((steps + 2, lanes), np.int64)  # two ids 0 before each lane
+    padded = np.zeros(lanes * steps, np.int64)
+    padded[:len(ids)] = ids
+    grid[2:] = padded.reshape(lanes, steps).T
+    model, enc = _Model(), _Encoder(lanes, steps)
+    for i in range(steps):
+        on = slice(0, lanes if i < last else lanes - 1)
+        p2, p1, x = (grid[i + k, on] for k in range(3))
+        model.predict(p1, p2)
+        kind = (x != model.g2).astype(np.int64)
+        kind += kind * (x != model.g1)
+        second, miss = (kind == 1).nonzero()[0], (kind == 2).nonzero()[0]
+        start, size = np.zeros(len(x), np.int64), model.to2 * ORDER0
+        start[second] = size[second]
+        size[second] = model.to1[second] * ORDER0 - start[second]
+        xm, upto = x[miss], model.to1[miss]
+        span = model.span.take(xm)
+        freq, begin = span & (1 << 17) - 1, span >> 17
+        new = (freq == 0).nonzero()[0]
+        freq[new], begin[new] = ORDER0 - model.escape, model.escape
+        start[miss] = upto * ORDER0 + (SHARES - upto) * begin
+        size[miss] = (SHARES - upto) * freq
+        enc.put(on, MIX_BITS, start, size)
+        if len(new):
+            enc.put(miss[new], WORD, xm[new], np.ones(len(new), np.int64))
+        model.learn(x, kind, xm)
+    return enc.finish()
+
+
+def _decode(payload: bytes, n: int) -> np.ndarray:
+    lanes, steps, last = _lanes(n)
+    grid = np.zeros((steps + 2, lanes), np.int64)
+    model, dec = _Model(), _Decoder(payload, lanes)
+    for i in range(steps):
+        on = slice(0, lanes if i < last else lanes - 1)
+        p2, p1, x = (grid[i + k, on] for k in range(3))
+        model.predict(p1, p2)
+        t = dec.target(on, MIX_BITS)
+        share = t >> 16
+        kind = (share >= model.to2).astype(np.int64) + (share >= model.to1)
+        second, miss = (kind == 1).nonzero()[0], (kind == 2).nonzero()[0]
+        start, size = np.zeros(len(x), np.int64), model.to2 * ORDER0
+        start[second] = size[second]
+        size[second] = model.to1[second] * ORDER0 - start[second]
+        upto = model.to1[miss]
+        xm = model.find(((t[miss] - upto * ORDER0) / (SHARES - upto)).astype(np.int64))  # exact below 2**53
+        new = (xm == IDS).nonzero()[0]
+        xm[new] = 0
+        span = model.span.take(xm)
+        freq, begin = span & (1 << 17) - 1, span >> 17
+        freq[new], begin[new] = ORDER0 - model.escape, model.escape
+        start[miss] = upto * ORDER0 + (SHARES - upto) * begin
+        size[miss] = (SHARES - upto) * freq
+        dec.take(on, MIX_BITS, start, size)
+        if len(new):
+            xm[new] = dec.target(miss[new], WORD)
+            dec.take(miss[new], WORD, xm[new], np.ones(len(new), np.int64))
+        x[:] = model.g2
+        x[second], x[miss] = model.g1[second], xm
+        model.learn(x, kind, xm)
+    return grid[2:].T.ravel()[:n]
 
 
 @np.errstate(over="ignore")
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """Payloads of the blocks of an id array; the models hold ids below 65536,
     a larger one raises ValueError."""
-    lanes = -(-len(ids) // BLOCK)
-    if not lanes:
-        return []
-    if ids.max() >= 1 << 16:
+    if len(ids) and ids.max() >= IDS:
         raise ValueError(f"id {ids.max()}: the coder takes ids below 65536 (a vocabulary of 65,536 tokens)")
-    grid = np.zeros((lanes, BLOCK), np.int64)
-    grid.ravel()[:len(ids)] = ids
-    model, enc = _Model(lanes), _Encoder(lanes, BLOCK)
-    zero = np.zeros(lanes, np.int64)
-    last = len(ids) - (lanes - 1) * BLOCK
-    for i in range(BLOCK):
-        on = lanes if i < last else lanes - 1  # the last block may be short
-        if not on:
-            break
-        rows, x = model.rows[:on], grid[:on, i]
-        p1, p2 = (grid[:on, i - k] if i >= k else zero[:on] for k in (1, 2))
-        s1, s2, g1, g2, ctx = model.contexts(p1, p2)
-        kind = np.where(x == g2, 0, np.where(x == g1, 1, 2))
-        _put(enc, model.hit, rows, ctx, kind)
-        miss = np.flatnonzero(kind == 2)
-        if len(miss):
-            v = x[miss]
-            a, b = v >> 12, (v >> 8) & 15
-            _put(enc, model.high, miss, miss, a)
-            _put(enc, model.low, miss, miss * 16 + a, b)
-            enc.put(miss, (v & 255) << 8, ((v & 255) + 1) << 8)
-        model.learn(x, s1, s2)
-    return enc.finish()
+    return [_encode(ids[i:i + BLOCK]) for i in range(0, len(ids), BLOCK)]
 
 
 @np.errstate(over="ignore")
 def decode_blocks(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
     """The ids of blocks of ``sizes`` ids, one after the other."""
-    if not len(payloads):
-        return np.empty(0, np.int64)
-    order = np.argsort(-np.asarray(sizes), kind="stable")  # short blocks drop out last
-    sizes = np.asarray(sizes)[order]
-    lanes = len(sizes)
-    grid = np.zeros((lanes, int(sizes[0])), np.int64)
-    model, dec = _Model(lanes), _Decoder([payloads[k] for k in order])
-    zero = np.zeros(lanes, np.int64)
-    alive = np.searchsorted(-sizes, -np.arange(grid.shape[1]), side="left")
-    for i in range(grid.shape[1]):
-        on = alive[i]
-        rows = model.rows[:on]
-        p1, p2 = (grid[:on, i - k] if i >= k else zero[:on] for k in (1, 2))
-        s1, s2, g1, g2, ctx = model.contexts(p1, p2)
-        kind = dec.symbol(model.hit, rows, ctx)
-        x = np.where(kind == 0, g2, g1)
-        miss = np.flatnonzero(kind == 2)
-        if len(miss):
-            a = dec.symbol(model.high, miss, miss)
-            b = dec.symbol(model.low, miss, miss * 16 + a)
-            c = dec.target(miss) >> 8
-            dec.take(miss, c << 8, (c + 1) << 8)
-            x[miss] = (a << 12) | (b << 8) | c
-        grid[:on, i] = x
-        model.learn(x, s1, s2)
-    back = np.empty(lanes, np.int64)
-    back[order] = np.arange(lanes)
-    return np.concatenate([grid[k, :sizes[k]] for k in back])
+    parts = [_decode(p, n) for p, n in zip(payloads, np.asarray(sizes).tolist()) if n]
+    return np.concatenate([np.empty(0, np.int64), *parts])
