@@ -416,3 +416,38 @@ def test_ids_beyond_the_coder_are_refused():
     assert (range_coder.decode_blocks(range_coder.encode_blocks(ids), sizes) == ids).all()
     with pytest.raises(ValueError, match="below 65536"):
         range_coder.encode_blocks(np.array([1, 65536]))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZtsmdrevl 1\u00b2\u0967'.!\u00e9\u4e2d\U0001d400\U0001f600\U0010ffff\n\t\x1c\x85\u00a0\u3000")), max_size=6))
+def test_pretokens_are_cut_as_in_the_library(texts):
+    vocabulary = token_files._vocabulary(token_files.vocabulary_path())
+    texts = [*texts, "", "x<|endoftext|> y", "".join(texts)]
+    want = [e.ids for e in vocabulary.lib.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in vocabulary.encode(texts)] == want
+
+
+def test_words_of_equal_hashes_and_full_caches():
+    class Narrow(token_files.Vocabulary):
+        SLOT_BITS, CACHE_WORDS = 2, 30
+
+    class Equal(Narrow):
+        def hashes(self, u, start, lens):
+            return np.zeros(len(start), np.uint64)
+
+    texts = [" ".join(f"w{i % 7} {'abc' * (i % 5)}{i}." for i in range(k)) for k in range(20)]
+    for vocabulary in (Narrow(token_files.vocabulary_path()), Equal(token_files.vocabulary_path())):
+        for part in (texts[:10], texts[10:], texts):
+            want = [e.ids for e in vocabulary.lib.encode_batch(part, add_special_tokens=False)]
+            assert [x.tolist() for x in vocabulary.encode(part)] == want
+
+
+def test_range_coder_order_0_predicts_ids():
+    odds = 1 / np.arange(1, 2001)
+    ids = np.random.default_rng(2).choice(50_000, 2000, replace=False)[
+        np.random.default_rng(3).choice(2000, 200_000, p=odds / odds.sum())]
+    entropy = -(odds / odds.sum() * np.log2(odds / odds.sum())).sum()
+    payloads = range_coder.encode_blocks(ids)
+    assert 8 * sum(map(len, payloads)) < (entropy + 1) * len(ids)
+    sizes = [min(range_coder.BLOCK, len(ids) - i) for i in range(0, len(ids), range_coder.BLOCK)]
+    assert (range_coder.decode_blocks(payloads, sizes) == ids).all()
