@@ -187,29 +187,27 @@ class Vocabulary:
         slot = (h >> np.uint64(64 - self.SLOT_BITS)).view(np.int64)
         k = self.slots[slot].astype(np.int64)
         k[u[start] == ord(END_SIGN)] = 0
-        new = self.differ(u, start, lens, k)
+        new = self.differ(u, lens, k)
         if len(new):
             _, first, same = np.unique(h[new], return_index=True, return_inverse=True)
             k[new] = self.words.n + same
             first = new[first]
             self.slots[slot[first]] = self.words.n + np.arange(len(first))
             self.add(u, start[first], lens[first])
-            new = new[self.differ(u, start[new], lens[new], k[new])]
+            new = new[self.differ(u[_spans(start[new], lens[new])], lens[new], k[new])]
             if len(new):  # other words of the same hash
                 k[new] = self.words.n + np.arange(len(new))
                 self.add(u, start[new], lens[new])
         return k
 
-    def differ(self, u: np.ndarray, start: np.ndarray, lens: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Which words are not the ones numbered ``k``."""
-        same = self.words.lens[k] == lens
-        at = same.nonzero()[0]
-        if len(at):
-            size = lens[at]
-            equal = self.words.flat[_spans(self.words.start[k[at]], size)] == u[_spans(start[at], size)]
-            if not equal.all():
-                same[at] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
-        return (~same).nonzero()[0]
+    def differ(self, signs: np.ndarray, lens: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Which of the words, one behind the other in ``signs``, are not those numbered ``k``."""
+        end = np.cumsum(lens)
+        at = np.repeat(self.words.start[k] - end + lens, lens) + np.arange(len(signs))
+        other = self.words.lens[k] != lens
+        unlike = (self.words.flat.take(at, mode="clip") != signs).nonzero()[0]
+        other[np.searchsorted(end, unlike, "right")] = True
+        return other.nonzero()[0]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         from eventide.llm.nptext import text_blocks
