@@ -26,8 +26,8 @@ from __future__ import annotations
 
 import numpy as np
 
-STEPS = 256
-BLOCK = STEPS << 13
+STEPS = 128
+BLOCK = STEPS << 14
 U = np.uint64
 IDS = 1 << 16
 SLOTS = 1 << 18
@@ -61,9 +61,9 @@ class _Model:
         self.pair = (self.e2 >> 16) * LEVELS + (self.e1 >> 16) * (self.g1 != self.g2)
         self.to2, self.to1 = self.upto2.take(self.pair), self.upto1.take(self.pair)
 
-    def learn(self, x: np.ndarray, kind: np.ndarray, missed: np.ndarray) -> None:
+    def learn(self, x: np.ndarray, kind: np.ndarray, missed: np.ndarray, escapes: int) -> None:
         """``x``: the ids of the step; ``kind``: 0, 1 or 2 for foretold by order 2, by
-        order 1, by neither; ``missed``: the ids of kind 2."""
+        order 1, by neither; ``missed``: the ids of kind 2, ``escapes`` of them new to order 0."""
         x = x.astype(np.int32)
         for table, at, e, g in ((self.two, self.slot, self.e2, self.g2), (self.one, self.p1, self.e1, self.g1)):
             right = g == x
@@ -71,9 +71,10 @@ class _Model:
             new = np.maximum(e - 2 * CONF, 0)
             np.copyto(new, x + CONF, where=e < 2 * CONF)
             np.copyto(new, np.minimum(e + CONF, g), where=right)
-            table[at] = new
+            table[at] = new  # of lanes that share a place the last one stays, in both directions
         self.seen += np.bincount(self.pair * 3 + kind, minlength=self.seen.size).reshape(self.seen.shape)
         self.missed.append(missed)
+        self.escapes += escapes
         self.step += 1
         if self.step % REFRESH == 0 or not self.step & (self.step - 1):
             self._share()
@@ -95,7 +96,6 @@ class _Model:
             self.missed = []
             if len(new):
                 self.misses += len(new)
-                self.escapes += int(np.count_nonzero(self.freq.take(new) == 0))
                 self.count += np.bincount(new, minlength=IDS)
         met = self.count > 0
         kinds, total = int(np.count_nonzero(met)), max(1, int(self.count.sum()))
@@ -210,9 +210,9 @@ def _lanes(n: int) -> tuple[int, int, int]:
 def _encode(ids: np.ndarray) -> bytes:
     lanes, steps, last = _lanes(len(ids))
     grid = np.zeros((steps + 2, lanes), np.int64)  # two ids 0 before each lane
-    padded = np.zeros(lanes * steps, np.int64)
+    padded = np.zeros(lanes * steps, np.uint16)
     padded[:len(ids)] = ids
-    grid[2:] = padded.reshape(lanes, steps).T
+    grid[2:] = np.ascontiguousarray(padded.reshape(lanes, steps).T)
     model, enc = _Model(), _Encoder(lanes, steps)
     for i in range(steps):
         on = slice(0, lanes if i < last else lanes - 1)
@@ -234,7 +234,7 @@ def _encode(ids: np.ndarray) -> bytes:
         enc.put(on, MIX_BITS, start, size)
         if len(new):
             enc.put(miss[new], WORD, xm[new], np.ones(len(new), np.int64))
-        model.learn(x, kind, xm)
+        model.learn(x, kind, xm, len(new))
     return enc.finish()
 
 
@@ -268,8 +268,8 @@ def _decode(payload: bytes, n: int) -> np.ndarray:
             dec.take(miss[new], WORD, xm[new], np.ones(len(new), np.int64))
         x[:] = model.g2
         x[second], x[miss] = model.g1[second], xm
-        model.learn(x, kind, xm)
-    return grid[2:].T.ravel()[:n]
+        model.learn(x, kind, xm, len(new))
+    return grid[2:].astype(np.uint16).T.ravel()[:n]
 
 
 @np.errstate(over="ignore")
@@ -285,4 +285,4 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
 def decode_blocks(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
     """The ids of blocks of ``sizes`` ids, one after the other."""
     parts = [_decode(p, n) for p, n in zip(payloads, np.asarray(sizes).tolist()) if n]
-    return np.concatenate([np.empty(0, np.int64), *parts])
+    return np.concatenate([np.empty(0, np.uint16), *parts]).astype(np.int64)

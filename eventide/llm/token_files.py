@@ -34,7 +34,7 @@ from eventide.llm.range_coder import BLOCK, decode_blocks, encode_blocks
 from eventide.session import ensure_checkpoint_dir
 
 END_ID = 2
-CHUNK_IDS = 1 << 21  # ids coded together: 1,024 blocks
+CHUNK_IDS = BLOCK  # ids coded together: one block, unless a document is longer
 SCHEMA = ("shard int, chunk int, n_ids long, docs int, index binary, blocks binary, payload binary")
 
 
@@ -177,7 +177,7 @@ class Vocabulary:
             power = np.full(len(u), self.PRIME, np.uint64), np.full(len(u), self.PRIME_INV, np.uint64)
             power[0][0] = power[1][0] = 1
             self.power, self.inverse = map(np.cumprod, power)
-        h = np.add.reduceat((u + np.uint64(1)) * self.power[:len(u)], start) * self.inverse[start]
+        h = np.add.reduceat(u * self.power[:len(u)], start) * self.inverse[start]
         h ^= h >> np.uint64(29)
         return h * np.uint64(0xBF58476D1CE4E5B9) + lens.view(np.uint64)
 
